@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import byte_bpe, exact_dedup, packing
 from .common import table
-from . import exact_dedup
+
+
+def _public(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark, sf_dir):
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), _public("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    vocabulary, pattern = _public("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary, pattern)
+    decoded = byte_bpe.decode_documents(encoded, vocabulary, pattern)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries():
     return {
+        "op3_packing": op3_packing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_byte_bpe": op7_byte_bpe,
     }
 
 
