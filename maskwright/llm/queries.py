@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, packing
+from . import byte_bpe, exact_dedup, packing, simhash
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op3_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_simhash(spark, sf_dir):
+    return simhash.simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op7_byte_bpe(spark, sf_dir):
 def queries():
     return {
         "op3_packing": op3_packing,
+        "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_byte_bpe": op7_byte_bpe,
     }
