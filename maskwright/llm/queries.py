@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, packing, pii, simhash
+from . import byte_bpe, chat_format, exact_dedup, packing, pii, simhash
 from .common import table
 
 
@@ -14,6 +14,13 @@ def _public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_format(spark, sf_dir):
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.read_back(chat_format.format_conversations(rows))
+
+
 def op3_packing(spark, sf_dir):
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), _public("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -44,6 +51,7 @@ def op9_pii(spark, sf_dir):
 
 def queries():
     return {
+        "op1_chat_format": op1_chat_format,
         "op3_packing": op3_packing,
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
@@ -54,5 +62,6 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_chat_format": chat_format.ORACLE_SQL,
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     }
