@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, packing, pii, simhash
+from . import byte_bpe, chat_format, exact_dedup, packing, pii, simhash, topk
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op1_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.format_conversations(rows))
 
 
+def op2_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op3_packing(spark, sf_dir):
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), _public("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -52,6 +57,7 @@ def op9_pii(spark, sf_dir):
 def queries():
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_top_k": op2_top_k,
         "op3_packing": op3_packing,
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
@@ -63,5 +69,6 @@ def queries():
 def oracle_sql():
     return {
         "op1_chat_format": chat_format.ORACLE_SQL,
+        "op2_top_k": topk.ORACLE_SQL,
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     }
