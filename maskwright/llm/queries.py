@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, packing, pii, simhash, topk
+from . import byte_bpe, chat_format, exact_dedup, language_id, packing, pii, simhash, topk
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op3_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op5_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -59,6 +64,7 @@ def queries():
         "op1_chat_format": op1_chat_format,
         "op2_top_k": op2_top_k,
         "op3_packing": op3_packing,
+        "op4_language_id": op4_language_id,
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_byte_bpe": op7_byte_bpe,
