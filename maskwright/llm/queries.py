@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, language_id, packing, pii, simhash, topk
+from . import byte_bpe, chat_format, exact_dedup, html_extract, language_id, packing, pii, simhash, topk
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op7_byte_bpe(spark, sf_dir):
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_pii(spark, sf_dir):
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
@@ -68,6 +72,7 @@ def queries():
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_html_extract": op8_html_extract,
         "op9_pii": op9_pii,
     }
 
