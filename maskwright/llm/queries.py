@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, html_extract, language_id, packing, pii, simhash, topk
+from . import byte_bpe, chat_format, exact_dedup, html_extract, language_id, packing, pii, simhash, substring_dedup, topk
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op9_pii(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
 
 
+def op10_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_chat_format": op1_chat_format,
@@ -74,6 +78,7 @@ def queries():
         "op7_byte_bpe": op7_byte_bpe,
         "op8_html_extract": op8_html_extract,
         "op9_pii": op9_pii,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
