@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,3 +35,32 @@ def broadcast_if_small(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFra
     """A broadcast hint if the (materialised, slim) frame has at most ``limit`` rows, else the frame,
     so that beyond the bound the join is an ordinary shuffled one."""
     return F.broadcast(frame) if frame.limit(limit + 1).count() <= limit else frame
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` as Parquet in the shared folder, read again."""
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def keep_best(marked: DataFrame, found: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """The rows of ``marked`` that the decisions ``found`` keep, exactly one for each decision.
+
+    ``keys`` maps columns of ``marked`` to those of ``found``, which has one row per distinct key with
+    ``best`` (it stays) and ``copies`` (how many rows have this key). Nulls equal each other.
+    """
+
+    def matches(rows: DataFrame):
+        return functools.reduce(lambda a, b: a & b, [marked[m].eqNullSafe(rows[f]) for m, f in keys.items()])
+
+    dropped = broadcast_if_small(found.filter(~F.col("best")).select(*keys.values()))
+    kept = marked.join(dropped, matches(dropped), "left_anti")
+    twice = found.filter("best and copies > 1").select(*keys.values())
+    if twice.isEmpty():
+        return kept
+    twice = broadcast_if_small(twice)
+    again = marked.join(twice, matches(twice), "left_semi").dropDuplicates([*keys])
+    return kept.join(twice, matches(twice), "left_anti").unionByName(again)

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut
+from .common import broadcast_if_small, cut, keep_best
 
 #: The characters that normalisation deletes: space and U+0009 to U+000D.
 BLANKS = (" ", "\t", "\n", "\x0b", "\f", "\r")
@@ -81,23 +81,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` drops; all columns are kept as they are."""
-    found = cut(decisions(docs, id_col, text_col))
+    found = decisions(docs, id_col, text_col)
     key, length = content_hash(normalised(F.col(f"`{text_col}`"))), F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     marked = docs.withColumns({"__h": key, "__n": length})
 
-    def matches(rows: DataFrame):
-        return marked[id_col].eqNullSafe(rows["id"]) & (marked["__h"] == rows["h"]) & (marked["__n"] == rows["ncp"])
-
-    # sub tells colliding texts apart; they have other lengths or ids, or are repeated rows of one id
-    dropped = found.filter(~F.col("best")).select("id", "h", "ncp")
-    dropped = broadcast_if_small(dropped)
-    kept = marked.join(dropped, matches(dropped), "left_anti")
-    twice = found.filter("best and copies > 1").select("id", "h", "ncp")
-    if twice.isEmpty():
-        return kept.drop("__h", "__n")
-    twice = broadcast_if_small(twice)
-    again = marked.join(twice, matches(twice), "left_semi").dropDuplicates([id_col, "__h", "__n"])
-    return kept.join(twice, matches(twice), "left_anti").unionByName(again).drop("__h", "__n")
+    # colliding texts of one id and length, and repeated rows, are told apart by the number of copies
+    once = found.groupBy("id", "h", "ncp").agg(F.max("best").alias("best"), F.sum("copies").alias("copies"))
+    return keep_best(marked, cut(once), {id_col: "id", "__h": "h", "__n": "ncp"}).drop("__h", "__n")
 
 
 ORACLE_SQL = r"""

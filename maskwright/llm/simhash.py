@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, keep_best
 
 #: Words of a shingle; fingerprints link at so many differing bits or fewer.
 SHINGLE_WORDS, RADIUS = 3, 3
@@ -161,3 +161,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = every.join(smallest, "root").select("node", "smallest")
     labels = firsts.join(named, firsts["fp"] == named["node"], "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
     return prints.join(labels, "fp").select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_owners: int = HOT_OWNERS) -> DataFrame:
+    """``docs`` with one row of each component of near copies: that of the smallest id, and of rows of one id
+    that of the smallest fingerprint. All columns are kept as they are."""
+    rows = simhash_components(docs, id_col, text_col, hot_owners).select(F.col(id_col).alias("id"), "fp", "component_id")
+    each = cut(rows.groupBy("id", "fp", "component_id").agg(F.count(F.lit(1)).alias("copies")))
+    best = each.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("of")).agg(F.min("fp").alias("best_fp"))
+    found = each.join(best, F.col("id").eqNullSafe(F.col("component_id")) & F.col("component_id").eqNullSafe(F.col("of")), "left")
+    decided = cut(found.select("id", "fp", "copies", F.coalesce(F.col("fp") == F.col("best_fp"), F.lit(False)).alias("best")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            made = np.array([fingerprint(x.as_py()) for x in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], names=[*batch.schema.names, "__fp"])
+
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    return keep_best(marked, decided, {id_col: "id", "__fp": "fp"}).drop("__fp")
