@@ -48,7 +48,7 @@ def age_noise(targets: DataFrame, scenarios: list[Scenario], draws: int) -> Data
         err: Column = F.lit(errors[-1])
         total = sum(s.errors.values())
         run = total
-        for d, after in zip(reversed(errors[:-1]), reversed(errors), strict=True):
+        for d, after in zip(reversed(errors[:-1]), reversed(errors[1:]), strict=True):
             run -= s.errors[after]
             err = F.when(u < F.lit(round(run, 12)), F.lit(d)).otherwise(err)
         each = each.select(F.lit(s.scenario).alias("scenario"), "target_pos", "draw", err.alias("err"))

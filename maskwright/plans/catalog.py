@@ -2,14 +2,782 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def entry(spark):
-    return queries()["privacy_summary"](spark, "/root/testdata/sf0.001")
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..functions.prng import keyed_hash
+from ..functions.scalars import ratio
+from ..operators import bootstrap, disclosure, export, hierarchy, lattice, privacy, structure, utility, validation
+from ..sources import fixture
+from ..streaming import monitor
+from .oracle import KEYS, PRE, QI, G, big, block, div, label_case
+from .study import CLUSTER_KEYS, NUM, SPEC, Study
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+#: Vector of the single-release queries, in the quasi-identifiers' order.
+VECTOR = dict(zip(QI, (3, 1, 1, 2, 2, 1), strict=True))
+K, LIMIT, T = 5, 0.05, 0.2
+#: Queries whose result has private columns by design; families are checked against them.
+FAMILIES = ("privacy_summary", "structural_summary", "tvd_summary", "risk_points_and_controls", "success_coverage", "tie_summary", "risk_intervals", "utility_point", "delta_auroc_interval", "prior_baseline")
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[Study], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Study(spark, sf_dir))
+        if sql is not None:
+            SQL[f.__name__] = PRE + sql
+        return f
+
+    return register
 
 
 def queries():
-    return {}
+    return QUERIES
 
 
 def oracle_sql():
-    return {}
+    return SQL
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    return QUERIES["privacy_summary"](spark, "/root/testdata/sf0.001")
+
+
+# ---- scans and cleaning -------------------------------------------------------------------------
+
+
+@query("SELECT line_no, orderkey, linenumber, flag, status, quantity, label FROM raw")
+def src_scan(s):
+    return s.parsed.drop("rid")
+
+
+@query("SELECT 'lineitem:' || line_no AS rid, line_no FROM raw")
+def src_rid_assign(s):
+    return s.parsed.select("rid", "line_no")
+
+
+@query("SELECT line_no, length(flag) > 0 AND flag = trim(flag) AND flag <> '?' AS flag_clean, length(label) > 0 AND label = trim(label) AND label <> '?' AS label_clean FROM raw")
+def src_strict_cells(s):
+    return s.parsed.select("line_no", scalars.cell_is_clean(F.col("flag")).alias("flag_clean"), scalars.cell_is_clean(F.col("label")).alias("label_clean"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, count(*) - count(DISTINCT rid) AS repeated FROM md")
+def src_bijection_check(s):
+    return validation.bijection(s.md, disclosure.publish_order(s.md, "rid"), "rid")
+
+
+@query("SELECT line_no, orderkey, status FROM raw WHERE flag <> '?'")
+def complete_case(s):
+    return validation.complete_cases(s.parsed, ["orderkey", "linenumber", "flag", "status", "quantity", "label"]).select("line_no", "orderkey", "status")
+
+
+@query("SELECT status, flag, quantity, 'lineitem:' || line_no AS rid FROM raw WHERE flag <> '?'")
+def project_reorder(s):
+    return validation.complete_cases(s.parsed, ["flag"]).select("status", "flag", "quantity", "rid")
+
+
+@query("SELECT line_no, regexp_replace(label, '\\.$', '') AS label FROM raw")
+def label_strip(s):
+    return s.parsed.select("line_no", validation.strip_period(F.col("label")).alias("label"))
+
+
+@query("SELECT rid, CASE WHEN sens = '>T' THEN 1 ELSE 0 END AS y FROM md")
+def label_encode(s):
+    return s.labelled(s.md).select("rid", "y")
+
+
+@query("SELECT field, count(*) AS rows, count(*) FILTER (WHERE v = '?') AS missing FROM (SELECT 'flag' AS field, flag AS v FROM raw UNION ALL SELECT 'status', status FROM raw UNION ALL SELECT 'quantity', quantity FROM raw) GROUP BY 1")
+def missing_profile(s):
+    return validation.missing_profile(s.parsed, ["flag", "status", "quantity"])
+
+
+@query("SELECT field, count(*) FILTER (WHERE v = '?') AS violations FROM (SELECT 'flag' AS field, flag AS v FROM raw UNION ALL SELECT 'label', label FROM raw) GROUP BY 1")
+def cell_rule_violations(s):
+    return validation.cell_violations(s.parsed, ["flag", "label"])
+
+
+@query(
+    "SELECT part, count(*) FILTER (WHERE n <= before) AS not_increasing, CAST(0 AS BIGINT) AS malformed FROM (SELECT line_no AS n, CAST(orderkey AS BIGINT) % 4 AS part, lag(line_no) OVER (PARTITION BY CAST(orderkey AS BIGINT) % 4 ORDER BY quantity, line_no) AS before FROM raw) GROUP BY 1"
+)
+def rid_order_check(s):
+    rows = s.parsed.select("rid", (F.col("orderkey").cast("long") % 4).alias("part"), F.struct("quantity", "line_no").alias("place"))
+    return validation.rid_order(rows, "rid", "place", "part")
+
+
+@query(f"SELECT count(*) AS rows, {', '.join(f'count(DISTINCT {q}) AS d_{q}' for q in QI)}, count(*) FILTER (WHERE sens = '>T') AS positive, count(*) FILTER (WHERE sens <> '>T') AS negative FROM md")
+def table_metrics(s):
+    positive = F.col("sens") == ">T"
+    return s.md.agg(F.count(F.lit(1)).alias("rows"), *[F.countDistinct(q).alias(f"d_{q}") for q in QI], F.sum(positive.cast("long")).alias("positive"), F.sum((~positive).cast("long")).alias("negative"))
+
+
+@query("""SELECT 'QI_COVERAGE' AS code, (SELECT count(*) FROM vals WHERE (attr, value) NOT IN (SELECT (attr, leaf) FROM hier)) AS violations
+UNION ALL SELECT 'RID_UNIQUE', (SELECT count(*) - count(DISTINCT rid) FROM md)
+UNION ALL SELECT 'CELL_CLEAN', (SELECT count(*) FROM raw WHERE flag = '?')
+UNION ALL SELECT 'RELEASE_SIZE', (SELECT count(*) FROM (SELECT config_id FROM rel GROUP BY 1 HAVING count(*) <> (SELECT count(*) FROM md)))
+UNION ALL SELECT 'BUDGET', (SELECT count(*) FROM (SELECT config_id FROM rel GROUP BY config_id, lim HAVING count(*) FILTER (WHERE is_outlier) > floor(count(*) * round(lim * 1000000) / 1000000)))""")
+def validation_report(s):
+    n = F.count(F.lit(1))
+    total = s.md.agg(n.alias("t"))
+    sizes = s.released.groupBy("config_id", "lim").agg(n.alias("n"), F.sum(F.col("is_outlier").cast("long")).alias("out"))
+    return validation.report([
+        ("QI_COVERAGE", hierarchy.uncovered(s.values(), s.hier).agg(n)),
+        ("RID_UNIQUE", s.md.groupBy("rid").agg((n - 1).alias("x")).agg(F.coalesce(F.sum("x"), F.lit(0)))),
+        ("CELL_CLEAN", s.parsed.filter(~scalars.cell_is_clean(F.col("flag"))).agg(n)),
+        ("RELEASE_SIZE", sizes.join(F.broadcast(total)).filter("n <> t").agg(n)),
+        ("BUDGET", sizes.filter(F.col("out") > F.floor(F.col("n") * F.round(F.col("lim") * 1000000).cast("long") / 1000000)).agg(n)),
+    ])
+
+
+@query("SELECT count(*) FILTER (WHERE b.rid IS NULL) AS only_a, count(*) FILTER (WHERE a.rid IS NULL) AS only_b, CAST(0 AS BIGINT) AS repeated, count(*) FILTER (WHERE a.rid IS NOT NULL AND b.rid IS NOT NULL AND a.sens <> b.sens) AS differing FROM (SELECT rid, sens FROM md) a FULL JOIN (SELECT rid, CASE WHEN rid % 7 = 0 THEN '<=T' ELSE sens END AS sens FROM md WHERE rid % 11 <> 0) b ON a.rid = b.rid")
+def alignment_mismatches(s):
+    other = s.md.filter("rid % 11 <> 0").select("rid", F.when(F.col("rid") % 7 == 0, "<=T").otherwise(F.col("sens")).alias("sens"))
+    return validation.alignment(s.md.select("rid", "sens"), other, "rid", "sens")
+
+
+# ---- hierarchies ---------------------------------------------------------------------------------
+
+
+@query("SELECT attr, leaf, CAST(level AS INT) AS level, label FROM hier")
+def hier_unpivot(s):
+    paths = hierarchy.label_arrays(s.hier, QI[0]).select(F.lit(QI[0]).alias("attr"), "leaf", "labels")
+    for q in QI[1:]:
+        paths = paths.unionByName(hierarchy.label_arrays(s.hier, q).select(F.lit(q).alias("attr"), "leaf", "labels"))
+    return paths.select("attr", "leaf", F.posexplode("labels").alias("level", "label"))
+
+
+@query("SELECT attr, level, count(*) AS labels, max(parents) AS most_parents, count(*) FILTER (WHERE parents > 1) AS violations FROM (SELECT a.attr, CAST(a.level AS INT) AS level, a.label, count(DISTINCT b.label) AS parents FROM hier a JOIN hier b ON a.attr = b.attr AND a.leaf = b.leaf AND b.level = a.level + 1 GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def hier_functional_check(s):
+    up = s.hier.select("attr", "leaf", (F.col("level") - 1).alias("level"), F.col("label").alias("parent"))
+    per = s.hier.join(up, ["attr", "leaf", "level"]).groupBy("attr", "level", "label").agg(F.countDistinct("parent").alias("parents"))
+    return per.groupBy("attr", "level").agg(F.count(F.lit(1)).alias("labels"), F.max("parents").alias("most_parents"), F.sum((F.col("parents") > 1).cast("long")).alias("violations"))
+
+
+@query("SELECT attr, CAST(level AS INT) AS level, count(DISTINCT label) AS nodes FROM hier GROUP BY 1, 2")
+def hier_nodes_per_level(s):
+    return hierarchy.nodes_per_level(s.hier)
+
+
+@query("SELECT attr, value FROM vals v WHERE NOT EXISTS (SELECT 1 FROM hier h WHERE h.attr = v.attr AND h.leaf = v.value AND NOT (h.attr = 'num' AND CAST(h.leaf AS VARCHAR) IN ('7', '8')))")
+def hier_coverage_anti(s):
+    short = s.hier.filter("not (attr = 'num' and leaf in ('7', '8'))")
+    return hierarchy.uncovered(s.values(), short)
+
+
+@query("SELECT attr, leaf AS value FROM hier WHERE level = 0 EXCEPT SELECT attr, value FROM vals")
+def hier_unused_except(s):
+    return hierarchy.unused(s.values(), s.hier)
+
+
+@query("SELECT leaf, CAST(level AS INT) AS level, CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || '-' || hi END AS label FROM (SELECT leaf, level, min(CAST(leaf AS INT)) OVER w AS lo, max(CAST(leaf AS INT)) OVER w AS hi FROM hier WHERE attr = 'num' WINDOW w AS (PARTITION BY level, label))")
+def hier_interval_relabel(s):
+    return hierarchy.interval_relabel(s.hier, NUM)
+
+
+@query("SELECT CAST(level AS INT) AS level, count(*) AS blocks, CAST(0 AS BIGINT) AS differing FROM leafset WHERE attr = 'num' GROUP BY 1")
+def hier_partition_equiv(s):
+    raw = s.hier.filter(F.col("attr") == NUM).select("leaf", "level", "label")
+    derived = hierarchy.interval_relabel(s.hier, NUM)
+    differing = hierarchy.partition_difference(raw, derived).groupBy("level").agg(F.count(F.lit(1)).alias("d"))
+    blocks = hierarchy.partition_blocks(raw).groupBy("level").agg(F.count(F.lit(1)).alias("blocks"))
+    return blocks.join(differing, "level", "left").select("level", "blocks", F.coalesce("d", F.lit(0)).alias("differing"))
+
+
+@query("SELECT attr, CAST(level AS INT) AS level, label, leaves FROM leafset")
+def hier_leafsets(s):
+    return hierarchy.leafsets(s.hier)
+
+
+@query(f"SELECT rid, sens, {', '.join(f'{label_case(q, str(VECTOR[q]))} AS {q}' for q in QI)} FROM md")
+def generalize_rows(s):
+    return hierarchy.generalize(s.md, s.hier, VECTOR, SPEC).select("rid", "sens", *QI)
+
+
+_LEVELS = " CROSS JOIN ".join(f"(SELECT unnest(range(0, {SPEC.heights[q] + 1})) AS l_{q})" for q in QI)
+_NODE = " || '.' || ".join(f"l_{q}" for q in QI)
+
+
+@query(f"SELECT {_NODE} AS node, CAST({' + '.join(f'l_{q}' for q in QI)} AS INT) AS height FROM {_LEVELS}")
+def lattice_nodes(s):
+    frame = s.spark.range(1)
+    for q in QI:
+        frame = frame.withColumn(f"l_{q}", F.explode(F.sequence(F.lit(0), F.lit(SPEC.heights[q]))))
+    return frame.select(F.concat_ws(".", *[F.col(f"l_{q}").cast("string") for q in QI]).alias("node"), sum((F.col(f"l_{q}") for q in QI[1:]), F.col(f"l_{QI[0]}")).alias("height"))
+
+
+_SIG = f"sig AS (SELECT {', '.join(QI)}, region, count(*) AS n, count(*) FILTER (WHERE sens = '>T') AS n_pos FROM md GROUP BY ALL)"
+_CLASSES = f"""lc AS (SELECT node, {G}, {big('sum(n)')} AS n, {big('sum(n_pos)')} AS n_pos FROM (
+  SELECT {_NODE} AS node, n, n_pos, {', '.join(f'{label_case(q, f"l_{q}")} AS g_{q}' for q in QI)} FROM sig CROSS JOIN {_LEVELS}) GROUP BY node, {G})"""
+
+
+@query(f", {_SIG}, {_CLASSES} SELECT node, count(*) AS n_classes, min(n) AS min_class, {big(f'coalesce(sum(n) FILTER (WHERE n < {K}), 0)')} AS suppressed, coalesce(sum(n) FILTER (WHERE n < {K}), 0) = 0 AS admissible_0, coalesce(sum(n) FILTER (WHERE n < {K}), 0) <= floor(sum(n) * 0.05) AS admissible_5 FROM lc GROUP BY node")
+def lattice_check(s):
+    found = lattice.classes(lattice.signature(s.md, s.hier, SPEC), SPEC.lattice(), SPEC)
+    total = s.md.agg(F.count(F.lit(1)).alias("total"))
+    got = lattice.check(found, lattice.failing(K)).join(F.broadcast(total))
+    return got.select("node", "n_classes", "min_class", "suppressed", (F.col("suppressed") == 0).alias("admissible_0"), (F.col("suppressed") <= F.floor(F.col("total") * 0.05)).alias("admissible_5"))
+
+
+@query(f""", {_SIG}, {_CLASSES}, ll AS (
+  SELECT lc.*, {', '.join(f'CAST(c_{q}.num AS DOUBLE) / c_{q}.den AS loss_{q}' for q in QI)} FROM lc {' '.join(f"JOIN cell c_{q} ON c_{q}.attr = '{q}' AND c_{q}.level = CAST(split_part(node, '.', {i + 1}) AS INT) AND c_{q}.label = g_{q}" for i, q in enumerate(QI))}
+), nl AS (SELECT node, {big(f'coalesce(sum(n) FILTER (WHERE n < {K}), 0)')} AS suppressed, sum(n) AS total, ({' + '.join(f"sum(CASE WHEN n < {K} THEN n ELSE n * loss_{q} END)" for q in QI)}) / {len(QI)} / sum(n) AS loss FROM ll GROUP BY node)
+SELECT node, suppressed, round(loss, 9) AS loss FROM nl WHERE suppressed <= floor(total * 0.05) ORDER BY round(loss, 12), {' + '.join(f"CAST(split_part(node, '.', {i + 1}) AS INT)" for i in range(len(QI)))}, node LIMIT 1""")
+def lattice_optimum(s):
+    best = lattice.optimum(lattice.signature(s.md, s.hier, SPEC), s.hier, SPEC, K, LIMIT)
+    rows = [] if best is None else [(lattice.node_name(best.node), best.suppressed, round(best.loss, 9))]
+    return s.spark.createDataFrame(rows, "node string, suppressed long, loss double")
+
+
+@query(f"SELECT config_id, round(avg(loss), 9) AS loss FROM (SELECT config_id, attr, {div('sum(CASE WHEN is_outlier THEN den ELSE cell.num END)', 'sum(den)')} AS loss FROM (SELECT config_id, is_outlier, unnest([{', '.join(repr(q) for q in QI)}]) AS attr, unnest([{', '.join(f'lv_{q}' for q in QI)}]) AS level, unnest([{', '.join(f'g_{q}' for q in QI)}]) AS label FROM rel) JOIN cell USING (attr, level, label) GROUP BY 1, 2) GROUP BY 1")
+def info_loss(s):
+    return structure.info_loss(s.released, s.cells, SPEC)
+
+
+@query(f"SELECT config_id, round(({' + '.join(f'lv_{q} / {SPEC.heights[q]}.0::DOUBLE' for q in QI)}) / {len(QI)}.0::DOUBLE, 9) AS intensity FROM cfg")
+def generalization_intensity(s):
+    return structure.intensity(s.configs, SPEC)
+
+
+@query("SELECT config_id, CASE WHEN is_outlier THEN 'suppressed' WHEN lv_num >= 1 THEN 'generalised' ELSE 'exposed' END AS fate, count(*) AS rows FROM rel WHERE num IN (SELECT num FROM md GROUP BY 1 HAVING count(*) <= 120) GROUP BY 1, 2")
+def rare_value_fate(s):
+    return structure.rare_value_fate(s.md, s.released, NUM, 120)
+
+
+# ---- privacy ---------------------------------------------------------------------------------------
+
+
+@query(f"SELECT config_id, {G}, n, n_pos, n_sens FROM rc")
+def equivalence_classes(s):
+    return s.classes
+
+
+@query(f"SELECT config_id, convention, count(*) AS classes, {big('sum(n)')} AS rows, count(*) FILTER (WHERE n = 1) AS singles FROM (SELECT config_id, CASE WHEN grouping(sens) = 1 THEN 'qi' ELSE 'full' END AS convention, count(*) AS n FROM rel WHERE NOT is_outlier GROUP BY GROUPING SETS ((config_id, {G}), (config_id, {G}, sens))) GROUP BY 1, 2")
+def ec_grouping_sets(s):
+    columns = ["config_id", *privacy.labels(SPEC)]
+    both = s.released.filter("not is_outlier").groupingSets([columns, [*columns, "sens"]], *columns, "sens").agg(F.count(F.lit(1)).alias("n"), F.grouping("sens").alias("without"))
+    named = both.select("config_id", F.when(F.col("without") == 1, "qi").otherwise("full").alias("convention"), "n")
+    return named.groupBy("config_id", "convention").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("rows"), F.sum((F.col("n") == 1).cast("long")).alias("singles"))
+
+
+@query("SELECT config_id, min(n) AS k_hat, min(n) >= any_value(k) AS passes FROM rc JOIN cfg USING (config_id) GROUP BY 1")
+def k_anonymity(s):
+    return s.classes.groupBy("config_id").agg(F.min("n").alias("k_hat")).join(F.broadcast(s.configs.select("config_id", "k")), "config_id").select("config_id", "k_hat", (F.col("k_hat") >= F.col("k")).alias("passes"))
+
+
+@query("SELECT config_id, min(n_sens) AS l_hat FROM rc GROUP BY 1")
+def l_diversity(s):
+    return s.classes.groupBy("config_id").agg(F.min("n_sens").alias("l_hat"))
+
+
+_T = div("abs(n_pos * total - positive * n)", "n * total")
+
+
+@query(f"SELECT config_id, max({_T}) AS t_hat FROM rc JOIN tot USING (config_id) GROUP BY 1")
+def t_closeness(s):
+    return privacy.t_hat(s.classes, privacy.totals(s.released, SPEC))
+
+
+@query(f"SELECT config_id, max({_T}) AS t_hat FROM rc JOIN (SELECT config_id, {big('sum(n)')} AS total, {big('sum(n_pos)')} AS positive FROM rc GROUP BY 1) USING (config_id) GROUP BY 1")
+def t_closeness_retained(s):
+    return privacy.t_hat(s.classes, privacy.totals(s.released.filter("not is_outlier"), SPEC))
+
+
+@query(f"SELECT config_id, {div('count(*) FILTER (WHERE n = 1)', 'sum(n)')} AS u_qi, any_value(u_full) AS u_full FROM rc JOIN (SELECT config_id, {div('count(*) FILTER (WHERE n = 1)', 'sum(n)')} AS u_full FROM (SELECT config_id, count(*) AS n FROM rel WHERE NOT is_outlier GROUP BY config_id, {G}, sens) GROUP BY 1) USING (config_id) GROUP BY 1")
+def uniqueness(s):
+    full = s.released.filter("not is_outlier").groupBy("config_id", *privacy.labels(SPEC), "sens").agg(F.count(F.lit(1)).alias("n"))
+
+    def share(frame, name):
+        return frame.groupBy("config_id").agg(ratio(F.sum((F.col("n") == 1).cast("long")), F.sum("n")).alias(name))
+
+    return share(s.classes, "u_qi").join(share(full, "u_full"), "config_id")
+
+
+@query("SELECT config_id, n, count(*) AS frequency FROM rc GROUP BY 1, 2")
+def ec_histogram(s):
+    return privacy.histogram(s.classes)
+
+
+@query("SELECT config_id, CAST(quantile_cont(n, 0.5) AS DOUBLE) AS median, CAST(quantile_cont(n, 0.95) AS DOUBLE) AS p95 FROM rc GROUP BY 1")
+def ec_size_quantiles(s):
+    return privacy.size_quantiles(s.classes)
+
+
+@query("SELECT config_id, max(n) FILTER (WHERE r = need) AS p95 FROM (SELECT config_id, n, row_number() OVER (PARTITION BY config_id ORDER BY n) AS r, (count(*) OVER (PARTITION BY config_id) * 95 + 99) // 100 AS need FROM rc) GROUP BY 1")
+def ec_p95_nearest_rank(s):
+    return privacy.nearest_rank(s.classes, 95)
+
+
+@query(f"""SELECT config_id, rows_in, suppressed, budget, suppressed <= budget AS within_budget, k_hat, k_hat >= k AS k_ok, l_hat, l_hat >= 2 AS l_ok, t_hat, t_hat <= {T} + 1e-9 AS t_ok FROM (
+SELECT config_id, k, count(*) AS rows_in, count(*) FILTER (WHERE is_outlier) AS suppressed, CAST(floor(count(*) * round(lim * 1000000) / 1000000) AS BIGINT) AS budget FROM rel GROUP BY config_id, k, lim)
+JOIN (SELECT config_id, min(n) AS k_hat, min(n_sens) AS l_hat, max({_T}) AS t_hat FROM rc JOIN tot USING (config_id) GROUP BY 1) USING (config_id)""")
+def privacy_gate(s):
+    return privacy.gate(s.released, SPEC, 2, T)
+
+
+@query(f"""SELECT config_id, count(*) AS n_classes, {big('sum(n)')} AS rows, min(n) AS k_hat, max(n) AS max_class, min(n_sens) AS l_hat, count(*) FILTER (WHERE n = 1) AS singles, max({_T}) AS t_hat, {div('count(*) FILTER (WHERE n = 1)', 'sum(n)')} AS u_qi FROM rc JOIN tot USING (config_id) GROUP BY 1""")
+def privacy_summary(s):
+    base = privacy.summary(s.classes).withColumn("u_qi", ratio(F.col("singles"), F.col("rows")))
+    return base.join(privacy.t_hat(s.classes, privacy.totals(s.released, SPEC)), "config_id")
+
+
+@query(f"SELECT config_id, rid, {G}, sens FROM rel WHERE NOT is_outlier AND config_id <> 'CFG00'")
+def retained_rows(s):
+    return s.released.filter("not is_outlier and config_id <> 'CFG00'").select("config_id", "rid", *privacy.labels(SPEC), "sens")
+
+
+@query("SELECT config_id, count(*) AS rows, CAST(0 AS BIGINT) AS target_mismatches FROM rel GROUP BY 1")
+def release_binding(s):
+    joined = s.released.select("config_id", "rid", F.col("sens").alias("released_sens")).join(s.md.select("rid", "sens"), "rid")
+    return joined.groupBy("config_id").agg(F.count(F.lit(1)).alias("rows"), F.sum((~F.col("sens").eqNullSafe(F.col("released_sens"))).cast("long")).alias("target_mismatches"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b")
+def release_multiset_equal(s):
+    """The same release by broadcast lookups and by label paths, as multisets of rows."""
+    columns = [F.col(f"g_{q}").alias(q) for q in QI]
+    a = s.released.filter("config_id = 'CFG01'").select(*columns, "sens")
+    return validation.multiset_difference(a, hierarchy.generalize(s.md, s.hier, VECTOR, SPEC).select(*QI, "sens"))
+
+
+# ---- structure --------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT config_id, n, n_ret, {div('n - n_ret', 'n')} AS suppression_rate, {div('pos', 'n')} AS p0, {div('pos_ret', 'n_ret')} AS pr, {div('pos - pos_ret', 'n - n_ret')} AS ps, {div('pos_ret', 'n_ret')} - {div('pos', 'n')} AS pr_minus_p0, CASE WHEN n = n_ret THEN 'NA_NO_SUPPRESSED_ROWS' ELSE 'OK' END AS suppressed_prevalence_status
+FROM (SELECT config_id, count(*) AS n, count(*) FILTER (WHERE NOT is_outlier) AS n_ret, count(*) FILTER (WHERE sens = '>T') AS pos, count(*) FILTER (WHERE sens = '>T' AND NOT is_outlier) AS pos_ret FROM rel GROUP BY 1)""")
+def suppression_profile(s):
+    return structure.suppression_profile(s.released, SPEC)
+
+
+@query("SELECT config_id, sens, count(*) AS source, count(*) FILTER (WHERE NOT is_outlier) AS retained, count(*) FILTER (WHERE is_outlier) AS suppressed FROM rel GROUP BY 1, 2")
+def class_counts_pivot(s):
+    return structure.class_counts(s.released, SPEC)
+
+
+@query(f"SELECT config_id, attr, raw AS value, count(*) AS source, count(*) FILTER (WHERE NOT is_outlier) AS retained, count(*) FILTER (WHERE is_outlier) AS suppressed, {div('count(*) FILTER (WHERE NOT is_outlier)', 'any_value(n_c)')} - {div('count(*)', 'any_value(n)')} AS share_difference FROM long JOIN sizes USING (config_id) GROUP BY 1, 2, 3")
+def marginal_profiles(s):
+    return structure.marginal_profiles(s.released, SPEC)
+
+
+def _tvd(keys: str) -> str:
+    return f"SELECT config_id, attr, sum(abs(CAST(a AS HUGEINT) * n_c - CAST(b AS HUGEINT) * n))::DOUBLE / nullif(2.0::DOUBLE * any_value(n)::DOUBLE * any_value(n_c)::DOUBLE, 0) AS tvd FROM (SELECT config_id, attr, {keys}, count(*) AS a, count(*) FILTER (WHERE NOT is_outlier) AS b FROM long GROUP BY config_id, attr, {keys}) JOIN sizes USING (config_id) GROUP BY 1, 2"
+
+
+@query(_tvd("value"))
+def tvd_marginal(s):
+    return s.tvd
+
+
+@query(_tvd("value, sens"))
+def tvd_joint(s):
+    return structure.tvd(s.released, SPEC, joint=True)
+
+
+@query(f"SELECT config_id, round(avg(tvd), 9) AS tvd_mean, max(tvd) AS tvd_max FROM ({_tvd('value')}) GROUP BY 1")
+def tvd_summary(s):
+    return structure.tvd_summary(s.tvd)
+
+
+@query(f"SELECT config_id, round(({' + '.join(f'lv_{q} / {SPEC.heights[q]}.0::DOUBLE' for q in QI)}) / {len(QI)}.0::DOUBLE, 9) AS intensity, loss, {div('n - n_c', 'n')} AS suppression_rate FROM cfg JOIN sizes USING (config_id) JOIN (" + SQL["info_loss"].removeprefix(PRE) + ") USING (config_id)")
+def structural_summary(s):
+    rate = s.released.groupBy("config_id").agg(ratio(F.sum(F.col("is_outlier").cast("long")), F.count(F.lit(1))).alias("suppression_rate"))
+    return structure.intensity(s.configs, SPEC).join(structure.info_loss(s.released, s.cells, SPEC), "config_id").join(rate, "config_id")
+
+
+# ---- attack ------------------------------------------------------------------------------------------
+
+
+@query("SELECT scenario, err, q FROM pmf")
+def scenario_pmf(s):
+    return s.pmf
+
+
+@query("SELECT rid, CAST(target_pos AS INT) AS target_pos FROM tg")
+def target_sample(s):
+    return s.targets.select("rid", "target_pos")
+
+
+@query("SELECT rid, md5('11002|' || rid) AS perm_hash FROM md")
+def publish_order(s):
+    return disclosure.publish_order(s.md, "rid")
+
+
+@query("SELECT scenario, CAST(target_pos AS INT) AS target_pos, CAST(draw AS INT) AS draw, err FROM nz")
+def age_noise(s):
+    return s.noise
+
+
+@query("SELECT scenario, CAST(level AS INT) AS level, label, z, q FROM compat")
+def age_compat(s):
+    return s.compat
+
+
+@query(f"SELECT scenario, config_id, {KEYS}, g_num, lv_num, size FROM grp")
+def attack_groups(s):
+    return s.groups
+
+
+@query("SELECT scenario, config_id, count(*) AS pairs, " + big("sum(size)") + f" AS rows FROM seen JOIN grp USING (scenario, config_id, {KEYS}) GROUP BY 1, 2")
+def attack_candidates(s):
+    met = s.seen.join(s.groups, ["scenario", "config_id", *disclosure.key_columns(SPEC, NUM)])
+    return met.groupBy("scenario", "config_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum("size").alias("rows"))
+
+
+@query("SELECT scenario, config_id, CAST(target_pos AS INT) AS target_pos, CAST(draw AS INT) AS draw, g_num, size, score FROM sc WHERE config_id <> 'CFG00'")
+def attack_scores(s):
+    return s.scores.filter("config_id <> 'CFG00'").select("scenario", "config_id", "target_pos", "draw", "g_num", "size", "score")
+
+
+@query("SELECT scenario, config_id, CAST(target_pos AS INT) AS target_pos, CAST(draw AS INT) AS draw, best, tie_size, array_to_string(winning, ',') AS winning FROM won")
+def attack_winners(s):
+    return s.won.select("scenario", "config_id", "target_pos", "draw", "best", "tie_size", F.array_join("winning", ",").alias("winning"))
+
+
+@query("SELECT scenario, config_id, CAST(target_pos AS INT) AS target_pos, CAST(draw AS INT) AS draw, success FROM done")
+def attack_success(s):
+    return s.done.select("scenario", "config_id", "target_pos", "draw", "success")
+
+
+@query("SELECT scenario, config_id, count(*) AS attempts, count(*) FILTER (WHERE tie_size = 0) AS abstained, count(*) FILTER (WHERE hit) AS true_in_best FROM done GROUP BY 1, 2")
+def attack_counts(s):
+    return disclosure.counts(s.done)
+
+
+@query("SELECT * FROM (VALUES ('30-34', 2, CAST(0.4 AS DOUBLE), true, CAST(2 AS BIGINT)), ('35-39', 1, CAST(0.1 AS DOUBLE), false, NULL)) t(label, size, score, winner, tie_size)")
+def attack_oracle(s):
+    return disclosure.oracle(s.spark)
+
+
+@query("SELECT config_id, CAST(target_pos AS INT) AS target_pos FROM truth WHERE retained")
+def retained_targets_semi(s):
+    places = s.configs.select("config_id").join(F.broadcast(s.targets.select("rid", "target_pos")))
+    return places.join(s.released.filter("not is_outlier").select("config_id", "rid"), ["config_id", "rid"], "left_semi").select("config_id", "target_pos")
+
+
+@query("SELECT scenario, config_id, count(*) AS attempted, min(tie_size) AS tie_min, max(tie_size) AS tie_max, " + big("sum(tie_size)") + " AS tie_sum, CAST(quantile_cont(tie_size, 0.5) AS DOUBLE) AS tie_median, CAST(quantile_cont(tie_size, 0.95) AS DOUBLE) AS tie_p95 FROM done WHERE tie_size > 0 GROUP BY 1, 2")
+def tie_summary(s):
+    return disclosure.tie_summary(s.done)
+
+
+@query("SELECT scenario, config_id, tie_size, count(*) AS frequency FROM done WHERE tie_size > 0 GROUP BY 1, 2, 3")
+def tie_histogram(s):
+    return disclosure.tie_histogram(s.done)
+
+
+_COVERED = "count(*) FILTER (WHERE tie_size BETWEEN 1 AND m)"
+
+
+@query(f"SELECT scenario, config_id, m, {_COVERED} AS covered, {div(_COVERED, 'count(*)')} AS coverage, round({div('sum(success) FILTER (WHERE tie_size BETWEEN 1 AND m)', _COVERED)}, 9) AS conditional_success, CASE WHEN {_COVERED} = 0 THEN 'NA_NO_COVERED' ELSE 'OK' END AS conditional_success_status FROM done CROSS JOIN (SELECT unnest([1, 2, 5, 10]) AS m) GROUP BY 1, 2, 3")
+def success_coverage(s):
+    return disclosure.coverage(s.done)
+
+
+_RISK = f"scenario, config_id, targets, targets_retained, round({div('s', 'targets')}, 9) AS r_all, round({div('s', 'targets_retained')}, 9) AS r_released, round({div('targets_retained', 'targets * n_c')}, 12) AS uniform_r_all, round({div('1', 'n_c')}, 12) AS uniform_r_released"
+
+
+@query(f"SELECT {_RISK} FROM risk WHERE scenario = 'BASE'")
+def risk_point(s):
+    return disclosure.risk_point(s.done.filter("scenario = 'BASE'"), s.sizes)
+
+
+@query(f"SELECT {_RISK} FROM risk")
+def risk_matrix(s):
+    return disclosure.risk_point(s.done, s.sizes)
+
+
+@query("SELECT scenario, config_id, count(*) AS attempts, count(*) FILTER (WHERE hit) AS true_in_best, round(sum(success) / count(*), 9) AS permuted_r_all FROM ctl GROUP BY 1, 2")
+def permuted_control(s):
+    return s.control.groupBy("scenario", "config_id").agg(F.count(F.lit(1)).alias("attempts"), F.sum(F.col("hit").cast("long")).alias("true_in_best"), F.round(F.sum("success") / F.count(F.lit(1)), 9).alias("permuted_r_all"))
+
+
+@query(f"SELECT scenario, config_id, round({div('s', 'targets')}, 9) AS r_all, permuted_r_all, round({div('targets_retained', 'targets * n_c')}, 12) AS uniform_r_all FROM risk JOIN (SELECT scenario, config_id, round(sum(success) / count(*), 9) AS permuted_r_all FROM ctl GROUP BY 1, 2) USING (scenario, config_id)")
+def risk_points_and_controls(s):
+    control = s.control.groupBy("scenario", "config_id").agg(F.round(F.sum("success") / F.count(F.lit(1)), 9).alias("permuted_r_all"))
+    return disclosure.risk_point(s.done, s.sizes).join(control, ["scenario", "config_id"]).select("scenario", "config_id", "r_all", "permuted_r_all", "uniform_r_all")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b")
+def bijection_check(s):
+    return validation.multiset_difference(s.md.select("rid"), disclosure.publish_order(s.md, "rid").select("rid"))
+
+
+@query("SELECT CAST(rid AS BIGINT) AS rid FROM md WHERE split = 'train' AND rid NOT IN (SELECT rid FROM md WHERE split = 'holdout' OR rid % 5 = 0)")
+def disjoint_anti(s):
+    other = s.md.filter("split = 'holdout' or rid % 5 = 0").select("rid")
+    return s.md.filter("split = 'train'").select("rid").join(other, "rid", "left_anti")
+
+
+@query("SELECT count(*) AS shared FROM (SELECT rid FROM md WHERE split = 'train' INTERSECT SELECT rid FROM md WHERE split = 'holdout' OR rid % 5 = 0)")
+def disjoint_intersect(s):
+    other = s.md.filter("split = 'holdout' or rid % 5 = 0").select("rid")
+    return s.md.filter("split = 'train'").select("rid").intersect(other).agg(F.count(F.lit(1)).alias("shared"))
+
+
+# ---- bootstrap -----------------------------------------------------------------------------------------
+
+
+@query("SELECT num, segment, status, nation, n, CAST(cluster_id AS BIGINT) AS cluster_id FROM cl")
+def cluster_first_appearance(s):
+    return s.clusters
+
+
+@query("SELECT config_id, cluster_id, n, round(s, 9) AS s FROM pc")
+def risk_clusters(s):
+    return s.per_cluster.select("config_id", "cluster_id", "n", F.round("s", 9).alias("s"))
+
+
+@query("SELECT replicate, unit, mult FROM plan")
+def bootstrap_plan(s):
+    return s.plan
+
+
+@query("SELECT scenario, config_id, replicate, r_all FROM boot")
+def bootstrap_risk(s):
+    return s.boot
+
+
+@query("SELECT a.replicate, a.config_id, round(a.r_all - b.r_all, 9) AS difference FROM boot a JOIN boot b ON a.replicate = b.replicate AND b.config_id = 'CFG00' WHERE a.config_id <> 'CFG00'")
+def delta_vs_raw(s):
+    return bootstrap.against(s.boot, "CFG00", "r_all", ["replicate"])
+
+
+@query("SELECT a.replicate, a.config_id, a2.other, round(a.r_all - b.r_all, 9) AS difference FROM boot a JOIN pairs a2 ON a.config_id = a2.config_id JOIN boot b ON b.config_id = a2.other AND a.replicate = b.replicate")
+def suppression_pairs(s):
+    return bootstrap.paired(s.boot, s.pairs, "r_all", ["replicate"])
+
+
+def _interval(v: str) -> str:
+    return f"round(quantile_cont({v}, 0.025), 9) AS low, round(quantile_cont({v}, 0.975), 9) AS high"
+
+
+_RAW_DIFFERENCE = SQL["delta_vs_raw"].removeprefix(PRE)
+_PAIR_DIFFERENCE = SQL["suppression_pairs"].removeprefix(PRE)
+_INTERVALS = f"SELECT 'R_ALL' AS kind, config_id, {_interval('r_all')} FROM boot GROUP BY 2 UNION ALL SELECT 'VS_RAW', config_id, {_interval('difference')} FROM ({_RAW_DIFFERENCE}) GROUP BY 2 UNION ALL SELECT 'PAIR', config_id, {_interval('difference')} FROM ({_PAIR_DIFFERENCE}) GROUP BY 2"
+
+
+@query(_INTERVALS)
+def risk_intervals(s):
+    boot = s.boot
+    parts = [
+        ("R_ALL", bootstrap.intervals(boot, "r_all", ["config_id"])),
+        ("VS_RAW", bootstrap.intervals(bootstrap.against(boot, "CFG00", "r_all", ["replicate"]), "difference", ["config_id"])),
+        ("PAIR", bootstrap.intervals(bootstrap.paired(boot, s.pairs, "r_all", ["replicate"]), "difference", ["config_id"])),
+    ]
+    frames = [f.select(F.lit(kind).alias("kind"), "config_id", "low", "high") for kind, f in parts]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+@query(f"SELECT kind, config_id, CASE WHEN low > 0 THEN 'positive' WHEN high < 0 THEN 'negative' ELSE 'includes_zero' END AS sign FROM ({_INTERVALS})")
+def endpoint_sign(s):
+    return risk_intervals(s).select("kind", "config_id", scalars.endpoint_sign(F.col("low"), F.col("high")).alias("sign"))
+
+
+# ---- utility -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT config_id, 'release' AS kind, count(*) AS rows FROM lab WHERE split = 'train' AND NOT is_outlier GROUP BY 1 UNION ALL SELECT config_id, 'counterfactual', count(*) FROM lab WHERE split = 'train' GROUP BY 1 UNION ALL SELECT config_id, 'holdout', count(*) FROM lab WHERE split = 'holdout' GROUP BY 1")
+def counterfactual_vs_release(s):
+    kinds = F.when(F.col("split") == "holdout", F.array(F.lit("holdout"))).when(F.col("is_outlier"), F.array(F.lit("counterfactual"))).otherwise(F.array(F.lit("counterfactual"), F.lit("release")))
+    return s.released.select("config_id", F.explode(kinds).alias("kind")).groupBy("config_id", "kind").agg(F.count(F.lit(1)).alias("rows"))
+
+
+_FOLDS = "SELECT rid AS row_id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY md5('11004|' || rid), rid) - 1) % 5 AS INT) AS fold FROM lab WHERE config_id = 'CFG00' AND split = 'train'"
+
+
+@query(_FOLDS)
+def cv_folds(s):
+    return utility.folds(s.labelled(s.md.filter("split = 'train'")))
+
+
+@query(f"SELECT fold, y, count(*) AS rows FROM ({_FOLDS}) GROUP BY 1, 2")
+def cv_fold_balance(s):
+    return cv_folds(s).groupBy("fold", "y").agg(F.count(F.lit(1)).alias("rows"))
+
+
+#: Stand-in for mean scores of a grid: the mean rate over folds of each level, with a deliberate tie.
+_GRID = "SELECT CAST(c AS DOUBLE) AS c, round(avg(CASE WHEN c > 1 THEN y * 1.0::DOUBLE ELSE 1.0::DOUBLE - y END), 9) AS mean_auroc FROM lab CROSS JOIN (SELECT unnest([0.1, 1.0, 10.0]) AS c) WHERE config_id = 'CFG00' GROUP BY 1"
+
+
+@query(f"SELECT c, mean_auroc FROM ({_GRID}) ORDER BY mean_auroc DESC, c LIMIT 1")
+def select_c_topk(s):
+    rows = s.labelled(s.md).withColumn("c", F.explode(F.array(*[F.lit(c) for c in (0.1, 1.0, 10.0)])))
+    means = rows.groupBy("c").agg(F.round(F.avg(F.when(F.col("c") > 1, F.col("y").cast("double")).otherwise(1.0 - F.col("y"))), 9).alias("mean_auroc"))
+    return utility.best_c(means)
+
+
+@query("SELECT config_id, tp, fp, tn, fn, accuracy, balanced_accuracy FROM confm")
+def confusion_counts(s):
+    return utility.confusion(s.released_models, ["config_id"])
+
+
+@query("SELECT config_id, auroc FROM auc")
+def auroc(s):
+    return utility.auroc(utility.tie_groups(s.released_models, ["config_id"]), ["config_id"])
+
+
+@query("SELECT config_id, average_precision FROM ap")
+def average_precision(s):
+    return utility.average_precision(utility.tie_groups(s.released_models, ["config_id"]), ["config_id"])
+
+
+@query("SELECT config_id, round(auroc, 9) AS auroc, average_precision, accuracy, balanced_accuracy FROM auc JOIN ap USING (config_id) JOIN confm USING (config_id)")
+def utility_point(s):
+    return utility.point_metrics(s.released_models, ["config_id"])
+
+
+@query("SELECT a.config_id, round(b.auroc - a.auroc, 9) AS delta FROM auc a JOIN auc b ON b.config_id = 'CFG00' WHERE a.config_id <> 'CFG00'")
+def delta_auroc(s):
+    points = auroc(s)
+    raw = points.filter("config_id = 'CFG00'").select(F.col("auroc").alias("raw"))
+    return points.filter("config_id <> 'CFG00'").join(F.broadcast(raw)).select("config_id", F.round(F.col("raw") - F.col("auroc"), 9).alias("delta"))
+
+
+@query("SELECT config_id, replicate, auroc FROM bauc")
+def bootstrap_auroc(s):
+    return s.boot_auroc
+
+
+@query(f"SELECT config_id, {_interval('difference')} FROM (SELECT a.config_id, round(a.auroc - b.auroc, 9) AS difference FROM bauc a JOIN bauc b ON a.replicate = b.replicate AND b.config_id = 'CFG00' WHERE a.config_id <> 'CFG00') GROUP BY 1")
+def delta_auroc_interval(s):
+    return bootstrap.intervals(bootstrap.against(s.boot_auroc, "CFG00", "auroc", ["replicate"]), "difference", ["config_id"])
+
+
+_H = "FROM lab WHERE config_id = 'CFG00' AND split = 'holdout'"
+
+
+@query(f"SELECT prior, 0.5::DOUBLE AS auroc, prev AS average_precision, 0.5::DOUBLE AS balanced_accuracy, CASE WHEN prior >= 0.5 THEN prev ELSE {div('hn - hp', 'hn')} END AS accuracy FROM (SELECT {div('sum(y)', 'count(*)')} AS prior FROM lab WHERE config_id = 'CFG00' AND split = 'train') CROSS JOIN (SELECT {div('sum(y)', 'count(*)')} AS prev, sum(y) AS hp, count(*) AS hn {_H})")
+def prior_baseline(s):
+    rows = s.labelled(s.md)
+    return utility.prior_baseline(rows.filter("split = 'train'"), rows.filter("split = 'holdout'"))
+
+
+_FIT = "split = 'train' AND rid % 20 = 1"
+
+
+@query(f"SELECT DISTINCT num AS value FROM md WHERE split = 'holdout' AND num NOT IN (SELECT num FROM md WHERE {_FIT})")
+def unknown_categories(s):
+    train = s.md.filter(_FIT).select("num").distinct()
+    return s.md.filter("split = 'holdout'").select("num").distinct().join(train, "num", "left_anti").select(F.col("num").alias("value"))
+
+
+_OHE = " UNION ALL ".join(
+    f"SELECT config_id, '{q}' AS attr, (SELECT count(DISTINCT f.g_{q}) FROM rel f WHERE f.config_id = h.config_id AND {_FIT}) AS fitted, count(DISTINCT g_{q}) FILTER (WHERE NOT known) AS unknown_categories, count(*) FILTER (WHERE NOT known) AS unknown_rows, {div('count(*) FILTER (WHERE NOT known)', 'count(*)')} AS unknown_rate FROM (SELECT r.config_id, r.g_{q}, f.g_{q} IS NOT NULL AS known FROM rel r LEFT JOIN (SELECT DISTINCT config_id, g_{q} FROM rel WHERE {_FIT}) f ON r.config_id = f.config_id AND r.g_{q} = f.g_{q} WHERE split = 'holdout') h GROUP BY config_id"
+    for q in QI
+)
+
+
+def _unknown(s):
+    rows = s.released.select("config_id", "rid", "split", *[F.col(f"g_{q}").alias(q) for q in QI])
+    return utility.unknown_by_attribute(rows.filter(_FIT), rows.filter("split = 'holdout'"), list(QI), ["config_id"])
+
+
+@query(_OHE)
+def ohe_unknown_by_qi(s):
+    return _unknown(s)
+
+
+_PLACE = "CASE attr " + " ".join(f"WHEN '{q}' THEN {i}" for i, q in enumerate(QI)) + " END"
+
+
+@query(f"SELECT config_id, {big('sum(fitted)')} AS fitted, {big('sum(unknown_rows)')} AS unknown_rows, coalesce(string_agg(attr || ': ' || unknown_categories, '; ' ORDER BY {_PLACE}) FILTER (WHERE unknown_categories > 0), '0') AS unknown FROM ({_OHE}) GROUP BY 1")
+def ohe_model_summary(s):
+    return utility.encoder_summary(_unknown(s), list(QI), ["config_id"])
+
+
+@query()
+def ohe_encode(s):
+    """Encoded width and active blocks of holdout rows; unknown categories are all-zero blocks."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    from pyspark.ml.functions import vector_to_array
+
+    attrs = ["segment", "priority", "status", "nation"]
+    index = StringIndexer(inputCols=attrs, outputCols=[f"i_{a}" for a in attrs], handleInvalid="keep", stringOrderType="alphabetAsc")
+    hot = OneHotEncoder(inputCols=[f"i_{a}" for a in attrs], outputCols=[f"v_{a}" for a in attrs], dropLast=True)
+    model = Pipeline(stages=[index, hot]).fit(s.md.filter("split = 'train' and nation <> 'FRANCE'"))
+    active = [F.aggregate(vector_to_array(f"v_{a}"), F.lit(0.0), lambda x, y: x + y).alias(f"active_{a}") for a in attrs]
+    return model.transform(s.md.filter("split = 'holdout'")).select("rid", *active)
+
+
+@query()
+def lr_release(s):
+    """Holdout metrics of logistic regression on the released training rows of one configuration."""
+    rows = s.labelled(s.released.filter("config_id = 'CFG02'")).select("row_id", "y", "split", "is_outlier", *[F.col(f"g_{q}").alias(q) for q in QI])
+    _, scored = utility.logistic(rows.filter("split = 'train' and not is_outlier"), rows.filter("split = 'holdout'"), list(QI))
+    return utility.point_metrics(scored.select(F.lit("CFG02").alias("config_id"), "row_id", "y", "p"), ["config_id"])
+
+
+@query()
+def lr_matrix(s):
+    """The same for every configuration, releases and counterfactuals."""
+    rows = s.labelled(s.released).select("config_id", "row_id", "y", "split", "is_outlier", *[F.col(f"g_{q}").alias(q) for q in QI])
+    out = None
+    for c in fixture.CONFIGS:
+        mine = rows.filter(F.col("config_id") == c.config_id).persist()
+        for kind, keep in (("release", "not is_outlier"), ("counterfactual", "true")):
+            _, scored = utility.logistic(mine.filter(f"split = 'train' and {keep}"), mine.filter("split = 'holdout'"), list(QI))
+            one = utility.point_metrics(scored.select(F.lit(c.config_id).alias("config_id"), F.lit(kind).alias("kind"), "row_id", "y", "p"), ["config_id", "kind"])
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---- export -----------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT kind, config_id, low AS interval_low, high AS interval_high FROM ({_INTERVALS})")
+def export_flatten_intervals(s):
+    nested = risk_intervals(s).select("kind", "config_id", F.struct("low", "high").alias("interval"))
+    return export.flatten(nested, "interval", "interval_")
+
+
+@query("SELECT config_id, CAST(n AS VARCHAR) AS n, CAST(n_ret AS VARCHAR) AS n_ret, coalesce(CAST(nullif(n - n_ret, 0) AS VARCHAR), 'NA') AS suppressed, CASE WHEN n = n_ret THEN 'NA_NO_SUPPRESSED_ROWS' ELSE 'OK' END AS status FROM (SELECT config_id, n, n_c AS n_ret FROM sizes)")
+def export_na_render(s):
+    p = structure.suppression_profile(s.released, SPEC)
+    return export.rendered(p.select("config_id", "n", "n_ret", F.nullif(F.col("n") - F.col("n_ret"), F.lit(0)).alias("suppressed"), F.col("suppressed_prevalence_status").alias("status")))
+
+
+@query(f"""SELECT config_id, r_all, delta FROM (SELECT r.config_id, round({div('s', 'targets')}, 9) AS r_all, round(b.auroc - a.auroc, 9) AS delta FROM risk r JOIN auc a USING (config_id) JOIN auc b ON b.config_id = 'CFG00' WHERE scenario = 'BASE' AND r.config_id <> 'CFG00') x
+WHERE NOT EXISTS (SELECT 1 FROM (SELECT r.config_id, round({div('s', 'targets')}, 9) AS r_all, round(b.auroc - a.auroc, 9) AS delta FROM risk r JOIN auc a USING (config_id) JOIN auc b ON b.config_id = 'CFG00' WHERE scenario = 'BASE' AND r.config_id <> 'CFG00') o WHERE o.r_all <= x.r_all AND o.delta <= x.delta AND (o.r_all < x.r_all OR o.delta < x.delta))""")
+def pareto_front(s):
+    points = risk_point(s).select("config_id", "r_all").join(delta_auroc(s), "config_id")
+    return structure.pareto_front(points, "config_id", "r_all", "delta")
+
+
+@query(f"SELECT config_id, num // g AS num, den // g AS den, {div('num', 'den')} AS value FROM (SELECT config_id, num, den, gcd(num, den) AS g FROM (SELECT config_id, {big('sum(n_pos)')} AS num, {big('sum(n)')} AS den FROM rc GROUP BY 1))")
+def rational_reduce(s):
+    c = s.classes.groupBy("config_id").agg(F.sum("n_pos").alias("a"), F.sum("n").alias("b"))
+    g = c.withColumn("g", scalars.gcd(F.col("a"), F.col("b")))
+    return g.select("config_id", F.expr("a div g").alias("num"), F.expr("b div g").alias("den"), ratio(F.col("a"), F.col("b")).alias("value"))
+
+
+@query(f"SELECT rid, {block('num', 5)} AS label FROM md")
+def interval_label(s):
+    return s.md.select("rid", scalars.block_label(F.col("num"), 5).alias("label"))
+
+
+@query()
+def public_schema_guard(s):
+    """How many private columns each published family would leak (none)."""
+    frames = {name: QUERIES[name](s.spark, s.sf_dir) for name in ("privacy_summary", "tvd_summary", "risk_matrix", "attack_success")}
+    return s.spark.createDataFrame(export.guard_report(frames), "family string, private_columns int")
+
+
+@query()
+def src_file_identity(s):
+    from ..sources.readers import identity
+
+    found = identity(s.spark, f"{s.sf_dir}/region.parquet")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
+
+
+@query(f"SELECT rid, sha256(concat_ws(chr(9), {', '.join(f'CAST({q} AS VARCHAR)' for q in QI)})) AS digest FROM md")
+def sha_canonical(s):
+    return s.md.select("rid", export.canonical_hash(*[F.col(q) for q in QI]).alias("digest"))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) < 50")
+def stream_small_classes(s):
+    """Classes of a day and event type that are smaller than 50; the batch form of the stream monitor."""
+    return monitor.small_classes(monitor.class_counts(s.table("events"), "ts", ["event_type"]), 50)
