@@ -78,16 +78,17 @@ def per_scenario(rows: DataFrame, spec: QuasiIdentifierSpec, scenarios: list[Sce
     return rows.select(*extra, F.explode(listed).alias("s")).select("s.*", *extra)
 
 
-def groups(released: DataFrame, spec: QuasiIdentifierSpec, scenarios: list[Scenario], numeric: str) -> DataFrame:
-    """Candidate groups: ``scenario, config_id, <key>, g_<numeric>, lv_<numeric>, size``."""
-    rows = per_scenario(released.filter("not is_outlier"), spec, scenarios, numeric, "config_id", f"g_{numeric}", f"lv_{numeric}")
-    return rows.groupBy("scenario", "config_id", *key_columns(spec, numeric), f"g_{numeric}", f"lv_{numeric}").agg(F.count(F.lit(1)).alias("size"))
+def groups(published: DataFrame, spec: QuasiIdentifierSpec, scenarios: list[Scenario], numeric: str) -> DataFrame:
+    """Candidate groups: ``scenario, config_id, <key>, g_<numeric>, lv_<numeric>, size``, from published classes."""
+    rows = per_scenario(published, spec, scenarios, numeric, "config_id", "n", f"g_{numeric}", f"lv_{numeric}")
+    return rows.groupBy("scenario", "config_id", *key_columns(spec, numeric), f"g_{numeric}", f"lv_{numeric}").agg(F.sum("n").alias("size"))
 
 
-def observations(released: DataFrame, targets: DataFrame, noise: DataFrame, spec: QuasiIdentifierSpec, scenarios: list[Scenario], numeric: str) -> DataFrame:
-    """What the attacker sees: ``scenario, config_id, target_pos, draw, <key>, z``; no row id."""
-    # a fixed number of targets
-    mine = released.join(F.broadcast(targets.select(spec.row_id, "target_pos")), spec.row_id)
+def observations(mine: DataFrame, noise: DataFrame, spec: QuasiIdentifierSpec, scenarios: list[Scenario], numeric: str) -> DataFrame:
+    """What the attacker sees: ``scenario, config_id, target_pos, draw, <key>, z``; no row id.
+
+    ``mine`` are the targets' own rows, recoded for each configuration.
+    """
     seen = per_scenario(mine, spec, scenarios, numeric, "config_id", "target_pos", numeric)
     return seen.join(noise, ["scenario", "target_pos"]).withColumn("z", F.col(numeric) + F.col("err")).drop(numeric, "err")
 
@@ -119,9 +120,8 @@ def success(won: DataFrame, truth: DataFrame, numeric: str) -> DataFrame:
     return joined.select("scenario", "config_id", "target_pos", "draw", "tie_size", F.coalesce("retained", F.lit(False)).alias("retained"), F.coalesce(hit, F.lit(False)).alias("hit"), F.when(hit, ratio(F.lit(1), F.col("tie_size"))).otherwise(0.0).alias("success"))
 
 
-def truth_of(released: DataFrame, targets: DataFrame, spec: QuasiIdentifierSpec, numeric: str) -> DataFrame:
-    rows = released.join(F.broadcast(targets.select(spec.row_id, "target_pos")), spec.row_id)
-    return rows.select("config_id", "target_pos", F.col(f"g_{numeric}").alias("true_label"), (~F.col("is_outlier")).alias("retained"))
+def truth_of(mine: DataFrame, numeric: str) -> DataFrame:
+    return mine.select("config_id", "target_pos", F.col(f"g_{numeric}").alias("true_label"), (~F.col("is_outlier")).alias("retained"))
 
 
 def counts(done: DataFrame) -> DataFrame:
@@ -164,19 +164,17 @@ def risk_point(done: DataFrame, released_sizes: DataFrame) -> DataFrame:
     )
 
 
-def permuted_truth(released: DataFrame, targets: DataFrame, spec: QuasiIdentifierSpec, numeric: str) -> DataFrame:
+def permuted_truth(released: DataFrame, mine: DataFrame, n: int, spec: QuasiIdentifierSpec, numeric: str) -> DataFrame:
     """Negative control: each target is credited with a row drawn by a random permutation of the retained rows.
 
     The permutation shifts the targets' places: the i-th target by hash gets the labels of the i-th retained
-    row by another hash. Only as many rows as there are targets are ranked.
+    row by another hash. Only as many rows as there are targets (``n``) leave a task.
     """
     kept = released.filter("not is_outlier")
-    n = targets.count()
     order = Window.partitionBy("config_id").orderBy("h", spec.row_id)
     rows = kept.select("config_id", spec.row_id, *[f"g_{q}" for q in spec.names], keyed_hash("11007", F.col("config_id"), F.col(spec.row_id)).alias("h"))
     ranked = rows.withColumn("target_pos", F.row_number().over(order)).filter(F.col("target_pos") <= n)
-    own = released.join(F.broadcast(targets.select(spec.row_id, "target_pos")), spec.row_id).select("config_id", "target_pos", "is_outlier")
-    return own.join(ranked.drop(spec.row_id, "h"), ["config_id", "target_pos"], "left").select("config_id", "target_pos", *[F.col(f"g_{q}").alias(f"p_{q}") for q in spec.names], (~F.col("is_outlier") & F.col(f"g_{numeric}").isNotNull()).alias("retained"))
+    return mine.select("config_id", "target_pos", "is_outlier").join(ranked.drop(spec.row_id, "h"), ["config_id", "target_pos"], "left").select("config_id", "target_pos", *[F.col(f"g_{q}").alias(f"p_{q}") for q in spec.names], (~F.col("is_outlier") & F.col(f"g_{numeric}").isNotNull()).alias("retained"))
 
 
 def permuted_success(won: DataFrame, permuted: DataFrame, spec: QuasiIdentifierSpec, scenarios: list[Scenario], numeric: str) -> DataFrame:

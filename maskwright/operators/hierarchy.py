@@ -11,6 +11,13 @@ from .schema import QuasiIdentifierSpec, require
 BROADCAST_ROWS = 100_000
 
 
+def local(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A dimension of at most ``limit`` rows as a local relation, whose size the planner knows; a larger
+    one stays as it is."""
+    rows = frame.limit(limit + 1).toArrow()
+    return frame.sparkSession.createDataFrame(rows) if rows.num_rows <= limit else frame
+
+
 def sized(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the dimension has at most ``limit`` rows."""
     return F.broadcast(frame) if frame.limit(limit + 1).count() <= limit else frame
@@ -73,8 +80,9 @@ def label_arrays(hier: DataFrame, attr: str) -> DataFrame:
 
 def with_paths(rows: DataFrame, hier: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
     """``rows`` with a column ``path_<qi>`` for each quasi-identifier; rows with an unknown value fall away."""
+    known = local(hier.groupBy("attr", "leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "label"))), lambda s: s["label"]).alias("labels")))
     for q in spec.names:
-        paths = sized(label_arrays(hier, q).select(F.col("leaf").alias(f"__{q}"), F.col("labels").alias(f"path_{q}")))
+        paths = known.filter(F.col("attr") == q).select(F.col("leaf").alias(f"__{q}"), F.col("labels").alias(f"path_{q}"))
         rows = rows.join(paths, F.col(q).cast("string") == F.col(f"__{q}")).drop(f"__{q}")
     return rows
 
@@ -87,6 +95,6 @@ def generalize(rows: DataFrame, hier: DataFrame, vector: dict[str, int], spec: Q
     """Full-domain recoding: each quasi-identifier at its level of the vector; other columns stay."""
     require(set(vector) == set(spec.names), "CFG_VECTOR_KEYS", "the vector names every quasi-identifier")
     for q in spec.names:
-        at = sized(hier.filter((F.col("attr") == q) & (F.col("level") == vector[q])).select(F.col("leaf").alias("__leaf"), F.col("label").alias("__label")))
+        at = hier.filter((F.col("attr") == q) & (F.col("level") == vector[q])).select(F.col("leaf").alias("__leaf"), F.col("label").alias("__label"))
         rows = rows.join(at, F.col(q).cast("string") == F.col("__leaf")).withColumn(q, F.col("__label")).drop("__leaf", "__label")
     return rows

@@ -11,7 +11,10 @@ from .schema import QuasiIdentifierSpec
 
 
 def generalized(rows: DataFrame, hier: DataFrame, configs: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
-    """Every row once for each configuration, recoded: ``config_id, k, lim, <raw>, g_<qi>``.
+    """Every row once for each configuration, recoded: ``config_id, k, lim, <raw>, lv_<qi>, g_<qi>``.
+
+    ``w`` says how many table rows a row stands for. Measures work on :func:`signature`, whose length is
+    bounded by the domain's value combinations however long the table is.
 
     The configurations are a dimension of a few rows; they are attached as an array and exploded, so the
     rows are not shuffled.
@@ -21,26 +24,36 @@ def generalized(rows: DataFrame, hier: DataFrame, configs: DataFrame, spec: Quas
     return each.select("c.config_id", "c.k", "c.lim", *rows.columns, *[F.col(f"c.lv_{q}").alias(f"lv_{q}") for q in spec.names], *[at_level(q, F.col(f"c.lv_{q}")).alias(f"g_{q}") for q in spec.names])
 
 
+def signature(rows: DataFrame, spec: QuasiIdentifierSpec, *extra: str) -> DataFrame:
+    """Distinct combinations of quasi-identifiers, sensitive value and ``extra``, with their number ``w``."""
+    return rows.groupBy(*spec.names, spec.sensitive, *extra).agg(F.count(F.lit(1)).alias("w"))
+
+
 def labels(spec: QuasiIdentifierSpec) -> list[str]:
     return [f"g_{q}" for q in spec.names]
 
 
-def classes(rows: DataFrame, spec: QuasiIdentifierSpec, by: tuple[str, ...] = ("config_id",)) -> DataFrame:
-    """Equivalence classes: ``<by>, <labels>, n, n_pos, n_sens`` (distinct sensitive values)."""
+def classes(rows: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
+    """Equivalence classes: ``config_id, k, lim, lv_<qi>, <labels>, n, n_pos, n_sens`` (distinct sensitive values)."""
     positive = F.col(spec.sensitive) == spec.positive
-    # a binary sensitive column: two values occur if both counts are positive
-    got = rows.groupBy(*by, *labels(spec)).agg(F.count(F.lit(1)).alias("n"), F.sum(positive.cast("long")).alias("n_pos"))
+    # k, lim and levels are the configuration's; a binary sensitive column: two values occur if both counts are positive
+    by = ["config_id", "k", "lim", *[f"lv_{q}" for q in spec.names]]
+    got = rows.groupBy(*by, *labels(spec)).agg(F.sum("w").alias("n"), F.sum(F.when(positive, F.col("w")).otherwise(0)).alias("n_pos"))
     return got.withColumn("n_sens", F.when((F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n")), 2).otherwise(1).cast("long"))
 
 
-def with_outliers(rows: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
-    """``rows`` of :func:`generalized` with ``class_n`` and ``is_outlier`` (class smaller than its k)."""
-    sizes = rows.groupBy("config_id", *labels(spec)).agg(F.count(F.lit(1)).alias("class_n"))
+def with_outliers(rows: DataFrame, found: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
+    """``rows`` of :func:`generalized` with ``class_n`` and ``is_outlier`` (class smaller than its k).
+
+    ``found`` are the classes of the whole table.
+    """
+    sizes = found.select("config_id", *labels(spec), F.col("n").alias("class_n"))
     return rows.join(sizes, ["config_id", *labels(spec)]).withColumn("is_outlier", F.col("class_n") < F.col("k"))
 
 
-def retained_classes(released: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
-    return classes(released.filter("not is_outlier"), spec)
+def retained(found: DataFrame) -> DataFrame:
+    """The classes that are published."""
+    return found.filter(F.col("n") >= F.col("k"))
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -61,8 +74,9 @@ def t_hat(found: DataFrame, totals: DataFrame) -> DataFrame:
     return joined.groupBy("config_id").agg(F.max(gap).alias("t_hat"))
 
 
-def totals(rows: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
-    return rows.groupBy("config_id").agg(F.count(F.lit(1)).alias("total"), F.sum((F.col(spec.sensitive) == spec.positive).cast("long")).alias("positive"))
+def totals(found: DataFrame) -> DataFrame:
+    """``config_id, total, positive`` of all rows of the given classes."""
+    return found.groupBy("config_id").agg(F.sum("n").alias("total"), F.sum("n_pos").alias("positive"))
 
 
 def histogram(found: DataFrame, by: tuple[str, ...] = ("config_id",)) -> DataFrame:
@@ -86,16 +100,16 @@ def nearest_rank(found: DataFrame, percent: int) -> DataFrame:
     return reached.groupBy("config_id").agg(F.min("n").alias(f"p{percent}"))
 
 
-def gate(released: DataFrame, spec: QuasiIdentifierSpec, l: int, t: float) -> DataFrame:  # noqa: E741
+def gate(found: DataFrame, l: int, t: float) -> DataFrame:  # noqa: E741
     """One row per configuration: counts, budget, k, l and t of the release, and which hold.
 
     t is measured against the full input, as it was before suppression; its tolerance is 1e-9.
     """
-    kept = retained_classes(released, spec)
-    base = released.groupBy("config_id", "k", "lim").agg(F.count(F.lit(1)).alias("rows_in"), F.sum(F.col("is_outlier").cast("long")).alias("suppressed"))
+    kept = retained(found)
+    base = found.groupBy("config_id", "k", "lim").agg(F.sum("n").alias("rows_in"), F.sum(F.when(F.col("n") < F.col("k"), F.col("n")).otherwise(0)).alias("suppressed"))
     budget = F.floor(F.col("rows_in") * F.round(F.col("lim") * 1000000).cast("long") / 1000000).cast("long")
     s = summary(kept).select("config_id", "k_hat", "l_hat")
-    th = t_hat(kept, totals(released, spec))
+    th = t_hat(kept, totals(found))
     out = base.join(s, "config_id", "left").join(th, "config_id", "left").withColumn("budget", budget)
     return out.select(
         "config_id", "rows_in", "suppressed", "budget", (F.col("suppressed") <= F.col("budget")).alias("within_budget"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -70,8 +71,9 @@ def configurations(spark: SparkSession, spec: QuasiIdentifierSpec, configs: list
     """The configurations as a table: id, k, limit, one level column for each quasi-identifier."""
     require(len({c.config_id for c in configs}) == len(configs), "CFG_UNIQUE", "configuration ids are distinct")
     rows = [(c.config_id, c.k, c.limit, *[c.validate(spec).vector[q] for q in spec.names]) for c in configs]
-    levels = ", ".join(f"lv_{q} int" for q in spec.names)
-    return spark.createDataFrame(rows, f"config_id string, k int, lim double, {levels}")
+    kinds = [("config_id", pa.string()), ("k", pa.int32()), ("lim", pa.float64()), *[(f"lv_{q}", pa.int32()) for q in spec.names]]
+    columns = zip(*rows, strict=True)
+    return spark.createDataFrame(pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds, columns, strict=True)}))
 
 
 @dataclass(frozen=True)

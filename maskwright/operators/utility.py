@@ -10,16 +10,17 @@ from ..functions.scalars import ratio
 
 
 def rate_scores(train: DataFrame, holdout: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """``<by>, row_id, y, p``: the positive rate of a row's cell in training, or the prior where it has none."""
-    cells = train.groupBy(*by, *keys).agg(F.sum("y").alias("h"), F.count(F.lit(1)).alias("n"))
-    prior = train.groupBy(*by).agg(ratio(F.sum("y"), F.count(F.lit(1))).alias("prior"))
+    """``<by>, row_id, y, w, p``: the positive rate of a row's cell in training, or the prior where it has none."""
+    cells = train.groupBy(*by, *keys).agg(F.sum(F.col("y") * F.col("w")).alias("h"), F.sum("w").alias("n"))
+    prior = cells.groupBy(*by).agg(ratio(F.sum("h"), F.sum("n")).alias("prior"))
     joined = holdout.join(cells, [*by, *keys], "left").join(F.broadcast(prior), by)
-    return joined.select(*by, "row_id", "y", F.coalesce(ratio(F.col("h"), F.col("n")), F.col("prior")).alias("p"))
+    carried = [c for c in ("row_id", "y", "w") if c in holdout.columns]
+    return joined.select(*by, *carried, F.coalesce(ratio(F.col("h"), F.col("n")), F.col("prior")).alias("p"))
 
 
 def tie_groups(scores: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """``<by>, p, pos, neg``: counts for each distinct score; ranking works on these only."""
-    w = F.col(weight) if weight else F.lit(1).cast("long")
+    w = F.col(weight) if weight else F.col("w") if "w" in scores.columns else F.lit(1).cast("long")
     return scores.groupBy(*by, "p").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, w).otherwise(0)).alias("neg"))
 
 
@@ -44,8 +45,10 @@ def confusion(scores: DataFrame, by: list[str], threshold: float = 0.5) -> DataF
     """Counts at an inclusive threshold, accuracy and balanced accuracy."""
     up = F.col("p") >= threshold
 
+    w = F.col("w") if "w" in scores.columns else F.lit(1).cast("long")
+
     def n(condition):
-        return F.sum(condition.cast("long"))
+        return F.sum(F.when(condition, w).otherwise(0))
 
     c = scores.groupBy(*by).agg(n(up & (F.col("y") == 1)).alias("tp"), n(up & (F.col("y") == 0)).alias("fp"), n(~up & (F.col("y") == 0)).alias("tn"), n(~up & (F.col("y") == 1)).alias("fn"))
     total = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")

@@ -122,7 +122,7 @@ UNION ALL SELECT 'BUDGET', (SELECT count(*) FROM (SELECT config_id FROM rel GROU
 def validation_report(s):
     n = F.count(F.lit(1))
     total = s.md.agg(n.alias("t"))
-    sizes = s.released.groupBy("config_id", "lim").agg(n.alias("n"), F.sum(F.col("is_outlier").cast("long")).alias("out"))
+    sizes = s.all_classes.groupBy("config_id", "lim").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") < F.col("k"), F.col("n")).otherwise(0)).alias("out"))
     return validation.report([
         ("QI_COVERAGE", hierarchy.uncovered(s.values(), s.hier).agg(n)),
         ("RID_UNIQUE", s.md.groupBy("rid").agg((n - 1).alias("x")).agg(F.coalesce(F.sum("x"), F.lit(0)))),
@@ -233,7 +233,7 @@ def lattice_optimum(s):
 
 @query(f"SELECT config_id, round(avg(loss), 9) AS loss FROM (SELECT config_id, attr, {div('sum(CASE WHEN is_outlier THEN den ELSE cell.num END)', 'sum(den)')} AS loss FROM (SELECT config_id, is_outlier, unnest([{', '.join(repr(q) for q in QI)}]) AS attr, unnest([{', '.join(f'lv_{q}' for q in QI)}]) AS level, unnest([{', '.join(f'g_{q}' for q in QI)}]) AS label FROM rel) JOIN cell USING (attr, level, label) GROUP BY 1, 2) GROUP BY 1")
 def info_loss(s):
-    return structure.info_loss(s.released, s.cells, SPEC)
+    return structure.info_loss(s.all_classes, s.cells, SPEC)
 
 
 @query(f"SELECT config_id, round(({' + '.join(f'lv_{q} / {SPEC.heights[q]}.0::DOUBLE' for q in QI)}) / {len(QI)}.0::DOUBLE, 9) AS intensity FROM cfg")
@@ -243,7 +243,7 @@ def generalization_intensity(s):
 
 @query("SELECT config_id, CASE WHEN is_outlier THEN 'suppressed' WHEN lv_num >= 1 THEN 'generalised' ELSE 'exposed' END AS fate, count(*) AS rows FROM rel WHERE num IN (SELECT num FROM md GROUP BY 1 HAVING count(*) <= 120) GROUP BY 1, 2")
 def rare_value_fate(s):
-    return structure.rare_value_fate(s.md, s.released, NUM, 120)
+    return structure.rare_value_fate(s.sig, s.released, NUM, 120)
 
 
 # ---- privacy ---------------------------------------------------------------------------------------
@@ -251,20 +251,20 @@ def rare_value_fate(s):
 
 @query(f"SELECT config_id, {G}, n, n_pos, n_sens FROM rc")
 def equivalence_classes(s):
-    return s.classes
+    return s.classes.drop("k", "lim", *[f"lv_{q}" for q in QI])
 
 
 @query(f"SELECT config_id, convention, count(*) AS classes, {big('sum(n)')} AS rows, count(*) FILTER (WHERE n = 1) AS singles FROM (SELECT config_id, CASE WHEN grouping(sens) = 1 THEN 'qi' ELSE 'full' END AS convention, count(*) AS n FROM rel WHERE NOT is_outlier GROUP BY GROUPING SETS ((config_id, {G}), (config_id, {G}, sens))) GROUP BY 1, 2")
 def ec_grouping_sets(s):
     columns = ["config_id", *privacy.labels(SPEC)]
-    both = s.released.filter("not is_outlier").groupingSets([columns, [*columns, "sens"]], *columns, "sens").agg(F.count(F.lit(1)).alias("n"), F.grouping("sens").alias("without"))
+    both = s.released.filter("not is_outlier").groupingSets([columns, [*columns, "sens"]], *columns, "sens").agg(F.sum("w").alias("n"), F.grouping("sens").alias("without"))
     named = both.select("config_id", F.when(F.col("without") == 1, "qi").otherwise("full").alias("convention"), "n")
     return named.groupBy("config_id", "convention").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("rows"), F.sum((F.col("n") == 1).cast("long")).alias("singles"))
 
 
 @query("SELECT config_id, min(n) AS k_hat, min(n) >= any_value(k) AS passes FROM rc JOIN cfg USING (config_id) GROUP BY 1")
 def k_anonymity(s):
-    return s.classes.groupBy("config_id").agg(F.min("n").alias("k_hat")).join(F.broadcast(s.configs.select("config_id", "k")), "config_id").select("config_id", "k_hat", (F.col("k_hat") >= F.col("k")).alias("passes"))
+    return s.classes.groupBy("config_id", "k").agg(F.min("n").alias("k_hat")).select("config_id", "k_hat", (F.col("k_hat") >= F.col("k")).alias("passes"))
 
 
 @query("SELECT config_id, min(n_sens) AS l_hat FROM rc GROUP BY 1")
@@ -277,17 +277,19 @@ _T = div("abs(n_pos * total - positive * n)", "n * total")
 
 @query(f"SELECT config_id, max({_T}) AS t_hat FROM rc JOIN tot USING (config_id) GROUP BY 1")
 def t_closeness(s):
-    return privacy.t_hat(s.classes, privacy.totals(s.released, SPEC))
+    return privacy.t_hat(s.classes, privacy.totals(s.all_classes))
 
 
 @query(f"SELECT config_id, max({_T}) AS t_hat FROM rc JOIN (SELECT config_id, {big('sum(n)')} AS total, {big('sum(n_pos)')} AS positive FROM rc GROUP BY 1) USING (config_id) GROUP BY 1")
 def t_closeness_retained(s):
-    return privacy.t_hat(s.classes, privacy.totals(s.released.filter("not is_outlier"), SPEC))
+    return privacy.t_hat(s.classes, privacy.totals(s.classes))
 
 
 @query(f"SELECT config_id, {div('count(*) FILTER (WHERE n = 1)', 'sum(n)')} AS u_qi, any_value(u_full) AS u_full FROM rc JOIN (SELECT config_id, {div('count(*) FILTER (WHERE n = 1)', 'sum(n)')} AS u_full FROM (SELECT config_id, count(*) AS n FROM rel WHERE NOT is_outlier GROUP BY config_id, {G}, sens) GROUP BY 1) USING (config_id) GROUP BY 1")
 def uniqueness(s):
-    full = s.released.filter("not is_outlier").groupBy("config_id", *privacy.labels(SPEC), "sens").agg(F.count(F.lit(1)).alias("n"))
+    # of a binary sensitive column: the class's positive and negative part
+    parts = F.array(F.col("n_pos"), F.col("n") - F.col("n_pos"))
+    full = s.classes.select("config_id", F.explode(parts).alias("n")).filter("n > 0")
 
     def share(frame, name):
         return frame.groupBy("config_id").agg(ratio(F.sum((F.col("n") == 1).cast("long")), F.sum("n")).alias(name))
@@ -314,23 +316,23 @@ def ec_p95_nearest_rank(s):
 SELECT config_id, k, count(*) AS rows_in, count(*) FILTER (WHERE is_outlier) AS suppressed, CAST(floor(count(*) * round(lim * 1000000) / 1000000) AS BIGINT) AS budget FROM rel GROUP BY config_id, k, lim)
 JOIN (SELECT config_id, min(n) AS k_hat, min(n_sens) AS l_hat, max({_T}) AS t_hat FROM rc JOIN tot USING (config_id) GROUP BY 1) USING (config_id)""")
 def privacy_gate(s):
-    return privacy.gate(s.released, SPEC, 2, T)
+    return privacy.gate(s.all_classes, 2, T)
 
 
 @query(f"""SELECT config_id, count(*) AS n_classes, {big('sum(n)')} AS rows, min(n) AS k_hat, max(n) AS max_class, min(n_sens) AS l_hat, count(*) FILTER (WHERE n = 1) AS singles, max({_T}) AS t_hat, {div('count(*) FILTER (WHERE n = 1)', 'sum(n)')} AS u_qi FROM rc JOIN tot USING (config_id) GROUP BY 1""")
 def privacy_summary(s):
     base = privacy.summary(s.classes).withColumn("u_qi", ratio(F.col("singles"), F.col("rows")))
-    return base.join(privacy.t_hat(s.classes, privacy.totals(s.released, SPEC)), "config_id")
+    return base.join(privacy.t_hat(s.classes, privacy.totals(s.all_classes)), "config_id")
 
 
 @query(f"SELECT config_id, rid, {G}, sens FROM rel WHERE NOT is_outlier AND config_id <> 'CFG00'")
 def retained_rows(s):
-    return s.released.filter("not is_outlier and config_id <> 'CFG00'").select("config_id", "rid", *privacy.labels(SPEC), "sens")
+    return s.released_rows.filter("not is_outlier and config_id <> 'CFG00'").select("config_id", "rid", *privacy.labels(SPEC), "sens")
 
 
 @query("SELECT config_id, count(*) AS rows, CAST(0 AS BIGINT) AS target_mismatches FROM rel GROUP BY 1")
 def release_binding(s):
-    joined = s.released.select("config_id", "rid", F.col("sens").alias("released_sens")).join(s.md.select("rid", "sens"), "rid")
+    joined = s.released_rows.select("config_id", "rid", F.col("sens").alias("released_sens")).join(s.md.select("rid", "sens"), "rid")
     return joined.groupBy("config_id").agg(F.count(F.lit(1)).alias("rows"), F.sum((~F.col("sens").eqNullSafe(F.col("released_sens"))).cast("long")).alias("target_mismatches"))
 
 
@@ -338,7 +340,7 @@ def release_binding(s):
 def release_multiset_equal(s):
     """The same release by broadcast lookups and by label paths, as multisets of rows."""
     columns = [F.col(f"g_{q}").alias(q) for q in QI]
-    a = s.released.filter("config_id = 'CFG01'").select(*columns, "sens")
+    a = s.released_rows.filter("config_id = 'CFG01'").select(*columns, "sens")
     return validation.multiset_difference(a, hierarchy.generalize(s.md, s.hier, VECTOR, SPEC).select(*QI, "sens"))
 
 
@@ -382,8 +384,8 @@ def tvd_summary(s):
 
 @query(f"SELECT config_id, round(({' + '.join(f'lv_{q} / {SPEC.heights[q]}.0::DOUBLE' for q in QI)}) / {len(QI)}.0::DOUBLE, 9) AS intensity, loss, {div('n - n_c', 'n')} AS suppression_rate FROM cfg JOIN sizes USING (config_id) JOIN (" + SQL["info_loss"].removeprefix(PRE) + ") USING (config_id)")
 def structural_summary(s):
-    rate = s.released.groupBy("config_id").agg(ratio(F.sum(F.col("is_outlier").cast("long")), F.count(F.lit(1))).alias("suppression_rate"))
-    return structure.intensity(s.configs, SPEC).join(structure.info_loss(s.released, s.cells, SPEC), "config_id").join(rate, "config_id")
+    rate = s.all_classes.groupBy("config_id").agg(ratio(F.sum(F.when(F.col("n") < F.col("k"), F.col("n")).otherwise(0)), F.sum("n")).alias("suppression_rate"))
+    return structure.intensity(s.configs, SPEC).join(structure.info_loss(s.all_classes, s.cells, SPEC), "config_id").join(rate, "config_id")
 
 
 # ---- attack ------------------------------------------------------------------------------------------
@@ -453,7 +455,7 @@ def attack_oracle(s):
 @query("SELECT config_id, CAST(target_pos AS INT) AS target_pos FROM truth WHERE retained")
 def retained_targets_semi(s):
     places = s.configs.select("config_id").join(F.broadcast(s.targets.select("rid", "target_pos")))
-    return places.join(s.released.filter("not is_outlier").select("config_id", "rid"), ["config_id", "rid"], "left_semi").select("config_id", "target_pos")
+    return places.join(s.released_rows.filter("not is_outlier").select("config_id", "rid"), ["config_id", "rid"], "left_semi").select("config_id", "target_pos")
 
 
 @query("SELECT scenario, config_id, count(*) AS attempted, min(tie_size) AS tie_min, max(tie_size) AS tie_max, " + big("sum(tie_size)") + " AS tie_sum, CAST(quantile_cont(tie_size, 0.5) AS DOUBLE) AS tie_median, CAST(quantile_cont(tie_size, 0.95) AS DOUBLE) AS tie_p95 FROM done WHERE tie_size > 0 GROUP BY 1, 2")
@@ -580,7 +582,7 @@ def endpoint_sign(s):
 @query("SELECT config_id, 'release' AS kind, count(*) AS rows FROM lab WHERE split = 'train' AND NOT is_outlier GROUP BY 1 UNION ALL SELECT config_id, 'counterfactual', count(*) FROM lab WHERE split = 'train' GROUP BY 1 UNION ALL SELECT config_id, 'holdout', count(*) FROM lab WHERE split = 'holdout' GROUP BY 1")
 def counterfactual_vs_release(s):
     kinds = F.when(F.col("split") == "holdout", F.array(F.lit("holdout"))).when(F.col("is_outlier"), F.array(F.lit("counterfactual"))).otherwise(F.array(F.lit("counterfactual"), F.lit("release")))
-    return s.released.select("config_id", F.explode(kinds).alias("kind")).groupBy("config_id", "kind").agg(F.count(F.lit(1)).alias("rows"))
+    return s.released.select("config_id", "w", F.explode(kinds).alias("kind")).groupBy("config_id", "kind").agg(F.sum("w").alias("rows"))
 
 
 _FOLDS = "SELECT rid AS row_id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY md5('11004|' || rid), rid) - 1) % 5 AS INT) AS fold FROM lab WHERE config_id = 'CFG00' AND split = 'train'"
@@ -669,7 +671,7 @@ _OHE = " UNION ALL ".join(
 
 
 def _unknown(s):
-    rows = s.released.select("config_id", "rid", "split", *[F.col(f"g_{q}").alias(q) for q in QI])
+    rows = s.released_rows.select("config_id", "rid", "split", *[F.col(f"g_{q}").alias(q) for q in QI])
     return utility.unknown_by_attribute(rows.filter(_FIT), rows.filter("split = 'holdout'"), list(QI), ["config_id"])
 
 
@@ -704,7 +706,7 @@ def ohe_encode(s):
 @query()
 def lr_release(s):
     """Holdout metrics of logistic regression on the released training rows of one configuration."""
-    rows = s.labelled(s.released.filter("config_id = 'CFG02'")).select("row_id", "y", "split", "is_outlier", *[F.col(f"g_{q}").alias(q) for q in QI])
+    rows = s.labelled(s.released_rows.filter("config_id = 'CFG02'")).select("row_id", "y", "split", "is_outlier", *[F.col(f"g_{q}").alias(q) for q in QI])
     _, scored = utility.logistic(rows.filter("split = 'train' and not is_outlier"), rows.filter("split = 'holdout'"), list(QI))
     return utility.point_metrics(scored.select(F.lit("CFG02").alias("config_id"), "row_id", "y", "p"), ["config_id"])
 
@@ -712,7 +714,7 @@ def lr_release(s):
 @query()
 def lr_matrix(s):
     """The same for every configuration, releases and counterfactuals."""
-    rows = s.labelled(s.released).select("config_id", "row_id", "y", "split", "is_outlier", *[F.col(f"g_{q}").alias(q) for q in QI])
+    rows = s.labelled(s.released_rows).select("config_id", "row_id", "y", "split", "is_outlier", *[F.col(f"g_{q}").alias(q) for q in QI])
     out = None
     for c in fixture.CONFIGS:
         mine = rows.filter(F.col("config_id") == c.config_id).persist()

@@ -29,40 +29,63 @@ class Study:
 
     @cached_property
     def hier(self) -> DataFrame:
-        return fixture.hierarchies(self.spark, self.sf_dir)
+        """Declared domains: a local relation of some hundred rows."""
+        return hierarchy.local(fixture.hierarchies(self.spark, self.sf_dir))
 
     @cached_property
     def configs(self) -> DataFrame:
         return schema.configurations(self.spark, SPEC, fixture.CONFIGS)
 
+    @cached_property
+    def sig(self) -> DataFrame:
+        """Distinct value combinations with their numbers; every measure of classes starts here."""
+        return privacy.signature(self.md, SPEC, "split")
+
     @cached_property
     def generalized(self) -> DataFrame:
-        return privacy.generalized(self.md, self.hier, self.configs, SPEC)
+        return privacy.generalized(self.sig, self.hier, self.configs, SPEC)
 
     @cached_property
-    def released(self) -> DataFrame:
-        return privacy.with_outliers(self.generalized, SPEC)
+    def all_classes(self) -> DataFrame:
+        return privacy.classes(self.generalized, SPEC)
 
     @cached_property
     def classes(self) -> DataFrame:
         """Equivalence classes of what is published."""
-        return privacy.retained_classes(self.released, SPEC)
+        return privacy.retained(self.all_classes)
+
+    @cached_property
+    def released(self) -> DataFrame:
+        """Value combinations, recoded, with their number ``w`` and whether they are suppressed."""
+        return privacy.with_outliers(self.generalized, self.all_classes, SPEC)
+
+    @cached_property
+    def released_rows(self) -> DataFrame:
+        """The same for each row of the table, for what needs row ids."""
+        rows = privacy.generalized(self.md.withColumn("w", F.lit(1)), self.hier, self.configs, SPEC)
+        return privacy.with_outliers(rows, self.all_classes, SPEC)
+
+    @cached_property
+    def released_targets(self) -> DataFrame:
+        rows = privacy.generalized(self.targets.withColumn("w", F.lit(1)), self.hier, self.configs, SPEC)
+        return privacy.with_outliers(rows, self.all_classes, SPEC)
 
     @cached_property
     def cells(self) -> DataFrame:
-        return cell_losses(self.hier)
+        return hierarchy.local(cell_losses(self.hier))
 
     @cached_property
     def sizes(self) -> DataFrame:
-        return self.released.groupBy("config_id").agg(F.sum((~F.col("is_outlier")).cast("long")).alias("n_c"))
+        return self.classes.groupBy("config_id").agg(F.sum("n").alias("n_c"))
 
     @cached_property
     def targets(self) -> DataFrame:
-        return disclosure.target_sample(self.md, SPEC.row_id, fixture.TARGETS)
+        """A sample of fixed size."""
+        return hierarchy.local(disclosure.target_sample(self.md, SPEC.row_id, fixture.TARGETS))
 
     @cached_property
     def pmf(self) -> DataFrame:
-        return disclosure.scenario_pmf(self.spark, fixture.SCENARIOS)
+        return hierarchy.local(disclosure.scenario_pmf(self.spark, fixture.SCENARIOS))
 
     @cached_property
     def noise(self) -> DataFrame:
@@ -70,15 +93,15 @@ class Study:
 
     @cached_property
     def compat(self) -> DataFrame:
-        return disclosure.age_compat(self.hier, self.pmf, NUM)
+        return hierarchy.local(disclosure.age_compat(self.hier, self.pmf, NUM))
 
     @cached_property
     def groups(self) -> DataFrame:
-        return disclosure.groups(self.released, SPEC, fixture.SCENARIOS, NUM)
+        return disclosure.groups(self.classes, SPEC, fixture.SCENARIOS, NUM)
 
     @cached_property
     def seen(self) -> DataFrame:
-        return disclosure.observations(self.released, self.targets, self.noise, SPEC, fixture.SCENARIOS, NUM)
+        return disclosure.observations(self.released_targets, self.noise, SPEC, fixture.SCENARIOS, NUM)
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -90,12 +113,11 @@ class Study:
 
     @cached_property
     def done(self) -> DataFrame:
-        truth = disclosure.truth_of(self.released, self.targets, SPEC, NUM)
-        return disclosure.success(self.won, truth, NUM)
+        return disclosure.success(self.won, disclosure.truth_of(self.released_targets, NUM), NUM)
 
     @cached_property
     def control(self) -> DataFrame:
-        permuted = disclosure.permuted_truth(self.released, self.targets, SPEC, NUM)
+        permuted = disclosure.permuted_truth(self.released_rows, self.released_targets, fixture.TARGETS, SPEC, NUM)
         return disclosure.permuted_success(self.won, permuted, SPEC, fixture.SCENARIOS, NUM)
 
     @cached_property
@@ -120,7 +142,8 @@ class Study:
         return self.spark.createDataFrame(sorted(fixture.PAIRS.items()), "config_id string, other string")
 
     def labelled(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumns({"row_id": F.col(SPEC.row_id), "y": (F.col(SPEC.sensitive) == SPEC.positive).cast("int")})
+        named = {"row_id": F.col(SPEC.row_id)} if SPEC.row_id in rows.columns else {}
+        return rows.withColumns({**named, "y": (F.col(SPEC.sensitive) == SPEC.positive).cast("int")})
 
     @cached_property
     def released_models(self) -> DataFrame:
@@ -134,7 +157,9 @@ class Study:
 
     @cached_property
     def boot_auroc(self) -> DataFrame:
-        return utility.bootstrap_auroc(self.released_models, ["config_id"], fixture.REPLICATES)
+        kept = self.labelled(self.released).filter("split = 'train' and not is_outlier")
+        holdout = self.labelled(self.released_rows.filter("split = 'holdout'"))
+        return utility.bootstrap_auroc(utility.rate_scores(kept, holdout, SCORE_KEYS, ["config_id"]).drop("w"), ["config_id"], fixture.REPLICATES)
 
     @cached_property
     def tvd(self) -> DataFrame:
