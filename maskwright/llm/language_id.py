@@ -149,7 +149,7 @@ def held_out(id_col: str):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fit on at most ``per_language`` labelled texts of each language that are not held out.
 
-    Empty and null texts and null languages teach nothing. The sample is chosen by ids alone; only its
+    Empty and null texts, null languages and null ids teach nothing. The sample is chosen by ids alone; only its
     texts are brought together.
     """
     rows = docs.filter(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull() & (F.length(F.trim(f"`{text_col}`")) > 0))
