@@ -159,7 +159,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     every = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     smallest = every.join(firsts, every["node"] == firsts["fp"]).groupBy("root").agg(F.min("first").alias("smallest"))
     named = every.join(smallest, "root").select("node", "smallest")
-    labels = firsts.join(named, firsts["fp"] == named["node"], "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
+    # written, so that both sides of the last join are dealt anew and a hot fingerprint's rows can be split
+    labels = cut(firsts.join(named, firsts["fp"] == named["node"], "left").select("fp", F.coalesce("smallest", "first").alias("component_id")))
     return prints.join(labels, "fp").select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
