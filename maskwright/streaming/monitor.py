@@ -11,7 +11,8 @@ def class_counts(events: DataFrame, time: str, keys: list[str], width: str = "1
 
     The state is one counter for each class of an open window.
     """
-    windowed = events.withWatermark(time, late) if events.isStreaming else events
+    # watermarks need a timestamp with a time zone
+    windowed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     got = windowed.groupBy(F.window(time, width).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return got.select(F.col("w.start").alias("start"), *keys, "n")
 
