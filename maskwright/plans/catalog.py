@@ -714,15 +714,12 @@ def lr_release(s):
 @query()
 def lr_matrix(s):
     """The same for every configuration, releases and counterfactuals."""
-    rows = s.labelled(s.released_rows).select("config_id", "row_id", "y", "split", "is_outlier", *[F.col(f"g_{q}").alias(q) for q in QI])
-    out = None
-    for c in fixture.CONFIGS:
-        mine = rows.filter(F.col("config_id") == c.config_id).persist()
-        for kind, keep in (("release", "not is_outlier"), ("counterfactual", "true")):
-            _, scored = utility.logistic(mine.filter(f"split = 'train' and {keep}"), mine.filter("split = 'holdout'"), list(QI))
-            one = utility.point_metrics(scored.select(F.lit(c.config_id).alias("config_id"), F.lit(kind).alias("kind"), "row_id", "y", "p"), ["config_id", "kind"])
-            out = one if out is None else out.unionByName(one)
-    return out
+    cells = s.labelled(s.released).select("config_id", "y", "w", "split", "is_outlier", *[F.col(f"g_{q}").alias(q) for q in QI])
+    kinds = F.when(F.col("split") == "holdout", F.array(F.lit("counterfactual"), F.lit("release"))).when(F.col("is_outlier"), F.array(F.lit("counterfactual"))).otherwise(F.array(F.lit("counterfactual"), F.lit("release")))
+    each = cells.withColumn("kind", F.explode(kinds)).groupBy("config_id", "kind", "split", "y", *QI).agg(F.sum("w").alias("w"))
+    model = ["config_id", "kind"]
+    scored = each.groupBy(*model).applyInPandas(utility.logistic_cells(list(QI)), "config_id string, kind string, y int, w long, p double")
+    return utility.point_metrics(scored, model)
 
 
 # ---- export -----------------------------------------------------------------------------------------------------
