@@ -17,7 +17,7 @@ import numpy as np
 #: Texts of other characters are encoded by the library itself.
 _QUICK = "".join(map(chr, range(0x20, 0x7F))) + "\t\n\r" + "".join(chr(c) for c in range(0xA1, 0x180) if c != 0x130) + "‐‑‒–—‘’‚“”„•…€"
 #: A word cache is emptied when it holds this many words; it only saves time.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 def _escaped(kind: str) -> str:
