@@ -145,12 +145,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_owners: int = HOT_OWNERS) -> DataFrame:
-    """One row per input row: ``<id_col>, fp, fingerprint, component_id``.
+    """One row per input row: ``<id_col>, fp, fingerprint, component_id, root``.
 
     * ``fingerprint`` is the 64-bit SimHash over 3-word shingles as 16 hex digits; texts without a word
       (null, empty, blank) have fingerprint zero and are linked like any other.
     * ``component_id`` is the smallest id reachable over links of 3 or fewer differing bits; null ids
-      never count as smallest, and a component of null ids only has a null one.
+      never count as smallest, and a component of null ids only has a null one. Where ids are null or
+      repeated, several components can have one ``component_id``.
+    * ``root`` is the smallest fingerprint of the component, which no other component has; never null.
     * Repeated rows give repeated result rows; an empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
@@ -158,20 +160,21 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(links(firsts.select("fp"), hot_owners))
     every = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     smallest = every.join(firsts, every["node"] == firsts["fp"]).groupBy("root").agg(F.min("first").alias("smallest"))
-    named = every.join(smallest, "root").select("node", "smallest")
+    named = every.join(smallest, "root").select("node", "root", "smallest")
     # written, so that both sides of the last join are dealt anew and a hot fingerprint's rows can be split
-    labels = cut(firsts.join(named, firsts["fp"] == named["node"], "left").select("fp", F.coalesce("smallest", "first").alias("component_id")))
-    return prints.join(labels, "fp").select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = cut(firsts.join(named, firsts["fp"] == named["node"], "left").select("fp", F.coalesce("smallest", "first").alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    return prints.join(labels, "fp").select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_owners: int = HOT_OWNERS) -> DataFrame:
-    """``docs`` with one row of each component of near copies: that of the smallest id, and of rows of one id
-    that of the smallest fingerprint. All columns are kept as they are."""
-    rows = simhash_components(docs, id_col, text_col, hot_owners).select(F.col(id_col).alias("id"), "fp", "component_id")
-    each = cut(rows.groupBy("id", "fp", "component_id").agg(F.count(F.lit(1)).alias("copies")))
-    best = each.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("of")).agg(F.min("fp").alias("best_fp"))
-    found = each.join(best, F.col("id").eqNullSafe(F.col("component_id")) & F.col("component_id").eqNullSafe(F.col("of")), "left")
-    decided = cut(found.select("id", "fp", "copies", F.coalesce(F.col("fp") == F.col("best_fp"), F.lit(False)).alias("best")))
+    """``docs`` with one row of each component of near copies: that of the smallest id (null ids come last), and
+    of rows of one id that of the smallest fingerprint. All columns are kept as they are."""
+    rows = simhash_components(docs, id_col, text_col, hot_owners).select(F.col(id_col).alias("id"), "fp", "root")
+    each = cut(rows.groupBy("id", "fp", "root").agg(F.count(F.lit(1)).alias("copies")))
+    best = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "fp")).alias("one")).select(F.col("one.id").alias("best_id"), F.col("one.fp").alias("best_fp"))
+    # dealt by row key, of which each component has one: a large component is no hot key
+    found = each.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("fp") == F.col("best_fp")), "left")
+    decided = cut(found.select("id", "fp", "copies", F.col("best_fp").isNotNull().alias("best")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -92,6 +92,18 @@ def test_simhash_components_and_stage(spark):
     assert simhash.simhash_components(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays_with_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80)) for _ in range(7)]
+    roots = brute_components([simhash.fingerprint(t) for t in texts])
+    assert len(set(roots)) == len(texts)
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (5, texts[4]), (8, texts[4]), (8, texts[5]), (None, texts[5]), (9, texts[6])]
+    frame = docs_of(spark, rows)
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (8, texts[5]), (9, texts[6])]
+    assert sorted(map(tuple, simhash.keep_one(frame).collect()), key=str) == sorted(want, key=str)
+    assert len({r["root"] for r in simhash.simhash_components(frame).collect()}) == len(texts)
+
+
 def test_chunks_move_with_insertions():
     import numpy as np
 
