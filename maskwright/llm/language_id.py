@@ -4,6 +4,10 @@ A text is a vector of hashed byte n-gram counts (square roots, unit length). Lan
 whose training centroids are close form families, which are found from the training
 texts themselves. One-against-the-rest linear support vector machines choose the family;
 within it, one-versus-one machines for each pair of languages vote on the language.
+
+The score compares known languages with each other, so a text of none of them can have a high
+one. Texts are therefore also held against the smallest margin of sample texts of like length,
+each measured by machines that did not see it.
 """
 
 from __future__ import annotations
@@ -25,8 +29,11 @@ SAMPLE_PER_LANGUAGE = 300
 #: Cost of a training error; slope of the margins' logistic function.
 C, SLOPE = 10.0, 4.0
 UNDETERMINED = "und"
-#: Below this score :func:`keep_identified` rejects a text: no language is more likely than another of four.
+#: Below this score :func:`keep_identified` rejects a text: with four languages, those that the floors below give score 0.
 MIN_SCORE = 0.25
+#: A text whose smallest deciding margin is below this share of the sample's smallest has score 0. The sample's is
+#: found by so many folds, for each length only if so many texts show it, and past one odd text in so many (mixed or junk).
+FLOOR_SHARE, FOLDS, LEAST_SHOWN, ODD_ONE_IN = 0.5, 4, 30, 400
 _STEP = 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
@@ -83,11 +90,31 @@ class Model:
     #: For each family, then for each pair ``(family, a, b)``: a column of weights, its last entry the offset.
     pairs: list[tuple[int, int, int]]
     weights: np.ndarray
+    #: By the bit length of a text's number of bytes (the last holds for longer ones too): the smallest margin that counts.
+    floors: tuple[float, ...] = (0.0,)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.families or not has_letter(text):
             return UNDETERMINED, 0.0
         margins = features(text) @ self.weights[:-1] + self.weights[-1]
+        language, score = self._vote(margins)
+        lowest = self.lowest(margins)
+        if lowest is not None and lowest < self.floors[min(_size(text), len(self.floors) - 1)]:
+            score = 0.0
+        return language, score
+
+    def lowest(self, margins: np.ndarray) -> float | None:
+        """The smallest of the margins that decide: the family's and those of the language chosen in it. One language has none."""
+        k = len(self.families)
+        if k < 2:
+            return None
+        family = int(margins[:k].argmax())
+        languages = self.families[family]
+        language = languages.index(self._vote(margins)[0])
+        sides = [(1 if a == language else -1) * float(margins[c]) for c, (f, a, b) in enumerate(self.pairs, k) if f == family and language in (a, b)]
+        return min(float(margins[family]), *sides) if sides else float(margins[family])
+
+    def _vote(self, margins: np.ndarray) -> tuple[str, float]:
         k = len(self.families)
         if k > 1:
             raw = np.exp(SLOPE * (margins[:k] - margins[:k].max()))
@@ -108,6 +135,20 @@ class Model:
         return languages[best], sure * float(votes[best]) / (len(languages) - 1)
 
 
+def _size(text: str) -> int:
+    return len(text.encode("utf-8", "surrogatepass")).bit_length()
+
+
+def _floors(shown: list[tuple[int, float]]) -> tuple[float, ...]:
+    """The floors from ``size, margin`` of sample texts: for each size by texts of half that size or more, as short
+    texts have small margins; where too few are as long, the floor of the size below."""
+    floors = [0.0]
+    for size in range(1, max((s for s, _ in shown), default=0) + 1):
+        margins = sorted(m for s, m in shown if s >= size - 1)
+        floors.append(max(FLOOR_SHARE * margins[len(margins) // ODD_ONE_IN], 0.0) if len(margins) >= LEAST_SHOWN else floors[-1])
+    return tuple(floors)
+
+
 def fit(texts: list[str], languages: list[str]) -> Model:
     names = sorted(set(languages))
     if not names:
@@ -124,21 +165,36 @@ def fit(texts: list[str], languages: list[str]) -> Model:
         del groups[-j]
     x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
     gram = x1.astype(np.float64) @ x1.T
-    columns, pairs = [], []
     family = np.empty(len(names), int)
     for f, group in enumerate(groups):
         family[group] = f
-    for f in range(len(groups)):
-        y = np.where(family[lang] == f, 1.0, -1.0)
-        columns.append(x1.T @ _svm(gram, y) if len(groups) > 1 else np.zeros(x1.shape[1]))
-    for f, group in enumerate(groups):
-        for a in range(len(group)):
-            for b in range(a + 1, len(group)):
-                rows = np.flatnonzero((lang == group[a]) | (lang == group[b]))
-                y = np.where(lang[rows] == group[a], 1.0, -1.0)
-                columns.append(x1[rows].T @ _svm(gram[np.ix_(rows, rows)], y))
-                pairs.append((f, a, b))
-    return Model([[names[k] for k in group] for group in groups], pairs, np.stack(columns, axis=1).astype(np.float32))
+    pairs = [(f, a, b) for f, group in enumerate(groups) for a in range(len(group)) for b in range(a + 1, len(group))]
+
+    def machines(seen: np.ndarray) -> np.ndarray:
+        columns = []
+        for f in range(len(groups)):
+            y = np.where(family[lang[seen]] == f, 1.0, -1.0)
+            columns.append(x1[seen].T @ _svm(gram[np.ix_(seen, seen)], y) if len(groups) > 1 else np.zeros(x1.shape[1]))
+        for f, a, b in pairs:
+            rows = seen[(lang[seen] == groups[f][a]) | (lang[seen] == groups[f][b])]
+            y = np.where(lang[rows] == groups[f][a], 1.0, -1.0)
+            columns.append(x1[rows].T @ _svm(gram[np.ix_(rows, rows)], y))
+        return np.stack(columns, axis=1).astype(np.float32)
+
+    every = np.arange(len(lang))
+    model = Model([[names[k] for k in group] for group in groups], pairs, machines(every))
+    if len(groups) > 1:
+        shown = []
+        for fold in range(FOLDS):
+            seen = every[every % FOLDS != fold]
+            if len(set(lang[seen])) < len(names):
+                continue
+            rows = every[every % FOLDS == fold]
+            for row, margins in zip(rows, x1[rows] @ machines(seen), strict=True):
+                if model._vote(margins)[0] == languages[row]:  # texts under a wrong label say nothing of clean ones
+                    shown.append((_size(texts[row]), model.lowest(margins)))
+        model.floors = _floors(shown)
+    return model
 
 
 def held_out(id_col: str):
@@ -182,7 +238,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """One row per input row: ``<id_col>, held_out, lang_pred, score`` (0 to 1), from the text alone.
 
     * Null texts and texts without a letter are ``und`` with score 0, and so is everything if the model
-      has no language. Repeated rows and null ids are handled like any other; a null id is not held out.
+      has no language. Texts like none of the model's two or more languages have the nearest and score 0. Repeated rows and null ids are handled like any other; a null id is not held out.
     * An empty table gives no rows; other columns are not looked at.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), held_out(id_col).alias("held_out"), F.col(f"`{text_col}`").alias("text"))

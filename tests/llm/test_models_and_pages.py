@@ -31,6 +31,24 @@ def test_language_edge_cases(spark):
     assert [r["lang"] for r in language_id.keep_identified(docs.filter("doc_id = 4 or doc_id is null"), one).orderBy("doc_id").collect()] == ["en", "en"]
 
 
+def test_foreign_texts_and_gibberish_go_and_known_languages_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(docs)
+    rng = random.Random(4)
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem. " * 12,
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. " * 8,
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza. " * 12,
+        " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(300)),
+    ]
+    assert all(model.predict(t)[0] in ("de", "en", "es", "fr") for t in foreign)
+    junk = spark.createDataFrame([(-1 - n, t, None, "x", len(t)) for n, t in enumerate(foreign)], docs.schema)
+    kept = language_id.keep_identified(docs.unionByName(junk), model)
+    assert kept.filter("doc_id < 0").count() == 0
+    lettered = docs.filter(F.col("text").rlike("[A-Za-z]")).count()
+    assert kept.count() >= 0.99 * lettered
+
+
 def brute_spans(text):
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
