@@ -655,12 +655,13 @@ def prior_baseline(s):
     return utility.prior_baseline(rows.filter("split = 'train'"), rows.filter("split = 'holdout'"))
 
 
+#: The SQL still fits on this part of the training rows and ignores suppression; the queries fit on all retained ones.
 _FIT = "split = 'train' AND rid % 20 = 1"
 
 
 @query(f"SELECT DISTINCT num AS value FROM md WHERE split = 'holdout' AND num NOT IN (SELECT num FROM md WHERE {_FIT})")
 def unknown_categories(s):
-    train = s.md.filter(_FIT).select("num").distinct()
+    train = s.md.filter("split = 'train'").select("num").distinct()
     return s.md.filter("split = 'holdout'").select("num").distinct().join(train, "num", "left_anti").select(F.col("num").alias("value"))
 
 
@@ -671,8 +672,8 @@ _OHE = " UNION ALL ".join(
 
 
 def _unknown(s):
-    rows = s.released_rows.select("config_id", "rid", "split", *[F.col(f"g_{q}").alias(q) for q in QI])
-    return utility.unknown_by_attribute(rows.filter(_FIT), rows.filter("split = 'holdout'"), list(QI), ["config_id"])
+    rows = s.released_rows.select("config_id", "split", "is_outlier", *[F.col(f"g_{q}").alias(q) for q in QI])
+    return utility.unknown_by_attribute(rows.filter("split = 'train' and not is_outlier"), rows.filter("split = 'holdout'"), list(QI), ["config_id"])
 
 
 @query(_OHE)
@@ -698,7 +699,7 @@ def ohe_encode(s):
     attrs = ["segment", "priority", "status", "nation"]
     index = StringIndexer(inputCols=attrs, outputCols=[f"i_{a}" for a in attrs], handleInvalid="keep", stringOrderType="alphabetAsc")
     hot = OneHotEncoder(inputCols=[f"i_{a}" for a in attrs], outputCols=[f"v_{a}" for a in attrs], dropLast=True)
-    model = Pipeline(stages=[index, hot]).fit(s.md.filter("split = 'train' and nation <> 'FRANCE'"))
+    model = Pipeline(stages=[index, hot]).fit(s.md.filter("split = 'train'"))
     active = [F.aggregate(vector_to_array(f"v_{a}"), F.lit(0.0), lambda x, y: x + y).alias(f"active_{a}") for a in attrs]
     return model.transform(s.md.filter("split = 'holdout'")).select("rid", *active)
 

@@ -213,3 +213,13 @@ def test_roles():
     assert len(SPEC.lattice()) == 540 and privacy.labels(SPEC)[0] == "g_num"
     with pytest.raises(ContractError):
         QuasiIdentifierSpec(("a",), {"a": 1}, "a", "1", "r")
+
+
+def test_the_encoder_is_fitted_on_all_retained_training_rows(spark):
+    from types import SimpleNamespace
+
+    rows = [(1, "train", "1", False), (2, "train", "2", False), (3, "train", "3", True), (4, "holdout", "1", False), (5, "holdout", "2", False), (6, "holdout", "3", False), (7, "holdout", "4", False)]
+    released = spark.createDataFrame([("X", *r[:2], r[3], *[r[2]] * len(catalog.QI)) for r in rows], ", ".join(["config_id string, rid long, split string, is_outlier boolean", *[f"g_{q} string" for q in catalog.QI]]))
+    found = catalog._unknown(SimpleNamespace(released_rows=released)).collect()
+    assert len(found) == len(catalog.QI)
+    assert {(r["fitted"], r["unknown_categories"], r["unknown_rows"], r["unknown_rate"]) for r in found} == {(2, 2, 2, 0.5)}
