@@ -2,8 +2,8 @@
 
 No token spans a blank and a word's ids depend on the word alone, so what stands between
 blanks is encoded once by the ``tokenizers`` library's model and then looked up. The quick way is taken for texts made of
-characters whose classes and case are the same in every Unicode version; any other
-text goes through the library as a whole.
+characters whose classes and case are the same in every Unicode version and without the string of an
+added token; any other text goes through the library as a whole.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import numpy as np
 
 #: Texts of other characters are encoded by the library itself.
 _QUICK = "".join(map(chr, range(0x20, 0x7F))) + "\t\n\r" + "".join(chr(c) for c in range(0xA1, 0x180) if c != 0x130) + "‐‑‒–—‘’‚“”„•…€"
-#: A word cache is emptied when it holds this many words; it only saves time.
-CACHE_WORDS = 300_000
+#: A word cache is emptied when it holds this many bytes of words and ids, with what Python needs for each entry; it only saves time.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
 
 
 def _escaped(kind: str) -> str:
@@ -46,6 +46,7 @@ class _Parts(dict):
         super().__init__()
         self.model = model
         self.letters = _byte_letters()
+        self.held = 0
 
     def __missing__(self, part: str) -> bytes:
         words = _WORD.findall(part)
@@ -55,7 +56,11 @@ class _Parts(dict):
         else:
             ids = b"".join(map(self.__getitem__, words))
         if len(part) <= 64:
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.held = 0
             self[part] = ids
+            self.held += ENTRY_BYTES + len(part) + len(ids)
         return ids
 
 
@@ -64,16 +69,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.parts = _Parts(self.tokenizer.model)
+        # looked for without regard to case, so no form of an added token takes the quick way
+        added = [re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
 
     def ids(self, text: str) -> bytes:
         """The ids of the whole text as little-endian unsigned 32-bit integers."""
-        if _ALL_QUICK.fullmatch(text) is None:
+        if _ALL_QUICK.fullmatch(text) is None or self.added.search(low := text.lower()):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        return b"".join(map(self.parts.__getitem__, text.lower().split()))
+        return b"".join(map(self.parts.__getitem__, low.split()))
 
 
 @functools.lru_cache(maxsize=2)

@@ -18,9 +18,50 @@ def random_texts(n, seed, pieces=ODD, most=20):
 
 
 def test_word_ids_equal_the_library():
-    e = word_tokens.encoder(WORDS)
-    for text in random_texts(3000, 1):
-        assert e.ids(text) == np.asarray(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    from tokenizers import Tokenizer
+
+    e, library = word_tokens.encoder(WORDS), Tokenizer.from_file(WORDS)
+    pieces = [*ODD, "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>"]
+    for text in [*random_texts(3000, 1, pieces), "a <|endoftext|> b", "<|startoftext|>hello", "x<|endoftext|>y" * 50]:
+        assert e.ids(text) == np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    assert np.frombuffer(e.ids("a <|endoftext|> b"), "<u4").tolist() == [320, 49407, 321]
+
+
+def test_the_word_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(word_tokens, "CACHE_BYTES", 2000)
+    e = word_tokens.WordEncoder(WORDS)
+    for text in random_texts(200, 4, list("abcdefg "), 60):
+        assert e.ids(text) == np.asarray(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(e.parts) <= 12
+
+
+def test_op3_on_a_table(spark, tmp_path):
+    """The registered query: every id of the library in one piece, crc32 of the pieces, sequences without padding."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    texts = [None, "", "a <|endoftext|> b", "word " * 5000, *random_texts(300, 9, most=200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = queries.op3_packing(spark, str(tmp_path)).collect()
+    for doc, text in enumerate(texts):
+        ids = np.asarray([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for p in sorted((p for p in pieces if p["doc_id"] == doc), key=lambda p: p["start"]):
+            assert p["start"] == at and p["doc_tokens"] == len(ids)
+            assert p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
+            at += p["length"]
+        assert at == len(ids)
+    sequences = {}
+    for p in pieces:
+        sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == 2048 or (at < 2048 and at & (at - 1) == 0)
 
 
 @pytest.mark.parametrize("lengths", [[], [1], [2048], [4096, 1], [5000, 700, 700, 700, 3], [1] * 50, [2047] * 9])
