@@ -8,15 +8,22 @@ masses) reaches the query's k-th best score so far. Survivors are compacted, so
 dimension blocks touch fewer and fewer candidates. Nothing that could enter the result,
 ties included, is ever dropped.
 
-Queries are grouped in blocks of bounded size and candidates in shards; each pair of a
-query block and a shard is one cell. A side goes to a cell once for each block of the
-other side, and a cell returns k rows per query at most.
+Queries are gathered in groups and candidates in shards; each pair of a group and a shard
+is one cell. Candidates go over the network once for each group of up to GROUP queries, in
+the narrowest whole-number type that holds them. Before that, each group meets a bounded
+number of candidates, whose k-th best score is the bar to start from: cells return only
+what reaches it, and a block whose largest mass cannot reach a group's lowest bar is not sent.
+
+Scores are exact whatever the components: sums below 2**53 are added up in float64; larger
+ones are bounded in float64 with their rounding error, and survivors are added up in
+whole numbers of any length.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -24,83 +31,154 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import BROADCAST_ROWS, cut
 
-#: Vectors of a candidate block, queries of a query block, dimensions of a dimension block.
-BLOCK, QUERY_BLOCK, DIMENSIONS = 4096, 1024, 16
-_EXACT = 2.0**53
+#: Vectors of a candidate block, queries of a query block, query blocks of a group, dimensions of a dimension block.
+BLOCK, QUERY_BLOCK, GROUP_BLOCKS, DIMENSIONS = 4096, 1024, 64, 16
+#: Candidates of a shard (on average) at most, and candidates that set the first bars.
+SHARD, SEEDS = 1 << 17, 2048
+#: Sums below are exact in float64; masses below can be multiplied in it.
+_EXACT, _HUGE = 2.0**53, 1e145
+_LONG = 2**63 - 1
+#: How a block's components are kept: whole numbers of 16 or 32 bits, whole numbers in float64, or, if
+#: scaling leaves the range of float64, as they were.
+_KINDS = ("<i2", "<i4", "<f8", "<f8")
+
+
+class Block:
+    """A packed block: ``ids``, the components (dimensions x vectors), and whether they still have to be scaled."""
+
+    def __init__(self, kind: int, dim: int, ids: bytes, data: bytes, scale: float):
+        self.ids = np.frombuffer(ids, "<i8")
+        self.raw = np.frombuffer(data, _KINDS[kind]).reshape(dim, len(self.ids))
+        self.unscaled, self.scale = kind == 3, scale
+        self.top = math.inf if self.unscaled else float(np.abs(self.raw.astype(np.float64)).max(initial=0.0))
+        self._values: np.ndarray | None = None
+
+    @property
+    def values(self) -> np.ndarray:
+        if self._values is None:
+            self._values = self.raw.astype(np.float64)
+        return self._values
+
+    def whole(self, column: int) -> list[int]:
+        """The components of one vector as whole numbers."""
+        if self.unscaled:
+            return [math.floor(Fraction(self.scale) * Fraction(float(x))) for x in self.raw[:, column]]
+        return [int(x) for x in self.raw[:, column]]
 
 
 class _Best:
-    """The k best (score, id) of one query: higher scores first, ties to the smaller id."""
+    """The k best (score, id) of one query: higher scores first, ties to the smaller id; nothing below the floor."""
 
-    def __init__(self, k: int):
-        self.k = k
+    def __init__(self, k: int, floor: float = -math.inf):
+        self.k, self.floor = k, floor
         self.scores = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int64)
 
     @property
     def bar(self) -> float:
-        return float(self.scores[-1]) if len(self.scores) >= self.k else -math.inf
+        """No more than the k-th best score, as far as it is known."""
+        if len(self.scores) < self.k:
+            return self.floor
+        return max(self.floor, _below(self.scores[-1]))
 
     def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
         scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
-        order = np.lexsort((ids, -scores))[: self.k]
+        if scores.dtype == object:
+            order = sorted(range(len(ids)), key=lambda n: (-scores[n], ids[n]))[: self.k]
+        else:
+            order = np.lexsort((ids, -scores))[: self.k]
         self.scores, self.ids = scores[order], ids[order]
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, best: list[_Best], block: np.ndarray, ids: np.ndarray, dimensions: int = DIMENSIONS) -> None:
-    """Offer the vectors of ``block`` (dimensions x vectors) to the best of each query (queries x dimensions).
-
-    All values are whole numbers in float64 whose sums stay below 2**53, so scores are exact.
-    """
-    d, n = block.shape
+def _below(score) -> float:
+    """A float64 no larger than a whole number; the same where it has one."""
+    score = int(score)
+    if abs(score) < _EXACT:
+        return float(score)
+    try:
+        return math.nextafter(float(score), -math.inf)
+    except OverflowError:
+        return -math.inf if score < 0 else math.nextafter(math.inf, 0)
+
+
+def search_block(queries: Block, best: list[_Best], block: Block, dimensions: int = DIMENSIONS) -> None:
+    """Offer the vectors of ``block`` to the best of each query."""
+    d, n = block.raw.shape
+    if not n:
+        return
+    most = queries.top * block.top * d
+    if not (queries.top < _HUGE and block.top < _HUGE and most < _HUGE * _HUGE):
+        columns = [block.whole(j) for j in range(n)]
+        for q, found in enumerate(best):
+            vector = queries.whole(q)
+            others = np.flatnonzero(block.ids != queries.ids[q])
+            found.offer(np.array([sum(a * b for a, b in zip(vector, columns[j], strict=True)) for j in others] or [], object), block.ids[others])
+        return
+    exact = most < _EXACT
+    rows, columns = np.ascontiguousarray(queries.values.T), block.values
     cuts = [*range(0, d, dimensions), d]
     # mass that remains behind each cut, of candidates and of queries
-    rest = np.sqrt(np.stack([np.square(block[c:]).sum(axis=0) for c in cuts[1:]])) if d else np.zeros((0, n))
-    rest_q = np.sqrt(np.stack([np.square(queries[:, c:]).sum(axis=1) for c in cuts[1:]], axis=1)) if d else np.zeros((len(queries), 0))
-    first = queries[:, : cuts[1]] @ block[: cuts[1]] if d else np.zeros((len(queries), n))
-    for q, vector in enumerate(queries):
-        bar = best[q].bar
-        alive = np.flatnonzero(ids != query_ids[q])
+    rest = np.sqrt(np.stack([np.square(columns[c:]).sum(axis=0) for c in cuts])) if d else np.zeros((1, n))
+    rest_q = np.sqrt(np.stack([np.square(rows[:, c:]).sum(axis=1) for c in cuts], axis=1)) if d else np.zeros((len(rows), 1))
+    first = rows[:, : cuts[1]] @ columns[: cuts[1]] if d else np.zeros((len(rows), n))
+    rounding = 0.0 if exact else 4 * (d + 8) * np.finfo(np.float64).eps
+    for q, vector in enumerate(rows):
+        found = best[q]
+        bar = found.bar
+        alive = np.flatnonzero(block.ids != queries.ids[q])
         score = first[q, alive]
         for j in range(1, max(len(cuts) - 1, 1)):
             if bar > -math.inf:
                 # the bound is rounded up, so no candidate that ties with the bar is lost
-                keep = score + (rest[j - 1, alive] * rest_q[q, j - 1]) * (1 + 1e-12) + 1e-6 >= bar
+                keep = score + rest[j, alive] * rest_q[q, j] * (1 + 1e-12) + rounding * rest_q[q, 0] * rest[0, alive] + 1e-6 >= bar
                 if not keep.all():
                     alive, score = alive[keep], score[keep]
             if not len(alive) or d == 0:
                 break
-            part = block[cuts[j] : cuts[j + 1]]
+            part = columns[cuts[j] : cuts[j + 1]]
             score = score + vector[cuts[j] : cuts[j + 1]] @ (part if len(alive) == n else part[:, alive])
-        keep = score >= bar
-        alive, score = alive[keep], score[keep]
-        if len(alive) > best[q].k:  # the k-th best and its ties are enough
-            enough = np.partition(score, len(score) - best[q].k)[len(score) - best[q].k]
-            alive, score = alive[score >= enough], score[score >= enough]
-        if len(alive):
-            best[q].offer(score.astype(np.int64), ids[alive])
-
-
-_PACKED = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("dim", T.IntegerType()), T.StructField("top", T.DoubleType()), T.StructField("ids", T.BinaryType()), T.StructField("data", T.BinaryType())])
-
-
-def _packer(size: int, scale: float, shards: int):
-    """Valid vectors, quantised, in column-major blocks of ``size``; those of other lengths apart."""
+        error = rounding * rest_q[q, 0] * rest[0, alive]
+        keep = score + error >= bar
+        alive, score, error = alive[keep], score[keep], error[keep]
+        if len(alive) > found.k:  # the k-th best and its ties are enough
+            enough = np.partition(score - error, len(score) - found.k)[len(score) - found.k]
+            keep = score + error >= enough
+            alive, score = alive[keep], score[keep]
+        if not len(alive):
+            continue
+        if not exact:
+            mine = queries.whole(q)
+            score = np.array([sum(a * b for a, b in zip(mine, block.whole(j), strict=True)) for j in alive], object)
+            keep = np.array([s >= found.floor for s in score], bool)
+            alive, score = alive[keep], score[keep]
+            if not len(alive):
+                continue
+        found.offer(score if not exact else score.astype(np.int64), block.ids[alive])
+
+
+_PACKED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("dim", T.IntegerType()), T.StructField("norm", T.DoubleType()), T.StructField("ids", T.BinaryType()), T.StructField("data", T.BinaryType())])
+
+
+def _packer(size: int, scale: float, parts: int, run_of: int):
+    """Valid vectors, quantised, in column-major blocks of ``size``, those of other lengths and kinds apart.
+    ``part`` is the task's number plus one for each ``run_of`` blocks it made, in turn below ``parts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        shard = TaskContext.get().partitionId()
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        task, done = TaskContext.get().partitionId(), 0
 
-        def made(dim: int, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-            nonlocal shard
-            shard += 1
+        def made(kind: int, dim: int, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+            nonlocal done
+            part = (task + done // run_of) % parts
+            done += 1
             values = np.ascontiguousarray(rows.T)
+            norm = math.inf if kind == 3 else float(np.sqrt(np.square(rows).sum(axis=1)).max(initial=0.0))
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard % shards], pa.int32()), pa.array([dim], pa.int32()), pa.array([float(np.abs(rows).max(initial=0.0))]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([values.astype("<f8").tobytes()], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([dim], pa.int32()), pa.array([norm]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([values.astype(_KINDS[kind]).tobytes()], pa.binary())],
                 names=_PACKED.names,
             )
 
@@ -114,75 +192,124 @@ def _packer(size: int, scale: float, shards: int):
             offsets = np.concatenate([[0], np.cumsum(np.where(null, 0, lengths))])
             bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
             good = ~null & (bad[offsets[1:]] == bad[offsets[:-1]]) & ~np.asarray(ids.is_null())
-            for dim in np.unique(lengths[good]):
+            for dim in np.unique(lengths[good]).tolist():
                 rows = np.flatnonzero(good & (lengths == dim))
-                block = np.floor(scale * values[offsets[rows][:, None] + np.arange(dim)])
-                held.setdefault(int(dim), []).append((ids.take(pa.array(rows)).to_numpy(), block))
-                while sum(len(x[0]) for x in held[int(dim)]) >= size:
-                    all_ids, all_rows = np.concatenate([x[0] for x in held[int(dim)]]), np.concatenate([x[1] for x in held[int(dim)]])
-                    yield made(int(dim), all_ids[:size], all_rows[:size])
-                    held[int(dim)] = [(all_ids[size:], all_rows[size:])]
-        for dim, parts in held.items():
-            ids, rows = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+                raw = values[offsets[rows][:, None] + np.arange(dim)]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scaled = np.floor(scale * raw)
+                    most = np.abs(scaled).max(axis=1, initial=0.0)
+                kinds = np.select([~np.isfinite(most), most < 2.0**15, most < 2.0**31], [3, 0, 1], 2)
+                for kind in np.unique(kinds).tolist():
+                    mine = kinds == kind
+                    key = kind, dim
+                    held.setdefault(key, []).append((ids.take(pa.array(rows[mine])).to_numpy(), (raw if kind == 3 else scaled)[mine]))
+                    while sum(len(x[0]) for x in held[key]) >= size:
+                        all_ids, all_rows = np.concatenate([x[0] for x in held[key]]), np.concatenate([x[1] for x in held[key]])
+                        yield made(kind, dim, all_ids[:size], all_rows[:size])
+                        held[key] = [(all_ids[size:], all_rows[size:])]
+        for (kind, dim), parts_held in held.items():
+            ids, rows = np.concatenate([x[0] for x in parts_held]), np.concatenate([x[1] for x in parts_held])
             if len(ids):
-                yield made(dim, ids, rows)
+                yield made(kind, dim, ids, rows)
+
+    return run
+
+
+def _blocks(table: pa.Table, scale: float) -> Iterator[tuple[int, Block]]:
+    for kind, dim, ids, data in zip(*(table.column(c) for c in ("kind", "dim", "ids", "data")), strict=True):
+        yield dim.as_py(), Block(kind.as_py(), dim.as_py(), ids.as_py(), data.as_py(), scale)
+
+
+def _digits(score: int) -> str | None:
+    """A text that sorts as a whole number beyond 64 bits does among those of its sign."""
+    if -_LONG - 1 <= score <= _LONG:
+        return None
+    text = str(abs(score))
+    if score > 0:
+        return f"{len(text):06d}{text}"
+    return f"{999_999 - len(text):06d}" + text.translate(str.maketrans("0123456789", "9876543210"))
+
+
+def _met(queries: pa.Table, blocks: pa.Table, k: int, scale: float, dimensions: int) -> Iterator[tuple[int, list[_Best], Block]]:
+    """Each query block's number with its best, all candidate blocks of its length having been offered."""
+    for n, (dim, asked) in enumerate(_blocks(queries, scale)):
+        floors = queries.column("bars")[n].as_py() if "bars" in queries.column_names else None
+        floors = np.frombuffer(floors, "<f8") if floors is not None else np.full(len(asked.ids), -math.inf)
+        best = [_Best(k, float(f)) for f in floors]
+        for bdim, block in _blocks(blocks, scale):
+            if bdim == dim:
+                search_block(asked, best, block, dimensions)
+        yield n, best, asked
+
+
+def _bars(k: int, scale: float, dimensions: int):
+    """The query blocks of a group with the k-th best score of the seeds (minus infinity if there are fewer)."""
+
+    def run(queries: pa.Table, seeds: pa.Table) -> pa.Table:
+        bars = [np.array([f.bar for f in best], "<f8") for _, best, _ in _met(queries, seeds, k, scale, dimensions)]
+        queries = queries.append_column("bars", pa.array([b.tobytes() for b in bars], pa.binary()))
+        return queries.append_column("low", pa.array([float(b.min(initial=math.inf)) for b in bars], pa.float64()))
 
     return run
 
 
-def _cell(k: int, dimensions: int):
-    def run(key, queries: pa.Table, blocks: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int, int, int]] = []
-        for top, dim, qids, qdata, qblock in zip(*(queries.column(c).to_pylist() for c in ("top", "dim", "ids", "data", "block")), strict=True):
-            query_ids = np.frombuffer(qids, "<i8")
-            rows = np.ascontiguousarray(np.frombuffer(qdata, "<f8").reshape(dim, len(query_ids)).T)
-            best = [_Best(k) for _ in query_ids]
-            for most, bdim, bids, bdata in zip(*(blocks.column(c) for c in ("top", "dim", "ids", "data")), strict=True):
-                if bdim.as_py() != dim:
-                    continue
-                if top * most.as_py() * dim >= _EXACT:
-                    raise OverflowError("scores do not fit 53 bits")
-                ids = np.frombuffer(bids.as_py(), "<i8")
-                search_block(rows, query_ids, best, np.frombuffer(bdata.as_py(), "<f8").reshape(dim, len(ids)), ids, dimensions)
+def _cell(k: int, scale: float, dimensions: int):
+    def run(queries: pa.Table, blocks: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        for n, best, asked in _met(queries, blocks, k, scale, dimensions):
+            number = queries.column("block")[n].as_py()
             for q, found in enumerate(best):
-                out += [(int(query_ids[q]), qblock, q, int(i), int(s)) for i, s in zip(found.ids, found.scores, strict=True)]
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "block", "q", "vec_id", "score"), columns, strict=True)})
+                for i, s in zip(found.ids.tolist(), found.scores.tolist(), strict=True):
+                    s = int(s)
+                    out.append((int(asked.ids[q]), number, q, i, max(min(s, _LONG), -_LONG - 1), (s > _LONG) - (s < -_LONG - 1), _digits(s)))
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        kinds = [pa.int64()] * 5 + [pa.int32(), pa.string()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "block", "q", "vec_id", "score", "side", "digits"), columns, kinds, strict=True)})
 
     return run
 
 
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0,
-    block: int = BLOCK, query_block: int = QUERY_BLOCK, dimensions: int = DIMENSIONS, shards: int | None = None,
+    block: int = BLOCK, query_block: int = QUERY_BLOCK, dimensions: int = DIMENSIONS, shards: int | None = None, seeds: int = SEEDS,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` vectors of highest inner product for each query.
 
     Components x count as floor(scale * x). Ranks start at 1; ties go to the smaller id.
 
-    * Vectors that are null or hold null or non-finite components, and null ids, take no part.
+    * Vectors that are null or hold null or non-finite components, and null ids, take no part; any finite ones do.
     * A query meets vectors of its own length only, and never rows of its own id.
     * Repeated candidate rows are candidates each; a repeated query row is answered once for each row.
-    * Fewer than ``k`` candidates give fewer rows; an empty table gives none. Scores of 2**53 and more
-      raise an error rather than being rounded.
+    * Fewer than ``k`` candidates give fewer rows; an empty table gives none. Other columns are not looked at.
+    * Ranks are exact for any scores; a score beyond 64 bits is given as the nearest 64-bit number.
     """
 
     def slim(frame: DataFrame) -> DataFrame:
         return frame.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
 
-    shards = shards or max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    asked = slim(queries).coalesce(max(1, shards // 4)).mapInArrow(_packer(query_block, scale, 1 << 30), _PACKED).withColumn("block", F.monotonically_increasing_id())
+    total = vectors.count()
+    groups = max(1, math.ceil(queries.count() / (query_block * GROUP_BLOCKS)))
+    shards = shards or max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SHARD))
+    # one task packs one group; a group's blocks of other lengths and kinds are at most a few more
+    asked = slim(queries).repartition(groups).mapInArrow(_packer(query_block, scale, groups, 1 << 30), _PACKED).withColumnRenamed("part", "group").withColumn("block", F.monotonically_increasing_id())
     asked = cut(asked)
-    numbers = cut(asked.select("block"))
-    blocks = slim(vectors).mapInArrow(_packer(block, scale, shards), _PACKED)
-    # each block goes once to every query block, each query block once to every shard: bounded blocks, not rows
-    every = numbers.groupBy().agg(F.collect_list("block").alias("qs")).first()["qs"] if numbers.count() <= 100_000 else None
-    if every is None:
-        raise ValueError("more than 100,000 query blocks; ask in several calls")
-    left = asked.drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = blocks.withColumn("block", F.explode(F.array(*[F.lit(q) for q in every]).cast("array<bigint>")))
-    cells = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(_cell(k, dimensions), "query_id long, block long, q long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "block", "q").orderBy(F.desc("score"), "vec_id")
+    spread = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    # which rows set the first bars changes the work, not the result
+    few = slim(vectors).filter(F.pmod(F.xxhash64("id"), F.lit(max(1, total // max(1, seeds)))) == 0)
+    sown = few.repartition(1).mapInArrow(_packer(block, scale, 1, 1), _PACKED).withColumn("group", spread)
+    barred = T.StructType([*asked.schema.fields, T.StructField("bars", T.BinaryType()), T.StructField("low", T.DoubleType())])
+    asked = cut(asked.groupBy("group").cogroup(sown.groupBy("group")).applyInArrow(_bars(k, scale, dimensions), barred))
+
+    blocks = slim(vectors).mapInArrow(_packer(block, scale, shards, 1), _PACKED).withColumnRenamed("part", "shard").withColumn("group", spread)
+    # a group's lowest bar and largest mass: one row for each group and length; beyond the bound every block is sent
+    reach = asked.groupBy("group", "dim").agg(F.min("low").alias("low"), F.max("norm").alias("mass"))
+    near = blocks
+    if reach.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        near = blocks.join(F.broadcast(reach), ["group", "dim"]).filter(~(F.col("norm") * F.col("mass") * (1 + 1e-9) + 1 < F.col("low"))).drop("low", "mass")
+    left = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    schema = "query_id long, block long, q long, vec_id long, score long, side int, digits string"
+    cells = left.groupBy("group", "shard").cogroup(near.groupBy("group", "shard")).applyInArrow(_cell(k, scale, dimensions), schema)
+    order = Window.partitionBy("query_id", "block", "q").orderBy(F.desc("side"), F.desc("digits"), F.desc("score"), "vec_id")
     ranked = cells.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

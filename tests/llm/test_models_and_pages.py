@@ -1,8 +1,10 @@
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from maskwright.llm import html_extract, language_id, pii, topk
@@ -114,17 +116,39 @@ def test_menus_notices_forms_and_comments_are_no_content():
     assert html_extract.main_text("<p>a<p", None, frozenset()) == "a" and html_extract.main_text("", None, frozenset()) == ""
 
 
-def test_top_k_equals_brute_force_with_ties_and_bad_rows(spark):
+def brute_top_k(rows, queries, k=10):
+    from fractions import Fraction
+
+    def whole(v):
+        return [math.floor(1024 * Fraction(x)) for x in v]
+
+    good = [(i, whole(v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for q, v in [r for r in good if queries(r[0])]:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(v) == len(w))[:k]
+        out += [(q, r, i, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seeds", [0, 50, 1000])
+def test_top_k_equals_brute_force_with_ties_and_bad_rows(spark, seeds):
     rng = np.random.default_rng(1)
     rows = [(int(i), rng.normal(size=8).round(1).tolist()) for i in range(300)]
     rows += [(1000 + i, [0.5] * 8) for i in range(40)] + [(400, None), (500, [1.0, None] + [0.0] * 6), (600, [float("nan")] * 8), (None, [1.0] * 8), (700, [1.0, 2.0]), (701, [2.0, 2.0])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows += [(200, [0.5] * 8), (800, rows[7][1]), (800, rows[7][1]), (7, rows[7][1]), (900, []), (901, [])]  # repeated ids, queries and rows; no component
+    vectors = spark.createDataFrame([(*r, 0, 1) for r in rows], "vec_id long, embedding array<double>, score long, block long")
     asked = vectors.filter("vec_id % 100 = 0")
-    got = sorted(map(tuple, topk.top_k(vectors, asked, k=10, block=64, query_block=2, dimensions=3, shards=3).select("query_id", "rank", "vec_id", "score").collect()))
-    whole = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    want = []
-    for q in sorted(i for i in whole if i % 100 == 0):
-        best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:10]
-        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
-    assert got == sorted(want)
-    assert topk.top_k(vectors.limit(0), asked.limit(0)).count() == 0
+    got = sorted(map(tuple, topk.top_k(vectors, asked, k=10, block=64, query_block=2, dimensions=3, shards=3, seeds=seeds).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == brute_top_k(rows, lambda i: i % 100 == 0)
+    assert topk.top_k(vectors.limit(0), asked.limit(0)).count() == 0 == topk.top_k(vectors, asked.limit(0)).count()
+
+
+@pytest.mark.parametrize("size", [1e6, 1e9, 1e17, 1e160, 1.7e308])
+def test_top_k_of_large_components_is_exact(spark, size):
+    """Scores beyond 53 and 64 bits, and scaled components beyond float64, beside small ones."""
+    rng = np.random.default_rng(2)
+    rows = [(int(i), (size * rng.choice([-1.0, 1.0, 0.5, 0.25 + 2**-40], size=8)).tolist()) for i in range(120)]
+    rows += [(200 + i, rng.normal(size=8).tolist()) for i in range(60)] + [(300, rows[3][1]), (301, rows[3][1]), (500, [size] * 8)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), block=32, query_block=3, dimensions=3, shards=3, seeds=40).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == brute_top_k(rows, lambda i: i % 50 == 0)
