@@ -2,6 +2,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -94,26 +95,108 @@ def test_pages_have_the_text_of_their_article(spark):
         assert got[r["page_id"]] == "\n\n".join(p for p in parts if p)
 
 
+def unlabelled(page):
+    """The page without elements, classes and ids that say what they are."""
+    page = re.sub(r"<(/?)(?:article|nav|footer|header|main|aside)\b", r"<\1div", page)
+    return re.sub(r' (?:class|id|role)="[^"]*"', "", page)
+
+
+def test_the_wrapper_finds_the_article_without_any_label(spark):
+    import html
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    bare = spark.createDataFrame([(r["page_id"], r["url"], unlabelled(r["html"] or "")) for r in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(bare).collect()}
+    right = found = wanted = 0
+    for r in pages:
+        body = re.search(r"<article>(.*?)(</article>|\Z)", r["html"] or "", re.DOTALL)
+        want = Counter(p for b in re.split("</?(?:p|h1)>", body[1]) if (p := " ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split())))
+        have = Counter(got[r["page_id"]].split("\n\n")) if got[r["page_id"]] else Counter()
+        right, found, wanted = right + (have & want).total(), found + have.total(), wanted + want.total()
+    assert right >= 0.99 * found and right >= 0.99 * wanted
+
+
+def random_tree(rng, depth, root=None):
+    node = root or html_extract.Node(rng.choice("ab"), None)
+    for _ in range(rng.randint(0, 4) if depth else 0):
+        child = random_tree(rng, depth - 1)
+        child.parent = node
+        node.children.append(child)
+    return node
+
+
+def brute_matching(a, b):
+    """Size of the largest simple tree matching, by the textbook recurrence over all pairs of siblings."""
+    if a.tag != b.tag:
+        return 0
+    n, m = len(a.children), len(b.children)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + brute_matching(a.children[i - 1], b.children[j - 1]))
+    return 1 + best[n][m]
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 4])
+def test_tree_matching_equals_brute_force(cells, monkeypatch):
+    monkeypatch.setattr(html_extract, "TABLE_CELLS", cells)
+    rng = random.Random(cells)
+    matcher = html_extract.Matcher()
+    for _ in range(400):
+        a, b = (html_extract.shaped(random_tree(rng, 4, html_extract.Node("r", None))) for _ in range(2))
+        pairs = matcher.align(a, b)
+        assert len(pairs) == matcher.weigh(a, b) == brute_matching(a, b)
+        places = sorted((x.index, y.index) for x, y in pairs)
+        assert len({x for x, _ in places}) == len({y for _, y in places}) == len(pairs)
+        assert all(p[1] < q[1] for p, q in zip(places, places[1:], strict=False))  # order is kept
+        mate = {id(x): y for x, y in pairs}
+        assert all(x is a or mate[id(x.parent)] is y.parent for x, y in pairs)  # and ancestry
+
+
+def test_very_long_lists_of_siblings_take_little_memory():
+    import tracemalloc
+
+    rng = random.Random(6)
+    kinds = ["<p>x</p>", "<div><p>a</p></div>", "<ul><li>q</ul>", "<h2>t</h2>"]
+    a, b = (html_extract.parse("<body>" + "".join(rng.choice(kinds) for _ in range(20_000))) for _ in range(2))
+    tracemalloc.start()
+    assert len(html_extract.Matcher().align(a, b)) > 20_000
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    deep = html_extract.parse("<div>" * 20_000 + "text")
+    assert html_extract.main_text(deep, html_extract.as_wrapper(html_extract.parse("<div>" * 15_000 + "text")), (0, frozenset())) == "text"
+
+
 def test_wrappers_remove_what_a_host_repeats(spark):
     def page(n):
-        return f"<body><div><p>Read our paper every day</p></div><div><h1>Head {n}</h1><p>{'story ' * (20 + n)}</p></div><ul><li><a href=x>Home</a></ul><p>All rights reserved</p></body>"
-
-    rows = [(n, f"https://a.example/{n}", page(n)) for n in range(8)] + [(20, None, page(1)), (21, "x", None), (22, "https://b.example/", "<p>a<br>b &amp; c"), (22, "https://b.example/", "<p>a<br>b &amp; c")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        return f"<body><div><p>Read our paper every day</p></div><div><h1>Head {n}</h1><p>{'story ' * (20 + n)}</p><p>Printed with care</p></div><ul><li><a href=x>Home</a></ul><p>All rights reserved</p></body>"
+
+    other = "<body><div><p>Read our paper every day</p></div><div><p>short</p></div><ul></ul></body>"
+    rows = [(n, f"https://a.example/{n}", page(n)) for n in range(8)] + [(30, "https://a.example/empty", ""), (31, "https://a.example/other", other)]
+    # a notice that the merged wrapper knows from some of its pages only
+    rows += [(100 + n, f"https://c.example/{n}", page(n).replace("with care", "in spring" if n % 8 else "with care")) for n in range(40)]
+    rows += [(200 + n, f"https://small{n}.example/", page(50 + n)) for n in range(6)]  # pooled: each host has one page
+    rows += [(20, None, page(1)), (21, "x", None), (22, "https://b.example/", "<p>a<br>b &amp; c"), (22, "https://b.example/", "<p>a<br>b &amp; c")]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, group long")
     got = [(r["page_id"], r["text"]) for r in html_extract.extract(pages).collect()]
     assert len(got) == len(rows)
     text = dict(got)
     assert text[3] == "Head 3\n\n" + " ".join(["story"] * 23)
-    assert "Read our paper" in text[20] and text[21] == "" and text[22] == "a b & c"
+    assert text[31] == "short" and text[30] == text[21] == "" and text[22] == "a b & c"
+    assert text[203] == "Head 53\n\n" + " ".join(["story"] * 73)
+    assert "Read our paper" not in text[20] and "story" in text[20]
+    assert sum("Printed" in text[100 + n] for n in range(40)) <= 5  # the rarer notice varies, the common one goes
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
 def test_menus_notices_forms_and_comments_are_no_content():
     page = """<html><head><title>x</title></head><body><header><h1>Site</h1></header><div id="cookie-banner">We use cookies</div><main><article>
     <header><h1>T &amp; t</h1></header><p>One<br>two <b>three</b></p><ul><li>a<li>b</ul><div class="ad-slot">Buy</div><form><p>Mail <input></p></form>
-    <section class="comments"><p>nice</p></section><p>last</article></main><aside>side</aside><footer>f</footer></body>"""
-    assert html_extract.main_text(page, None, frozenset()) == "T & t\n\nOne two three\n\na\n\nb\n\nlast"
-    assert html_extract.main_text("<p>a<p", None, frozenset()) == "a" and html_extract.main_text("", None, frozenset()) == ""
+    <section class="comments"><p>nice</p></section><article class="comment"><p>I agree</p></article><p>last</article></main><aside>side</aside><footer>f</footer></body>"""
+    assert html_extract.main_text(page) == "T & t\n\nOne two three\n\na\n\nb\n\nlast"
+    assert html_extract.main_text("<p>a<p") == "a" and html_extract.main_text("") == ""
+    assert html_extract.main_text("<div class=ad>Buy this</div><article></article><footer>f</footer>") == ""
+    sidebar = f"<div class='has-sidebar'><article><p>{'long ' * 200}</p></article><aside>x</aside></div><footer>f</footer>"
+    assert html_extract.main_text(sidebar) == ("long " * 200).strip()
 
 
 def brute_top_k(rows, queries, k=10):
