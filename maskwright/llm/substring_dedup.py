@@ -1,13 +1,18 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-Each text is cut where the gear hash of its last 16 bytes falls below a bound, so cuts
-depend on nearby content only and move along with insertions. Chunks are deduplicated by
-a 128-bit digest; a run of neighbouring chunks that other documents have too is a
-repeated passage. The copy of the smallest id stays.
-
-Digests are counted with map-side aggregation; the digests of more than one document are
-written to the shared folder and met with all chunks in a join that adaptive execution
-can split, so a passage that very many documents share does not end in one task.
+Texts are read as words. A text is cut before the words where the gear hash of the 16 bytes
+before them is the smallest of some window of neighbouring words, so cuts depend on nearby
+content only, move along with insertions, and are never far apart. Chunks are
+deduplicated by digest. A passage that documents share has whole chunks in common: its first cut that
+depends on the passage alone comes after EDGE words at most, its last one is at most CUT_WORDS
+words from its end. Around stretches of chunks that other documents have too, the windows of PASSAGE_WORDS words
+that this allows are held against each other by a 96-bit digest. What is
+reported is therefore exact to the word: a passage is a run of windows that another document has
+word for word. The copy of the smallest id stays.
+
+Digests are counted with map-side aggregation, and joins bring counts back to rows that
+adaptive execution can split, so a passage that very many documents share does not end in
+one task. Only what belongs to one document is gathered.
 """
 
 from __future__ import annotations
@@ -16,161 +21,232 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut
 
-#: Mean and largest bytes of a chunk; bytes that the rolling hash looks back on.
-MEAN, LARGEST, WINDOW = 32, 512, 16
-#: A repeated passage has at least so many words, counted to the far ends of the chunks beside it, of
-#: which so many lie in whole repeated chunks.
-PASSAGE_WORDS, SURE_WORDS = 50, 12
-#: The gear table: one fixed pseudo-random 16-bit value for each byte.
-GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 16, 256, np.uint16)
+#: A repeated passage has at least so many words.
+PASSAGE_WORDS = 50
+#: Words of which the one with the smallest hash is cut at; bytes that the rolling hash looks back on.
+CUT_WORDS, WINDOW = 15, 16
+#: From a passage's first word to its first sure cut: the looked-back bytes fill at most 8 words, and a window follows.
+EDGE = 8 + CUT_WORDS - 1
+#: Longer stretches whose chunks all come from the same documents are checked at chunk bounds and near their ends only.
+DENSE_WORDS = 120
+#: The gear table: one fixed pseudo-random 32-bit value for each byte.
+GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, np.uint32)
 _STEP = 1 << 22
+#: Rows of a batch that is handed on.
+_BATCH = 50_000
+#: The place of a null id: after all others.
+_LAST = 2**63 - 1
 
 
-def _cut_points(data: np.ndarray) -> np.ndarray:
-    """Places before which the rolling hash cuts."""
+def _gear(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rolling hash of the WINDOW bytes before each place."""
     found = []
     for start in range(0, len(data), _STEP):
-        low = max(0, start - WINDOW + 1)
+        low = max(0, start - WINDOW)
         h = GEAR[data[low : start + _STEP]]
         width = 1
         while width < WINDOW:  # hash of the last 2n bytes from two of the last n
             wider = h.copy()
-            wider[width:] += h[:-width] << np.uint16(width)
+            wider[width:] += h[:-width] << np.uint32(width)
             h, width = wider, 2 * width
-        found.append(np.flatnonzero(h[start - low :] < (1 << 16) // MEAN) + start + 1)
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
-
-
-def chunk_bounds(data: np.ndarray) -> np.ndarray:
-    """Bounds of the chunks of UTF-8 bytes, from 0 to the length; none splits a character."""
-    n = len(data)
-    points = _cut_points(data)
-    points = points[points < n]
-    for _ in range(3):  # on to where a character begins
-        inside = (data[points] & 0xC0) == 0x80
-        if not inside.any():
-            break
-        points = points + inside
-        points = points[points < n]
-    bounds = np.unique(np.concatenate([[0], points, [n]]))
-    long = np.flatnonzero(np.diff(bounds) > LARGEST)
-    if len(long):
-        extra = [np.arange(bounds[k] + LARGEST, bounds[k + 1], LARGEST) for k in long]
-        more = np.concatenate(extra)
-        for _ in range(3):
-            more = more - ((data[more] & 0xC0) == 0x80)
-        bounds = np.unique(np.concatenate([bounds, more]))
-    return bounds
-
-
-_COLUMNS = ("id", "row", "place", "near", "d1", "d2")
+        mine = at[np.searchsorted(at, start + 1) : np.searchsorted(at, start + _STEP, "right")]
+        found.append(h[mine - 1 - low])
+    return np.concatenate(found) if found else np.zeros(0, np.uint32)
+
+
+class Words:
+    """The words of a text, joined by one blank each: ``line`` and the bytes where they begin (and the end)."""
+
+    def __init__(self, text: str):
+        self.raw = text.encode("utf-8", "surrogatepass")
+        words = self.raw.split()
+        self.line = b" ".join(words) + b" " if words else b""
+        self.at = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=self.at[1:])
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """First code point of each word in the text, and the one behind it."""
+        data = np.frombuffer(self.raw, np.uint8)
+        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        return chars[edge[::2]], chars[edge[1::2]]
+
+    def bounds(self) -> np.ndarray:
+        """Words at which chunks begin, from 0 to the number of words."""
+        n = len(self)
+        if n <= CUT_WORDS:
+            return np.array([0, n] if n else [0])
+        h = np.concatenate([[np.int64(1) << 32], _gear(np.frombuffer(self.line, np.uint8), self.at[1:-1]).astype(np.int64)])
+        # a word is cut at if a window of neighbours holds no smaller hash, and no equal one behind it
+        reach = np.ones(n, np.int64)
+        left, right = np.ones(n, bool), np.ones(n, bool)
+        for k in range(1, CUT_WORDS):
+            left[:k], right[n - k :] = False, False
+            left[k:] &= h[:-k] >= h[k:]
+            right[:-k] &= h[k:] > h[:-k]
+            reach += left.astype(np.int64) + right
+        cuts = np.flatnonzero(reach >= CUT_WORDS)
+        return np.unique(np.concatenate([[0], cuts, [n]]))
+
+    def digests(self, bounds: np.ndarray) -> np.ndarray:
+        from xxhash import xxh3_64_intdigest as digest
+
+        at = self.at[bounds].tolist()
+        return np.array([digest(self.line[a:b]) for a, b in zip(at, at[1:], strict=False)], np.uint64).view(np.int64)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``key, owner, text``: a document is a text under an id. Repeated rows are one; a null id comes after all others."""
+    owner = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST))
+    return docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"), owner.alias("owner"), F.col(f"`{text_col}`").alias("text"))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-    from xxhash import xxh3_128_digest as digest
-
-    row = TaskContext.get().partitionId() << 36
-    held: list[tuple[np.ndarray, ...]] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def made() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=_COLUMNS)
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["digest", "key"])
         held.clear()
         return out
 
     for batch in batches:
-        for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            row += 1
-            raw = (x.as_py() or "").encode("utf-8", "surrogatepass")
-            if not raw:
+        for key, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = Words(x.as_py() or "")
+            if len(words) < PASSAGE_WORDS:
                 continue
-            data = np.frombuffer(raw, np.uint8)
-            bounds = chunk_bounds(data)
-            blank = (data == 32) | ((data >= 9) & (data <= 13))
-            opens = ~blank
-            opens[1:] &= blank[:-1]
-            words = np.diff(np.concatenate([[0], np.cumsum(opens)])[bounds])
-            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
-            at = bounds.tolist()
-            sums = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]), "<i8").reshape(-1, 2)
-            before, after = np.concatenate([[0], words[:-1]]), np.concatenate([words[1:], [0]])
-            n = len(words)
-            held.append((np.full(n, doc, np.int64), np.full(n, row, np.int64), (chars[:-1] << 20) | (np.diff(chars) << 10) | words, (before << 10) | after, sums[:, 0], sums[:, 1]))
-            size += n
-            if size >= 20_000:
+            digests = np.unique(words.digests(words.bounds()))
+            held.append((digests, np.full(len(digests), key, np.int64)))
+            size += len(digests)
+            if size >= _BATCH:
                 yield made()
                 size = 0
     if held:
         yield made()
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, row, place, near, d1, d2``: one row per chunk. ``place`` packs first code point, code points and
-    words; ``near`` the words of the chunks beside it; ``row`` numbers the input rows."""
-    last = 2**63 - 1  # a null id comes after all others
-    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(last)).alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(_chunks, T.StructType([T.StructField(c, T.LongType()) for c in _COLUMNS]))
+def stretches(shared: np.ndarray) -> list[tuple[int, int]]:
+    """First and last-but-one places of the runs of neighbouring shared chunks."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], shared.astype(np.int8), [0]])))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def window_starts(bounds: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """Words at which the windows begin that are held against other documents.
+
+    ``source`` tells for each chunk from which documents it comes, zero if no other document has it.
+    """
+    found = []
+    for a, b in stretches(source != 0):
+        first, last = int(bounds[a]), int(bounds[b])
+        low, high = max(0, first - EDGE), min(int(bounds[-1]), last + CUT_WORDS) - PASSAGE_WORDS
+        every = np.arange(low, high + 1)
+        if last - first > DENSE_WORDS and (source[a:b] == source[a]).all():
+            every = every[(every <= first) | (every + PASSAGE_WORDS >= last) | np.isin(every, bounds[a : b + 1])]
+        found.append(every)
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+_WINDOW = T.StructType([T.StructField("w", T.LongType()), T.StructField("v", T.IntegerType()), T.StructField("owner", T.LongType()), T.StructField("key", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("chars", T.IntegerType())])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from xxhash import xxh3_128_digest as digest
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            key, owner = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+            words = Words(batch.column(2)[k].as_py() or "")
+            marks = dict(zip(*(batch.column(3)[k].values.field(f).to_pylist() for f in ("digest", "source")), strict=True))
+            bounds = words.bounds()
+            source = np.array([marks.get(d, 0) for d in words.digests(bounds).tolist()], np.int64)
+            starts = window_starts(bounds, source)
+            for at in range(0, len(starts), _BATCH):
+                part = starts[at : at + _BATCH]
+                sums = np.frombuffer(b"".join([digest(words.line[a:b]) for a, b in zip(words.at[part].tolist(), words.at[part + PASSAGE_WORDS].tolist(), strict=True)]), np.dtype([("w", "<i8"), ("v", "<i4"), ("rest", "<i4")]))
+                first, last = words.places()
+                place, end = first[part], last[part + PASSAGE_WORDS - 1]
+                n = len(part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sums["w"].copy()), pa.array(sums["v"].copy()), pa.array(np.full(n, owner, np.int64)), pa.array(np.full(n, key, np.int64)), pa.array(part, pa.int32()), pa.array(place, pa.int64()), pa.array(end - place, pa.int32())],
+                    names=_WINDOW.names,
+                )
+
+
+def passages(windows: list[dict], owner: int, key: int) -> list[tuple[int, int, int, int, bool]]:
+    """``start, end, n_words, keep, kept`` from the repeated windows of a document: runs of windows that
+    overlap or touch and are kept by the same document."""
+    out: list[list] = []
+    for w in sorted(windows, key=lambda w: w["start"]):
+        source = (w["keep"], w["keep_key"])
+        if out and out[-1][4] == source and w["start"] <= out[-1][3]:
+            out[-1][1], out[-1][3] = w["place"] + w["chars"], w["start"] + PASSAGE_WORDS
+        else:
+            out.append([w["place"], w["place"] + w["chars"], w["start"], w["start"] + PASSAGE_WORDS, source])
+    return [(a, b, j - i, source[0], source == (owner, key)) for a, b, i, j, source in out]
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for k in range(batch.num_rows):
+            owner, key = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+            rows += [(owner, key, *p) for p in passages(batch.column(2)[k].as_py(), owner, key)]
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = [pa.int64()] * 6 + [pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["owner", "key", "start", "end", "n_words", "keep", "kept"])
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``owner, key, start, end, n_words, keep, kept`` of every repeated passage."""
+    texts = _keyed(docs, id_col, text_col)
+    pieces = texts.select("key", "text").mapInArrow(_chunks, "digest long, key long")
+    shared = cut(pieces.groupBy("digest").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("digest", F.xxhash64("low", "high").alias("source")))
+    marks = pieces.join(shared, "digest").groupBy("key").agg(F.collect_set(F.struct("digest", "source")).alias("marks"))
+    windows = cut(texts.join(marks, "key").select("key", "owner", "text", "marks").mapInArrow(_windows, _WINDOW))
+    one = F.struct("owner", "key")
+    repeated = windows.groupBy("w", "v").agg(F.min(one).alias("first"), F.max(one).alias("last")).filter("first < last").select("w", "v", F.col("first.owner").alias("keep"), F.col("first.key").alias("keep_key"))
+    mine = windows.join(cut(repeated), ["w", "v"])
+    each = mine.groupBy("owner", "key").agg(F.collect_set(F.struct("start", "place", "chars", "keep", "keep_key")).alias("windows"))
+    return each.mapInArrow(_passages, "owner long, key long, start long, end long, n_words long, keep long, kept boolean")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages that other documents have too: ``<id_col>, start, end, n_words, keep_id, kept``.
+    """Passages of PASSAGE_WORDS or more words that other documents have too: ``<id_col>, start, end, n_words, keep_id, kept``.
 
-    ``start`` and ``end`` (exclusive) count code points and take in whole repeated chunks, so a passage may
-    reach up to a chunk further on either side. ``kept`` tells whether this copy stays: it does in the
-    document of the smallest id (``keep_id``). A document without repeated passages has no row.
+    ``start`` and ``end`` (exclusive) count code points. ``kept`` tells whether this copy stays: it does in the document
+    of the smallest id (``keep_id``). A document without repeated passages has no row. Words are what blanks
+    (U+0009 to U+000D, space) part; how many blanks part them does not matter.
 
-    * Null and empty texts have no chunks. A passage that is repeated within one document only, and
-      repeated rows of one id, do not count. A null id comes after all others.
+    * Null and empty texts have no passage. A passage that is repeated within one document only does not count.
+    * A document is a text under an id: repeated rows are one document and reported once; rows of one id with other texts
+      are other documents, and so are rows of a null id, which come after all others.
     * An empty table gives no rows; other columns are not looked at.
     """
-    pieces = chunks(docs, id_col, text_col)
-    shared = cut(pieces.groupBy("d1", "d2").agg(F.min("id").alias("keep"), F.max("id").alias("most")).filter("keep < most").select("d1", "d2", "keep"))
-    found = pieces.join(shared, ["d1", "d2"]).select(
-        "id", "row", "near", "keep", F.shiftright("place", 20).alias("start"), F.shiftright("place", 10).bitwiseAND(1023).alias("chars"), F.col("place").bitwiseAND(1023).alias("words"),
-    )
-    order = Window.partitionBy("row").orderBy("start")
-    linked = found.withColumn("opens", (F.coalesce(F.lag(F.col("start") + F.col("chars")).over(order), F.lit(-1)) != F.col("start")).cast("int"))
-    runs = linked.withColumn("run", F.sum("opens").over(order))
-    whole = Window.partitionBy("row", "run")
-    sure = F.sum("words").over(whole)
-    reach = sure + F.shiftright(F.min_by("near", "start").over(whole), 10) + F.max_by("near", "start").over(whole).bitwiseAND(1023)
-    passages = runs.withColumns({"sure": sure, "reach": reach}).filter((F.col("sure") >= SURE_WORDS) & (F.col("reach") >= PASSAGE_WORDS))
-    inside = Window.partitionBy("row", "run").orderBy("start")
-
-    def stretches(frame: DataFrame, flag: str, name: str) -> DataFrame:
-        turns = frame.withColumn("turns", (F.lag(flag).over(inside) != F.col(flag)).cast("int"))
-        return turns.withColumn(name, F.sum(F.coalesce("turns", F.lit(0))).over(inside))
-
-    # a few words in the middle that happen to be seen first elsewhere go with the rest of the run
-    first = stretches(passages.withColumn("first", F.col("id") == F.col("keep")), "first", "stretch")
-    mostly = 2 * F.sum(F.when(F.col("first"), F.col("words")).otherwise(0)).over(whole) >= F.col("sure")
-    short = F.sum("words").over(Window.partitionBy("row", "run", "stretch")) < SURE_WORDS
-    flagged = stretches(first.withColumn("kept", F.when(short, mostly).otherwise(F.col("first"))), "kept", "part")
-    last = 2**63 - 1
-    out = flagged.groupBy("id", "row", "run", "part", "kept").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("chars")).alias("end"), F.sum("words").alias("n_words"),
-        # the common chunks of a passage come from smaller ids than the passage itself
-        F.max(F.when(F.col("keep") < F.col("id"), F.col("keep"))).alias("source"),
-    )
-    out = out.withColumn("keep_id", F.when(F.col("kept"), F.col("id")).otherwise(F.coalesce("source", "id")))
     ids = docs.schema[id_col].dataType
-    return out.select(F.nullif("id", F.lit(last)).cast(ids).alias(id_col), "start", "end", "n_words", F.nullif("keep_id", F.lit(last)).cast(ids).alias("keep_id"), "kept")
+    found = _found(docs, id_col, text_col)
+    return found.select(F.nullif("owner", F.lit(_LAST)).cast(ids).alias(id_col), "start", "end", "n_words", F.nullif("keep", F.lit(_LAST)).cast(ids).alias("keep_id"), "kept")
 
 
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the passages that do not stay; rows without such passages are as they were."""
-    gone = repeated_passages(docs, id_col, text_col).filter("not kept").groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cuts"))
-    joined = docs.join(cut(gone), docs[id_col].eqNullSafe(F.col("__id")), "left")
-    text = F.col(text_col)
-    keeps = F.transform(
-        F.concat(F.array(F.lit(0).cast("long")), F.col("__cuts.end")),
-        lambda a, k: F.substring(text, (a + 1).cast("int"), (F.coalesce(F.get(F.col("__cuts.start"), k), F.length(text).cast("long")) - a).cast("int")),
-    )
-    return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), text).otherwise(F.array_join(keeps, ""))).select(*docs.columns)
+    gone = _found(docs, id_col, text_col).filter("not kept").groupBy(F.col("key").alias("__key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cuts"))
+    joined = docs.join(cut(gone), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")) == F.col("__key"), "left")
+    text = F.col(f"`{text_col}`")
+    # passages may overlap: what stays lies between the furthest end so far and the next start
+    state = F.aggregate(
+        "__cuts", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("kept")),
+        lambda s, c: F.struct(F.greatest(s["at"], c["end"]).alias("at"), F.concat(s["kept"], F.when(c["start"] > s["at"], F.substring(text, (s["at"] + 1).cast("int"), (c["start"] - s["at"]).cast("int"))).otherwise("")).alias("kept")),
+    )
+    rest = F.concat(state["kept"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
+    return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), text).otherwise(rest)).select(*[f"`{c}`" for c in docs.columns])

@@ -105,49 +105,101 @@ def test_one_row_of_each_component_stays_with_null_and_repeated_ids(spark):
 
 
 def test_chunks_move_with_insertions():
-    import numpy as np
-
     rng = random.Random(5)
-    text = " ".join("".join(rng.choice("abcdefghijé") for _ in range(rng.randint(2, 8))) for _ in range(3000)).encode()
+    text = " ".join("".join(rng.choice("abcdefghijé") for _ in range(rng.randint(2, 8))) for _ in range(3000))
 
-    def pieces(raw):
-        b = substring_dedup.chunk_bounds(np.frombuffer(raw, np.uint8)).tolist()
-        assert b[0] == 0 and b[-1] == len(raw)
-        return [raw[i:j] for i, j in zip(b, b[1:], strict=False)]
+    def pieces(text):
+        words = substring_dedup.Words(text)
+        bounds = words.bounds().tolist()
+        assert bounds[0] == 0 and bounds[-1] == len(words) and max(b - a for a, b in zip(bounds, bounds[1:], strict=False)) <= substring_dedup.CUT_WORDS
+        return [words.line[words.at[i] : words.at[j]] for i, j in zip(bounds, bounds[1:], strict=False)]
 
-    plain, moved = pieces(text), pieces(b"something new " + text)
+    plain, moved = pieces(text), pieces("something new " + text)
     assert len(set(plain) & set(moved)) > 0.98 * len(set(plain))
-    assert all(p.decode() is not None for p in plain)
-    assert max(map(len, pieces(b"a" * 5000))) <= substring_dedup.LARGEST + 3
+    assert pieces("a " * 5000) and pieces("x" * 100_000) and substring_dedup.Words(" \n").bounds().tolist() == [0]
+
+
+@pytest.mark.parametrize("step", [substring_dedup._STEP, 64])
+def test_cuts_are_the_smallest_of_a_window(step, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_STEP", step)
+    rng = random.Random(8)
+    for n in (1, 15, 16, 40, 200):
+        words = substring_dedup.Words(" ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) for _ in range(n)))
+        h = [1 << 32]
+        for at in words.at[1:-1].tolist():
+            h.append(sum(int(substring_dedup.GEAR[c]) << k for k, c in enumerate(reversed(words.line[max(0, at - substring_dedup.WINDOW) : at]))) % 2**32)
+        w = substring_dedup.CUT_WORDS
+        want = {0, n} | {max(range(a, a + w), key=lambda i: (-h[i], i)) for a in range(n - w + 1) if n > w}
+        assert words.bounds().tolist() == sorted(want)
+
 
+VOCABULARIES = {"long": None, "letters": list("abcdefghijklmnopqrstuvwxyz"), "few": ["the", "of", "and", "it"]}
 
-def test_repeated_passages_are_caught_and_clean_documents_left(spark):
+
+@pytest.mark.parametrize("kind", VOCABULARIES)
+def test_repeated_passages_equal_brute_force_to_the_word(spark, kind):
+    """All windows of 50 words of all documents, held against each other."""
     rng = random.Random(7)
-    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
+    vocabulary = VOCABULARIES[kind] or ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
 
     def prose(n):
-        return " ".join(rng.choice(vocabulary) for _ in range(n))
-
-    rows = [[i, prose(rng.randint(60, 200))] for i in range(120)]
-    planted = set()
-    for k in range(20):
-        passage = prose(rng.randint(51, 100))
-        for j in (3 * k, 3 * k + 1, 3 * k + 2):
-            words = rows[j][1].split()
-            at = rng.randint(0, len(words))
-            rows[j][1] = " ".join([*words[:at], passage, *words[at:]])
-            planted.add(j)
-    for j in range(70, 90):  # a shared line is not a passage
-        rows[j][1] += " " + " ".join(vocabulary[:15])
-    rows += [[200, None], [201, ""], [202, rows[100][1] * 2], [202, rows[100][1] * 2]]
-    frame = docs_of(spark, [tuple(r) for r in rows])
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    rows = [[i, prose(rng.randint(0, 120))] for i in range(150)]
+    for k in range(40):
+        passage = prose(rng.choice([30, 48, 49, 50, 50, 51, 55, 70, 100, 300]))
+        for j in rng.sample(range(150), rng.choice([2, 2, 3, 40])):
+            at = rng.randint(0, len(rows[j][1]))
+            rows[j][1][at:at] = passage
+    rows = [(i, "".join(w + rng.choice([" ", " ", "\n", " \t"]) for w in words)) for i, words in rows]
+    lone = " ".join(prose(90))
+    twice = " ".join(prose(60))
+    rows += [(200, None), (201, ""), (202, twice + " and then " + twice), (202, twice + " and then " + twice), (None, lone), (None, "Other " + lone), (203, lone[5:]), (300, rows[3][1]), (300, rows[4][1])]
+    frame = docs_of(spark, [(*r, k, "x") for k, r in enumerate(rows)], ", key long, owner string")
     found = substring_dedup.repeated_passages(frame).collect()
-    assert {r["doc_id"] for r in found} == planted | {100, 202}
-    text = dict(map(tuple, rows))
+
+    windows = {}
+    for doc in set(rows):
+        words = (doc[1] or "").split()
+        for k in range(len(words) - 49):
+            windows.setdefault(" ".join(words[k : k + 50]), []).append((doc, k))
+    want = {}
+    for places in windows.values():
+        owners = {doc for doc, _ in places}
+        if len(owners) > 1:
+            keep = min(doc[0] if doc[0] is not None else 2**63 for doc in owners)
+            for doc, k in places:
+                want.setdefault(doc[0], set()).update(range(k, k + 50))
+    have = {}
     for r in found:
-        if not r["kept"]:
-            assert text[r["doc_id"]][r["start"] : r["end"]] in text[r["keep_id"]]
-    assert {r["doc_id"] for r in found if r["kept"]} >= {3 * k for k in range(20)} | {100}
-    cleaned = {r["doc_id"]: r["text"] for r in substring_dedup.without_passages(frame).collect()}
-    assert cleaned[119] == text[119] and len(cleaned[1]) < len(text[1]) and cleaned[200] is None
+        assert r["n_words"] >= 50 and r["kept"] <= (r["keep_id"] == r["doc_id"])
+        mine = [t for i, t in set(rows) if i == r["doc_id"]]
+        parts = [len(t[: r["start"]].split()) for t in mine if len((t or "")[r["start"] : r["end"]].split()) == r["n_words"]]
+        assert parts
+        have.setdefault(r["doc_id"], set()).update(range(parts[0], parts[0] + r["n_words"])) if len(mine) == 1 else have.setdefault(r["doc_id"], set())
+    assert set(have) == set(want) and keep is not None
+    single = [i for i in want if i not in (None, 300)]
+    assert all(have[i] == want[i] for i in single)
+    assert 202 not in have and None in have and 300 in have
     assert substring_dedup.repeated_passages(frame.limit(0)).count() == 0
+
+    cleaned = substring_dedup.without_passages(frame)
+    assert cleaned.columns == frame.columns and cleaned.count() == len(rows)
+    after = {}
+    for r in cleaned.collect():
+        words = (r["text"] or "").split()
+        for k in range(len(words) - 49):
+            after.setdefault(" ".join(words[k : k + 50]), set()).add(rows[r["key"]])
+    # no window stays in two documents (a cut may put two ends together anew), and every word of a passage stays somewhere
+    assert all(len(docs & {d for d, _ in windows.get(k, ())}) < 2 for k, docs in after.items())
+    if kind == "long":
+        assert {w for _, t in rows for w in (t or "").split()} == {w for r in cleaned.collect() for w in (r["text"] or "").split()}
+
+
+def test_passages_are_cut_by_row_not_by_id(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared, alone = prose(80), prose(120)
+    frame = docs_of(spark, [(1, "One " + shared), (5, "Two " + shared + " end"), (5, alone), (5, alone), (None, shared)])
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in substring_dedup.without_passages(frame).collect())
+    assert got == sorted([(1, "One " + shared), (5, "Two  end"), (5, alone), (5, alone), (0, "")])
