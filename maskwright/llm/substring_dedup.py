@@ -5,14 +5,21 @@ before them is the smallest of some window of neighbouring words, so cuts depend
 content only, move along with insertions, and are never far apart. Chunks are
 deduplicated by digest. A passage that documents share has whole chunks in common: its first cut that
 depends on the passage alone comes after EDGE words at most, its last one is at most CUT_WORDS
-words from its end. Around stretches of chunks that other documents have too, the windows of PASSAGE_WORDS words
-that this allows are held against each other by a 96-bit digest. What is
-reported is therefore exact to the word: a passage is a run of windows that another document has
-word for word. The copy of the smallest id stays.
+words from its end, and all chunks between are shared. That leaves stretches of shared chunks as candidates,
+which are verified by 96-bit digests of word windows:
+
+* at each cut, a window of PASSAGE_WORDS words, which other documents have as well (a passage, for sure),
+* and the SEED_WORDS words behind it. Every passage has such a seed that all its documents share. Seeds that
+  documents share away from sure passages are looked at again, with all windows around them, in all documents that have them.
+
+So a document is reported if and only if another one has PASSAGE_WORDS words of it in a row. What is reported is always shared
+word for word; the ends of a passage of more than PASSAGE_WORDS + EDGE words can lie up to EDGE words further out.
+The copy of the smallest id stays.
 
 Digests are counted with map-side aggregation, and joins bring counts back to rows that
 adaptive execution can split, so a passage that very many documents share does not end in
-one task. Only what belongs to one document is gathered.
+one task. Only what belongs to one document is gathered. Texts stay where they are as long as the
+candidates, which are counted, are few enough to broadcast.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import broadcast_if_small, cut, written
 
 #: A repeated passage has at least so many words.
 PASSAGE_WORDS = 50
@@ -33,8 +40,8 @@ PASSAGE_WORDS = 50
 CUT_WORDS, WINDOW = 15, 16
 #: From a passage's first word to its first sure cut: the looked-back bytes fill at most 8 words, and a window follows.
 EDGE = 8 + CUT_WORDS - 1
-#: Longer stretches whose chunks all come from the same documents are checked at chunk bounds and near their ends only.
-DENSE_WORDS = 120
+#: Words of a seed, with which a passage goes on behind its first sure cut; words that a passage's shared chunks have at least.
+SEED_WORDS, SURE_WORDS = PASSAGE_WORDS - EDGE, PASSAGE_WORDS - EDGE - CUT_WORDS
 #: The gear table: one fixed pseudo-random 32-bit value for each byte.
 GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, np.uint32)
 _STEP = 1 << 22
@@ -112,11 +119,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def made() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["digest", "key"])
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["digest", "key", "place"])
         held.clear()
         return out
 
@@ -125,9 +132,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Words(x.as_py() or "")
             if len(words) < PASSAGE_WORDS:
                 continue
-            digests = np.unique(words.digests(words.bounds()))
-            held.append((digests, np.full(len(digests), key, np.int64)))
-            size += len(digests)
+            bounds = words.bounds()
+            held.append((words.digests(bounds), np.full(len(bounds) - 1, key, np.int64), (bounds[:-1] << 8) | np.diff(bounds)))
+            size += len(bounds)
             if size >= _BATCH:
                 yield made()
                 size = 0
@@ -135,52 +142,82 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-def stretches(shared: np.ndarray) -> list[tuple[int, int]]:
-    """First and last-but-one places of the runs of neighbouring shared chunks."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], shared.astype(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+def stretches(places: list[int]) -> list[int]:
+    """First word and word behind each run of neighbouring chunks (``first word << 8 | words``) that is long enough for a passage."""
+    out: list[int] = []
+    first = last = -1
+    for place in [*sorted(places), 1 << 62]:
+        start = place >> 8
+        if start != last:
+            if last - first >= SURE_WORDS:
+                out += [first, last]
+            first = start
+        last = start + (place & 255)
+    return out
 
 
-def window_starts(bounds: np.ndarray, source: np.ndarray) -> np.ndarray:
-    """Words at which the windows begin that are held against other documents.
-
-    ``source`` tells for each chunk from which documents it comes, zero if no other document has it.
-    """
-    found = []
-    for a, b in stretches(source != 0):
-        first, last = int(bounds[a]), int(bounds[b])
-        low, high = max(0, first - EDGE), min(int(bounds[-1]), last + CUT_WORDS) - PASSAGE_WORDS
-        every = np.arange(low, high + 1)
-        if last - first > DENSE_WORDS and (source[a:b] == source[a]).all():
-            every = every[(every <= first) | (every + PASSAGE_WORDS >= last) | np.isin(every, bounds[a : b + 1])]
-        found.append(every)
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [stretches(places) for places in batch.column(1).to_pylist()]
+        keep = [k for k, f in enumerate(found) if f]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([found[k] for k in keep], pa.list_(pa.int64()))], names=["key", "spots"])
 
 
-_WINDOW = T.StructType([T.StructField("w", T.LongType()), T.StructField("v", T.IntegerType()), T.StructField("owner", T.LongType()), T.StructField("key", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("chars", T.IntegerType())])
+_WINDOW = T.StructType([T.StructField("w", T.LongType()), T.StructField("v", T.IntegerType()), T.StructField("owner", T.LongType()), T.StructField("key", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("chars", T.IntegerType())])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digested(words: Words, starts: np.ndarray, size: int, owner: int, key: int, places) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest as digest
 
+    first, last = places
+    for at in range(0, len(starts), _BATCH):
+        part = starts[at : at + _BATCH]
+        sums = np.frombuffer(b"".join([digest(words.line[a:b]) for a, b in zip(words.at[part].tolist(), words.at[part + size].tolist(), strict=True)]), np.dtype([("w", "<i8"), ("v", "<i4"), ("rest", "<i4")]))
+        place, end, n = first[part], last[part + size - 1], len(part)
+        columns = [sums["w"].copy(), sums["v"].copy(), np.full(n, owner, np.int64), np.full(n, key, np.int64), part.astype(np.int32), np.full(n, size, np.int32), place.astype(np.int64), (end - place).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_WINDOW.names)
+
+
+def _at_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of PASSAGE_WORDS and of SEED_WORDS words at the cuts of the stretches."""
     for batch in batches:
         for k in range(batch.num_rows):
             key, owner = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-            words = Words(batch.column(2)[k].as_py() or "")
-            marks = dict(zip(*(batch.column(3)[k].values.field(f).to_pylist() for f in ("digest", "source")), strict=True))
-            bounds = words.bounds()
-            source = np.array([marks.get(d, 0) for d in words.digests(bounds).tolist()], np.int64)
-            starts = window_starts(bounds, source)
-            for at in range(0, len(starts), _BATCH):
-                part = starts[at : at + _BATCH]
-                sums = np.frombuffer(b"".join([digest(words.line[a:b]) for a, b in zip(words.at[part].tolist(), words.at[part + PASSAGE_WORDS].tolist(), strict=True)]), np.dtype([("w", "<i8"), ("v", "<i4"), ("rest", "<i4")]))
-                first, last = words.places()
-                place, end = first[part], last[part + PASSAGE_WORDS - 1]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sums["w"].copy()), pa.array(sums["v"].copy()), pa.array(np.full(n, owner, np.int64)), pa.array(np.full(n, key, np.int64)), pa.array(part, pa.int32()), pa.array(place, pa.int64()), pa.array(end - place, pa.int32())],
-                    names=_WINDOW.names,
-                )
+            words, spots = Words(batch.column(2)[k].as_py() or ""), batch.column(3)[k].as_py()
+            bounds, places = words.bounds()[:-1], words.places()
+            for size in (SEED_WORDS, PASSAGE_WORDS):
+                starts = [bounds[(bounds >= a) & (bounds < b) & (bounds + size <= min(b + CUT_WORDS, len(words)))] for a, b in zip(spots[::2], spots[1::2], strict=True)]
+                if size == PASSAGE_WORDS and spots[-1] == len(words):  # a text's end is a bound as well
+                    starts.append(np.array([len(words) - size]))
+                yield from _digested(words, np.unique(np.concatenate(starts)), size, owner, key, places)
+
+
+def _around_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of PASSAGE_WORDS words around the seeds that begin at the given words."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            key, owner = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+            words, seeds = Words(batch.column(2)[k].as_py() or ""), np.array(batch.column(3)[k].as_py(), np.int64)
+            starts = np.unique(seeds[:, None] - np.arange(EDGE + 1))
+            yield from _digested(words, starts[(starts >= 0) & (starts + PASSAGE_WORDS <= len(words))], PASSAGE_WORDS, owner, key, words.places())
+
+
+def open_seeds(windows: list[dict]) -> list[dict]:
+    """The shared seeds of a document that no shared window of PASSAGE_WORDS words overlaps."""
+    sure = sorted(w["start"] for w in windows if w["words"] == PASSAGE_WORDS)
+    starts, out = np.array(sure, np.int64), []
+    for w in windows:
+        if w["words"] == SEED_WORDS:
+            k = int(np.searchsorted(starts, w["start"] - PASSAGE_WORDS, "right"))
+            if k == len(sure) or sure[k] >= w["start"] + SEED_WORDS:
+                out.append(w)
+    return out
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [w for windows in batch.column(1).to_pylist() for w in open_seeds(windows)]
+        yield pa.RecordBatch.from_arrays([pa.array([w["w"] for w in found], pa.int64()), pa.array([w["v"] for w in found], pa.int32())], names=["w", "v"])
 
 
 def passages(windows: list[dict], owner: int, key: int) -> list[tuple[int, int, int, int, bool]]:
@@ -207,17 +244,27 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["owner", "key", "start", "end", "n_words", "keep", "kept"])
 
 
+def _shared(windows: DataFrame) -> DataFrame:
+    """``windows`` that more than one document has, with the document that keeps them."""
+    one = F.struct("owner", "key")
+    repeated = windows.groupBy("w", "v").agg(F.min(one).alias("first"), F.max(one).alias("last")).filter("first < last")
+    return windows.join(repeated.select("w", "v", F.col("first.owner").alias("keep"), F.col("first.key").alias("keep_key")), ["w", "v"])
+
+
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``owner, key, start, end, n_words, keep, kept`` of every repeated passage."""
     texts = _keyed(docs, id_col, text_col)
-    pieces = texts.select("key", "text").mapInArrow(_chunks, "digest long, key long")
-    shared = cut(pieces.groupBy("digest").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("digest", F.xxhash64("low", "high").alias("source")))
-    marks = pieces.join(shared, "digest").groupBy("key").agg(F.collect_set(F.struct("digest", "source")).alias("marks"))
-    windows = cut(texts.join(marks, "key").select("key", "owner", "text", "marks").mapInArrow(_windows, _WINDOW))
-    one = F.struct("owner", "key")
-    repeated = windows.groupBy("w", "v").agg(F.min(one).alias("first"), F.max(one).alias("last")).filter("first < last").select("w", "v", F.col("first.owner").alias("keep"), F.col("first.key").alias("keep_key"))
-    mine = windows.join(cut(repeated), ["w", "v"])
-    each = mine.groupBy("owner", "key").agg(F.collect_set(F.struct("start", "place", "chars", "keep", "keep_key")).alias("windows"))
+    pieces = texts.select("key", "text").mapInArrow(_chunks, "digest long, key long, place long")
+    shared = cut(pieces.groupBy("digest").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("digest"))
+    spots = pieces.join(shared, "digest").groupBy("key").agg(F.collect_set("place").alias("places")).mapInArrow(_stretches, "key long, spots array<long>")
+    first = texts.join(broadcast_if_small(cut(spots)), "key").select("key", "owner", "text", "spots").mapInArrow(_at_cuts, _WINDOW)
+    first = written(first, "windows")
+    mine = written(_shared(first), "shared")
+    seeds = mine.groupBy("key").agg(F.collect_set(F.struct("w", "v", "start", "words")).alias("windows")).mapInArrow(_open, "w long, v int").distinct()
+    again = first.join(broadcast_if_small(cut(seeds)), ["w", "v"], "left_semi").groupBy("key").agg(F.collect_set("start").alias("seeds"))
+    second = texts.join(broadcast_if_small(cut(again)), "key").select("key", "owner", "text", "seeds").mapInArrow(_around_seeds, _WINDOW)
+    every = mine.filter(F.col("words") == PASSAGE_WORDS).unionByName(_shared(written(second, "windows")))
+    each = every.groupBy("owner", "key").agg(F.collect_set(F.struct("start", "place", "chars", "keep", "keep_key")).alias("windows"))
     return each.mapInArrow(_passages, "owner long, key long, start long, end long, n_words long, keep long, kept boolean")
 
 
