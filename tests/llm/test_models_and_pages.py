@@ -68,10 +68,65 @@ def test_base_spans_equal_brute_force():
     assert pii.base_spans("a" * 200_000 + "1" * 200_000 + ".1" * 100_000) is not None  # linear in runs
 
 
+def brute_estimate(spans, rounds=200):
+    """Expectation-maximisation over single spans ``(kind, votes)``, written out."""
+    p = [1 / (1 + math.exp(-(v.count("+") - 2 * v.count("-") - 1))) for _, v in spans]
+    signs = "0+-"
+    for _ in range(rounds):
+        prior, like = {}, {}
+        for kind in {k for k, _ in spans}:
+            mine = [q for q, (k, _) in zip(p, spans, strict=True) if k == kind]
+            prior[kind] = (sum(mine) + 1) / (len(mine) + 2)
+        for side in (0, 1):
+            q = [x if side else 1 - x for x in p]
+            for j in range(len(spans[0][1])):
+                every = [sum(x for x, (_, v) in zip(q, spans, strict=True) if v[j] == s) + pii.LEAN[1 - side][n] for n, s in enumerate(signs)]
+                every = [e / sum(every) for e in every]
+                for kind in prior:
+                    mine = [sum(x for x, (k, v) in zip(q, spans, strict=True) if k == kind and v[j] == s) + pii.SHRINK * e for s, e in zip(signs, every, strict=True)]
+                    like[side, j, kind] = [m / sum(mine) for m in mine]
+        p = []
+        for kind, v in spans:
+            odds = math.log(prior[kind] / (1 - prior[kind]))
+            for j, s in enumerate(v):
+                odds += math.log(like[1, j, kind][signs.index(s)] / like[0, j, kind][signs.index(s)])
+            p.append(1 / (1 + math.exp(-max(min(odds, 30), -30))))
+    return p
+
+
+def test_expectation_maximisation_equals_brute_force_over_spans():
+    rng = random.Random(5)
+    for rounds in (1, 3, 25):
+        spans = [(rng.randrange(3), "".join(rng.choice("0+-") for _ in range(4))) for _ in range(200)]
+        counts = Counter(spans)
+        got = dict(zip(counts, pii.estimate([(*k, n) for k, n in counts.items()], rounds), strict=True))
+        assert max(abs(got[s] - q) for s, q in zip(spans, brute_estimate(spans, rounds), strict=True)) < 1e-9
+    assert len(pii.estimate([])) == 0 and pii.fit([]) == {}
+
+
+def test_supervision_accepts_secrets_and_rejects_numbers_without_a_checksum(spark):
+    """On rows of the test table: what the labelers, not the base rules, decide."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: r for r in pii.find_spans(docs).select("doc_id", pii.spans_text(F.col("base")).alias("base"), pii.spans_text(F.col("spans")).alias("spans")).collect()}
+    secrets = numbers = 0
+    for r in docs.collect():
+        text, mine = r["text"] or "", got[r["doc_id"]]
+        base = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in brute_spans(text)]
+        assert sorted(base) == sorted(x for x in mine["base"].split(",") if x) and set(base) <= set(mine["spans"].split(",")) | {""}
+        for m in re.finditer(r'(?i)token = "([0-9a-f]{32,64})"', text):
+            secrets += 1
+            assert f"secret:{m.start(1)}:{m.end(1)}" in mine["spans"]
+        for m in re.finditer(r"(?<![0-9])[0-9]{16}(?![0-9])", text):
+            if not pii.luhn(m[0]):
+                numbers += 1
+                assert f"card:{m.start()}:" not in mine["spans"]
+    assert secrets > 5 and numbers > 5
+
+
 def test_pii_rows(spark):
     said = "Call (212) 555-0199 or write to a.b@mail.example.com. Dr. Maria Gomez, 10.0.0.1"
     rows = [(1, said, 5), (1, said, 5), (2, None, 0), (3, "", 0), (None, "nothing here", 12)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({"spans": F.lit("s"), "found": F.lit(1), "base": F.lit(True)})
     got = pii.find_spans(docs).select("doc_id", pii.spans_text(F.col("base")).alias("base"), pii.spans_text(F.col("spans")).alias("spans")).collect()
     assert len(got) == 5
     mine = next(r for r in got if r["doc_id"] == 1)
@@ -81,7 +136,8 @@ def test_pii_rows(spark):
     clean = {r["doc_id"]: r for r in pii.redact(docs).collect()}
     assert "@" not in clean[1]["text"] and "[EMAIL]" in clean[1]["text"] and clean[1]["n_chars"] == len(clean[1]["text"])
     assert clean[2]["text"] is None and clean[None]["text"] == "nothing here" and clean[None]["n_chars"] == 12
-    assert pii.find_spans(docs.limit(0)).count() == 0
+    assert clean[1]["spans"] == "s" and pii.redact(docs).columns == docs.columns and pii.redact(docs).count() == 5
+    assert pii.find_spans(docs.limit(0)).count() == 0 == pii.redact(docs.limit(0)).count()
 
 
 def test_pages_have_the_text_of_their_article(spark):
