@@ -42,8 +42,12 @@ CUT_WORDS, WINDOW = 15, 16
 EDGE = 8 + CUT_WORDS - 1
 #: Words of a seed, with which a passage goes on behind its first sure cut; words that a passage's shared chunks have at least.
 SEED_WORDS, SURE_WORDS = PASSAGE_WORDS - EDGE, PASSAGE_WORDS - EDGE - CUT_WORDS
-#: The gear table: one fixed pseudo-random 32-bit value for each byte.
+#: The gear table: one fixed pseudo-random 32-bit value for each byte; U+0000, which parts texts, counts as nothing.
 GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, np.uint32)
+GEAR[0] = 0
+#: Values of bytes and multiplier of the chunks' digests: sums of values times powers, which can be taken for all chunks at once.
+_VALUES = np.random.Generator(np.random.PCG64(20240301)).integers(0, 1 << 64, 256, np.uint64)
+_POWER = 0x9E3779B97F4A7C15
 _STEP = 1 << 22
 #: Rows of a batch that is handed on.
 _BATCH = 50_000
@@ -67,6 +71,75 @@ def _gear(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint32)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out, dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(_POWER, 1 << 16), _powers(pow(_POWER, -1, 1 << 64), 1 << 16)
+
+
+def _power(table: np.ndarray, base: int, at: np.ndarray) -> np.ndarray:
+    """``base`` to the power of each place."""
+    coarse = _powers(pow(base, 1 << 16, 1 << 64), int(at.max(initial=0) >> 16) + 1)
+    return coarse[at >> 16] * table[at & 0xFFFF]
+
+
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit digests of ``data[start:end]``, from differences of running sums; they choose candidates only."""
+    edges = np.unique(np.concatenate([starts, ends]))
+    sums = np.zeros(len(edges), np.uint64)
+    carry = np.uint64(0)
+    for low in range(0, len(data), 1 << 16):
+        part = data[low : low + (1 << 16)]
+        run = np.cumsum(_VALUES[part] * _UP[: len(part)], dtype=np.uint64) * np.uint64(pow(_POWER, low, 1 << 64)) + carry
+        i, j = np.searchsorted(edges, (low + 1, low + len(part) + 1))
+        sums[i:j] = run[edges[i:j] - 1 - low]
+        carry = run[-1]
+    x = (sums[np.searchsorted(edges, ends)] - sums[np.searchsorted(edges, starts)]) * _power(_DOWN, pow(_POWER, -1, 1 << 64), starts)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def _texts(words: list[list[bytes]]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of texts, each followed by a blank, where they begin (and the end), and the number of the word before each
+    text: one of bytes that the rolling hash does not see parts texts."""
+    every: list[bytes] = []
+    before = []
+    for text in words:
+        before.append(len(every))
+        every.append(b"\0" * WINDOW)
+        every += text
+    before.append(len(every))
+    every.append(b"\0" * WINDOW)
+    at = np.zeros(len(every) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, every), np.int64, len(every)) + 1, out=at[1:])
+    return b" ".join(every) + b" ", at, np.array(before, np.int64)
+
+
+def cuts(data: np.ndarray, at: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Numbers of the words before which texts are cut, and of their first words."""
+    n = len(at) - 1
+    h = np.empty(n, np.int64)
+    h[1:] = _gear(data, at[1:-1])
+    h[(before + 1)[:-1]] = 1 << 32
+    h[before] = -1  # no window of a text goes beyond it
+    # a word is cut at if a window of neighbours holds no smaller hash, and no equal one behind it
+    reach = np.ones(n, np.int8)
+    left, right = np.ones(n, bool), np.ones(n, bool)
+    for k in range(1, CUT_WORDS):
+        left[:k], right[n - k :] = False, False
+        left[k:] &= h[:-k] >= h[k:]
+        right[:-k] &= h[k:] > h[:-k]
+        reach += left
+        reach += right
+    chosen = reach >= CUT_WORDS
+    chosen[(before + 1)[:-1]] = True
+    chosen[before] = False
+    return np.flatnonzero(chosen)
+
+
 class Words:
     """The words of a text, joined by one blank each: ``line`` and the bytes where they begin (and the end)."""
 
@@ -85,32 +158,11 @@ class Words:
         data = np.frombuffer(self.raw, np.uint8)
         blank = (data == 32) | ((data >= 9) & (data <= 13))
         edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
+        if self.raw.isascii():
+            return edge[::2], edge[1::2]
         chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         return chars[edge[::2]], chars[edge[1::2]]
 
-    def bounds(self) -> np.ndarray:
-        """Words at which chunks begin, from 0 to the number of words."""
-        n = len(self)
-        if n <= CUT_WORDS:
-            return np.array([0, n] if n else [0])
-        h = np.concatenate([[np.int64(1) << 32], _gear(np.frombuffer(self.line, np.uint8), self.at[1:-1]).astype(np.int64)])
-        # a word is cut at if a window of neighbours holds no smaller hash, and no equal one behind it
-        reach = np.ones(n, np.int64)
-        left, right = np.ones(n, bool), np.ones(n, bool)
-        for k in range(1, CUT_WORDS):
-            left[:k], right[n - k :] = False, False
-            left[k:] &= h[:-k] >= h[k:]
-            right[:-k] &= h[k:] > h[:-k]
-            reach += left.astype(np.int64) + right
-        cuts = np.flatnonzero(reach >= CUT_WORDS)
-        return np.unique(np.concatenate([[0], cuts, [n]]))
-
-    def digests(self, bounds: np.ndarray) -> np.ndarray:
-        from xxhash import xxh3_64_intdigest as digest
-
-        at = self.at[bounds].tolist()
-        return np.array([digest(self.line[a:b]) for a, b in zip(at, at[1:], strict=False)], np.uint64).view(np.int64)
-
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``key, owner, text``: a document is a text under an id. Repeated rows are one; a null id comes after all others."""
@@ -118,23 +170,36 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"), owner.alias("owner"), F.col(f"`{text_col}`").alias("text"))
 
 
+def chunks(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``text, place, digest`` of all chunks of texts (lists of words): number of the text, ``first word << 8 | words``, digest."""
+    line, at, before = _texts(texts)
+    data = np.frombuffer(line, np.uint8)
+    starts = cuts(data, at, before)
+    text = np.searchsorted(before, starts) - 1
+    ends = np.minimum(np.append(starts[1:], before[-1]), before[text + 1])
+    return text, ((starts - before[text] - 1) << 8) | (ends - starts), _digests(data, at[starts], at[ends])
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, ...]] = []
+    keys: list[int] = []
+    held: list[list[bytes]] = []
     size = 0
 
     def made() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["digest", "key", "place"])
+        text, place, digest = chunks(held)
+        out = pa.RecordBatch.from_arrays([pa.array(digest), pa.array(np.array(keys, np.int64)[text]), pa.array(place)], names=["digest", "key", "place"])
+        keys.clear()
         held.clear()
         return out
 
     for batch in batches:
         for key, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = Words(x.as_py() or "")
+            words = (x.as_py() or "").encode("utf-8", "surrogatepass").split()
             if len(words) < PASSAGE_WORDS:
                 continue
-            bounds = words.bounds()
-            held.append((words.digests(bounds), np.full(len(bounds) - 1, key, np.int64), (bounds[:-1] << 8) | np.diff(bounds)))
-            size += len(bounds)
+            keys.append(key)
+            held.append(words)
+            size += len(words)
             if size >= _BATCH:
                 yield made()
                 size = 0
@@ -142,113 +207,136 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-def stretches(places: list[int]) -> list[int]:
-    """First word and word behind each run of neighbouring chunks (``first word << 8 | words``) that is long enough for a passage."""
-    out: list[int] = []
-    first = last = -1
-    for place in [*sorted(places), 1 << 62]:
-        start = place >> 8
-        if start != last:
-            if last - first >= SURE_WORDS:
-                out += [first, last]
-            first = start
-        last = start + (place & 255)
-    return out
+def spots(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which chunks, ordered by ``owner`` and place, lie in runs of neighbours that are long enough for a passage, and the word behind each one's run."""
+    start, end = place >> 8, (place >> 8) + (place & 255)
+    opens = np.ones(len(place), bool)
+    opens[1:] = (owner[1:] != owner[:-1]) | (start[1:] != end[:-1])
+    run = np.cumsum(opens) - 1
+    first, last = np.flatnonzero(opens), np.append(np.flatnonzero(opens)[1:], len(place)) - 1
+    if not len(place):
+        return opens, end
+    return (end[last] - start[first] >= SURE_WORDS)[run], end[last][run]
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Number of the row of each element, and the elements."""
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten()
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [stretches(places) for places in batch.column(1).to_pylist()]
-        keep = [k for k, f in enumerate(found) if f]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([found[k] for k in keep], pa.list_(pa.int64()))], names=["key", "spots"])
+        owner, place = _lists(batch.column(1))
+        place = place.to_numpy()
+        order = np.lexsort((place, owner))
+        owner, place = owner[order], place[order]
+        keep, behind = spots(owner, place)
+        owner, start, behind = owner[keep], place[keep] >> 8, behind[keep]
+        rows = np.unique(owner)
+        offsets = pa.array(np.searchsorted(owner, np.append(rows, batch.num_rows)), pa.int32())
+        arrays = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (start, behind)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *arrays], names=["key", "starts", "behind"])
 
 
 _WINDOW = T.StructType([T.StructField("w", T.LongType()), T.StructField("v", T.IntegerType()), T.StructField("owner", T.LongType()), T.StructField("key", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("chars", T.IntegerType())])
 
 
-def _digested(words: Words, starts: np.ndarray, size: int, owner: int, key: int, places) -> Iterator[pa.RecordBatch]:
+def _digested(words: Words, starts: np.ndarray, size: int, owner: int, key: int, places) -> tuple[np.ndarray, ...]:
+    """The columns of _WINDOW for windows of ``size`` words."""
     from xxhash import xxh3_128_digest as digest
 
-    first, last = places
-    for at in range(0, len(starts), _BATCH):
-        part = starts[at : at + _BATCH]
-        sums = np.frombuffer(b"".join([digest(words.line[a:b]) for a, b in zip(words.at[part].tolist(), words.at[part + size].tolist(), strict=True)]), np.dtype([("w", "<i8"), ("v", "<i4"), ("rest", "<i4")]))
-        place, end, n = first[part], last[part + size - 1], len(part)
-        columns = [sums["w"].copy(), sums["v"].copy(), np.full(n, owner, np.int64), np.full(n, key, np.int64), part.astype(np.int32), np.full(n, size, np.int32), place.astype(np.int64), (end - place).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_WINDOW.names)
+    line, n = words.line, len(starts)
+    sums = np.frombuffer(b"".join([digest(line[a:b]) for a, b in zip(words.at[starts].tolist(), words.at[starts + size].tolist(), strict=True)]), np.dtype([("w", "<i8"), ("v", "<i4"), ("rest", "<i4")]))
+    place, end = places[0][starts], places[1][starts + size - 1]
+    return sums["w"], sums["v"], np.full(n, owner, np.int64), np.full(n, key, np.int64), starts.astype(np.int32), np.full(n, size, np.int32), place.astype(np.int64), (end - place).astype(np.int32)
+
+
+def _window_batches(windows: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for columns in windows:
+        held.append(columns)
+        size += len(columns[0])
+        if size >= _BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=_WINDOW.names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=_WINDOW.names)
 
 
 def _at_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of PASSAGE_WORDS and of SEED_WORDS words at the cuts of the stretches."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            key, owner = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-            words, spots = Words(batch.column(2)[k].as_py() or ""), batch.column(3)[k].as_py()
-            bounds, places = words.bounds()[:-1], words.places()
-            for size in (SEED_WORDS, PASSAGE_WORDS):
-                starts = [bounds[(bounds >= a) & (bounds < b) & (bounds + size <= min(b + CUT_WORDS, len(words)))] for a, b in zip(spots[::2], spots[1::2], strict=True)]
-                if size == PASSAGE_WORDS and spots[-1] == len(words):  # a text's end is a bound as well
-                    starts.append(np.array([len(words) - size]))
-                yield from _digested(words, np.unique(np.concatenate(starts)), size, owner, key, places)
+
+    def windows():
+        for batch in batches:
+            for k in range(batch.num_rows):
+                key, owner, words = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), Words(batch.column(2)[k].as_py() or "")
+                starts, behind = (batch.column(c)[k].values.to_numpy().astype(np.int64) for c in (3, 4))
+                places, most = words.places(), np.minimum(behind + CUT_WORDS, len(words))
+                for size in (SEED_WORDS, PASSAGE_WORDS):
+                    mine = starts[starts + size <= most]
+                    if size == PASSAGE_WORDS and behind[-1] == len(words):  # a text's end is a bound as well
+                        mine = np.union1d(mine, [len(words) - size])
+                    yield _digested(words, mine, size, owner, key, places)
+
+    return _window_batches(windows())
 
 
 def _around_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All windows of PASSAGE_WORDS words around the seeds that begin at the given words."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            key, owner = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-            words, seeds = Words(batch.column(2)[k].as_py() or ""), np.array(batch.column(3)[k].as_py(), np.int64)
-            starts = np.unique(seeds[:, None] - np.arange(EDGE + 1))
-            yield from _digested(words, starts[(starts >= 0) & (starts + PASSAGE_WORDS <= len(words))], PASSAGE_WORDS, owner, key, words.places())
+
+    def windows():
+        for batch in batches:
+            for k in range(batch.num_rows):
+                key, owner, words = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), Words(batch.column(2)[k].as_py() or "")
+                starts = np.unique(np.array(batch.column(3)[k].as_py(), np.int64)[:, None] - np.arange(EDGE + 1))
+                yield _digested(words, starts[(starts >= 0) & (starts + PASSAGE_WORDS <= len(words))], PASSAGE_WORDS, owner, key, words.places())
+
+    return _window_batches(windows())
 
 
-def open_seeds(windows: list[dict]) -> list[dict]:
-    """The shared seeds of a document that no shared window of PASSAGE_WORDS words overlaps."""
-    sure = sorted(w["start"] for w in windows if w["words"] == PASSAGE_WORDS)
-    starts, out = np.array(sure, np.int64), []
-    for w in windows:
-        if w["words"] == SEED_WORDS:
-            k = int(np.searchsorted(starts, w["start"] - PASSAGE_WORDS, "right"))
-            if k == len(sure) or sure[k] >= w["start"] + SEED_WORDS:
-                out.append(w)
-    return out
+def open_seeds(owner: np.ndarray, start: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which shared windows are seeds that no shared window of PASSAGE_WORDS words of the same ``owner`` overlaps."""
+    far = np.int64(1) << 40
+    sure = np.sort(owner[words == PASSAGE_WORDS] * far + start[words == PASSAGE_WORDS])
+    at = owner * far + start
+    # no sure window begins in between
+    return (words == SEED_WORDS) & (np.searchsorted(sure, at + SEED_WORDS) == np.searchsorted(sure, np.maximum(at - PASSAGE_WORDS + 1, owner * far)))
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [w for windows in batch.column(1).to_pylist() for w in open_seeds(windows)]
-        yield pa.RecordBatch.from_arrays([pa.array([w["w"] for w in found], pa.int64()), pa.array([w["v"] for w in found], pa.int32())], names=["w", "v"])
+        owner, found = _lists(batch.column(1))
+        keep = open_seeds(owner, *(found.field(c).to_numpy().astype(np.int64) for c in ("start", "words")))
+        yield pa.RecordBatch.from_arrays([found.field(c).filter(pa.array(keep)) for c in ("w", "v")], names=["w", "v"])
 
 
-def passages(windows: list[dict], owner: int, key: int) -> list[tuple[int, int, int, int, bool]]:
-    """``start, end, n_words, keep, kept`` from the repeated windows of a document: runs of windows that
-    overlap or touch and are kept by the same document."""
-    out: list[list] = []
-    for w in sorted(windows, key=lambda w: w["start"]):
-        source = (w["keep"], w["keep_key"])
-        if out and out[-1][4] == source and w["start"] <= out[-1][3]:
-            out[-1][1], out[-1][3] = w["place"] + w["chars"], w["start"] + PASSAGE_WORDS
-        else:
-            out.append([w["place"], w["place"] + w["chars"], w["start"], w["start"] + PASSAGE_WORDS, source])
-    return [(a, b, j - i, source[0], source == (owner, key)) for a, b, i, j, source in out]
+def passages(owner: np.ndarray, start: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last windows of passages: of windows ordered by ``owner`` and start, the runs that overlap or touch and have one source."""
+    opens = np.ones(len(start), bool)
+    opens[1:] = (owner[1:] != owner[:-1]) | (source[1:] != source[:-1]).any(axis=1) | (start[1:] > start[:-1] + PASSAGE_WORDS)
+    first = np.flatnonzero(opens)
+    return first, np.append(first[1:], len(start)) - 1 if len(start) else first
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for k in range(batch.num_rows):
-            owner, key = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-            rows += [(owner, key, *p) for p in passages(batch.column(2)[k].as_py(), owner, key)]
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = [pa.int64()] * 6 + [pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["owner", "key", "start", "end", "n_words", "keep", "kept"])
+        row, found = _lists(batch.column(2))
+        start, place, chars, keep, keep_key = (found.field(c).to_numpy().astype(np.int64) for c in ("start", "place", "chars", "keep", "keep_key"))
+        order = np.lexsort((start, row))
+        row, start, place, chars, keep, keep_key = (c[order] for c in (row, start, place, chars, keep, keep_key))
+        a, b = passages(row, start, np.stack([keep, keep_key], axis=1))
+        owner, key = (batch.column(c).to_numpy()[row[a]] for c in (0, 1))
+        columns = [owner, key, place[a], place[b] + chars[b], start[b] + PASSAGE_WORDS - start[a], keep[a], (keep[a] == owner) & (keep_key[a] == key)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["owner", "key", "start", "end", "n_words", "keep", "kept"])
 
 
 def _shared(windows: DataFrame) -> DataFrame:
     """``windows`` that more than one document has, with the document that keeps them."""
     one = F.struct("owner", "key")
     repeated = windows.groupBy("w", "v").agg(F.min(one).alias("first"), F.max(one).alias("last")).filter("first < last")
-    return windows.join(repeated.select("w", "v", F.col("first.owner").alias("keep"), F.col("first.key").alias("keep_key")), ["w", "v"])
+    # written, so that a hot window's rows can be split in the join
+    return windows.join(written(repeated.select("w", "v", F.col("first.owner").alias("keep"), F.col("first.key").alias("keep_key")), "repeated"), ["w", "v"])
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -256,8 +344,8 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = _keyed(docs, id_col, text_col)
     pieces = texts.select("key", "text").mapInArrow(_chunks, "digest long, key long, place long")
     shared = cut(pieces.groupBy("digest").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("digest"))
-    spots = pieces.join(shared, "digest").groupBy("key").agg(F.collect_set("place").alias("places")).mapInArrow(_stretches, "key long, spots array<long>")
-    first = texts.join(broadcast_if_small(cut(spots)), "key").select("key", "owner", "text", "spots").mapInArrow(_at_cuts, _WINDOW)
+    spotted = pieces.join(shared, "digest").groupBy("key").agg(F.collect_set("place").alias("places")).mapInArrow(_stretches, "key long, starts array<int>, behind array<int>")
+    first = texts.join(broadcast_if_small(cut(spotted)), "key").select("key", "owner", "text", "starts", "behind").mapInArrow(_at_cuts, _WINDOW)
     first = written(first, "windows")
     mine = written(_shared(first), "shared")
     seeds = mine.groupBy("key").agg(F.collect_set(F.struct("w", "v", "start", "words")).alias("windows")).mapInArrow(_open, "w long, v int").distinct()

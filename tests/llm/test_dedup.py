@@ -109,28 +109,33 @@ def test_chunks_move_with_insertions():
     text = " ".join("".join(rng.choice("abcdefghijé") for _ in range(rng.randint(2, 8))) for _ in range(3000))
 
     def pieces(text):
-        words = substring_dedup.Words(text)
-        bounds = words.bounds().tolist()
-        assert bounds[0] == 0 and bounds[-1] == len(words) and max(b - a for a, b in zip(bounds, bounds[1:], strict=False)) <= substring_dedup.CUT_WORDS
-        return [words.line[words.at[i] : words.at[j]] for i, j in zip(bounds, bounds[1:], strict=False)]
+        words = text.encode().split()
+        _, place, digest = substring_dedup.chunks([words])
+        assert [*(place >> 8), len(words)] == [0, *((place >> 8) + (place & 255))] and max(place & 255) <= substring_dedup.CUT_WORDS
+        return digest.tolist()
 
     plain, moved = pieces(text), pieces("something new " + text)
     assert len(set(plain) & set(moved)) > 0.98 * len(set(plain))
-    assert pieces("a " * 5000) and pieces("x" * 100_000) and substring_dedup.Words(" \n").bounds().tolist() == [0]
+    assert pieces("a " * 5000) and pieces("x" * 100_000) and len(substring_dedup.chunks([[], []])[0]) == 0
 
 
 @pytest.mark.parametrize("step", [substring_dedup._STEP, 64])
 def test_cuts_are_the_smallest_of_a_window(step, monkeypatch):
     monkeypatch.setattr(substring_dedup, "_STEP", step)
     rng = random.Random(8)
-    for n in (1, 15, 16, 40, 200):
-        words = substring_dedup.Words(" ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) for _ in range(n)))
-        h = [1 << 32]
-        for at in words.at[1:-1].tolist():
-            h.append(sum(int(substring_dedup.GEAR[c]) << k for k, c in enumerate(reversed(words.line[max(0, at - substring_dedup.WINDOW) : at]))) % 2**32)
-        w = substring_dedup.CUT_WORDS
-        want = {0, n} | {max(range(a, a + w), key=lambda i: (-h[i], i)) for a in range(n - w + 1) if n > w}
-        assert words.bounds().tolist() == sorted(want)
+    texts = [["".join(rng.choice("ab") for _ in range(rng.randint(1, 3))).encode() for _ in range(n)] for n in (1, 15, 16, 40, 0, 200)]
+    numbers, places, digests = substring_dedup.chunks(texts)
+    seen = {}
+    for k, words in enumerate(texts):
+        line, n, w = b"".join(x + b" " for x in words), len(words), substring_dedup.CUT_WORDS
+        at = [sum(len(x) + 1 for x in words[:i]) for i in range(n + 1)]
+        h = [1 << 32, *[sum(int(substring_dedup.GEAR[c]) << j for j, c in enumerate(reversed((b"\0" * 16 + b" " + line)[: i + 17][-substring_dedup.WINDOW :]))) % 2**32 for i in at[1:-1]]]
+        bounds = sorted({0, n} | {max(range(a, a + w), key=lambda i: (-h[i], i)) for a in range(n - w + 1)})
+        want = [(a << 8) | (b - a) for a, b in zip(bounds, bounds[1:], strict=False)]
+        assert places[numbers == k].tolist() == want
+        for p, d in zip(want, digests[numbers == k].tolist(), strict=True):
+            assert seen.setdefault(line[at[p >> 8] : at[(p >> 8) + (p & 255)]], d) == d
+    assert len(set(seen.values())) == len(seen)  # equal digests are equal chunks
 
 
 VOCABULARIES = {"long": None, "letters": list("abcdefghijklmnopqrstuvwxyz"), "few": ["the", "of", "and", "it"]}
