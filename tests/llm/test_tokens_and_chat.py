@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from maskwright.llm import byte_bpe, chat_format, packing, queries, word_tokens
 
@@ -98,20 +99,50 @@ def test_byte_bpe_equals_tiktoken_in_tiny_chunks():
     c = byte_bpe.codec(BYTES, public_tokenizers.PATTERN)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTES, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    met = 0
     for k, text in enumerate(random_texts(3000, 2, ODD + ["\x1c", "\x85", " ", "aaaaaaaa", "\n\n"], 40)):
-        chunk, overlap = [(4, 2), (5, 5), (16, 8), (3, 1)][k % 4]
+        chunk, overlap = [(4, 2), (5, 5), (16, 16), (8, 32)][k % 4]
         ids = c.encode(text, chunk, overlap)
         assert ids == np.asarray(enc.encode_ordinary(text), "<u4").tobytes(), text
         assert c.decode(ids) == text.encode()
+        # chunk by chunk, as the tasks do, and then stitched
+        parts = []
+        for a in range(0, len(text), chunk):
+            last = a + chunk >= len(text)
+            part = text[a : a + chunk + overlap]
+            parts.append(dict(zip(("ids", "places", "counts", "meet"), c.encode_chunk(part, chunk, last, overlap), strict=True), k=a // chunk, body=part if last else part[:chunk]))
+        met += sum(p["meet"] is not None for p in parts)
+        assert byte_bpe.stitched(parts, c, chunk, overlap) == ids, text
+    assert met > 3000
+
+
+def test_byte_bpe_rows(spark, monkeypatch):
+    import base64
 
+    import tiktoken
 
-def test_byte_bpe_rows(spark):
-    docs = spark.createDataFrame([(1, None, b"x"), (1, "", b"x"), (None, "héllo " * 40_000, b"x")], "doc_id long, text string, ids binary")
-    got = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, BYTES, public_tokenizers.PATTERN), BYTES, public_tokenizers.PATTERN).collect()
-    assert sorted((r["doc_id"] is None, len(r["decoded"])) for r in got) == [(False, 0), (False, 0), (True, 7 * 40_000)]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTES, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # of many chunks; with a stretch in which no two chunks can meet; twice the same row
+    texts = [None, "", "héllo " * 40_000, "a b" + " " * 3000 + "c " * 2000, *random_texts(30, 6, most=400)]
+    rows = [(k, t, b"x", 7) for k, t in enumerate(texts)] + [(2, texts[2], b"x", 7), (None, "wörld " * 500, b"x", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids binary, k long")
+    for chunk, overlap in ((byte_bpe.CHUNK, byte_bpe.OVERLAP), (100, 40)):
+        encoded = byte_bpe.encode_documents(docs, BYTES, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap)
+        got = byte_bpe.decode_documents(encoded, BYTES, public_tokenizers.PATTERN).collect()
+        have = sorted((r["doc_id"] is None, r["doc_id"] or 0, bytes(r["ids"]), bytes(r["decoded"]), r["n_tokens"]) for r in got)
+        ids = [np.asarray(enc.encode_ordinary(r[1] or ""), "<u4").tobytes() for r in rows]
+        assert have == sorted((r[0] is None, r[0] or 0, i, (r[1] or "").encode(), len(i) // 4) for r, i in zip(rows, ids, strict=True))
     assert byte_bpe.encode_documents(docs.limit(0), BYTES, public_tokenizers.PATTERN).count() == 0
 
 
+def test_the_piece_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 2000)
+    c = byte_bpe.Codec(BYTES, public_tokenizers.PATTERN)
+    for text in random_texts(200, 4, list("abcdefg "), 60):
+        assert c.decode(c.encode(text)) == text.encode() and len(c.pieces) <= 12
+
+
 def _batches(rows, rng):
     k = 0
     while k < len(rows):
@@ -150,3 +181,7 @@ def test_chat_digests(spark, tmp_path):
     assert got[1]["turns_sha256"] == hashlib.sha256(b"user\n\nassistant\n### b</turn>\n").hexdigest()
     assert got[1]["loss_sha256"] == hashlib.sha256(b"### b</turn>").hexdigest() and got[1]["loss_chars"] == 12
     assert got[-7]["loss_chars"] == len("\\### Assistant: </turn> ok")
+    # columns of the same names as those of the result, and an empty table
+    clash = chats.withColumns({"conv": F.lit(1), "part": F.lit("x"), "n_turns": F.lit(9), "formatted": F.lit("y")})
+    assert sorted(map(str, chat_format.format_conversations(clash).collect())) == sorted(map(str, chat_format.format_conversations(chats).collect()))
+    assert chat_format.read_back(chat_format.format_conversations(clash.limit(0))).count() == 0
