@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut
+
 #: log2 of the number of hashed n-gram features; lengths of the n-grams in bytes.
 BITS, GRAMS = 13, (1, 2, 3, 4)
 #: Training texts of each language: those with the smallest hash of their id. The bound of the fit.
@@ -205,23 +207,30 @@ def held_out(id_col: str):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fit on at most ``per_language`` labelled texts of each language that are not held out.
 
-    Empty and null texts, null languages and null ids teach nothing. The sample is chosen by ids alone; only its
-    texts are brought together.
+    Empty and null texts, null languages and null ids teach nothing. The sample is chosen by the hash of ids, before any text is
+    brought together; repeated rows are one text, so at most ``per_language`` texts of each language reach the driver.
     """
-    rows = docs.filter(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull() & (F.length(F.trim(f"`{text_col}`")) > 0))
-    slim = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = slim.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("id").distinct()
+    id_, lang, text = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
+    rows = docs.filter(~held_out(id_col) & lang.isNotNull() & id_.isNotNull() & (F.length(F.trim(text)) > 0))
+    slim = rows.select(id_.alias("id"), lang.alias("lang"), F.xxhash64(id_).alias("order"), F.xxhash64(text).alias("same"))
+    totals = {r["lang"]: r["n"] for r in slim.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
+    order = Window.partitionBy("lang").orderBy("order", "id", "same")
+    ahead = 16
+    while True:
+        # only rows of the smallest hashes are ranked, some times as many as are asked for; more if ids are repeated
+        low = [F.when(F.col("lang") == k, F.pmod("order", F.lit(1 << 30)) <= math.ceil((1 << 30) * ahead * per_language / n)) for k, n in totals.items()]
+        near = slim.filter(F.coalesce(*low, F.lit(False))).distinct()
+        ranked = near.withColumn("order", F.pmod("order", F.lit(1 << 30))).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
+        chosen = cut(ranked.select("id", "lang", "same"))
+        got = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if all(got.get(k, 0) >= per_language or ahead * per_language >= n for k, n in totals.items()):
+            break
+        ahead *= 64
+    named = rows.select(id_.alias("id"), text.alias("text"), lang.alias("lang"), F.xxhash64(text).alias("same"))
     # bounded by per_language for each language
-    texts = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).join(F.broadcast(chosen), "id")
-    sample = sorted(map(tuple, texts.collect()), key=lambda r: (r[2], r[0] is None, r[0] or 0, r[1]))
-    counts: dict[str, int] = {}
-    kept = []
-    for _, text, lang in sample:  # repeated ids may bring more rows than asked for
-        counts[lang] = counts.get(lang, 0) + 1
-        if counts[lang] <= per_language:
-            kept.append((text, lang))
-    return fit([t for t, _ in kept], [v for _, v in kept])
+    texts = named.join(F.broadcast(chosen), ["id", "lang", "same"], "left_semi").groupBy("id", "lang", "same").agg(F.first("text").alias("text"))
+    sample = sorted((tuple(r) for r in texts.select("lang", "id", "same", "text").collect()))
+    return fit([r[3] for r in sample], [r[0] for r in sample])
 
 
 def _predicting(model: Model, text_col: str, names: tuple[str, str]):

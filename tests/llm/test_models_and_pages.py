@@ -22,6 +22,83 @@ def test_language_is_told_on_held_out_texts(spark):
     assert n > 200 and right > 0.97 and 0 <= low <= high <= 1
 
 
+def brute_features(text):
+    """Counts of hashed byte n-grams, one n-gram at a time."""
+    data, counts = text.lower().encode(), {}
+    for start in range(len(data)):
+        code = 0
+        for n in range(1, max(language_id.GRAMS) + 1):
+            if start + n > len(data):
+                break
+            fresh = data[start + n - 1] * int(language_id._MULTIPLIERS[n - 1])
+            code = fresh % 2**32 if n == 1 else ((code ^ code >> 15) * 0x2C1B3C6D + fresh) % 2**32
+            if n in language_id.GRAMS:
+                k = code * 0x9E3779B1 % 2**32 >> 32 - language_id.BITS
+                counts[k] = counts.get(k, 0) + 1
+    norm = math.sqrt(sum(counts.values()))
+    return {k: math.sqrt(v) / norm for k, v in counts.items()}
+
+
+def test_predictions_equal_brute_force(spark):
+    """Features gram by gram, every margin as a plain sum, then the family and the pairwise votes inside it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(docs)
+    for row in docs.limit(60).collect():
+        text = row["text"]
+        told, score = model.predict(text)
+        if not text or not any(c.isalpha() for c in text):
+            assert (told, score) == ("und", 0.0)
+            continue
+        x = brute_features(text)
+        assert max(abs(float(v) - x.get(k, 0.0)) for k, v in enumerate(language_id.features(text))) < 1e-5
+        margins = [sum(v * float(model.weights[k, c]) for k, v in x.items()) + float(model.weights[-1, c]) for c in range(model.weights.shape[1])]
+        n = len(model.families)
+        family = max(range(n), key=lambda f: margins[f])
+        sure = 1 / sum(math.exp(language_id.SLOPE * (m - margins[family])) for m in margins[:n])
+        votes = [0.0] * len(model.families[family])
+        for column, (f, a, b) in enumerate(model.pairs, n):
+            if f == family:
+                p = 1 / (1 + math.exp(-language_id.SLOPE * margins[column]))
+                votes[a], votes[b] = votes[a] + p, votes[b] + 1 - p
+        best = max(range(len(votes)), key=lambda k: votes[k])
+        assert told == model.families[family][best]
+        assert score == 0 or abs(score - sure * (votes[best] / (len(votes) - 1) if len(votes) > 1 else 1)) < 1e-4
+
+
+def test_machines_minimise_the_squared_hinge_loss():
+    """The dual solution reaches the primal minimum that plain gradient descent finds."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(40, 6)), np.ones((40, 1))], axis=1)
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=40) > 0, 1.0, -1.0)
+    cost = language_id.C * np.where(y > 0, 40 / (2 * (y > 0).sum()), 40 / (2 * (y < 0).sum()))
+
+    def loss(w):
+        return 0.5 * w @ w + (cost * np.maximum(1 - y * (x @ w), 0) ** 2).sum()
+
+    w = np.zeros(7)
+    for _ in range(60_000):
+        w -= 2e-4 * (w - 2 * x.T @ (cost * y * np.maximum(1 - y * (x @ w), 0)))
+    mine = x.T @ language_id._svm(x @ x.T, y, 2000)
+    assert abs(loss(mine) - loss(w)) < 1e-3 * loss(w)
+
+
+def test_the_language_sample_is_bounded_on_repeated_rows(spark):
+    """One row that is repeated very often, and an id under which many texts stand, fill neither the sample nor the driver."""
+    taught = next(i for i in range(10, 99) if zlib.crc32(str(i).encode()) % 4 != 2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    many = spark.range(20_000).select(F.lit(taught).cast("long").alias("doc_id"), F.lit("the same text again").alias("text"), F.lit("en").alias("lang"))
+    other = spark.range(3000).select(F.lit(taught).cast("long").alias("doc_id"), F.concat(F.lit("the text of number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    fitted = []
+    keep = language_id.fit
+    language_id.fit = lambda texts, languages: fitted.append(Counter(languages)) or keep(texts, languages)
+    try:
+        language_id.train(docs.unionByName(many).unionByName(other), per_language=20)
+        language_id.train(docs.limit(0))
+    finally:
+        language_id.fit = keep
+    assert set(fitted[0].values()) == {20} and not fitted[1]
+
+
 def test_language_edge_cases(spark):
     schema = "doc_id long, text string, lang string, score double"
     taught = next(i for i in range(10, 99) if zlib.crc32(str(i).encode()) % 4 != 2)
