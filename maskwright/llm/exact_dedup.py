@@ -4,9 +4,8 @@ Rows are grouped by a 128-bit hash of the normalised text. Groups of more than o
 row are then held against their own bytes: a group whose smallest and largest
 normalised text are the same string holds one text only; any other group is a
 collision and is regrouped by the text itself. Only slim rows (id, hash, length)
-are dealt by group, hot groups are pre-aggregated before the shuffle, and the join
-that brings a group's verdict back to its members is one that adaptive execution
-can split.
+are dealt by group, hot groups are pre-aggregated before the shuffle, and in the join
+that brings a group's verdict back to its members the large groups are salted.
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut, keep_best
 
+#: A group's verdict is joined once for every so many of its members, in so many parts at most.
+SALT_ROWS, SALTS = 64, 4096
 #: The characters that normalisation deletes: space and U+0009 to U+000D.
 BLANKS = (" ", "\t", "\n", "\x0b", "\f", "\r")
 
@@ -53,10 +54,14 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     each = keyed.groupBy("id", "h", "sub", "sha", "ncp").agg(F.count(F.lit(1)).alias("copies"))
     groups = each.groupBy("h", "sub").agg(
+        F.count(F.lit(1)).alias("members"),
         F.sum("copies").alias("group_size"),
         F.min(F.struct((-F.col("ncp")).alias("longest"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))).alias("first"),
     )
-    return each.join(groups, ["h", "sub"]).select(
+    groups = cut(groups.withColumn("parts", F.least(F.expr(f"members div {SALT_ROWS}"), F.lit(SALTS - 1))).drop("members"))
+    hot = broadcast_if_small(groups.filter("parts > 0").select("h", "sub", "parts"))
+    salted = each.join(hot, ["h", "sub"], "left").withColumn("salt", F.when(F.col("parts") > 0, F.pmod(F.xxhash64("id", "ncp"), F.col("parts") + 1)).otherwise(F.lit(0).cast("long"))).drop("parts")
+    return salted.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "parts"))), ["h", "sub", "salt"]).select(
         "id", "h", "sub", "sha", "ncp", "copies", "group_size", F.col("first.id").alias("keep_id"),
         (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("ncp") == -F.col("first.longest"))).alias("best"),
     )
