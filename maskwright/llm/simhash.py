@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, keep_best
+from .common import cut, keep_best, written
 
 #: Words of a shingle; fingerprints link at so many differing bits or fewer.
 SHINGLE_WORDS, RADIUS = 3, 3
@@ -144,6 +144,17 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
+def _components(prints: DataFrame, hot_owners: int) -> DataFrame:
+    """``fp, component_id, root`` for each distinct fingerprint of the materialised ``id, fp``."""
+    firsts = cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    roots = components(links(firsts.select("fp"), hot_owners))
+    every = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    smallest = every.join(firsts, every["node"] == firsts["fp"]).groupBy("root").agg(F.min("first").alias("smallest"))
+    named = every.join(smallest, "root").select("node", "root", "smallest")
+    # written, so that both sides of the join to come are dealt anew and a hot fingerprint's rows can be split
+    return cut(firsts.join(named, firsts["fp"] == named["node"], "left").select("fp", F.coalesce("smallest", "first").alias("component_id"), F.coalesce("root", "fp").alias("root")))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_owners: int = HOT_OWNERS) -> DataFrame:
     """One row per input row: ``<id_col>, fp, fingerprint, component_id, root``.
 
@@ -153,28 +164,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
       never count as smallest, and a component of null ids only has a null one. Where ids are null or
       repeated, several components can have one ``component_id``.
     * ``root`` is the smallest fingerprint of the component, which no other component has; never null.
-    * Repeated rows give repeated result rows; an empty table gives an empty result.
+    * Repeated rows give repeated result rows; an empty table gives an empty result. Other columns are not looked at.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    firsts = cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = components(links(firsts.select("fp"), hot_owners))
-    every = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
-    smallest = every.join(firsts, every["node"] == firsts["fp"]).groupBy("root").agg(F.min("first").alias("smallest"))
-    named = every.join(smallest, "root").select("node", "root", "smallest")
-    # written, so that both sides of the last join are dealt anew and a hot fingerprint's rows can be split
-    labels = cut(firsts.join(named, firsts["fp"] == named["node"], "left").select("fp", F.coalesce("smallest", "first").alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    labels = _components(prints, hot_owners)
     return prints.join(labels, "fp").select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_owners: int = HOT_OWNERS) -> DataFrame:
     """``docs`` with one row of each component of near copies: that of the smallest id (null ids come last), and
-    of rows of one id that of the smallest fingerprint. All columns are kept as they are."""
-    rows = simhash_components(docs, id_col, text_col, hot_owners).select(F.col(id_col).alias("id"), "fp", "root")
-    each = cut(rows.groupBy("id", "fp", "root").agg(F.count(F.lit(1)).alias("copies")))
-    best = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "fp")).alias("one")).select(F.col("one.id").alias("best_id"), F.col("one.fp").alias("best_fp"))
-    # dealt by row key, of which each component has one: a large component is no hot key
-    found = each.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("fp") == F.col("best_fp")), "left")
-    decided = cut(found.select("id", "fp", "copies", F.col("best_fp").isNotNull().alias("best")))
+    of rows of one id that of the smallest fingerprint. All columns are kept as they are. Texts are read once
+    and written with their fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,5 +182,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
             made = np.array([fingerprint(x.as_py()) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], names=[*batch.schema.names, "__fp"])
 
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    marked = written(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])), "fingerprints")
+    prints = marked.select(F.col(f"`{id_col}`").alias("id"), F.col("__fp").alias("fp"))
+    each = cut(prints.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("copies")))
+    each = each.join(_components(prints, hot_owners).select("fp", "root"), "fp")
+    best = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "fp")).alias("one")).select(F.col("one.id").alias("best_id"), F.col("one.fp").alias("best_fp"))
+    # dealt by row key, of which each component has one: a large component is no hot key
+    found = each.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("fp") == F.col("best_fp")), "left")
+    decided = cut(found.select("id", "fp", "copies", F.col("best_fp").isNotNull().alias("best")))
     return keep_best(marked, decided, {id_col: "id", "__fp": "fp"}).drop("__fp")

@@ -90,6 +90,9 @@ def test_simhash_components_and_stage(spark):
     assert by_id[5] == by_id[9] == by_id[None] == 2 and by_id[1] == by_id[3] == 1 and by_id[4] == 4
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs_of(spark, rows)).collect()) == [1, 2, 4]
     assert simhash.simhash_components(docs_of(spark, rows).limit(0)).count() == 0
+    clash = docs_of(spark, rows).withColumns({c: F.lit("x") for c in ("id", "fp", "root", "first", "node", "component_id")})
+    assert {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.simhash_components(clash).collect()} == got
+    assert sorted(r["doc_id"] for r in simhash.keep_one(clash).collect()) == [1, 2, 4] and simhash.keep_one(clash).columns == clash.columns
 
 
 def test_one_row_of_each_component_stays_with_null_and_repeated_ids(spark):
