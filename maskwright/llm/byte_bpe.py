@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, lean
 
 #: Code points of a chunk and of its overlap with the next.
 CHUNK, OVERLAP = 1 << 16, 1 << 9
 #: A piece cache is emptied when it holds this many bytes of pieces and ids, with what Python needs for each entry; it only saves time.
-CACHE_BYTES, ENTRY_BYTES = 96 << 20, 200
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 200
 
 
 def _ends(scan, text: str, start: int, stop: int) -> list[int]:
@@ -238,6 +238,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col
     table gives no rows; other columns are not looked at. A text of any length is encoded as a whole: if it is
     longer than ``chunk`` code points, its chunks are encoded in different tasks.
     """
+    lean(docs)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = T.StructField("id", rows.schema["id"].dataType)
     schema = T.StructType([kind, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -252,6 +253,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col
 
 def decode_documents(encoded: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``encode_documents``: ``<id_col>, ids, n_tokens, decoded`` (raw bytes)."""
+    lean(encoded)
     rows = encoded.select(F.col(f"`{id_col}`").alias("id"), "ids", "n_tokens")
     schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
     return rows.mapInArrow(_mapped(schema, "decode", vocabulary_path, pattern, 0, 0), schema).withColumnRenamed("id", id_col)
