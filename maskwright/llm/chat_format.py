@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 #: The role whose texts the loss counts.
 TRAINED_ROLE = "assistant"
 #: A conversation that goes on behind this many bytes of text is written in parts.
@@ -152,6 +154,7 @@ def format_conversations(conversations: DataFrame, conv_col: str = "conv_id", tu
     * Null roles and texts count as empty; rows of a null conversation id form one conversation.
     * An empty table gives no rows; other columns are not looked at.
     """
+    lean(conversations)
     rows = conversations.select(F.col(f"`{conv_col}`").cast("long").alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").alias("role"), F.col(f"`{text_col}`").alias("text"))
     dealt = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
     schema = T.StructType([T.StructField("conv", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("n_turns", T.LongType()), T.StructField("formatted", T.StringType()), T.StructField("loss_starts", T.ArrayType(T.LongType())), T.StructField("loss_ends", T.ArrayType(T.LongType()))])
@@ -207,6 +210,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Digest columns of each conversation, from what :func:`format_conversations` wrote."""
+    lean(formatted)
     rows = formatted.select(F.col(conv_col).alias("conv"), "part", "formatted", "loss_starts", "loss_ends")
     return rows.mapInArrow(_read_back, "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("conv", conv_col)
 

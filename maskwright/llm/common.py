@@ -14,6 +14,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Rows and bytes of an Arrow batch of whole texts. A worker holds a batch, its strings and the result at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def lean(frame: DataFrame) -> None:
+    """Let the session hand whole texts to Python in small batches, if it does not yet; it stays so afterwards, as
+    plans are run later."""
+    conf = frame.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D*$", "", conf.get(key)))
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

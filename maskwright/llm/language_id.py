@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, lean
 
 #: log2 of the number of hashed n-gram features; lengths of the n-grams in bytes.
 BITS, GRAMS = 13, (1, 2, 3, 4)
@@ -250,6 +250,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
       has no language. Texts like none of the model's two or more languages have the nearest and score 0. Repeated rows and null ids are handled like any other; a null id is not held out.
     * An empty table gives no rows; other columns are not looked at.
     """
+    lean(docs)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), held_out(id_col).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_predicting(model, "text", ("lang_pred", "score")), schema).drop("text").withColumnRenamed("id", id_col)
@@ -257,6 +258,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language is told with at least ``min_score``; a null language is filled in."""
+    lean(docs)
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
     told = docs.mapInArrow(_predicting(model, text_col, ("__lang", "__score")), schema)
     kept = told.filter((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= min_score))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
 from .word_tokens import encoder
 
 #: Tokens of a sequence.
@@ -164,6 +165,7 @@ def pack_documents(
     * ``sequence_id`` holds the partition's number in its high bits, so ids are unique and a task that
       is run again over the same rows makes the same sequences.
     """
+    lean(docs)
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, written
+from .common import cut, lean, written
 
 #: In the order in which spans are listed; the first four have base rules.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "name", "secret")
@@ -319,6 +319,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    lean(docs)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(_scan, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("found", _SPAN)]))
 
@@ -384,6 +385,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     ``length_col``, where the table has it, is set to the length of a text that was changed. Texts are scanned once, and
     written with their candidates; those without any are not looked at again.
     """
+    lean(docs)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, keep_best, written
+from .common import cut, keep_best, lean, written
 
 #: Words of a shingle; fingerprints link at so many differing bits or fewer.
 SHINGLE_WORDS, RADIUS = 3, 3
@@ -64,6 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, fp``: one row per input row, the fingerprint as a signed 64-bit integer."""
+    lean(docs)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(_fingerprints, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType())]))
 
@@ -175,6 +176,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     """``docs`` with one row of each component of near copies: that of the smallest id (null ids come last), and
     of rows of one id that of the smallest fingerprint. All columns are kept as they are. Texts are read once
     and written with their fingerprints."""
+    lean(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, cut, written
+from .common import broadcast_if_small, cut, lean, written
 
 #: A repeated passage has at least so many words.
 PASSAGE_WORDS = 50
@@ -341,6 +341,7 @@ def _shared(windows: DataFrame) -> DataFrame:
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``owner, key, start, end, n_words, keep, kept`` of every repeated passage."""
+    lean(docs)
     texts = _keyed(docs, id_col, text_col)
     pieces = texts.select("key", "text").mapInArrow(_chunks, "digest long, key long, place long")
     shared = cut(pieces.groupBy("digest").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("digest"))
