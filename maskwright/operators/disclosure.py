@@ -189,12 +189,14 @@ def permuted_success(won: DataFrame, permuted: DataFrame, spec: QuasiIdentifierS
 
 
 def oracle(spark: SparkSession) -> DataFrame:
-    """The hand-made attack: z = 33 against 30-34 (two rows) and 35-39, with the triangular error."""
-    pmf = {-2: 0.1, -1: 0.2, 0: 0.4, 1: 0.2, 2: 0.1}
-    rows = [(label, leaf, size) for label, lo, size in (("30-34", 30, 2), ("35-39", 35, 1)) for leaf in range(lo, lo + 5)]
-    leaves = spark.createDataFrame(rows, "label string, leaf int, size int")
-    q = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for d, p in pmf.items() for x in (d, p)]), F.lit(33) - F.col("leaf")), F.lit(0.0))
-    scored = leaves.groupBy("label", "size").agg(F.max(q).alias("score"))
-    top = scored.withColumn("best", F.max("score").over(Window.partitionBy()))
-    won = F.col("score") >= F.col("best") - TOLERANCE
-    return top.select("label", "size", "score", won.alias("winner"), F.when(won & (F.col("score") > 0), F.sum(F.when(won, F.col("size"))).over(Window.partitionBy())).alias("tie_size"))
+    """The hand-made attack: z = 33 against 30-34 (two rows) and 35-39, with the triangular error, by the operators of any attack."""
+    spec = QuasiIdentifierSpec(("num", "other"), {"num": 1, "other": 1}, "sens", "1", "rid")
+    pmf = spark.createDataFrame([("X", d, q) for d, q in {-2: 0.1, -1: 0.2, 0: 0.4, 1: 0.2, 2: 0.1}.items()], "scenario string, err int, q double")
+    paths = [("num", str(leaf), 1, f"{low}-{low + 4}") for low in (30, 35) for leaf in range(low, low + 5)]
+    compat = age_compat(spark.createDataFrame(paths, "attr string, leaf string, level int, label string"), pmf, "num")
+    candidates = spark.createDataFrame([("X", "C", "k", "30-34", 1, 2), ("X", "C", "k", "35-39", 1, 1)], "scenario string, config_id string, k_other string, g_num string, lv_num int, size long")
+    seen = spark.createDataFrame([("X", "C", 1, 1, "k", 33)], "scenario string, config_id string, target_pos int, draw int, k_other string, z int")
+    scored = scores(seen, candidates, compat, spec, "num")
+    won = winners(scored, seen, spec, "num").select("target_pos", "winning", F.col("tie_size").alias("tie"))
+    hit = F.array_contains("winning", F.col("g_num"))
+    return scored.join(won, "target_pos").select(F.col("g_num").alias("label"), "size", "score", hit.alias("winner"), F.when(hit, F.col("tie")).alias("tie_size"))

@@ -78,11 +78,39 @@ def label_arrays(hier: DataFrame, attr: str) -> DataFrame:
     return hier.filter(F.col("attr") == attr).groupBy("leaf").agg(path.alias("labels"))
 
 
+#: An attribute with at most so many leaves is looked up in a literal map; others are joined.
+MAP_LEAVES = 64
+
+
+def _paths(hier: DataFrame) -> dict[str, dict[str, list[str]]] | None:
+    """Attribute -> leaf -> labels by level, of a hierarchy of at most BROADCAST_ROWS rows."""
+    rows = hier.select("attr", "leaf", "level", "label").limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        return None
+    out: dict[str, dict[str, list[str]]] = {}
+    for attr, leaf, _, label in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        out.setdefault(attr, {}).setdefault(leaf, []).append(label)
+    return out
+
+
 def with_paths(rows: DataFrame, hier: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
     """``rows`` with a column ``path_<qi>`` for each quasi-identifier; rows with an unknown value fall away."""
-    known = local(hier.groupBy("attr", "leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "label"))), lambda s: s["label"]).alias("labels")))
+    found = _paths(hier)
+    mapped = {q: found.get(q, {}) for q in spec.names if found is not None and len(found.get(q, {})) <= MAP_LEAVES}
+    literal = {}
+    for q, leaves in mapped.items():
+        items = [x for leaf, labels in leaves.items() for x in (F.lit(leaf), F.array(*map(F.lit, labels)))]
+        literal[f"path_{q}"] = (F.create_map(*items) if items else F.create_map().cast("map<string,array<string>>"))[F.col(q).cast("string")]
+    if literal:
+        rows = rows.withColumns(literal).dropna(subset=list(literal))
     for q in spec.names:
-        paths = known.filter(F.col("attr") == q).select(F.col("leaf").alias(f"__{q}"), F.col("labels").alias(f"path_{q}"))
+        if q in mapped:
+            continue
+        if found is not None:
+            paths = rows.sparkSession.createDataFrame(list(found[q].items()), f"__{q} string, path_{q} array<string>")
+        else:
+            path = F.transform(F.array_sort(F.collect_list(F.struct("level", "label"))), lambda s: s["label"])
+            paths = hier.filter(F.col("attr") == q).groupBy(F.col("leaf").alias(f"__{q}")).agg(path.alias(f"path_{q}"))
         rows = rows.join(paths, F.col(q).cast("string") == F.col(f"__{q}")).drop(f"__{q}")
     return rows
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hierarchy import at_level, leafsets, with_paths
+from .hierarchy import at_level, leafsets, local, with_paths
 from .schema import QuasiIdentifierSpec
 
 Node = tuple[int, ...]
@@ -71,16 +71,13 @@ class Optimum:
 def loss_tables(sig: DataFrame, hier: DataFrame, spec: QuasiIdentifierSpec) -> tuple[dict[tuple[str, int], int], dict[str, int]]:
     """Summed loss numerators of each attribute and level, and each attribute's denominator. Both are
     bounded by the hierarchies' shape."""
-    cells = cell_losses(hier)
-    sums: dict[tuple[str, int], int] = {}
-    for q in spec.names:
-        values = sig.groupBy(F.element_at(f"path_{q}", 1).alias("leaf")).agg(F.sum("n").alias("n"))
-        paths = hier.filter(F.col("attr") == q).select("leaf", "level", "label")
-        per = values.join(paths, "leaf").join(cells.filter(F.col("attr") == q).select("level", "label", "num"), ["level", "label"])
-        for r in per.groupBy("level").agg(F.sum(F.col("n") * F.col("num")).alias("s")).collect():
-            sums[q, r["level"]] = int(r["s"])
-    dens = {r["attr"]: int(r["den"]) for r in cells.groupBy("attr").agg(F.max("den").alias("den")).collect()}
-    return sums, dens
+    cells = local(cell_losses(hier))
+    # one row for each leaf, then for each label, whatever the table
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("attr"), F.col(f"path_{q}").alias("path")) for q in spec.names])).alias("a")
+    leaves = sig.select("n", each).groupBy("a.attr", "a.path").agg(F.sum("n").alias("n"))
+    labels = leaves.select("attr", "n", F.posexplode("path").alias("level", "label"))
+    per = labels.join(cells, ["attr", "level", "label"]).groupBy("attr", "level", "den").agg(F.sum(F.col("n") * F.col("num")).alias("s")).collect()
+    return {(r["attr"], r["level"]): int(r["s"]) for r in per}, {r["attr"]: int(r["den"]) for r in per}
 
 
 def optimum(sig: DataFrame, hier: DataFrame, spec: QuasiIdentifierSpec, k: int, limit: float, l: int | None = None, t: float | None = None, batch: int = 48) -> Optimum | None:  # noqa: E741
@@ -100,13 +97,15 @@ def optimum(sig: DataFrame, hier: DataFrame, spec: QuasiIdentifierSpec, k: int,
     bound = {n: sum(sums[q, v] / (dens[q] * total) for q, v in zip(spec.names, n, strict=True)) / m for n in spec.lattice()}
     order = sorted(bound, key=lambda n: (bound[n], sum(n), n))
     by_name = {node_name(n): n for n in order}
-    cells = {q: F.broadcast(cell_losses(hier).filter(F.col("attr") == q).select(F.col("level").alias(f"lv_{q}"), F.col("label").alias(f"g_{q}"), F.col("num").alias(f"num_{q}"))) for q in spec.names}
+    every = local(cell_losses(hier))
+    cells = {q: F.broadcast(every.filter(F.col("attr") == q).select(F.col("level").alias(f"lv_{q}"), F.col("label").alias(f"g_{q}"), F.col("num").alias(f"num_{q}"))) for q in spec.names}
     best, evaluated = None, 0
-    for start in range(0, len(order), batch):
-        todo = order[start : start + batch]
+    while evaluated < len(order):
+        todo = order[evaluated : evaluated + batch]
         if best is not None and bound[todo[0]] > best[0] + 1e-12:
             break
         evaluated += len(todo)
+        batch *= 2  # the later a node, the less likely it is to be looked at at all
         found = classes(sig, todo, spec).withColumn("bad", failing(k, l, t, total, positive))
         levels = F.split("node", r"\.")
         for i, q in enumerate(spec.names):

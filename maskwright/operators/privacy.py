@@ -10,8 +10,12 @@ from .hierarchy import at_level, with_paths
 from .schema import QuasiIdentifierSpec
 
 
+#: A configuration's columns beside its levels.
+MODEL = ("config_id", "k", "lim", "l", "t")
+
+
 def generalized(rows: DataFrame, hier: DataFrame, configs: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
-    """Every row once for each configuration, recoded: ``config_id, k, lim, <raw>, lv_<qi>, g_<qi>``.
+    """Every row once for each configuration, recoded: ``config_id, k, lim, l, t, <raw>, lv_<qi>, g_<qi>``.
 
     ``w`` says how many table rows a row stands for. Measures work on :func:`signature`, whose length is
     bounded by the domain's value combinations however long the table is.
@@ -21,7 +25,7 @@ def generalized(rows: DataFrame, hier: DataFrame, configs: DataFrame, spec: Quas
     """
     listed = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in configs.columns]) for r in configs.orderBy("config_id").collect()])
     each = with_paths(rows, hier, spec).withColumn("c", F.explode(listed))
-    return each.select("c.config_id", "c.k", "c.lim", *rows.columns, *[F.col(f"c.lv_{q}").alias(f"lv_{q}") for q in spec.names], *[at_level(q, F.col(f"c.lv_{q}")).alias(f"g_{q}") for q in spec.names])
+    return each.select(*[f"c.{c}" for c in MODEL], *rows.columns, *[F.col(f"c.lv_{q}").alias(f"lv_{q}") for q in spec.names], *[at_level(q, F.col(f"c.lv_{q}")).alias(f"g_{q}") for q in spec.names])
 
 
 def signature(rows: DataFrame, spec: QuasiIdentifierSpec, *extra: str) -> DataFrame:
@@ -34,26 +38,36 @@ def labels(spec: QuasiIdentifierSpec) -> list[str]:
 
 
 def classes(rows: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
-    """Equivalence classes: ``config_id, k, lim, lv_<qi>, <labels>, n, n_pos, n_sens`` (distinct sensitive values)."""
+    """Equivalence classes: ``config_id, k, lim, l, t, lv_<qi>, <labels>, n, n_pos, n_sens`` (distinct sensitive values), ``fails``.
+
+    A class fails if it breaks its configuration's k-anonymity, distinct l-diversity or equal-distance t-closeness (against
+    the whole table, as it was before suppression).
+    """
     positive = F.col(spec.sensitive) == spec.positive
-    # k, lim and levels are the configuration's; a binary sensitive column: two values occur if both counts are positive
-    by = ["config_id", "k", "lim", *[f"lv_{q}" for q in spec.names]]
+    # the model and levels are the configuration's; a binary sensitive column: two values occur if both counts are positive
+    by = [*MODEL, *[f"lv_{q}" for q in spec.names]]
     got = rows.groupBy(*by, *labels(spec)).agg(F.sum("w").alias("n"), F.sum(F.when(positive, F.col("w")).otherwise(0)).alias("n_pos"))
-    return got.withColumn("n_sens", F.when((F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n")), 2).otherwise(1).cast("long"))
+    got = got.withColumn("n_sens", F.when((F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n")), 2).otherwise(1).cast("long"))
+    whole = totals(got).withColumnsRenamed({"total": "whole_n", "positive": "whole_pos"})
+    got = got.join(F.broadcast(whole), "config_id")  # one row for each configuration
+    gap = F.abs(F.col("n_pos") * F.col("whole_n") - F.col("whole_pos") * F.col("n")).cast("double")
+    close = (F.col("t") + 1e-9) * F.col("n").cast("double") * F.col("whole_n")
+    bad = (F.col("n") < F.col("k")) | F.coalesce(F.col("n_sens") < F.col("l"), F.lit(False)) | F.coalesce(gap > close, F.lit(False))
+    return got.withColumn("fails", bad).drop("whole_n", "whole_pos")
 
 
 def with_outliers(rows: DataFrame, found: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
-    """``rows`` of :func:`generalized` with ``class_n`` and ``is_outlier`` (class smaller than its k).
+    """``rows`` of :func:`generalized` with ``class_n`` and ``is_outlier`` (their class fails).
 
     ``found`` are the classes of the whole table.
     """
-    sizes = found.select("config_id", *labels(spec), F.col("n").alias("class_n"))
-    return rows.join(sizes, ["config_id", *labels(spec)]).withColumn("is_outlier", F.col("class_n") < F.col("k"))
+    sizes = found.select("config_id", *labels(spec), F.col("n").alias("class_n"), F.col("fails").alias("is_outlier"))
+    return rows.join(sizes, ["config_id", *labels(spec)])
 
 
 def retained(found: DataFrame) -> DataFrame:
     """The classes that are published."""
-    return found.filter(F.col("n") >= F.col("k"))
+    return found.filter(~F.col("fails"))
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -106,7 +120,7 @@ def gate(found: DataFrame, l: int, t: float) -> DataFrame:  # noqa: E741
     t is measured against the full input, as it was before suppression; its tolerance is 1e-9.
     """
     kept = retained(found)
-    base = found.groupBy("config_id", "k", "lim").agg(F.sum("n").alias("rows_in"), F.sum(F.when(F.col("n") < F.col("k"), F.col("n")).otherwise(0)).alias("suppressed"))
+    base = found.groupBy("config_id", "k", "lim").agg(F.sum("n").alias("rows_in"), F.sum(F.when(F.col("fails"), F.col("n")).otherwise(0)).alias("suppressed"))
     budget = F.floor(F.col("rows_in") * F.round(F.col("lim") * 1000000).cast("long") / 1000000).cast("long")
     s = summary(kept).select("config_id", "k_hat", "l_hat")
     th = t_hat(kept, totals(found))

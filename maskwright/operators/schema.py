@@ -68,10 +68,10 @@ class AnonConfig:
 
 
 def configurations(spark: SparkSession, spec: QuasiIdentifierSpec, configs: list[AnonConfig]) -> DataFrame:
-    """The configurations as a table: id, k, limit, one level column for each quasi-identifier."""
+    """The configurations as a table: id, k, limit, l and t (null where not asked for), one level column for each quasi-identifier."""
     require(len({c.config_id for c in configs}) == len(configs), "CFG_UNIQUE", "configuration ids are distinct")
-    rows = [(c.config_id, c.k, c.limit, *[c.validate(spec).vector[q] for q in spec.names]) for c in configs]
-    kinds = [("config_id", pa.string()), ("k", pa.int32()), ("lim", pa.float64()), *[(f"lv_{q}", pa.int32()) for q in spec.names]]
+    rows = [(c.config_id, c.k, c.limit, c.l, c.t, *[c.validate(spec).vector[q] for q in spec.names]) for c in configs]
+    kinds = [("config_id", pa.string()), ("k", pa.int32()), ("lim", pa.float64()), ("l", pa.int32()), ("t", pa.float64()), *[(f"lv_{q}", pa.int32()) for q in spec.names]]
     columns = zip(*rows, strict=True)
     return spark.createDataFrame(pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds, columns, strict=True)}))
 

@@ -69,8 +69,7 @@ def info_loss(found: DataFrame, cells: DataFrame, spec: QuasiIdentifierSpec) ->
     ``found`` are the classes of the whole table, ``cells`` the (bounded) cell losses.
     """
     each = F.array(*[F.struct(F.lit(q).alias("attr"), F.col(f"lv_{q}").alias("level"), F.col(f"g_{q}").alias("label")) for q in spec.names])
-    bad = F.col("n") < F.col("k")
-    long = found.select("config_id", "n", bad.alias("bad"), F.explode(each).alias("c")).select("config_id", "n", "bad", "c.*")
+    long = found.select("config_id", "n", F.col("fails").alias("bad"), F.explode(each).alias("c")).select("config_id", "n", "bad", "c.*")
     per = long.join(cells, ["attr", "level", "label"]).groupBy("config_id", "attr", "den").agg(F.sum(F.when(F.col("bad"), F.col("n") * F.col("den")).otherwise(F.col("n") * F.col("num"))).alias("s"), F.sum("n").alias("n"))
     loss = per.select("config_id", (F.col("s").cast("double") / (F.col("n") * F.col("den")).cast("double")).alias("loss"))
     return loss.groupBy("config_id").agg(F.round(F.avg("loss"), 9).alias("loss"))

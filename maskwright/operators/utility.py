@@ -14,7 +14,7 @@ def rate_scores(train: DataFrame, holdout: DataFrame, keys: list[str], by: list[
     cells = train.groupBy(*by, *keys).agg(F.sum(F.col("y") * F.col("w")).alias("h"), F.sum("w").alias("n"))
     prior = cells.groupBy(*by).agg(ratio(F.sum("h"), F.sum("n")).alias("prior"))
     joined = holdout.join(cells, [*by, *keys], "left").join(F.broadcast(prior), by)
-    carried = [c for c in ("row_id", "y", "w") if c in holdout.columns]
+    carried = [c for c in ("row_id", "key", "y", "w") if c in holdout.columns]
     return joined.select(*by, *carried, F.coalesce(ratio(F.col("h"), F.col("n")), F.col("prior")).alias("p"))
 
 
@@ -61,27 +61,107 @@ def point_metrics(scores: DataFrame, by: list[str]) -> DataFrame:
     return auroc(g, by).join(average_precision(g, by), by).join(confusion(scores, by), by).select(*by, F.round("auroc", 9).alias("auroc"), "average_precision", "accuracy", "balanced_accuracy")
 
 
-def bootstrap_auroc(scores: DataFrame, by: list[str], replicates: int, stream: str = "11006") -> DataFrame:
-    """``<by>, replicate, auroc``: stratified paired bootstrap; the same draws for every configuration.
+#: Distinct score vectors that a bootstrap keeps in memory; beyond, they stay distributed in so many blocks.
+CELLS, BLOCKS = 200_000, 1024
 
-    Each class is resampled to its own size. Rows are numbered within their class by a keyed hash; a draw
-    names a number. The draws are joined to tie groups' rows once, whatever the number of configurations.
+
+def score_cells(scores: DataFrame, by: str) -> DataFrame:
+    """``y, scores, n``: the distinct vectors of scores (one for each value of ``by``, in their order) with their numbers of rows.
+
+    ``scores`` has ``<by>, y, w, p`` and the columns ``key`` that tell the rows (or value combinations) apart.
     """
-    # the rows of one configuration are those of all
-    rows = scores.select("row_id", "y").distinct()
-    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("y").orderBy(keyed_hash(stream, F.col("row_id")), "row_id")))
-    size = numbered.groupBy("y").agg(F.count(F.lit(1)).alias("n_y"))
-    each = numbered.join(F.broadcast(size), "y").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = each.select("replicate", "y", (F.floor(uniform(stream, F.col("replicate"), F.col("y"), F.col("i")) * F.col("n_y")).cast("int") + 1).alias("i"))
-    mult = drawn.groupBy("replicate", "y", "i").agg(F.count(F.lit(1)).alias("mult")).join(numbered, ["y", "i"]).select("replicate", "row_id", "mult")
-    groups = tie_groups(scores.join(mult, "row_id"), [*by, "replicate"], "mult")
-    return auroc(groups, [*by, "replicate"]).withColumn("auroc", F.round("auroc", 9))
+    vectors = scores.groupBy("key", "y").agg(F.array_sort(F.collect_list(F.struct(by, "p"))).alias("v"), F.max("w").alias("w"))
+    return vectors.groupBy("y", F.col("v.p").alias("scores")).agg(F.sum("w").alias("n"))
+
+
+def _weighted_auroc(p, pos, neg):
+    """AUROC by average ranks of each row of ``pos`` and ``neg`` (replicates x cells) for the cells' scores ``p``; NaN without both classes."""
+    import numpy as np
+
+    order = np.argsort(p, kind="stable")
+    starts = np.flatnonzero(np.r_[True, p[order][1:] != p[order][:-1]]) if len(p) else np.zeros(0, int)
+    pos, neg = (np.add.reduceat(x[:, order], starts, axis=1) if len(p) else np.zeros((len(x), 0)) for x in (pos, neg))
+    below = np.cumsum(neg, axis=1) - neg
+    twice, both = (pos * (2 * below + neg)).sum(axis=1), pos.sum(axis=1) * neg.sum(axis=1)
+    return np.where(both > 0, twice / (2 * np.maximum(both, 1)), np.nan)
+
+
+def resampled(counts, stream: int, replicate: int, *place: int):
+    """How often each cell is drawn when all its rows are drawn anew with replacement: multinomial, a function of the keys."""
+    import numpy as np
+
+    total = int(counts.sum())
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence((stream, replicate, *place)))).multinomial(total, counts / total) if total else counts
+
+
+def bootstrap_auroc(cells: DataFrame, names: list[str], by: str, replicates: int, stream: int = 11006, limit: int = CELLS) -> DataFrame:
+    """``<by>, replicate, auroc``: stratified paired bootstrap; each class is resampled to its own size, with the same draws for
+    every one of ``names``, the values of ``by`` in the order of the cells' scores.
+
+    ``cells`` come from :func:`score_cells`: drawing rows and counting them by cell is drawing multinomial counts of cells, so
+    the work does not grow with the rows. Up to ``limit`` cells are handed to the tasks, which share the replicates; more
+    stay distributed in blocks, among which each replicate's draws are parted first.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = cells.sparkSession
+    kept = cells.limit(limit + 1).toPandas()
+    schema = f"{by} string, replicate long, auroc double"
+    if len(kept) <= limit:
+        kept = kept.assign(order=kept["scores"].map(tuple)).sort_values(["y", "order"]).reset_index(drop=True)
+        y, n = kept["y"].to_numpy(), kept["n"].to_numpy(np.int64)
+        p = np.array(kept["scores"].tolist()).reshape(len(kept), len(names))
+
+        def run(batches):
+            for batch in batches:
+                mult = np.zeros((len(batch), len(n)), np.int64)
+                for k, r in enumerate(batch["id"]):
+                    for side in (0, 1):
+                        mult[k, y == side] = resampled(n[y == side], stream, int(r), side)
+                found = [pd.DataFrame({by: name, "replicate": batch["id"].to_numpy(), "auroc": np.round(_weighted_auroc(p[:, c], mult * (y == 1), mult * (y == 0)), 9)}) for c, name in enumerate(names)]
+                yield pd.concat(found) if found else pd.DataFrame({by: [], "replicate": [], "auroc": []})
+
+        return spark.range(1, replicates + 1).mapInPandas(run, schema)
+
+    blocked = cells.withColumn("block", F.pmod(F.xxhash64("scores"), F.lit(BLOCKS)).cast("int"))
+    sizes = blocked.groupBy("y", "block").agg(F.sum("n").alias("n")).toPandas()  # BLOCKS rows for each class
+    totals = {side: sizes[sizes["y"] == side].set_index("block")["n"].reindex(range(BLOCKS), fill_value=0).to_numpy(np.int64) for side in (0, 1)}
+
+    def part(key, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.assign(order=group["scores"].map(tuple)).sort_values("order")
+        n, p = group["n"].to_numpy(np.int64), np.array(group["scores"].tolist())
+        side, block = int(key[0]), int(key[1])
+        out = []
+        for r in range(1, replicates + 1):
+            here = int(resampled(totals[side], stream, r, side)[block])
+            mult = np.random.Generator(np.random.Philox(np.random.SeedSequence((stream, r, side, block)))).multinomial(here, n / n.sum())
+            for c, name in enumerate(names):
+                values, where = np.unique(p[:, c], return_inverse=True)
+                count = np.bincount(where, mult, len(values)).astype(np.int64)
+                out.append(pd.DataFrame({by: name, "replicate": r, "p": values, "y": side, "w": count})[count > 0])
+        return pd.concat(out)
+
+    drawn = blocked.groupBy("y", "block").applyInPandas(part, f"{by} string, replicate long, p double, y int, w long")
+    return auroc(tie_groups(drawn, [by, "replicate"]), [by, "replicate"]).withColumn("auroc", F.round("auroc", 9))
+
+
+def ranked(rows: DataFrame, stream: str, digits: int = 3) -> DataFrame:
+    """``rows`` with ``place``, from 0 within each ``y`` in the order of a keyed hash of ``row_id``.
+
+    Rows are numbered within buckets of leading hash digits, on top of the buckets before: 16 ** ``digits`` tasks for each class.
+    """
+    hashed = rows.withColumn("__h", keyed_hash(stream, F.col("row_id"))).withColumn("__b", F.substring("__h", 1, digits))
+    counts = hashed.groupBy("y", "__b").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("n").over(Window.partitionBy("y").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy("y", "__b").orderBy("__h", "row_id"))
+    # 16 ** digits rows for each class
+    return hashed.withColumn("__i", inside).join(F.broadcast(before), ["y", "__b"]).withColumn("place", F.col("__before") + F.col("__i") - 1).drop("__h", "__b", "__i", "__before")
 
 
 def folds(rows: DataFrame, n: int = 5) -> DataFrame:
     """``row_id, y, fold``: stratified folds whose class counts differ by one at most."""
-    order = Window.partitionBy("y").orderBy(keyed_hash("11004", F.col("row_id")), "row_id")
-    return rows.select("row_id", "y", ((F.row_number().over(order) - 1) % n).alias("fold"))
+    return ranked(rows.select("row_id", "y"), "11004").select("row_id", "y", (F.col("place") % n).cast("int").alias("fold"))
 
 
 def prior_baseline(train: DataFrame, holdout: DataFrame) -> DataFrame:
@@ -141,15 +221,18 @@ def logistic(train: DataFrame, holdout: DataFrame, attrs: list[str], c: float =
 
 
 def select_c(train: DataFrame, attrs: list[str], grid: tuple[float, ...] = (0.1, 1.0, 10.0), n: int = 5) -> DataFrame:
-    """``c, mean_auroc`` over stratified folds, for each value of the grid."""
-    parted = train.join(folds(train, n).select("row_id", "fold"), "row_id").persist()
-    out = None
-    for c in grid:
-        for k in range(n):
-            _, scored = logistic(parted.filter(F.col("fold") != k), parted.filter(F.col("fold") == k), attrs, c)
-            one = auroc(tie_groups(scored.select("y", "p"), []), []).select(F.lit(c).alias("c"), "auroc")
-            out = one if out is None else out.unionByName(one)
-    return out.groupBy("c").agg(F.avg("auroc").alias("mean_auroc"))
+    """``c, mean_auroc, folds``: for each value of the grid, mean AUROC over the stratified folds of ``train`` (``row_id, y,
+    <attrs>``): one fit for each value and fold, on the weighted category combinations of the other folds.
+    """
+    parted = train.join(folds(train, n).select("row_id", "fold"), "row_id")
+    cells = parted.groupBy("fold", "y", *attrs).agg(F.count(F.lit(1)).alias("w"))
+    task = F.explode(F.array(*[F.struct(F.lit(float(c)).alias("c"), F.lit(k).alias("k")) for c in grid for k in range(n)]))
+    each = cells.withColumn("task", task).select("task.*", *attrs, "y", "w", F.when(F.col("fold") == F.col("task.k"), "holdout").otherwise("train").alias("split"))
+    model = ["c", "k"]
+    each = each.groupBy(*model, "split", "y", *attrs).agg(F.sum("w").alias("w"))
+    scored = each.groupBy(*model).applyInPandas(logistic_cells(attrs, None, model), "c double, k int, y int, w long, p double, converged boolean")
+    one = auroc(tie_groups(scored, model), model)
+    return one.groupBy("c").agg(F.round(F.avg("auroc"), 9).alias("mean_auroc"), F.count("auroc").alias("folds"))
 
 
 def best_c(means: DataFrame) -> DataFrame:
@@ -157,16 +240,21 @@ def best_c(means: DataFrame) -> DataFrame:
     return means.orderBy(F.desc("mean_auroc"), "c").limit(1)
 
 
-def logistic_cells(attrs: list[str], c: float = 1.0, steps: int = 25, chunk: int = 8192):
-    """For ``applyInPandas`` by model: fits on the weighted ``train`` cells and scores the ``holdout`` ones.
+def logistic_cells(attrs: list[str], c: float | None = 1.0, model: list[str] | None = None, steps: int = 50, chunk: int = 8192):
+    """For ``applyInPandas`` by ``model`` (columns): fits on the weighted ``train`` cells and scores the ``holdout`` ones.
 
     Cells are distinct category combinations, so a group's length is bounded by the domains, not by the
-    table. L2 penalty 1 / c on all but the intercept, Newton steps; unknown categories are all-zero blocks.
+    table. L2 penalty 1 / c (a column, if None) on all but the intercept; Newton steps, halved while they do not lower the loss;
+    unknown categories are all-zero blocks. ``converged`` tells whether the last step was below 1e-8.
     """
     import numpy as np
     import pandas as pd
 
+    model = model or ["config_id", "kind"]
+    penalty = c
+
     def run(cells: pd.DataFrame) -> pd.DataFrame:
+        c = float(cells["c"].iloc[0]) if penalty is None else penalty
         train, holdout = (cells[cells["split"] == part].reset_index(drop=True) for part in ("train", "holdout"))
         places: dict[tuple[str, str], int] = {}
         for a in attrs:
@@ -186,6 +274,15 @@ def logistic_cells(attrs: list[str], c: float = 1.0, steps: int = 25, chunk: int
 
         y, w = train["y"].to_numpy(float), train["w"].to_numpy(float)
         beta, ridge = np.zeros(d), np.r_[np.full(d - 1, 1.0), 1e-9]
+
+        def loss(b):
+            total = 0.5 * float(ridge @ (b * b))
+            for at, x in blocks(train):
+                z = x @ b
+                total += c * float(w[at] @ (np.logaddexp(0, z) - y[at] * z))
+            return total
+
+        now, converged = loss(beta), False
         for _ in range(steps):
             slope, bend = ridge * beta, np.diag(ridge)
             for at, x in blocks(train):
@@ -193,12 +290,18 @@ def logistic_cells(attrs: list[str], c: float = 1.0, steps: int = 25, chunk: int
                 slope = slope + c * (x.T @ (w[at] * (p - y[at])))
                 bend = bend + c * (x.T * (w[at] * p * (1 - p))) @ x
             step = np.linalg.solve(bend, slope)
-            beta = beta - step
             if np.abs(step).max() < 1e-8:
+                converged = True
                 break
+            after = loss(beta - step)
+            while after > now + 1e-12 * abs(now) and np.abs(step).max() >= 1e-12:
+                step = step / 2
+                after = loss(beta - step)
+            beta, now = beta - step, after
         scored = [1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))) for _, x in blocks(holdout)]
-        out = holdout[["config_id", "kind", "y", "w"]].copy()
+        out = holdout[[*model, "y", "w"]].copy()
         out["p"] = np.round(np.concatenate(scored), 12) if scored else []
+        out["converged"] = converged
         return out
 
     return run

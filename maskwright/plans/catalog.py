@@ -65,7 +65,10 @@ def src_strict_cells(s):
     return s.parsed.select("line_no", scalars.cell_is_clean(F.col("flag")).alias("flag_clean"), scalars.cell_is_clean(F.col("label")).alias("label_clean"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, count(*) - count(DISTINCT rid) AS repeated FROM md")
+_PUBLISHED = "(SELECT rid FROM (SELECT rid, md5('11002|' || rid) AS perm_hash FROM md))"
+
+
+@query(f"SELECT (SELECT count(*) FROM (SELECT DISTINCT rid FROM md EXCEPT SELECT rid FROM {_PUBLISHED})) AS only_a, (SELECT count(*) FROM (SELECT rid FROM {_PUBLISHED} EXCEPT SELECT rid FROM md)) AS only_b, (SELECT count(*) FROM (SELECT rid FROM md GROUP BY rid HAVING count(*) > 1)) AS repeated")
 def src_bijection_check(s):
     return validation.bijection(s.md, disclosure.publish_order(s.md, "rid"), "rid")
 
@@ -122,7 +125,7 @@ UNION ALL SELECT 'BUDGET', (SELECT count(*) FROM (SELECT config_id FROM rel GROU
 def validation_report(s):
     n = F.count(F.lit(1))
     total = s.md.agg(n.alias("t"))
-    sizes = s.all_classes.groupBy("config_id", "lim").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") < F.col("k"), F.col("n")).otherwise(0)).alias("out"))
+    sizes = s.all_classes.groupBy("config_id", "lim").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("fails"), F.col("n")).otherwise(0)).alias("out"))
     return validation.report([
         ("QI_COVERAGE", hierarchy.uncovered(s.values(), s.hier).agg(n)),
         ("RID_UNIQUE", s.md.groupBy("rid").agg((n - 1).alias("x")).agg(F.coalesce(F.sum("x"), F.lit(0)))),
@@ -177,7 +180,12 @@ def hier_interval_relabel(s):
     return hierarchy.interval_relabel(s.hier, NUM)
 
 
-@query("SELECT CAST(level AS INT) AS level, count(*) AS blocks, CAST(0 AS BIGINT) AS differing FROM leafset WHERE attr = 'num' GROUP BY 1")
+_BLOCKS = "SELECT level, string_agg(leaf, ',' ORDER BY leaf) AS block FROM ({}) GROUP BY level, label"
+_RAW_BLOCKS = _BLOCKS.format("SELECT leaf, level, label FROM hier WHERE attr = 'num'")
+_NEW_BLOCKS = _BLOCKS.format("SELECT leaf, level, min(CAST(leaf AS INT)) OVER w || '-' || max(CAST(leaf AS INT)) OVER w AS label FROM hier WHERE attr = 'num' WINDOW w AS (PARTITION BY level, label)")
+
+
+@query(f"SELECT CAST(level AS INT) AS level, count(*) AS blocks, coalesce(any_value(d), 0) AS differing FROM ({_RAW_BLOCKS}) LEFT JOIN (SELECT level, count(*) AS d FROM (({_RAW_BLOCKS} EXCEPT ALL {_NEW_BLOCKS}) UNION ALL ({_NEW_BLOCKS} EXCEPT ALL {_RAW_BLOCKS})) GROUP BY 1) USING (level) GROUP BY 1")
 def hier_partition_equiv(s):
     raw = s.hier.filter(F.col("attr") == NUM).select("leaf", "level", "label")
     derived = hierarchy.interval_relabel(s.hier, NUM)
@@ -221,16 +229,36 @@ def lattice_check(s):
     return got.select("node", "n_classes", "min_class", "suppressed", (F.col("suppressed") == 0).alias("admissible_0"), (F.col("suppressed") <= F.floor(F.col("total") * 0.05)).alias("admissible_5"))
 
 
-@query(f""", {_SIG}, {_CLASSES}, ll AS (
-  SELECT lc.*, {', '.join(f'CAST(c_{q}.num AS DOUBLE) / c_{q}.den AS loss_{q}' for q in QI)} FROM lc {' '.join(f"JOIN cell c_{q} ON c_{q}.attr = '{q}' AND c_{q}.level = CAST(split_part(node, '.', {i + 1}) AS INT) AND c_{q}.label = g_{q}" for i, q in enumerate(QI))}
-), nl AS (SELECT node, {big(f'coalesce(sum(n) FILTER (WHERE n < {K}), 0)')} AS suppressed, sum(n) AS total, ({' + '.join(f"sum(CASE WHEN n < {K} THEN n ELSE n * loss_{q} END)" for q in QI)}) / {len(QI)} / sum(n) AS loss FROM ll GROUP BY node)
-SELECT node, suppressed, round(loss, 9) AS loss FROM nl WHERE suppressed <= floor(total * 0.05) ORDER BY round(loss, 12), {' + '.join(f"CAST(split_part(node, '.', {i + 1}) AS INT)" for i in range(len(QI)))}, node LIMIT 1""")
-def lattice_optimum(s):
-    best = lattice.optimum(lattice.signature(s.md, s.hier, SPEC), s.hier, SPEC, K, LIMIT)
+def _optimum_sql(bad: str, limit: float) -> str:
+    return f""", {_SIG}, {_CLASSES}, ll AS (
+  SELECT lc.*, {bad} AS bad, {', '.join(f'CAST(c_{q}.num AS DOUBLE) / c_{q}.den AS loss_{q}' for q in QI)} FROM lc CROSS JOIN whole {' '.join(f"JOIN cell c_{q} ON c_{q}.attr = '{q}' AND c_{q}.level = CAST(split_part(node, '.', {i + 1}) AS INT) AND c_{q}.label = g_{q}" for i, q in enumerate(QI))}
+), nl AS (SELECT node, {big('coalesce(sum(n) FILTER (WHERE bad), 0)')} AS suppressed, sum(n) AS total, ({' + '.join(f"sum(CASE WHEN bad THEN n ELSE n * loss_{q} END)" for q in QI)}) / {len(QI)} / sum(n) AS loss FROM ll GROUP BY node)
+SELECT node, suppressed, round(loss, 9) AS loss FROM nl WHERE suppressed <= floor(total * round({limit} * 1000000) / 1000000) ORDER BY round(loss, 12), {' + '.join(f"CAST(split_part(node, '.', {i + 1}) AS INT)" for i in range(len(QI)))}, node LIMIT 1"""
+
+
+def _optimum(s, **models):
+    best = lattice.optimum(lattice.signature(s.md, s.hier, SPEC), s.hier, SPEC, K, **models)
     rows = [] if best is None else [(lattice.node_name(best.node), best.suppressed, round(best.loss, 9))]
     return s.spark.createDataFrame(rows, "node string, suppressed long, loss double")
 
 
+@query(_optimum_sql(f"n < {K}", LIMIT))
+def lattice_optimum(s):
+    return _optimum(s, limit=LIMIT)
+
+
+@query(_optimum_sql(f"(n < {K} OR n_pos IN (0, n))", LIMIT))
+def lattice_optimum_l(s):
+    """The search under k-anonymity and distinct l-diversity (2)."""
+    return _optimum(s, limit=LIMIT, l=2)
+
+
+@query(_optimum_sql(f"(n < {K} OR CAST(abs(n_pos * whole_n - whole_pos * n) AS DOUBLE) > ({T} + 1e-9) * CAST(n AS DOUBLE) * whole_n)", LIMIT))
+def lattice_optimum_t(s):
+    """The search under k-anonymity and equal-distance t-closeness."""
+    return _optimum(s, limit=LIMIT, t=T)
+
+
 @query(f"SELECT config_id, round(avg(loss), 9) AS loss FROM (SELECT config_id, attr, {div('sum(CASE WHEN is_outlier THEN den ELSE cell.num END)', 'sum(den)')} AS loss FROM (SELECT config_id, is_outlier, unnest([{', '.join(repr(q) for q in QI)}]) AS attr, unnest([{', '.join(f'lv_{q}' for q in QI)}]) AS level, unnest([{', '.join(f'g_{q}' for q in QI)}]) AS label FROM rel) JOIN cell USING (attr, level, label) GROUP BY 1, 2) GROUP BY 1")
 def info_loss(s):
     return structure.info_loss(s.all_classes, s.cells, SPEC)
@@ -251,7 +279,7 @@ def rare_value_fate(s):
 
 @query(f"SELECT config_id, {G}, n, n_pos, n_sens FROM rc")
 def equivalence_classes(s):
-    return s.classes.drop("k", "lim", *[f"lv_{q}" for q in QI])
+    return s.classes.drop("k", "lim", "l", "t", "fails", *[f"lv_{q}" for q in QI])
 
 
 @query(f"SELECT config_id, convention, count(*) AS classes, {big('sum(n)')} AS rows, count(*) FILTER (WHERE n = 1) AS singles FROM (SELECT config_id, CASE WHEN grouping(sens) = 1 THEN 'qi' ELSE 'full' END AS convention, count(*) AS n FROM rel WHERE NOT is_outlier GROUP BY GROUPING SETS ((config_id, {G}), (config_id, {G}, sens))) GROUP BY 1, 2")
@@ -325,18 +353,22 @@ def privacy_summary(s):
     return base.join(privacy.t_hat(s.classes, privacy.totals(s.all_classes)), "config_id")
 
 
-@query(f"SELECT config_id, rid, {G}, sens FROM rel WHERE NOT is_outlier AND config_id <> 'CFG00'")
+@query(f"SELECT config_id, rid, {G}, sens FROM rel WHERE NOT is_outlier")
 def retained_rows(s):
-    return s.released_rows.filter("not is_outlier and config_id <> 'CFG00'").select("config_id", "rid", *privacy.labels(SPEC), "sens")
+    return s.released_rows.filter("not is_outlier").select("config_id", "rid", *privacy.labels(SPEC), "sens")
 
 
-@query("SELECT config_id, count(*) AS rows, CAST(0 AS BIGINT) AS target_mismatches FROM rel GROUP BY 1")
+@query("SELECT config_id, count(*) AS rows, count(*) FILTER (WHERE rel.sens IS DISTINCT FROM md.sens) AS target_mismatches FROM rel JOIN md USING (rid) GROUP BY 1")
 def release_binding(s):
     joined = s.released_rows.select("config_id", "rid", F.col("sens").alias("released_sens")).join(s.md.select("rid", "sens"), "rid")
     return joined.groupBy("config_id").agg(F.count(F.lit(1)).alias("rows"), F.sum((~F.col("sens").eqNullSafe(F.col("released_sens"))).cast("long")).alias("target_mismatches"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b")
+_LOOKED_UP = "SELECT " + ", ".join(f"h_{q}.label AS {q}" for q in QI) + ", sens FROM md " + " ".join(f"JOIN hier h_{q} ON h_{q}.attr = '{q}' AND h_{q}.level = {VECTOR[q]} AND h_{q}.leaf = CAST(md.{q} AS VARCHAR)" for q in QI)
+_RELEASED = f"SELECT {', '.join(f'g_{q} AS {q}' for q in QI)}, sens FROM rel WHERE config_id = 'CFG01'"
+
+
+@query(f"SELECT (SELECT count(*) FROM ({_RELEASED} EXCEPT ALL {_LOOKED_UP})) AS only_a, (SELECT count(*) FROM ({_LOOKED_UP} EXCEPT ALL {_RELEASED})) AS only_b")
 def release_multiset_equal(s):
     """The same release by broadcast lookups and by label paths, as multisets of rows."""
     columns = [F.col(f"g_{q}").alias(q) for q in QI]
@@ -384,7 +416,7 @@ def tvd_summary(s):
 
 @query(f"SELECT config_id, round(({' + '.join(f'lv_{q} / {SPEC.heights[q]}.0::DOUBLE' for q in QI)}) / {len(QI)}.0::DOUBLE, 9) AS intensity, loss, {div('n - n_c', 'n')} AS suppression_rate FROM cfg JOIN sizes USING (config_id) JOIN (" + SQL["info_loss"].removeprefix(PRE) + ") USING (config_id)")
 def structural_summary(s):
-    rate = s.all_classes.groupBy("config_id").agg(ratio(F.sum(F.when(F.col("n") < F.col("k"), F.col("n")).otherwise(0)), F.sum("n")).alias("suppression_rate"))
+    rate = s.all_classes.groupBy("config_id").agg(ratio(F.sum(F.when(F.col("fails"), F.col("n")).otherwise(0)), F.sum("n")).alias("suppression_rate"))
     return structure.intensity(s.configs, SPEC).join(structure.info_loss(s.all_classes, s.cells, SPEC), "config_id").join(rate, "config_id")
 
 
@@ -427,9 +459,9 @@ def attack_candidates(s):
     return met.groupBy("scenario", "config_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum("size").alias("rows"))
 
 
-@query("SELECT scenario, config_id, CAST(target_pos AS INT) AS target_pos, CAST(draw AS INT) AS draw, g_num, size, score FROM sc WHERE config_id <> 'CFG00'")
+@query("SELECT scenario, config_id, CAST(target_pos AS INT) AS target_pos, CAST(draw AS INT) AS draw, g_num, size, score FROM sc")
 def attack_scores(s):
-    return s.scores.filter("config_id <> 'CFG00'").select("scenario", "config_id", "target_pos", "draw", "g_num", "size", "score")
+    return s.scores.select("scenario", "config_id", "target_pos", "draw", "g_num", "size", "score")
 
 
 @query("SELECT scenario, config_id, CAST(target_pos AS INT) AS target_pos, CAST(draw AS INT) AS draw, best, tie_size, array_to_string(winning, ',') AS winning FROM won")
@@ -447,7 +479,8 @@ def attack_counts(s):
     return disclosure.counts(s.done)
 
 
-@query("SELECT * FROM (VALUES ('30-34', 2, CAST(0.4 AS DOUBLE), true, CAST(2 AS BIGINT)), ('35-39', 1, CAST(0.1 AS DOUBLE), false, NULL)) t(label, size, score, winner, tie_size)")
+@query("""SELECT label, size, score, score >= top - 1e-12 AS winner, CASE WHEN score >= top - 1e-12 THEN CAST(sum(CASE WHEN score >= top - 1e-12 THEN size ELSE 0 END) OVER () AS BIGINT) END AS tie_size FROM (
+  SELECT *, max(score) OVER () AS top FROM (SELECT label, size, max(q) AS score FROM (SELECT unnest(range(30, 40)) AS leaf) JOIN (VALUES ('30-34', 30, CAST(2 AS BIGINT)), ('35-39', 35, 1)) g(label, low, size) ON leaf BETWEEN low AND low + 4 JOIN pmf ON scenario = 'BASE' AND leaf + err = 33 GROUP BY 1, 2))""")
 def attack_oracle(s):
     return disclosure.oracle(s.spark)
 
@@ -500,7 +533,7 @@ def risk_points_and_controls(s):
     return disclosure.risk_point(s.done, s.sizes).join(control, ["scenario", "config_id"]).select("scenario", "config_id", "r_all", "permuted_r_all", "uniform_r_all")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b")
+@query(f"SELECT (SELECT count(*) FROM (SELECT rid FROM md EXCEPT ALL SELECT rid FROM {_PUBLISHED})) AS only_a, (SELECT count(*) FROM (SELECT rid FROM {_PUBLISHED} EXCEPT ALL SELECT rid FROM md)) AS only_b")
 def bijection_check(s):
     return validation.multiset_difference(s.md.select("rid"), disclosure.publish_order(s.md, "rid").select("rid"))
 
@@ -525,9 +558,9 @@ def cluster_first_appearance(s):
     return s.clusters
 
 
-@query("SELECT config_id, cluster_id, n, round(s, 9) AS s FROM pc")
+@query("SELECT scenario, config_id, cluster_id, n, round(s, 9) AS s FROM pc")
 def risk_clusters(s):
-    return s.per_cluster.select("config_id", "cluster_id", "n", F.round("s", 9).alias("s"))
+    return s.per_cluster.select("scenario", "config_id", "cluster_id", "n", F.round("s", 9).alias("s"))
 
 
 @query("SELECT replicate, unit, mult FROM plan")
@@ -540,14 +573,14 @@ def bootstrap_risk(s):
     return s.boot
 
 
-@query("SELECT a.replicate, a.config_id, round(a.r_all - b.r_all, 9) AS difference FROM boot a JOIN boot b ON a.replicate = b.replicate AND b.config_id = 'CFG00' WHERE a.config_id <> 'CFG00'")
+@query("SELECT a.scenario, a.replicate, a.config_id, round(a.r_all - b.r_all, 9) AS difference FROM boot a JOIN boot b ON a.scenario = b.scenario AND a.replicate = b.replicate AND b.config_id = 'CFG00' WHERE a.config_id <> 'CFG00'")
 def delta_vs_raw(s):
-    return bootstrap.against(s.boot, "CFG00", "r_all", ["replicate"])
+    return bootstrap.against(s.boot, "CFG00", "r_all", ["scenario", "replicate"])
 
 
-@query("SELECT a.replicate, a.config_id, a2.other, round(a.r_all - b.r_all, 9) AS difference FROM boot a JOIN pairs a2 ON a.config_id = a2.config_id JOIN boot b ON b.config_id = a2.other AND a.replicate = b.replicate")
+@query("SELECT a.scenario, a.replicate, a.config_id, a2.other, round(a.r_all - b.r_all, 9) AS difference FROM boot a JOIN pairs a2 ON a.config_id = a2.config_id JOIN boot b ON b.config_id = a2.other AND a.scenario = b.scenario AND a.replicate = b.replicate")
 def suppression_pairs(s):
-    return bootstrap.paired(s.boot, s.pairs, "r_all", ["replicate"])
+    return bootstrap.paired(s.boot, s.pairs, "r_all", ["scenario", "replicate"])
 
 
 def _interval(v: str) -> str:
@@ -556,24 +589,24 @@ def _interval(v: str) -> str:
 
 _RAW_DIFFERENCE = SQL["delta_vs_raw"].removeprefix(PRE)
 _PAIR_DIFFERENCE = SQL["suppression_pairs"].removeprefix(PRE)
-_INTERVALS = f"SELECT 'R_ALL' AS kind, config_id, {_interval('r_all')} FROM boot GROUP BY 2 UNION ALL SELECT 'VS_RAW', config_id, {_interval('difference')} FROM ({_RAW_DIFFERENCE}) GROUP BY 2 UNION ALL SELECT 'PAIR', config_id, {_interval('difference')} FROM ({_PAIR_DIFFERENCE}) GROUP BY 2"
+_INTERVALS = f"SELECT 'R_ALL' AS kind, scenario, config_id, {_interval('r_all')} FROM boot GROUP BY 2, 3 UNION ALL SELECT 'VS_RAW', scenario, config_id, {_interval('difference')} FROM ({_RAW_DIFFERENCE}) GROUP BY 2, 3 UNION ALL SELECT 'PAIR', scenario, config_id, {_interval('difference')} FROM ({_PAIR_DIFFERENCE}) GROUP BY 2, 3"
 
 
 @query(_INTERVALS)
 def risk_intervals(s):
-    boot = s.boot
+    boot, by, keys = s.boot, ["scenario", "config_id"], ["scenario", "replicate"]
     parts = [
-        ("R_ALL", bootstrap.intervals(boot, "r_all", ["config_id"])),
-        ("VS_RAW", bootstrap.intervals(bootstrap.against(boot, "CFG00", "r_all", ["replicate"]), "difference", ["config_id"])),
-        ("PAIR", bootstrap.intervals(bootstrap.paired(boot, s.pairs, "r_all", ["replicate"]), "difference", ["config_id"])),
+        ("R_ALL", bootstrap.intervals(boot, "r_all", by)),
+        ("VS_RAW", bootstrap.intervals(bootstrap.against(boot, "CFG00", "r_all", keys), "difference", by)),
+        ("PAIR", bootstrap.intervals(bootstrap.paired(boot, s.pairs, "r_all", keys), "difference", by)),
     ]
-    frames = [f.select(F.lit(kind).alias("kind"), "config_id", "low", "high") for kind, f in parts]
+    frames = [f.select(F.lit(kind).alias("kind"), *by, "low", "high") for kind, f in parts]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
-@query(f"SELECT kind, config_id, CASE WHEN low > 0 THEN 'positive' WHEN high < 0 THEN 'negative' ELSE 'includes_zero' END AS sign FROM ({_INTERVALS})")
+@query(f"SELECT kind, scenario, config_id, CASE WHEN low > 0 THEN 'positive' WHEN high < 0 THEN 'negative' ELSE 'includes_zero' END AS sign FROM ({_INTERVALS})")
 def endpoint_sign(s):
-    return risk_intervals(s).select("kind", "config_id", scalars.endpoint_sign(F.col("low"), F.col("high")).alias("sign"))
+    return risk_intervals(s).select("kind", "scenario", "config_id", scalars.endpoint_sign(F.col("low"), F.col("high")).alias("sign"))
 
 
 # ---- utility -----------------------------------------------------------------------------------------------
@@ -598,15 +631,16 @@ def cv_fold_balance(s):
     return cv_folds(s).groupBy("fold", "y").agg(F.count(F.lit(1)).alias("rows"))
 
 
-#: Stand-in for mean scores of a grid: the mean rate over folds of each level, with a deliberate tie.
-_GRID = "SELECT CAST(c AS DOUBLE) AS c, round(avg(CASE WHEN c > 1 THEN y * 1.0::DOUBLE ELSE 1.0::DOUBLE - y END), 9) AS mean_auroc FROM lab CROSS JOIN (SELECT unnest([0.1, 1.0, 10.0]) AS c) WHERE config_id = 'CFG00' GROUP BY 1"
+@query()
+def select_c_folds(s):
+    """Mean AUROC over stratified folds of the raw training rows for each C of the grid: 15 fits."""
+    return utility.select_c(s.labelled(s.md.filter("split = 'train'")).select("row_id", "y", *[F.col(q).cast("string") for q in QI]), list(QI))
 
 
-@query(f"SELECT c, mean_auroc FROM ({_GRID}) ORDER BY mean_auroc DESC, c LIMIT 1")
+@query()
 def select_c_topk(s):
-    rows = s.labelled(s.md).withColumn("c", F.explode(F.array(*[F.lit(c) for c in (0.1, 1.0, 10.0)])))
-    means = rows.groupBy("c").agg(F.round(F.avg(F.when(F.col("c") > 1, F.col("y").cast("double")).otherwise(1.0 - F.col("y"))), 9).alias("mean_auroc"))
-    return utility.best_c(means)
+    """The C of the best mean; ties go to the smaller."""
+    return utility.best_c(select_c_folds(s)).select("c", "mean_auroc")
 
 
 @query("SELECT config_id, tp, fp, tn, fn, accuracy, balanced_accuracy FROM confm")
@@ -636,12 +670,12 @@ def delta_auroc(s):
     return points.filter("config_id <> 'CFG00'").join(F.broadcast(raw)).select("config_id", F.round(F.col("raw") - F.col("auroc"), 9).alias("delta"))
 
 
-@query("SELECT config_id, replicate, auroc FROM bauc")
+@query()
 def bootstrap_auroc(s):
     return s.boot_auroc
 
 
-@query(f"SELECT config_id, {_interval('difference')} FROM (SELECT a.config_id, round(a.auroc - b.auroc, 9) AS difference FROM bauc a JOIN bauc b ON a.replicate = b.replicate AND b.config_id = 'CFG00' WHERE a.config_id <> 'CFG00') GROUP BY 1")
+@query()
 def delta_auroc_interval(s):
     return bootstrap.intervals(bootstrap.against(s.boot_auroc, "CFG00", "auroc", ["replicate"]), "difference", ["config_id"])
 
@@ -655,14 +689,17 @@ def prior_baseline(s):
     return utility.prior_baseline(rows.filter("split = 'train'"), rows.filter("split = 'holdout'"))
 
 
-#: The SQL still fits on this part of the training rows and ignores suppression; the queries fit on all retained ones.
-_FIT = "split = 'train' AND rid % 20 = 1"
+_FIT = "split = 'train' AND NOT is_outlier"
+#: Value combinations of this many attributes, for categories that a fit can miss on any data.
+_PAIR = ("num", "nation")
 
 
-@query(f"SELECT DISTINCT num AS value FROM md WHERE split = 'holdout' AND num NOT IN (SELECT num FROM md WHERE {_FIT})")
+@query(f"SELECT DISTINCT {_PAIR[0]} || '/' || {_PAIR[1]} AS value FROM md WHERE split = 'holdout' AND {_PAIR[0]} || '/' || {_PAIR[1]} NOT IN (SELECT {_PAIR[0]} || '/' || {_PAIR[1]} FROM md WHERE split = 'train')")
 def unknown_categories(s):
-    train = s.md.filter("split = 'train'").select("num").distinct()
-    return s.md.filter("split = 'holdout'").select("num").distinct().join(train, "num", "left_anti").select(F.col("num").alias("value"))
+    """Categories (of a crossed attribute) that holdout rows have and no training row."""
+    value = F.concat_ws("/", *[F.col(q).cast("string") for q in _PAIR]).alias("value")
+    train = s.md.filter("split = 'train'").select(value).distinct()
+    return s.md.filter("split = 'holdout'").select(value).distinct().join(train, "value", "left_anti")
 
 
 _OHE = " UNION ALL ".join(
@@ -712,23 +749,42 @@ def lr_release(s):
     return utility.point_metrics(scored.select(F.lit("CFG02").alias("config_id"), "row_id", "y", "p"), ["config_id"])
 
 
-@query()
-def lr_matrix(s):
-    """The same for every configuration, releases and counterfactuals."""
+def _fits(s):
+    """Scored holdout cells of every configuration's release and counterfactual model; the raw configuration has one model."""
     cells = s.labelled(s.released).select("config_id", "y", "w", "split", "is_outlier", *[F.col(f"g_{q}").alias(q) for q in QI])
-    kinds = F.when(F.col("split") == "holdout", F.array(F.lit("counterfactual"), F.lit("release"))).when(F.col("is_outlier"), F.array(F.lit("counterfactual"))).otherwise(F.array(F.lit("counterfactual"), F.lit("release")))
+    both = F.array(F.lit("counterfactual"), F.lit("release"))
+    kinds = F.when(F.col("config_id") == "CFG00", F.array(F.lit("release"))).when((F.col("split") == "holdout") | ~F.col("is_outlier"), both).otherwise(F.array(F.lit("counterfactual")))
     each = cells.withColumn("kind", F.explode(kinds)).groupBy("config_id", "kind", "split", "y", *QI).agg(F.sum("w").alias("w"))
-    model = ["config_id", "kind"]
-    scored = each.groupBy(*model).applyInPandas(utility.logistic_cells(list(QI)), "config_id string, kind string, y int, w long, p double")
-    return utility.point_metrics(scored, model)
+    return each.groupBy("config_id", "kind").applyInPandas(utility.logistic_cells(list(QI)), "config_id string, kind string, y int, w long, p double, converged boolean")
+
+
+@query()
+def lr_matrix(s):
+    """Holdout metrics of logistic regression for every configuration, releases and counterfactuals."""
+    return utility.point_metrics(_fits(s), ["config_id", "kind"])
+
+
+@query()
+def lr_convergence(s):
+    """Whether every fit of the matrix converged."""
+    return _fits(s).groupBy("config_id", "kind").agg(F.min("converged").alias("converged"), F.sum("w").alias("holdout_rows"))
+
+
+@query()
+def lr_deltas(s):
+    """What a release's model loses against the raw one in AUROC, and what of it comes from suppression alone."""
+    points = lr_matrix(s).select("config_id", "kind", "auroc")
+    raw = points.filter("config_id = 'CFG00'").select(F.col("auroc").alias("raw"))
+    other = points.filter("kind = 'counterfactual'").select("config_id", F.col("auroc").alias("counterfactual"))
+    return points.filter("kind = 'release' and config_id <> 'CFG00'").join(F.broadcast(raw)).join(F.broadcast(other), "config_id").select("config_id", F.round(F.col("raw") - F.col("auroc"), 9).alias("delta"), F.round(F.col("counterfactual") - F.col("auroc"), 9).alias("delta_suppression"))
 
 
 # ---- export -----------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT kind, config_id, low AS interval_low, high AS interval_high FROM ({_INTERVALS})")
+@query(f"SELECT kind, scenario, config_id, low AS interval_low, high AS interval_high FROM ({_INTERVALS})")
 def export_flatten_intervals(s):
-    nested = risk_intervals(s).select("kind", "config_id", F.struct("low", "high").alias("interval"))
+    nested = risk_intervals(s).select("kind", "scenario", "config_id", F.struct("low", "high").alias("interval"))
     return export.flatten(nested, "interval", "interval_")
 
 

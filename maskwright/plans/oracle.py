@@ -64,7 +64,7 @@ def label_case(q: str, level: str) -> str:
     return f"CASE {level} {arms[q]} ELSE '*' END"
 
 
-CFG_ROWS = ", ".join(f"('{c.config_id}', {c.k}, CAST({c.limit!r} AS DOUBLE), {', '.join(str(c.vector[q]) for q in QI)})" for c in CONFIGS)
+CFG_ROWS = ", ".join(f"('{c.config_id}', {c.k}, CAST({c.limit!r} AS DOUBLE), CAST({'NULL' if c.l is None else c.l} AS INT), CAST({'NULL' if c.t is None else c.t} AS DOUBLE), {', '.join(str(c.vector[q]) for q in QI)})" for c in CONFIGS)
 PMF_ROWS = ", ".join(f"('{s.scenario}', {d}, CAST({q!r} AS DOUBLE))" for s in SCENARIOS for d, q in sorted(s.errors.items()))
 SCENARIO_ROWS = ", ".join(f"('{s.scenario}')" for s in SCENARIOS)
 PAIR_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in sorted(PAIRS.items()))
@@ -82,11 +82,15 @@ PRE = f"""WITH md AS (
   UNION ALL SELECT 'priority', priority, level, {label_case('priority', 'level')} FROM (SELECT unnest({_list(PRIORITIES)}) AS priority) CROSS JOIN (SELECT unnest(range(0, 3)) AS level)
   UNION ALL SELECT 'yr', CAST(yr AS VARCHAR), level, {label_case('yr', 'level')} FROM (SELECT unnest({list(YEARS)}) AS yr) CROSS JOIN (SELECT unnest(range(0, 3)) AS level)
   UNION ALL SELECT 'status', status, level, {label_case('status', 'level')} FROM (SELECT unnest({_list(STATUSES)}) AS status) CROSS JOIN (SELECT unnest(range(0, 2)) AS level)
-), cfg(config_id, k, lim, {', '.join(f'lv_{q}' for q in QI)}) AS (VALUES {CFG_ROWS}
+), cfg(config_id, k, lim, l, t, {', '.join(f'lv_{q}' for q in QI)}) AS (VALUES {CFG_ROWS}
 ), gen AS (
-  SELECT config_id, k, lim, md.*, {', '.join(f'lv_{q}' for q in QI)}, {', '.join(f'{label_case(q, f"lv_{q}")} AS g_{q}' for q in QI)} FROM md CROSS JOIN cfg
-), sz AS (SELECT config_id, {G}, count(*) AS class_n FROM gen GROUP BY config_id, {G}
-), rel AS (SELECT gen.*, class_n, class_n < k AS is_outlier FROM gen JOIN sz USING (config_id, {G})
+  SELECT config_id, k, lim, l, t, md.*, {', '.join(f'lv_{q}' for q in QI)}, {', '.join(f'{label_case(q, f"lv_{q}")} AS g_{q}' for q in QI)} FROM md CROSS JOIN cfg
+), sz AS (SELECT config_id, {G}, count(*) AS class_n, count(*) FILTER (WHERE sens = '>T') AS class_pos FROM gen GROUP BY config_id, {G}
+), whole AS (SELECT count(*) AS whole_n, count(*) FILTER (WHERE sens = '>T') AS whole_pos FROM md
+), rel AS (
+  SELECT gen.*, class_n, class_n < k OR coalesce(CASE WHEN class_pos IN (0, class_n) THEN 1 ELSE 2 END < l, false)
+    OR coalesce(CAST(abs(class_pos * whole_n - whole_pos * class_n) AS DOUBLE) > (t + 1e-9) * CAST(class_n AS DOUBLE) * whole_n, false) AS is_outlier
+  FROM gen JOIN sz USING (config_id, {G}) CROSS JOIN whole
 ), rc AS (
   SELECT config_id, {G}, count(*) AS n, {big("count(*) FILTER (WHERE sens = '>T')")} AS n_pos, count(DISTINCT sens) AS n_sens FROM rel WHERE NOT is_outlier GROUP BY config_id, {G}
 ), tot AS (SELECT config_id, count(*) AS total, count(*) FILTER (WHERE sens = '>T') AS positive FROM rel GROUP BY config_id
@@ -96,24 +100,26 @@ PRE = f"""WITH md AS (
 ), long AS (
   {' UNION ALL '.join(f"SELECT config_id, is_outlier, sens, '{q}' AS attr, CAST({q} AS VARCHAR) AS raw, g_{q} AS value FROM rel" for q in QI)}
 ), sizes AS (SELECT config_id, count(*) AS n, count(*) FILTER (WHERE NOT is_outlier) AS n_c FROM rel GROUP BY config_id
-), tg AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('11001|' || rid), rid) AS target_pos FROM md) WHERE target_pos <= {TARGETS}
-), nz AS ({_noise()}
+), tg AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('11001|' || rid), rid) AS target_pos FROM md) WHERE target_pos <= {TARGETS}
+), nz AS MATERIALIZED ({_noise()}
 ), pmf(scenario, err, q) AS (VALUES {PMF_ROWS}
 ), scn(scenario) AS (VALUES {SCENARIO_ROWS}
 ), compat AS (
   SELECT scenario, level, label, CAST(leaf AS INT) + err AS z, max(q) AS q FROM hier CROSS JOIN pmf WHERE attr = 'num' GROUP BY 1, 2, 3, 4
-), keyed AS (SELECT scenario, rel.*, {_keys()} FROM rel CROSS JOIN scn
-), grp AS (SELECT scenario, config_id, {KEYS}, g_num, lv_num, count(*) AS size FROM keyed WHERE NOT is_outlier GROUP BY ALL
-), seen AS (
-  SELECT scenario, config_id, target_pos, draw, {KEYS}, keyed.num + err AS z FROM keyed JOIN tg USING (rid) JOIN nz USING (scenario, target_pos)
-), sc AS (
+), grp AS MATERIALIZED (
+  SELECT scenario, config_id, {KEYS}, g_num, lv_num, {big('sum(n)')} AS size FROM (SELECT scenario, rc.*, lv_num, {_keys()} FROM rc JOIN cfg USING (config_id) CROSS JOIN scn) GROUP BY ALL
+), mine AS MATERIALIZED (SELECT rel.*, target_pos FROM rel JOIN (SELECT rid, target_pos FROM tg) USING (rid)
+), seen AS MATERIALIZED (
+  SELECT scenario, config_id, target_pos, draw, {KEYS}, num + err AS z FROM (SELECT scenario, mine.*, {_keys()} FROM mine CROSS JOIN scn) JOIN nz USING (scenario, target_pos)
+), sc AS MATERIALIZED (
   SELECT seen.*, grp.g_num, grp.lv_num, size, q AS score FROM seen JOIN grp USING (scenario, config_id, {KEYS}) JOIN compat ON compat.scenario = seen.scenario AND level = lv_num AND label = g_num AND compat.z = seen.z
-), best AS (SELECT *, max(score) OVER (PARTITION BY scenario, config_id, target_pos, draw) AS best FROM sc
+), best AS (SELECT scenario, config_id, target_pos, draw, max(score) AS best FROM sc GROUP BY 1, 2, 3, 4
 ), top AS (
-  SELECT scenario, config_id, target_pos, draw, max(best) AS best, {big('sum(size)')} AS tie_size, list_sort(list(g_num)) AS winning FROM best WHERE score >= best - 1e-12 GROUP BY 1, 2, 3, 4
-), won AS (
+  SELECT scenario, config_id, target_pos, draw, max(best) AS best, {big('sum(size)')} AS tie_size, list_sort(list(g_num)) AS winning
+  FROM sc JOIN best USING (scenario, config_id, target_pos, draw) WHERE score >= best - 1e-12 GROUP BY 1, 2, 3, 4
+), won AS MATERIALIZED (
   SELECT seen.*, coalesce(best, 0.0) AS best, coalesce(tie_size, 0) AS tie_size, coalesce(winning, CAST([] AS VARCHAR[])) AS winning FROM seen LEFT JOIN top USING (scenario, config_id, target_pos, draw)
-), truth AS (SELECT config_id, target_pos, g_num AS true_label, NOT is_outlier AS retained FROM rel JOIN (SELECT rid, target_pos FROM tg) USING (rid)
+), truth AS (SELECT config_id, target_pos, g_num AS true_label, NOT is_outlier AS retained FROM mine
 ), done AS (
   SELECT *, CASE WHEN hit THEN 1.0 / CAST(tie_size AS DOUBLE) ELSE 0.0 END AS success FROM (
     SELECT scenario, config_id, target_pos, draw, tie_size, retained, retained AND list_contains(winning, true_label) AS hit FROM won JOIN truth USING (config_id, target_pos))
@@ -134,7 +140,7 @@ PRE = f"""WITH md AS (
     SELECT replicate, CAST(floor({uniform("'11005|' || replicate || '|' || draw")} * (SELECT count(*) FROM cl)) AS BIGINT) + 1 AS unit
     FROM (SELECT unnest(range(1, {REPLICATES + 1})) AS replicate) CROSS JOIN (SELECT unnest(range(1, (SELECT count(*) FROM cl) + 1)) AS draw)) GROUP BY 1, 2
 ), pc AS (
-  SELECT scenario, config_id, cluster_id, count(*) AS n, sum(mean_success) AS s FROM means JOIN tg USING (target_pos) JOIN cl USING (num, segment, status, nation) WHERE scenario = 'BASE' GROUP BY 1, 2, 3
+  SELECT scenario, config_id, cluster_id, count(*) AS n, sum(mean_success) AS s FROM means JOIN tg USING (target_pos) JOIN cl USING (num, segment, status, nation) GROUP BY 1, 2, 3
 ), boot AS (
   SELECT scenario, config_id, replicate, round({div('sum(mult * s)', 'sum(mult * n)')}, 9) AS r_all FROM (SELECT pc.*, replicate, mult FROM pc JOIN plan ON cluster_id = unit) GROUP BY 1, 2, 3
 ), pairs(config_id, other) AS (VALUES {PAIR_ROWS}
@@ -158,16 +164,6 @@ PRE = f"""WITH md AS (
   SELECT config_id, count(*) FILTER (WHERE p >= 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE p >= 0.5 AND y = 0) AS fp, count(*) FILTER (WHERE p < 0.5 AND y = 0) AS tn, count(*) FILTER (WHERE p < 0.5 AND y = 1) AS fn FROM mr GROUP BY 1
 ), confm AS (
   SELECT *, {div('tp + tn', 'tp + fp + tn + fn')} AS accuracy, round(({div('tp', 'tp + fn')} + {div('tn', 'tn + fp')}) / 2.0, 9) AS balanced_accuracy FROM conf
-), numbered AS (
-  SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY md5('11006|' || row_id), row_id) AS i, count(*) OVER (PARTITION BY y) AS n_y FROM (SELECT DISTINCT row_id, y FROM mr)
-), drawn AS (
-  SELECT replicate, y, CAST(floor({uniform("'11006|' || replicate || '|' || y || '|' || i")} * n_y) AS INT) + 1 AS i, count(*) AS mult FROM numbered CROSS JOIN (SELECT unnest(range(1, {REPLICATES + 1})) AS replicate) GROUP BY ALL
-), bt AS (
-  SELECT config_id, replicate, p, coalesce(sum(mult) FILTER (WHERE mr.y = 1), 0) AS pos, coalesce(sum(mult) FILTER (WHERE mr.y = 0), 0) AS neg
-  FROM drawn JOIN numbered USING (y, i) JOIN mr USING (row_id) GROUP BY 1, 2, 3
-), bauc AS (
-  SELECT config_id, replicate, round({div('sum(pos * (2 * below + neg))', '2 * sum(pos) * sum(neg)')}, 9) AS auroc FROM (
-    SELECT *, coalesce(sum(neg) OVER (PARTITION BY config_id, replicate ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM bt) GROUP BY 1, 2
 ), raw AS (
   SELECT l_orderkey * 8 + l_linenumber AS line_no, CAST(l_orderkey AS VARCHAR) AS orderkey, CAST(l_linenumber AS VARCHAR) AS linenumber, CASE WHEN l_returnflag = 'N' THEN '?' ELSE l_returnflag END AS flag,
          l_linestatus AS status, CAST(CAST(trunc(l_quantity) AS INT) AS VARCHAR) AS quantity, l_linestatus || '.' AS label FROM lineitem

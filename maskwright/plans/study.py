@@ -130,8 +130,7 @@ class Study:
 
     @cached_property
     def per_cluster(self) -> DataFrame:
-        base = self.done.filter("scenario = 'BASE'")
-        return bootstrap.cluster_success(disclosure.target_means(base), self.targets, self.clusters, CLUSTER_KEYS)
+        return bootstrap.cluster_success(disclosure.target_means(self.done), self.targets, self.clusters, CLUSTER_KEYS)
 
     @cached_property
     def boot(self) -> DataFrame:
@@ -155,11 +154,17 @@ class Study:
         rows = self.labelled(self.released)
         return utility.rate_scores(rows.filter("split = 'train'"), rows.filter("split = 'holdout'"), SCORE_KEYS, ["config_id"])
 
+    @cached_property
+    def score_cells(self) -> DataFrame:
+        """Holdout rows by the scores that the releases' models give them."""
+        rows = self.labelled(self.released).withColumn("key", F.xxhash64(*SPEC.names))
+        scored = utility.rate_scores(rows.filter("split = 'train' and not is_outlier"), rows.filter("split = 'holdout'"), SCORE_KEYS, ["config_id"])
+        return utility.score_cells(scored, "config_id")
+
     @cached_property
     def boot_auroc(self) -> DataFrame:
-        kept = self.labelled(self.released).filter("split = 'train' and not is_outlier")
-        holdout = self.labelled(self.released_rows.filter("split = 'holdout'"))
-        return utility.bootstrap_auroc(utility.rate_scores(kept, holdout, SCORE_KEYS, ["config_id"]).drop("w"), ["config_id"], fixture.REPLICATES)
+        names = [c.config_id for c in sorted(fixture.CONFIGS, key=lambda c: c.config_id)]
+        return utility.bootstrap_auroc(self.score_cells, names, "config_id", fixture.REPLICATES)
 
     @cached_property
     def tvd(self) -> DataFrame:

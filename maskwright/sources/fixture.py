@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import block_label
 from ..operators.schema import AnonConfig, QuasiIdentifierSpec, Scenario
 
 SPEC = QuasiIdentifierSpec(
@@ -20,16 +19,18 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 YEARS = tuple(range(1995, 2002))
 STATUSES = ("F", "O", "P")
 
-#: config, levels of (num, nation, segment, priority, yr, status), k, suppression limit, its pair without suppression.
+#: config, levels of (num, nation, segment, priority, yr, status), privacy models, suppression limit, its pair without suppression.
 CONFIGS = [
     AnonConfig("CFG00", dict(zip(SPEC.names, (0, 0, 0, 0, 0, 0), strict=True))),
     AnonConfig("CFG01", dict(zip(SPEC.names, (3, 1, 1, 2, 2, 1), strict=True)), k=2),
     AnonConfig("CFG02", dict(zip(SPEC.names, (2, 1, 1, 1, 1, 1), strict=True)), k=5, limit=0.05),
     AnonConfig("CFG03", dict(zip(SPEC.names, (1, 1, 0, 2, 1, 1), strict=True)), k=10, limit=0.5, pair="CFG01"),
     AnonConfig("CFG04", dict(zip(SPEC.names, (4, 2, 1, 2, 2, 1), strict=True)), k=5, limit=0.0),
+    AnonConfig("CFG05", dict(zip(SPEC.names, (2, 1, 1, 1, 1, 1), strict=True)), k=5, l=2, limit=0.5),
+    AnonConfig("CFG06", dict(zip(SPEC.names, (2, 2, 1, 1, 2, 1), strict=True)), k=5, t=0.1, limit=0.5),
 ]
 #: Configuration with suppression -> its counterpart without.
-PAIRS = {"CFG02": "CFG01", "CFG03": "CFG04"}
+PAIRS = {"CFG02": "CFG01", "CFG03": "CFG04", "CFG05": "CFG01", "CFG06": "CFG04"}
 
 _TRIANGLE = {-2: 0.1, -1: 0.2, 0: 0.4, 1: 0.2, 2: 0.1}
 _BASE = ("num", "segment", "status", "nation")
@@ -40,7 +41,7 @@ SCENARIOS = [
     Scenario("S3", _BASE, {0: 1.0}, "11003"),
     Scenario("S4", _BASE, {d: 1.0 / 11.0 for d in range(-5, 6)}, "11003.4"),
 ]
-TARGETS, DRAWS, REPLICATES = 200, 5, 40
+TARGETS, DRAWS, REPLICATES = 200, 5, 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,24 +65,21 @@ def microdata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hierarchies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``attr, leaf, level, label`` for all quasi-identifiers; leaves are strings."""
 
-    def rows(attr: str, leaves: DataFrame, *labels) -> DataFrame:
-        levels = F.posexplode(F.array(F.col("leaf"), *labels, F.lit("*"))).alias("level", "label")
-        return leaves.select(F.lit(attr).alias("attr"), "leaf", levels)
-
-    def listed(values) -> DataFrame:
-        return spark.createDataFrame([(str(v),) for v in values], "leaf string")
-
-    n = F.col("leaf").cast("int")
+    # 25 nations at every scale; all other leaves are declared
     nation = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    parts = [
-        rows("num", spark.range(1, 101).select(F.col("id").cast("string").alias("leaf")), *[block_label(n, w) for w in (5, 10, 20)]),
-        rows("nation", nation.select(F.col("n_name").alias("leaf"), "r_name"), F.col("r_name")),
-        rows("segment", listed(SEGMENTS)),
-        rows("priority", listed(PRIORITIES), F.when(F.substring("leaf", 1, 1).isin("1", "2"), "HIGH").otherwise("LOW")),
-        rows("yr", listed(YEARS), F.when(n <= 1998, "early").otherwise("late")),
-        rows("status", listed(STATUSES)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    regions = {r["n_name"]: r["r_name"] for r in nation.select("n_name", "r_name").collect()}
+
+    def block(v: int, width: int) -> str:
+        low = (v - 1) - (v - 1) % width + 1
+        return f"{low}-{low + width - 1}"
+
+    paths = {
+        "num": [(str(v), *[block(v, w) for w in (5, 10, 20)]) for v in range(1, 101)],
+        "nation": list(regions.items()),
+        "segment": [(v,) for v in SEGMENTS],
+        "priority": [(v, "HIGH" if v[0] in "12" else "LOW") for v in PRIORITIES],
+        "yr": [(str(v), "early" if v <= 1998 else "late") for v in YEARS],
+        "status": [(v,) for v in STATUSES],
+    }
+    long = [(attr, path[0], level, label) for attr, each in paths.items() for path in each for level, label in enumerate((*path, "*"))]
+    return spark.createDataFrame(long, "attr string, leaf string, level int, label string")
