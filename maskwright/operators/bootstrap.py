@@ -38,11 +38,19 @@ def cluster_success(means: DataFrame, targets: DataFrame, found: DataFrame, keys
     return means.join(F.broadcast(which), "target_pos").groupBy("scenario", "config_id", "cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("mean_success").alias("s"))
 
 
-def bootstrap_risk(per_cluster: DataFrame, resampled: DataFrame) -> DataFrame:
-    """``scenario, config_id, replicate, r_all``: record-weighted risk of each replicate."""
-    joined = per_cluster.join(resampled.withColumnRenamed("unit", "cluster_id"), "cluster_id")
-    got = joined.groupBy("scenario", "config_id", "replicate").agg(F.sum(F.col("mult") * F.col("s")).alias("s"), F.sum(F.col("mult") * F.col("n")).alias("n"))
-    return got.select("scenario", "config_id", "replicate", F.round(ratio(F.col("s"), F.col("n")), 9).alias("r_all"))
+def bootstrap_risk(per_cluster: DataFrame, resampled: DataFrame, cells: list[tuple[str, str]]) -> DataFrame:
+    """``scenario, config_id, replicate, r_all``: record-weighted risk of each replicate, for each of ``cells`` (scenario, configuration).
+
+    Clusters become one row with two columns for each cell before the plan is joined, so the join has a row for each
+    replicate and drawn cluster, however many cells there are. Cells without any target have no row.
+    """
+    one = [(F.col("scenario") == s) & (F.col("config_id") == c) for s, c in cells]
+    wide = per_cluster.groupBy("cluster_id").agg(*[F.sum(F.when(x, F.col(v))).alias(f"{v}{k}") for k, x in enumerate(one) for v in "sn"])
+    joined = resampled.withColumnRenamed("unit", "cluster_id").join(wide, "cluster_id")
+    got = joined.groupBy("replicate").agg(*[F.sum(F.col("mult") * F.col(f"{v}{k}")).alias(f"{v}{k}") for k in range(len(cells)) for v in "sn"])
+    each = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(c).alias("config_id"), F.col(f"s{k}").cast("double").alias("s"), F.col(f"n{k}").cast("long").alias("n")) for k, (s, c) in enumerate(cells)])
+    rows = got.select("replicate", F.explode(each).alias("x")).select("x.*", "replicate").filter("n is not null")
+    return rows.select("scenario", "config_id", "replicate", F.round(ratio(F.col("s"), F.col("n")), 9).alias("r_all"))
 
 
 def against(values: DataFrame, reference: str, value: str, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -67,6 +68,33 @@ class AnonConfig:
         return self
 
 
+def catalogue(configs: list[AnonConfig], spec: QuasiIdentifierSpec) -> list[AnonConfig]:
+    """The configurations, if they form a closed catalogue: numbered ids in order, one raw release that comes first, models that
+    suppress only if they ask for something, suppression limits in whole millionths, and pairs of a release that may suppress with
+    one that may not, under the same k or a lesser one."""
+    require(bool(configs), "CAT_EMPTY", "there are configurations")
+    ids = [c.config_id for c in configs]
+    require(ids == [f"CFG{k:02d}" for k in range(len(ids))], "CAT_IDS", "ids are CFG00, CFG01, ... in order")
+    by_id = {c.config_id: c.validate(spec) for c in configs}
+    raw = configs[0]
+    require(raw.k == 1 and raw.l is None and raw.t is None and not raw.limit, "CAT_RAW", "the first configuration asks for nothing")
+    require(not any(raw.vector.values()), "CAT_RAW_VECTOR", "the first configuration generalises nothing")
+    for c in configs[1:]:
+        require(c.k >= 2, "CAT_K", f"{c.config_id} asks for k of 2 or more")
+        require(c.l is None or c.l <= c.k, "CAT_L", f"{c.config_id}: a class of k rows has no more than k sensitive values")
+        require(any(c.vector.values()), "CAT_VECTOR", f"{c.config_id} generalises something")
+    for c in configs:
+        require(type(c.limit) is float, "CAT_LIMIT_TYPE", f"{c.config_id}: the limit is a float")
+        require(math.copysign(1.0, c.limit) > 0, "CAT_LIMIT_SIGN", f"{c.config_id}: the limit is no negative zero")
+        require(round(c.limit * 1_000_000) / 1_000_000 == c.limit, "CAT_LIMIT_STEP", f"{c.config_id}: the limit is a whole number of millionths")
+        if c.pair is not None:
+            require(c.pair in by_id and c.pair != c.config_id, "CAT_PAIR", f"{c.config_id}: the pair is another configuration")
+            other = by_id[c.pair]
+            require(c.limit > 0 and other.limit == 0, "CAT_PAIR_LIMIT", f"{c.config_id}: a pair is one that may suppress with one that may not")
+            require(other.k <= c.k, "CAT_PAIR_K", f"{c.config_id}: the pair asks for no more")
+    return configs
+
+
 def configurations(spark: SparkSession, spec: QuasiIdentifierSpec, configs: list[AnonConfig]) -> DataFrame:
     """The configurations as a table: id, k, limit, l and t (null where not asked for), one level column for each quasi-identifier."""
     require(len({c.config_id for c in configs}) == len(configs), "CFG_UNIQUE", "configuration ids are distinct")

@@ -79,3 +79,53 @@ def enforce(found: DataFrame) -> None:
     bad = found.filter("violations > 0").orderBy("code").first()
     if bad is not None:
         raise ContractError(bad["code"], f"{bad['violations']} rows break it")
+
+
+def binding(released: DataFrame, configs: DataFrame, source: DataFrame, row_id: str, target: str) -> DataFrame:
+    """One row for each configuration that is declared or there: whether each release holds the source's rows, once each, with
+    their targets, and the levels that its configuration declares.
+
+    ``unbound`` counts rows that the source lacks, ``lacking`` the source's rows that the release lacks.
+    """
+    levels = [c for c in configs.columns if c.startswith("lv_") and c in released.columns]
+    mine = released.select("config_id", F.col(row_id).alias("__id"), F.col(target).alias("__target"), *levels)
+    truth = source.select(F.col(row_id).alias("__id"), F.col(target).alias("__truth"))
+    declared = configs.select("config_id", *[F.col(c).alias(f"__{c}") for c in levels], F.lit(True).alias("declared"))  # a dimension
+
+    def n(condition):
+        return F.coalesce(F.sum(condition.cast("long")), F.lit(0))
+
+    rows = mine.join(truth, "__id", "left").join(F.broadcast(declared), "config_id", "left")
+    differs = F.lit(False)
+    for c in levels:
+        differs = differs | (F.col(c) != F.col(f"__{c}"))
+    found = rows.groupBy("config_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("__id").alias("ids"), F.count(F.when(F.col("__truth").isNotNull(), 1)).alias("bound"),
+        n(~F.col("__truth").eqNullSafe(F.col("__target")) & F.col("__truth").isNotNull()).alias("target_mismatches"), n(F.col("declared") & differs).alias("vector_mismatches"),
+    )
+    total = source.agg(F.countDistinct(row_id).alias("total"))
+    both = found.withColumn("present", F.lit(True)).join(declared.select("config_id", "declared"), "config_id", "full_outer").join(F.broadcast(total))
+    zero = {c: 0 for c in ("rows", "ids", "bound", "target_mismatches", "vector_mismatches")}
+    both = both.fillna(zero).fillna({"present": False, "declared": False})
+    return both.select(
+        "config_id", "declared", "present", (F.col("rows") - F.col("bound")).alias("unbound"), (F.col("rows") - F.col("ids")).alias("repeated"),
+        F.greatest(F.col("total") - F.col("ids"), F.lit(0)).alias("lacking"), "target_mismatches", "vector_mismatches",
+    )
+
+
+def admission(predictions: DataFrame, holdout: DataFrame, by: str, key: str) -> DataFrame:
+    """One row for each model of ``predictions`` (``<by>, <key>, y, p``): ids it lacks, has too many or twice, labels that differ from the
+    holdout's (``<key>, y``), and probabilities that are null or outside [0, 1]. Only a model with zeros everywhere may be evaluated."""
+    truth = holdout.select(key, F.col("y").alias("__y"))
+    models = predictions.select(by).distinct()
+    each = predictions.groupBy(by, key).agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y"), F.sum((~F.coalesce(F.col("p").between(0, 1), F.lit(False))).cast("long")).alias("bad"))
+    # a row for each model and holdout row; the models are a dimension
+    met = truth.join(F.broadcast(models)).join(each, [by, key], "full_outer")
+
+    def n(condition):
+        return F.coalesce(F.sum(condition.cast("long")), F.lit(0))
+
+    return met.groupBy(by).agg(
+        n(F.col("n").isNull()).alias("lacking"), n(F.col("__y").isNull()).alias("unknown"), n(F.col("n") > 1).alias("repeated"),
+        n(F.col("y") != F.col("__y")).alias("relabelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("out_of_range"),
+    )

@@ -21,8 +21,11 @@ SQL: dict[str, str] = {}
 #: Vector of the single-release queries, in the quasi-identifiers' order.
 VECTOR = dict(zip(QI, (3, 1, 1, 2, 2, 1), strict=True))
 K, LIMIT, T = 5, 0.05, 0.2
-#: Queries whose result has private columns by design; families are checked against them.
-FAMILIES = ("privacy_summary", "structural_summary", "tvd_summary", "risk_points_and_controls", "success_coverage", "tie_summary", "risk_intervals", "utility_point", "delta_auroc_interval", "prior_baseline")
+#: Queries whose results are published.
+FAMILIES = (
+    "privacy_summary", "equivalence_classes", "ec_histogram", "ec_size_quantiles", "structural_summary", "tvd_summary", "tvd_marginal", "marginal_profiles", "suppression_profile", "class_counts_pivot", "info_loss",
+    "risk_points_and_controls", "risk_matrix", "success_coverage", "tie_summary", "tie_histogram", "attack_counts", "risk_intervals", "endpoint_sign", "utility_point", "delta_auroc_interval", "prior_baseline", "ohe_model_summary", "pareto_front",
+)
 
 
 def query(sql: str | None = None):
@@ -141,6 +144,51 @@ def alignment_mismatches(s):
     return validation.alignment(s.md.select("rid", "sens"), other, "rid", "sens")
 
 
+@query(f"""SELECT config_id, true AS declared, true AS present, count(*) - count(md.rid) AS unbound, count(*) - count(DISTINCT rel.rid) AS repeated, greatest((SELECT count(DISTINCT rid) FROM md) - count(DISTINCT rel.rid), 0) AS lacking,
+  count(*) FILTER (WHERE md.rid IS NOT NULL AND rel.sens IS DISTINCT FROM md.sens) AS target_mismatches, count(*) FILTER (WHERE {' OR '.join(f'rel.lv_{q} <> cfg.lv_{q}' for q in QI)}) AS vector_mismatches
+  FROM rel LEFT JOIN md USING (rid) JOIN cfg USING (config_id) GROUP BY 1""")
+def bundle_binding(s):
+    """Every release against the source and its declared configuration."""
+    return validation.binding(s.released_rows, s.configs, s.md, "rid", "sens")
+
+
+_CODES = {
+    "LINES_NUMBERED": "SELECT count(*) - count(DISTINCT line_no) FROM raw",
+    "FIELD_COUNT": "SELECT count(*) FROM raw WHERE orderkey IS NULL OR linenumber IS NULL OR flag IS NULL OR status IS NULL OR quantity IS NULL OR label IS NULL",
+    "MISSING_FLAGS": "SELECT count(*) FROM raw WHERE flag = '?'",
+    "LABEL_PERIOD": "SELECT count(*) FROM raw WHERE NOT ends_with(label, '.')",
+    "ROW_ID_UNIQUE": "SELECT count(*) - count(DISTINCT rid) FROM md",
+    "SPLIT_DISJOINT": "SELECT count(*) FROM (SELECT rid FROM md WHERE split = 'train' INTERSECT SELECT rid FROM md WHERE split = 'holdout')",
+    "HIERARCHY_COVERAGE": "SELECT count(*) FROM vals WHERE (attr, value) NOT IN (SELECT (attr, leaf) FROM hier)",
+    "HIERARCHY_FUNCTION": "SELECT count(*) FROM (SELECT 1 FROM hier a JOIN hier b ON a.attr = b.attr AND a.leaf = b.leaf AND b.level = a.level + 1 GROUP BY a.attr, a.level, a.label HAVING count(DISTINCT b.label) > 1)",
+    "HIERARCHY_ROOT": "SELECT count(*) FROM (SELECT attr FROM hier WHERE level = (SELECT max(h.level) FROM hier h WHERE h.attr = hier.attr) GROUP BY attr HAVING count(DISTINCT label) <> 1)",
+    "LATTICE_SIZE": f"SELECT abs(count(*) - {len(SPEC.lattice())}) FROM {{levels}}",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{code}' AS code, CAST(({sql.format(levels=' CROSS JOIN '.join(f'(SELECT DISTINCT level AS v_{q} FROM hier WHERE attr = {chr(39)}{q}{chr(39)})' for q in QI))}) AS BIGINT) AS violations" for code, sql in _CODES.items()))
+def source_preflight(s):
+    """One report on the sources: lines and fields, row ids, splits, hierarchies and the lattice they span."""
+    n = F.count(F.lit(1))
+    fields = ["orderkey", "linenumber", "flag", "status", "quantity", "label"]
+    top = s.hier.groupBy("attr").agg(F.max("level").alias("level"))
+    roots = s.hier.join(F.broadcast(top), ["attr", "level"]).groupBy("attr").agg(F.countDistinct("label").alias("roots")).filter("roots <> 1")
+    size = s.hier.groupBy("attr").agg(F.countDistinct("level").alias("levels")).agg(F.abs(F.product("levels") - len(SPEC.lattice())).cast("long"))
+    train, holdout = (s.md.filter(F.col("split") == part).select("rid") for part in ("train", "holdout"))
+    return validation.report([
+        ("LINES_NUMBERED", s.parsed.groupBy("line_no").agg((n - 1).alias("x")).agg(F.coalesce(F.sum("x"), F.lit(0)))),
+        ("FIELD_COUNT", s.parsed.filter(F.exists(F.array(*fields), lambda c: c.isNull())).agg(n)),
+        ("MISSING_FLAGS", s.parsed.filter("flag = '?'").agg(n)),
+        ("LABEL_PERIOD", s.parsed.filter(~F.col("label").endswith(".")).agg(n)),
+        ("ROW_ID_UNIQUE", s.md.groupBy("rid").agg((n - 1).alias("x")).agg(F.coalesce(F.sum("x"), F.lit(0)))),
+        ("SPLIT_DISJOINT", train.intersect(holdout).agg(n)),
+        ("HIERARCHY_COVERAGE", hierarchy.uncovered(s.values(), s.hier).agg(n)),
+        ("HIERARCHY_FUNCTION", hierarchy.functional_violations(s.hier).agg(n)),
+        ("HIERARCHY_ROOT", roots.agg(n)),
+        ("LATTICE_SIZE", size),
+    ])
+
+
 # ---- hierarchies ---------------------------------------------------------------------------------
 
 
@@ -779,6 +827,23 @@ def lr_deltas(s):
     return points.filter("kind = 'release' and config_id <> 'CFG00'").join(F.broadcast(raw)).join(F.broadcast(other), "config_id").select("config_id", F.round(F.col("raw") - F.col("auroc"), 9).alias("delta"), F.round(F.col("counterfactual") - F.col("auroc"), 9).alias("delta_suppression"))
 
 
+_MODELS = "SELECT config_id, kind FROM cfg CROSS JOIN (SELECT unnest(['release', 'counterfactual']) AS kind) WHERE NOT (config_id = 'CFG00' AND kind = 'counterfactual')"
+
+
+@query(f"SELECT config_id, kind, holdout_rows, positives FROM ({_MODELS}) CROSS JOIN (SELECT count(*) AS holdout_rows, {big('sum(y)')} AS positives FROM lab WHERE config_id = 'CFG00' AND split = 'holdout')")
+def model_shapes(s):
+    """Which models there are, and that each scores every holdout row once."""
+    return _fits(s).groupBy("config_id", "kind").agg(F.sum("w").alias("holdout_rows"), F.sum(F.col("y") * F.col("w")).alias("positives"))
+
+
+@query("SELECT config_id, count(*) FILTER (WHERE mr.row_id IS NULL) AS lacking, CAST(0 AS BIGINT) AS unknown, (SELECT count(*) FROM (SELECT 1 FROM mr m WHERE m.config_id = c.config_id GROUP BY row_id HAVING count(*) > 1)) AS repeated, count(*) FILTER (WHERE mr.y <> c.y) AS relabelled, count(*) FILTER (WHERE mr.row_id IS NOT NULL AND (mr.p IS NULL OR mr.p NOT BETWEEN 0 AND 1)) AS out_of_range FROM (SELECT config_id, row_id, h.y FROM cfg CROSS JOIN (SELECT row_id, y FROM lab WHERE config_id = 'CFG00' AND split = 'holdout') h) c LEFT JOIN mr USING (config_id, row_id) GROUP BY 1")
+def prediction_admission(s):
+    """Whether the predictions of every release cover the holdout rows, once each, with their labels."""
+    rows = s.labelled(s.released_rows).withColumn("w", F.lit(1))
+    scored = utility.rate_scores(rows.filter("split = 'train' and not is_outlier"), rows.filter("split = 'holdout'"), ["g_num", "g_nation", "g_status"], ["config_id"])
+    return validation.admission(scored, s.labelled(s.md.filter("split = 'holdout'")), "config_id", "row_id")
+
+
 # ---- export -----------------------------------------------------------------------------------------------------
 
 
@@ -816,7 +881,7 @@ def interval_label(s):
 @query()
 def public_schema_guard(s):
     """How many private columns each published family would leak (none)."""
-    frames = {name: QUERIES[name](s.spark, s.sf_dir) for name in ("privacy_summary", "tvd_summary", "risk_matrix", "attack_success")}
+    frames = {name: QUERIES[name](s.spark, s.sf_dir) for name in FAMILIES}
     return s.spark.createDataFrame(export.guard_report(frames), "family string, private_columns int")
 
 

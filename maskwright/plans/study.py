@@ -134,7 +134,8 @@ class Study:
 
     @cached_property
     def boot(self) -> DataFrame:
-        return bootstrap.bootstrap_risk(self.per_cluster, self.plan)
+        cells = [(s.scenario, c.config_id) for s in fixture.SCENARIOS for c in fixture.CONFIGS]
+        return bootstrap.bootstrap_risk(self.per_cluster, self.plan, cells)
 
     @cached_property
     def pairs(self) -> DataFrame:

@@ -23,14 +23,14 @@ STATUSES = ("F", "O", "P")
 CONFIGS = [
     AnonConfig("CFG00", dict(zip(SPEC.names, (0, 0, 0, 0, 0, 0), strict=True))),
     AnonConfig("CFG01", dict(zip(SPEC.names, (3, 1, 1, 2, 2, 1), strict=True)), k=2),
-    AnonConfig("CFG02", dict(zip(SPEC.names, (2, 1, 1, 1, 1, 1), strict=True)), k=5, limit=0.05),
-    AnonConfig("CFG03", dict(zip(SPEC.names, (1, 1, 0, 2, 1, 1), strict=True)), k=10, limit=0.5, pair="CFG01"),
+    AnonConfig("CFG02", dict(zip(SPEC.names, (2, 1, 1, 1, 1, 1), strict=True)), k=5, limit=0.05, pair="CFG01"),
+    AnonConfig("CFG03", dict(zip(SPEC.names, (1, 1, 0, 2, 1, 1), strict=True)), k=10, limit=0.5, pair="CFG04"),
     AnonConfig("CFG04", dict(zip(SPEC.names, (4, 2, 1, 2, 2, 1), strict=True)), k=5, limit=0.0),
-    AnonConfig("CFG05", dict(zip(SPEC.names, (2, 1, 1, 1, 1, 1), strict=True)), k=5, l=2, limit=0.5),
-    AnonConfig("CFG06", dict(zip(SPEC.names, (2, 2, 1, 1, 2, 1), strict=True)), k=5, t=0.1, limit=0.5),
+    AnonConfig("CFG05", dict(zip(SPEC.names, (2, 1, 1, 1, 1, 1), strict=True)), k=5, l=2, limit=0.5, pair="CFG01"),
+    AnonConfig("CFG06", dict(zip(SPEC.names, (2, 2, 1, 1, 2, 1), strict=True)), k=5, t=0.1, limit=0.5, pair="CFG04"),
 ]
 #: Configuration with suppression -> its counterpart without.
-PAIRS = {"CFG02": "CFG01", "CFG03": "CFG04", "CFG05": "CFG01", "CFG06": "CFG04"}
+PAIRS = {c.config_id: c.pair for c in CONFIGS if c.pair}
 
 _TRIANGLE = {-2: 0.1, -1: 0.2, 0: 0.4, 1: 0.2, 2: 0.1}
 _BASE = ("num", "segment", "status", "nation")

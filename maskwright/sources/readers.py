@@ -31,10 +31,13 @@ def census(spark: SparkSession, path: str, member: str, test: bool = False) -> D
     """``rid, line_no`` and the fifteen raw fields as trimmed strings.
 
     ``test`` files begin with a line of metadata, which goes, and their labels end in a full stop, of
-    which one goes. The row id is ``member:line``. Blank lines are no rows; a line of any other number
-    of fields is an error.
+    which one goes. The row id is ``member:line``. The file ends in exactly one blank line, which is no row; a blank line
+    anywhere else, and a line of any other number of fields, is an error.
     """
-    rows = lines(spark, path).filter(F.length(F.trim("line")) > 0)
+    every = lines(spark, path).withColumn("blank", F.length(F.trim("line")) == 0)
+    ends = every.agg(F.sum(F.col("blank").cast("long")).alias("blanks"), F.max(F.when(F.col("blank"), F.col("line_no"))).alias("at"), F.max("line_no").alias("last")).first()
+    require(ends["blanks"] == 1 and ends["at"] == ends["last"], "TRAILING_BLANK", "one blank line ends the file")
+    rows = every.filter(~F.col("blank")).drop("blank")
     if test:
         rows = rows.filter(~((F.col("line_no") == 1) & F.col("line").startswith("|")))
     cells = F.transform(F.split("line", ","), lambda c: F.trim(c))
@@ -125,3 +128,17 @@ class Catalog:
     def finish(self) -> None:
         left = sorted(set(self._bound) - self._read)
         require(not left, "CATALOG_LEFT", ", ".join(left))
+
+
+def bundles(spark: SparkSession, path: str, configs: DataFrame, source: DataFrame, row_id: str, target: str) -> DataFrame:
+    """All releases under ``path`` (one directory for each configuration), once they are bound to each other and to the source."""
+    from ..operators.validation import binding
+
+    loaded = spark.read.parquet(path)
+    # one row for each configuration
+    for r in binding(loaded, configs, source, row_id, target).collect():
+        require(r["declared"] and r["present"], "BUNDLE_SET", f"{r['config_id']} is not both declared and there")
+        require(not r["unbound"] and not r["repeated"] and not r["lacking"], "BUNDLE_ROWS", r["config_id"])
+        require(not r["target_mismatches"], "BUNDLE_TARGET", r["config_id"])
+        require(not r["vector_mismatches"], "BUNDLE_VECTOR", r["config_id"])
+    return loaded

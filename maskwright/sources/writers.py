@@ -40,14 +40,35 @@ def by_config(frame: DataFrame, path: str) -> None:
     frame.write.mode("errorifexists").partitionBy("config_id").parquet(path)
 
 
-def checkpointed(make: Callable[[], DataFrame], path: str, spark) -> DataFrame:
-    """The table at ``path`` if an earlier run completed it, else made and written now (the commit is atomic)."""
+def digest(frame: DataFrame) -> tuple[int, int]:
+    """Number of rows, and the sum of their hashes: the same for the same rows in any order."""
+    row = frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in frame.columns]).cast("decimal(38,0)"))).first()
+    return int(row[0]), int(row[1] or 0)
+
+
+def checkpointed(make: Callable[[], DataFrame], path: str, spark, verify: bool = False) -> DataFrame:
+    """The table at ``path`` if an earlier run completed it, else made and written now (the commit is atomic).
+
+    With ``verify``, a table that is there is made again and must hold the same rows.
+    """
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
         make().write.mode("overwrite").parquet(path)
+    elif verify:
+        require(digest(make()) == digest(spark.read.parquet(path)), "CHECKPOINT_DIFFERS", path)
     return spark.read.parquet(path)
 
 
+def stages(steps: list[tuple[str, Callable[[DataFrame | None], DataFrame]]], root: str, spark, verify: bool = False) -> DataFrame:
+    """Steps in their order, each checkpointed and fed with the one before it; a run that was interrupted goes on where it stopped."""
+    names = [name for name, _ in steps]
+    require(len(set(names)) == len(names) > 0, "STAGE_NAMES", "stages have distinct names")
+    now: DataFrame | None = None
+    for place, (name, step) in enumerate(steps):
+        now = checkpointed(lambda step=step, before=now: step(before), f"{root}/{place:02d}-{name}", spark, verify)
+    return now
+
+
 def receipts(frame: DataFrame) -> DataFrame:
     """One canonical JSON line for each row, keys sorted."""
     return frame.select(F.to_json(F.struct(*sorted(frame.columns)), {"ignoreNullFields": "false"}).alias("receipt"))

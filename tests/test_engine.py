@@ -121,6 +121,76 @@ def test_broken_configurations_have_stable_codes(change, code):
     assert e.value.code == code
 
 
+@pytest.mark.parametrize(
+    ("place", "change", "code"),
+    [
+        (0, {"config_id": "CFG01"}, "CAT_IDS"), (1, {"config_id": "CFG00"}, "CAT_IDS"), (2, {"config_id": "cfg02"}, "CAT_IDS"), (0, {"k": 2}, "CAT_RAW"), (0, {"l": 2}, "CAT_RAW"), (0, {"t": 0.5}, "CAT_RAW"), (0, {"limit": 0.05}, "CAT_RAW"),
+        (0, {"vector": {"a": 1, "b": 0}}, "CAT_RAW_VECTOR"), (1, {"k": 1}, "CAT_K"), (1, {"l": 9}, "CAT_L"), (1, {"vector": {"a": 0, "b": 0}}, "CAT_VECTOR"), (1, {"limit": 0}, "CAT_LIMIT_TYPE"), (1, {"limit": -0.0}, "CAT_LIMIT_SIGN"),
+        (2, {"limit": 0.05 + 1e-12}, "CAT_LIMIT_STEP"), (2, {"pair": "CFG09"}, "CAT_PAIR"), (2, {"pair": "CFG02"}, "CAT_PAIR"), (2, {"limit": 0.0}, "CAT_PAIR_LIMIT"), (1, {"limit": 0.5}, "CAT_PAIR_LIMIT"), (2, {"k": 2}, "CAT_PAIR_K"),
+    ],
+)
+def test_a_broken_catalogue_has_stable_codes(place, change, code):
+    good = [
+        {"config_id": "CFG00", "vector": {"a": 0, "b": 0}},
+        {"config_id": "CFG01", "vector": {"a": 1, "b": 1}, "k": 3},
+        {"config_id": "CFG02", "vector": {"a": 0, "b": 1}, "k": 5, "l": 2, "limit": 0.05, "pair": "CFG01"},
+    ]
+    schema.catalogue([AnonConfig(**c) for c in good], TINY)
+    good[place] |= change
+    with pytest.raises(ContractError) as e:
+        schema.catalogue([AnonConfig(**c) for c in good], TINY)
+    assert e.value.code == code
+
+
+def test_the_study_is_a_closed_catalogue():
+    from maskwright.sources import fixture
+
+    assert schema.catalogue(fixture.CONFIGS, SPEC) is fixture.CONFIGS
+    with pytest.raises(ContractError):
+        schema.catalogue([], SPEC)
+
+
+def test_bundles_are_bound_to_each_other_and_the_source(spark, tmp_path, study):
+    small = study.released_rows.filter("config_id in ('CFG01', 'CFG02')")
+    configs = study.configs.filter("config_id in ('CFG01', 'CFG02')")
+    writers.by_config(small, f"{tmp_path}/good")
+    assert readers.bundles(spark, f"{tmp_path}/good", configs, study.md, "rid", "sens").count() == 2 * study.md.count()
+    bad = {
+        "BUNDLE_SET": (small.filter("config_id = 'CFG01'"), configs), "BUNDLE_ROWS": (small.filter("rid % 5 <> 0 or config_id = 'CFG01'"), configs),
+        "BUNDLE_TARGET": (small.withColumn("sens", F.when(F.col("rid") % 7 == 0, "other").otherwise(F.col("sens"))), configs), "BUNDLE_VECTOR": (small, configs.withColumn("lv_num", F.lit(9))),
+    }
+    for code, (rows, declared) in bad.items():
+        writers.by_config(rows, f"{tmp_path}/{code}")
+        with pytest.raises(ContractError) as e:
+            readers.bundles(spark, f"{tmp_path}/{code}", declared, study.md, "rid", "sens")
+        assert e.value.code == code
+    twice = validation.binding(small.unionByName(small), configs, study.md, "rid", "sens").first()
+    assert twice["repeated"] == study.md.count()
+
+
+def test_predictions_are_admitted_only_if_they_fit_the_holdout(spark):
+    holdout = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "row_id long, y int")
+    rows = [("good", 1, 0, 0.0), ("good", 2, 1, 1.0), ("good", 3, 1, 0.5), ("bad", 1, 1, 0.5), ("bad", 2, 1, 1.5), ("bad", 2, 1, None), ("bad", 9, 0, 0.1)]
+    found = {r["m"]: tuple(r)[1:] for r in validation.admission(spark.createDataFrame(rows, "m string, row_id long, y int, p double"), holdout, "m", "row_id").collect()}
+    assert found == {"good": (0, 0, 0, 0, 0), "bad": (1, 1, 1, 1, 2)}
+
+
+def test_stages_go_on_where_they_stopped_and_are_verified(spark, tmp_path):
+    calls = []
+
+    def step(n):
+        return lambda before: calls.append(n) or (spark.range(5) if before is None else before.selectExpr(f"id + {n} as id"))
+
+    steps = [("first", step(0)), ("second", step(1))]
+    for _ in range(2):
+        assert writers.stages(steps, f"{tmp_path}/s", spark).agg(F.sum("id")).first()[0] == 15
+    assert calls == [0, 1]
+    assert writers.stages(steps, f"{tmp_path}/s", spark, verify=True).count() == 5 and calls == [0, 1, 0, 1]
+    with pytest.raises(ContractError) as e:
+        writers.stages([steps[0], ("second", step(2))], f"{tmp_path}/s", spark, verify=True)
+    assert e.value.code == "CHECKPOINT_DIFFERS"
+
+
 def test_validation_report_is_enforced(spark):
     found = validation.report([("GOOD", spark.range(0).agg(F.count("*"))), ("BAD", spark.range(2).agg(F.count("*")))])
     with pytest.raises(ContractError) as e:
@@ -136,6 +206,11 @@ def test_readers(spark, tmp_path):
     (tmp_path / "t").write_text("|1x3 Cross validator\n" + census + "\n")
     got = readers.census(spark, f"{tmp_path}/t", "adult.test", test=True).first()
     assert got["rid"] == "adult.test:2" and got["salary_class"] == "<=50K" and got["relationship"] == "?"
+    for name, text in (("t1", census), ("t2", census + "\n" + census + "\n"), ("t3", census + "\n\n")):
+        (tmp_path / name).write_text("|1x3 Cross validator\n" + text)
+        with pytest.raises(ContractError) as e:
+            readers.census(spark, f"{tmp_path}/{name}", "adult.test", test=True)
+        assert e.value.code == "TRAILING_BLANK"
     (tmp_path / "h").write_text("a;g;*\nb;g;*\n")
     assert readers.hierarchy(spark, f"{tmp_path}/h", "x", 3).count() == 6
     (tmp_path / "p").write_text("2\n0\n1\n")
