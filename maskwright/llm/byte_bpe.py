@@ -24,8 +24,9 @@ from .common import cut, lean
 
 #: Code points of a chunk and of its overlap with the next.
 CHUNK, OVERLAP = 1 << 16, 1 << 9
-#: A piece cache is emptied when it holds this many bytes of pieces and ids, with what Python needs for each entry; it only saves time.
-CACHE_BYTES, ENTRY_BYTES = 48 << 20, 200
+#: A piece cache starts anew when it holds this many bytes of pieces and ids, with what Python needs for each entry, and keeps the
+#: one before it to take from; it only saves time.
+CACHE_BYTES, ENTRY_BYTES = 32 << 20, 200
 
 
 def _ends(scan, text: str, start: int, stop: int) -> list[int]:
@@ -92,14 +93,16 @@ class _Pieces(dict):
     def __init__(self, core):
         super().__init__()
         self.core = core
-        self.held = 0
+        self.held, self.old = 0, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.core.encode_single_piece(piece.encode()), "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = np.asarray(self.core.encode_single_piece(piece.encode()), "<u4").tobytes()
         if len(piece) <= 64:
             if self.held > CACHE_BYTES:
+                self.held, self.old = 0, dict(self)
                 self.clear()
-                self.held = 0
             self[piece] = ids
             self.held += ENTRY_BYTES + 2 * len(piece) + len(ids)
         return ids
