@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,12 +105,12 @@ def with_paths(rows: DataFrame, hier: DataFrame, spec: QuasiIdentifierSpec) -> D
         items = [x for leaf, labels in leaves.items() for x in (F.lit(leaf), F.array(*map(F.lit, labels)))]
         literal[f"path_{q}"] = (F.create_map(*items) if items else F.create_map().cast("map<string,array<string>>"))[F.col(q).cast("string")]
     if literal:
-        rows = rows.withColumns(literal).dropna(subset=list(literal))
+        rows = rows.withColumns(literal).filter(functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in literal]))
     for q in spec.names:
         if q in mapped:
             continue
         if found is not None:
-            paths = rows.sparkSession.createDataFrame(list(found[q].items()), f"__{q} string, path_{q} array<string>")
+            paths = rows.sparkSession.createDataFrame(pa.table({f"__{q}": pa.array(list(found[q]), pa.string()), f"path_{q}": pa.array(list(found[q].values()), pa.list_(pa.string()))}))
         else:
             path = F.transform(F.array_sort(F.collect_list(F.struct("level", "label"))), lambda s: s["label"])
             paths = hier.filter(F.col("attr") == q).groupBy(F.col("leaf").alias(f"__{q}")).agg(path.alias(f"path_{q}"))

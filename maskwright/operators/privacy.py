@@ -23,7 +23,7 @@ def generalized(rows: DataFrame, hier: DataFrame, configs: DataFrame, spec: Quas
     The configurations are a dimension of a few rows; they are attached as an array and exploded, so the
     rows are not shuffled.
     """
-    listed = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in configs.columns]) for r in configs.orderBy("config_id").collect()])
+    listed = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in configs.columns]) for r in sorted(configs.collect(), key=lambda r: r["config_id"])])
     each = with_paths(rows, hier, spec).withColumn("c", F.explode(listed))
     return each.select(*[f"c.{c}" for c in MODEL], *rows.columns, *[F.col(f"c.lv_{q}").alias(f"lv_{q}") for q in spec.names], *[at_level(q, F.col(f"c.lv_{q}")).alias(f"g_{q}") for q in spec.names])
 

@@ -19,18 +19,21 @@ SCORE_KEYS = ["g_num", "g_nation", "g_status"]
 class Study:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return fixture.table(self.spark, self.sf_dir, name)
+        if name not in self._tables:
+            self._tables[name] = fixture.table(self.spark, self.sf_dir, name)
+        return self._tables[name]
 
     @cached_property
     def md(self) -> DataFrame:
-        return fixture.microdata(self.spark, self.sf_dir)
+        return fixture.microdata(*map(self.table, ("orders", "customer", "nation")))
 
     @cached_property
     def hier(self) -> DataFrame:
         """Declared domains: a local relation of some hundred rows."""
-        return hierarchy.local(fixture.hierarchies(self.spark, self.sf_dir))
+        return fixture.hierarchies(self.spark, *map(self.table, ("nation", "region")))
 
     @cached_property
     def configs(self) -> DataFrame:

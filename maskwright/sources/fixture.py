@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +49,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def microdata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+def microdata(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
     # 25 nations at every scale
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.select(
@@ -62,12 +62,11 @@ def microdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hierarchies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``attr, leaf, level, label`` for all quasi-identifiers; leaves are strings."""
-
+def hierarchies(spark: SparkSession, nation: DataFrame, region: DataFrame) -> DataFrame:
+    """``attr, leaf, level, label`` for all quasi-identifiers, a local relation; leaves are strings."""
     # 25 nations at every scale; all other leaves are declared
-    nation = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    regions = {r["n_name"]: r["r_name"] for r in nation.select("n_name", "r_name").collect()}
+    names = {r["r_regionkey"]: r["r_name"] for r in region.select("r_regionkey", "r_name").collect()}
+    regions = {r["n_name"]: names[r["n_regionkey"]] for r in nation.select("n_name", "n_regionkey").collect() if r["n_regionkey"] in names}
 
     def block(v: int, width: int) -> str:
         low = (v - 1) - (v - 1) % width + 1
@@ -82,4 +81,5 @@ def hierarchies(spark: SparkSession, sf_dir: str) -> DataFrame:
         "status": [(v,) for v in STATUSES],
     }
     long = [(attr, path[0], level, label) for attr, each in paths.items() for path in each for level, label in enumerate((*path, "*"))]
-    return spark.createDataFrame(long, "attr string, leaf string, level int, label string")
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
+    return spark.createDataFrame(pa.table({name: pa.array(c, kind) for name, c, kind in zip(("attr", "leaf", "level", "label"), zip(*long, strict=True), kinds, strict=True)}))
