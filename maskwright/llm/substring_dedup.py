@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, cut, lean, written
+from .common import BROADCAST_ROWS, broadcast_if_small, cut, lean, written
 
 #: A repeated passage has at least so many words.
 PASSAGE_WORDS = 50
@@ -207,16 +207,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-def spots(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which chunks, ordered by ``owner`` and place, lie in runs of neighbours that are long enough for a passage, and the word behind each one's run."""
+def spots(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``owner``, first word and word behind of the runs of neighbouring chunks that are long enough for a passage; chunks are ordered by owner and place."""
     start, end = place >> 8, (place >> 8) + (place & 255)
     opens = np.ones(len(place), bool)
     opens[1:] = (owner[1:] != owner[:-1]) | (start[1:] != end[:-1])
-    run = np.cumsum(opens) - 1
-    first, last = np.flatnonzero(opens), np.append(np.flatnonzero(opens)[1:], len(place)) - 1
-    if not len(place):
-        return opens, end
-    return (end[last] - start[first] >= SURE_WORDS)[run], end[last][run]
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(place))[: len(first)] - 1
+    long = end[last] - start[first] >= SURE_WORDS
+    return owner[first][long], start[first][long], end[last][long]
 
 
 def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
@@ -230,12 +229,11 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = place.to_numpy()
         order = np.lexsort((place, owner))
         owner, place = owner[order], place[order]
-        keep, behind = spots(owner, place)
-        owner, start, behind = owner[keep], place[keep] >> 8, behind[keep]
+        owner, first, last = spots(owner, place)
         rows = np.unique(owner)
-        offsets = pa.array(np.searchsorted(owner, np.append(rows, batch.num_rows)), pa.int32())
-        arrays = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (start, behind)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *arrays], names=["key", "starts", "behind"])
+        offsets = pa.array(2 * np.searchsorted(owner, np.append(rows, batch.num_rows)), pa.int32())
+        ranges = pa.ListArray.from_arrays(offsets, pa.array(np.stack([first, last], axis=1).ravel(), pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), ranges], names=["key", "spots"])
 
 
 _WINDOW = T.StructType([T.StructField("w", T.LongType()), T.StructField("v", T.IntegerType()), T.StructField("owner", T.LongType()), T.StructField("key", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("chars", T.IntegerType())])
@@ -271,11 +269,15 @@ def _at_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 key, owner, words = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), Words(batch.column(2)[k].as_py() or "")
-                starts, behind = (batch.column(c)[k].values.to_numpy().astype(np.int64) for c in (3, 4))
+                spot = batch.column(3)[k].values.to_numpy().astype(np.int64)
+                line, at, before = _texts([words.line.split()])
+                starts = cuts(np.frombuffer(line, np.uint8), at, before) - 1
+                run = np.searchsorted(spot, starts, "right")  # odd inside a run
+                starts, behind = starts[run % 2 == 1], np.append(spot, 0)[run][run % 2 == 1]
                 places, most = words.places(), np.minimum(behind + CUT_WORDS, len(words))
                 for size in (SEED_WORDS, PASSAGE_WORDS):
                     mine = starts[starts + size <= most]
-                    if size == PASSAGE_WORDS and behind[-1] == len(words):  # a text's end is a bound as well
+                    if size == PASSAGE_WORDS and spot[-1] == len(words):  # a text's end is a bound as well
                         mine = np.union1d(mine, [len(words) - size])
                     yield _digested(words, mine, size, owner, key, places)
 
@@ -339,19 +341,25 @@ def _shared(windows: DataFrame) -> DataFrame:
     return windows.join(written(repeated.select("w", "v", F.col("first.owner").alias("keep"), F.col("first.key").alias("keep_key")), "repeated"), ["w", "v"])
 
 
+def _sized(places: DataFrame, column: str) -> DataFrame:
+    """A broadcast hint if the (materialised) places of candidates are few enough, rows and numbers counted."""
+    rows, numbers = places.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
+    return F.broadcast(places) if rows <= BROADCAST_ROWS and numbers <= 8 * BROADCAST_ROWS else places
+
+
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``owner, key, start, end, n_words, keep, kept`` of every repeated passage."""
     lean(docs)
     texts = _keyed(docs, id_col, text_col)
     pieces = texts.select("key", "text").mapInArrow(_chunks, "digest long, key long, place long")
     shared = cut(pieces.groupBy("digest").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("digest"))
-    spotted = pieces.join(shared, "digest").groupBy("key").agg(F.collect_set("place").alias("places")).mapInArrow(_stretches, "key long, starts array<int>, behind array<int>")
-    first = texts.join(broadcast_if_small(cut(spotted)), "key").select("key", "owner", "text", "starts", "behind").mapInArrow(_at_cuts, _WINDOW)
+    spotted = pieces.join(shared, "digest").groupBy("key").agg(F.collect_set("place").alias("places")).mapInArrow(_stretches, "key long, spots array<int>")
+    first = texts.join(_sized(cut(spotted), "spots"), "key").select("key", "owner", "text", "spots").mapInArrow(_at_cuts, _WINDOW)
     first = written(first, "windows")
     mine = written(_shared(first), "shared")
     seeds = mine.groupBy("key").agg(F.collect_set(F.struct("w", "v", "start", "words")).alias("windows")).mapInArrow(_open, "w long, v int").distinct()
     again = first.join(broadcast_if_small(cut(seeds)), ["w", "v"], "left_semi").groupBy("key").agg(F.collect_set("start").alias("seeds"))
-    second = texts.join(broadcast_if_small(cut(again)), "key").select("key", "owner", "text", "seeds").mapInArrow(_around_seeds, _WINDOW)
+    second = texts.join(_sized(cut(again), "seeds"), "key").select("key", "owner", "text", "seeds").mapInArrow(_around_seeds, _WINDOW)
     every = mine.filter(F.col("words") == PASSAGE_WORDS).unionByName(_shared(written(second, "windows")))
     each = every.groupBy("owner", "key").agg(F.collect_set(F.struct("start", "place", "chars", "keep", "keep_key")).alias("windows"))
     return each.mapInArrow(_passages, "owner long, key long, start long, end long, n_words long, keep long, kept boolean")
