@@ -23,8 +23,8 @@ def lean(frame: DataFrame) -> None:
     plans are run later."""
     conf = frame.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(re.sub(r"\D*$", "", conf.get(key)))
-        if not 0 < now <= most:
+        plain = re.fullmatch(r"(\d+)b?", conf.get(key))  # a size with another unit is set anew
+        if plain is None or not 0 < int(plain[1]) <= most:
             conf.set(key, str(most))
 
 
