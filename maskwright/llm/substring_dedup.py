@@ -49,6 +49,8 @@ GEAR[0] = 0
 _VALUES = np.random.Generator(np.random.PCG64(20240301)).integers(0, 1 << 64, 256, np.uint64)
 _POWER = 0x9E3779B97F4A7C15
 _STEP = 1 << 22
+#: Places of candidates, four bytes each, that are broadcast at most; bitmaps of 4 KB that tell which texts have any.
+BROADCAST_NUMBERS, BITMAPS = 8_000_000, 2048
 #: Rows of a batch that is handed on.
 _BATCH = 50_000
 #: The place of a null id: after all others.
@@ -341,10 +343,18 @@ def _shared(windows: DataFrame) -> DataFrame:
     return windows.join(written(repeated.select("w", "v", F.col("first.owner").alias("keep"), F.col("first.key").alias("keep_key")), "repeated"), ["w", "v"])
 
 
-def _sized(places: DataFrame, column: str) -> DataFrame:
-    """A broadcast hint if the (materialised) places of candidates are few enough, rows and numbers counted."""
+def _joined(texts: DataFrame, places: DataFrame, column: str) -> DataFrame:
+    """``texts`` with their (materialised) ``places``: broadcast if they are few enough, rows and numbers counted. Else both are
+    dealt by key, but only those texts whose key is set in a bitmap of all keys, which has BITMAPS * 4 KB at most."""
     rows, numbers = places.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
-    return F.broadcast(places) if rows <= BROADCAST_ROWS and numbers <= 8 * BROADCAST_ROWS else places
+    if rows <= BROADCAST_ROWS and numbers <= BROADCAST_NUMBERS:
+        return texts.join(F.broadcast(places), "key")
+    at = F.pmod("key", F.lit(BITMAPS * 32768))
+    maps = places.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("map")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    placed = texts.withColumn("at", at).withColumn("map", F.floor(F.col("at") / 32768))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("at") % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    some = placed.join(F.broadcast(maps), "map").filter(F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("at") % 8)), F.lit(2)) == 1)
+    return some.select(*texts.columns).join(places, "key")
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -354,12 +364,12 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pieces = texts.select("key", "text").mapInArrow(_chunks, "digest long, key long, place long")
     shared = cut(pieces.groupBy("digest").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("digest"))
     spotted = pieces.join(shared, "digest").groupBy("key").agg(F.collect_set("place").alias("places")).mapInArrow(_stretches, "key long, spots array<int>")
-    first = texts.join(_sized(cut(spotted), "spots"), "key").select("key", "owner", "text", "spots").mapInArrow(_at_cuts, _WINDOW)
+    first = _joined(texts, cut(spotted), "spots").select("key", "owner", "text", "spots").mapInArrow(_at_cuts, _WINDOW)
     first = written(first, "windows")
     mine = written(_shared(first), "shared")
     seeds = mine.groupBy("key").agg(F.collect_set(F.struct("w", "v", "start", "words")).alias("windows")).mapInArrow(_open, "w long, v int").distinct()
     again = first.join(broadcast_if_small(cut(seeds)), ["w", "v"], "left_semi").groupBy("key").agg(F.collect_set("start").alias("seeds"))
-    second = texts.join(_sized(cut(again), "seeds"), "key").select("key", "owner", "text", "seeds").mapInArrow(_around_seeds, _WINDOW)
+    second = _joined(texts, cut(again), "seeds").select("key", "owner", "text", "seeds").mapInArrow(_around_seeds, _WINDOW)
     every = mine.filter(F.col("words") == PASSAGE_WORDS).unionByName(_shared(written(second, "windows")))
     each = every.groupBy("owner", "key").agg(F.collect_set(F.struct("start", "place", "chars", "keep", "keep_key")).alias("windows"))
     return each.mapInArrow(_passages, "owner long, key long, start long, end long, n_words long, keep long, kept boolean")

@@ -218,3 +218,18 @@ def test_passages_are_cut_by_row_not_by_id(spark):
     assert len(got[0][1].split()) <= substring_dedup.EDGE
     cut_out = next(t for i, t in got if i == 5 and t != alone)
     assert cut_out.startswith("Two ") and cut_out.endswith(" end") and len(cut_out.split()) <= 2 + substring_dedup.EDGE + substring_dedup.CUT_WORDS
+
+
+def test_candidates_beyond_the_broadcast_are_met_through_bitmaps(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = spark.createDataFrame([(rng.getrandbits(64) - 2**63, k) for k in range(3000)] + [(-1, -1), (-(2**63), -2), (2**63 - 1, -3)], "key long, n long")
+    places = texts.filter("n % 7 = 0 or n < 0").select("key", F.array(F.lit(1), F.lit(2)).alias("spots"))
+    want = sorted(map(str, substring_dedup._joined(texts, places, "spots").collect()))
+    assert len(want) > 400
+    for rows, maps in ((10, substring_dedup.BITMAPS), (10, 1)):
+        monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(substring_dedup, "BITMAPS", maps)
+        assert sorted(map(str, substring_dedup._joined(texts, places, "spots").collect())) == want
+    found = {str(r) for r in substring_dedup.repeated_passages(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    monkeypatch.undo()
+    assert found == {str(r) for r in substring_dedup.repeated_passages(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
