@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and is no longer than this.
@@ -54,12 +55,12 @@ def broadcast_if_small(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(frame) if frame.limit(limit + 1).count() <= limit else frame
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
+def written(frame: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``frame`` as Parquet in the shared folder, read again."""
     spark = frame.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=compression)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -81,3 +82,16 @@ def keep_best(marked: DataFrame, found: DataFrame, keys: dict[str, str]) -> Data
     twice = broadcast_if_small(twice)
     again = marked.join(twice, matches(twice), "left_semi").dropDuplicates([*keys])
     return kept.join(twice, matches(twice), "left_anti").unionByName(again)
+
+
+def order_numbers(frame: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``frame`` with column ``name``: 1, 2, 3 ... in the given order, numbered in all tasks at once.
+
+    Rows are dealt by ranges of the order, written, and counted by range; a range's rows are numbered on top of the ranges before.
+    """
+    placed = cut(frame.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).orderBy("__range").collect()  # one row for each range
+    before = [0, *itertools.accumulate(row["n"] for row in sizes)]
+    offset = F.element_at(F.create_map(*[F.lit(x) for row, n in zip(sizes, before, strict=False) for x in (row["__range"], n)]), F.col("__range")) if sizes else F.lit(0)
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return placed.withColumn(name, (inside + offset).cast("long")).drop("__range")

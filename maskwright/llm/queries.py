@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, html_extract, language_id, packing, pii, simhash, substring_dedup, topk
+from . import byte_bpe, chat_format, exact_dedup, html_extract, language_id, packing, periodic_runs, piece_bpe, pii, resampling, simhash, substring_dedup, topk
 from .common import table
 
 
@@ -67,6 +67,40 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark, sf_dir):
+    model = _public("piece_bpe_32k.model")
+    decoded = piece_bpe.decode_documents(piece_bpe.encode_documents(table(spark, sf_dir, "documents"), model), model)
+    return decoded.select("doc_id", "n_tokens", piece_bpe.decimal_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def _with_planted_runs(docs):
+    """``docs`` where, by a hash of the id, one text in ten goes on from some word with one stretch of its words again and again."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    p = F.struct(words.alias("w"), F.floor(h / 10).alias("g"), F.size(words).cast("long").alias("n"))
+    a, n = F.expr("p.g % p.n"), F.col("p.n")
+    period = 1 + F.floor((n - a) / (3 + F.expr("p.g % 8")))
+    again = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("p.w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("period")).cast("int")))
+    text = F.when((F.col("planted")) & (n > 0), F.array_join(again, " ")).otherwise(F.col("text"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    rows = docs.select("doc_id", "text", chosen.alias("planted"), F.when(chosen, p).alias("p"))
+    return rows.withColumn("a", F.when(n > 0, a)).withColumn("period", F.when(n > 0, period)).select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic_runs.periodic_runs(_with_planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("least"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    return found.withColumn("m", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("m.back")).alias("start"), F.col("m.length").alias("length"), (-F.col("m.least")).alias("period"),
+        F.expr("1000 * m.length div -m.least").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries():
     return {
         "op1_chat_format": op1_chat_format,
@@ -79,6 +113,9 @@ def queries():
         "op8_html_extract": op8_html_extract,
         "op9_pii": op9_pii,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_sentencepiece": op11_sentencepiece,
+        "op12_resampling": op12_resampling,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
@@ -87,4 +124,5 @@ def oracle_sql():
         "op1_chat_format": chat_format.ORACLE_SQL,
         "op2_top_k": topk.ORACLE_SQL,
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op12_resampling": resampling.ORACLE_SQL,
     }
