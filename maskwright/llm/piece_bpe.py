@@ -2,8 +2,8 @@
 
 No piece of the vocabularies taken here has a white-space marker behind another character, so no merge crosses the place before
 a run of markers, and a marked word (markers and what follows them) is segmented alike wherever it stands. The same holds
-between two characters that stand side by side in no piece, where overlong words are cut too. Texts become numbers of
-words in a block's own list, each distinct word of all blocks is segmented once, and the ids are joined back by block and place.
+between two characters that stand side by side in no piece, where overlong words are cut too. Texts become the numbers
+of their words in a task's table of distinct words, each of which is segmented once, and the ids are joined back by place.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, written
+from .common import lean
 
 #: The white-space marker of the vocabularies.
 MARK = "▁"
 #: Longer words are also cut between characters that no piece holds side by side.
 LONG = 32
-#: A block is closed behind the text that brings it to so many words in all, or so many different ones.
-BLOCK_WORDS, BLOCK_DISTINCT = 1 << 22, 60_000
-#: Code points of a text that are split at a time, and ids that are assembled or decoded at a time.
+#: A task's table of distinct words starts anew when it holds more than so many, or 16 ids for each of so many.
+DISTINCT = 200_000
+#: Code points of a text that are split at a time, and ids that are decoded at a time.
 PART, IDS = 1 << 20, 1 << 18
 
 
@@ -85,10 +86,9 @@ class Codec:
             yield found
             a = b
 
-    def segment(self, word: str) -> bytes:
-        """The ids of one word as little-endian unsigned 32-bit integers."""
-        ids = self.model.encode(word[1:]) if word[0] == MARK and len(word) > 1 else self.model.encode(self.guard + word)[self.skip :]
-        return np.asarray(ids, "<u4").tobytes()
+    def segment(self, word: str) -> list[int]:
+        """The ids of one word."""
+        return self.model.encode(word[1:]) if word[0] == MARK and len(word) > 1 else self.model.encode(self.guard + word)[self.skip :]
 
     def decode(self, ids: bytes) -> str:
         """The library's decoding, for many ids in parts: a part begins no character in the middle, and a letter before
@@ -109,114 +109,61 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-class _Numbers(dict):
-    """Words -> their numbers in order of first appearance."""
+class Table(dict):
+    """Distinct words -> their numbers; each is segmented when it is first seen, and its ids lie in one array for all."""
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-_BLOCK = T.StructType([T.StructField("block", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("places", T.BinaryType())])
+    def __init__(self, codec_: Codec, most: int):
+        super().__init__()
+        self.codec, self.most = codec_, most
+        self.reset()
 
+    def reset(self) -> None:
+        self.clear()
+        self.flat, self.starts, self.lengths = array("I"), array("Q"), array("I")
 
-def _numbered(path: str, most_words: int, most_distinct: int):
-    """Batches of ``id, text`` -> for each block a row for each text (``id, places``: its words' numbers) and one with the block's ``words``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        c = codec(path)
-        block, numbers, ids, places, held = TaskContext.get().partitionId() << 32, _Numbers(), [], [], 0
-        kind = None
-
-        def closed():
-            narrow = "<u2" if len(numbers) <= 1 << 16 else "<u4"
-            n = len(places)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.list_(pa.string())), pa.array([p.astype(narrow).tobytes() for p in places], pa.binary()), pa.array(ids, kind)], names=[*_BLOCK.names, "id"])
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([list(numbers)], pa.list_(pa.string())), pa.nulls(1, pa.binary()), pa.nulls(1, kind)], names=[*_BLOCK.names, "id"])
-
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                found = [np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)) for words in c.split(text.as_py() or "")]
-                places.append(np.concatenate(found) if found else np.zeros(0, np.uint32))
-                ids.append(doc.as_py())
-                held += len(places[-1])
-                if held >= most_words or len(numbers) >= most_distinct:
-                    yield from closed()
-                    block, numbers, ids, places, held = block + 1, _Numbers(), [], [], 0
-        if places:
-            yield from closed()
+    def __missing__(self, word: str) -> int:
+        ids = self.codec.segment(word)
+        self.starts.append(len(self.flat))
+        self.lengths.append(len(ids))
+        self.flat.extend(ids)
+        n = len(self)
+        self[word] = n
+        return n
 
-    return run
+    def ids(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers, joined back by the places of its words."""
+        out = []
+        for words in self.codec.split(text):
+            if len(self) > self.most or len(self.flat) > 16 * self.most:
+                self.reset()
+            places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            starts, many = np.frombuffer(self.starts, "<u8")[places].astype(np.int64), np.frombuffer(self.lengths, "<u4")[places].astype(np.int64)
+            ends = np.cumsum(many)
+            out.append(np.frombuffer(self.flat, "<u4")[np.arange(ends[-1]) + np.repeat(starts - ends + many, many)].tobytes())
+        return b"".join(out)
 
 
-def _segmented(path: str):
+def _encoded(path: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        table = Table(codec(path), most)
         for batch in batches:
-            words = batch.column(0)
-            yield pa.RecordBatch.from_arrays([words, pa.array([c.segment(w.as_py()) for w in words], pa.binary())], names=["word", "ids"])
+            ids = [table.ids(text.as_py() or "") for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
 
     return run
 
 
-def assemble(places: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> bytes:
-    """The ids of the words at ``places``, where word k's are ``flat[starts[k]:][:lengths[k]]``."""
-    out = []
-    for a in range(0, len(places), IDS):
-        here = places[a : a + IDS]
-        many = lengths[here]
-        ends = np.cumsum(many)
-        at = np.arange(ends[-1]) + np.repeat(starts[here] - ends + many, many)
-        out.append(flat[at].tobytes())
-    return b"".join(out)
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by block, its words' ids in their order first and then its texts -> ids of the texts."""
-    block, flat, lengths, table = None, [], [], None
-    for batch in batches:
-        blocks, words, places, parts, docs = (batch.column(name) for name in ("block", "n", "places", "ids", "id"))
-        of, text = blocks.to_numpy(), words.is_null().to_numpy(zero_copy_only=False)
-        made: tuple[list, list] = ([], [])
-        for k in range(batch.num_rows):
-            if of[k] != block:
-                block, flat, lengths, table = of[k], [], [], None
-            if not text[k]:
-                flat.append(parts[k].as_py())
-                lengths.append(len(flat[-1]) // 4)
-                continue
-            if table is None:
-                many = np.array(lengths, np.int64)
-                table = np.cumsum(many) - many, many, np.frombuffer(b"".join(flat), "<u4")
-                flat = []
-            numbers = np.frombuffer(places[k].as_py(), "<u2" if len(lengths) <= 1 << 16 else "<u4").astype(np.int64)
-            made[0].append(assemble(numbers, *table))
-            made[1].append(k)
-        if made[1]:
-            yield pa.RecordBatch.from_arrays([docs.take(pa.array(made[1])), pa.array([len(x) // 4 for x in made[0]], pa.int64()), pa.array(made[0], pa.binary())], names=["id", "n_tokens", "ids"])
-
-
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = BLOCK_WORDS, most_distinct: int = BLOCK_DISTINCT) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", distinct: int = DISTINCT) -> DataFrame:
     """One row per input row: ``<id_col>, n_tokens, ids`` (little-endian unsigned 32-bit integers), as the library encodes the whole
     text without begin and end ids.
 
     Null and empty texts have no ids. Repeated rows and null ids are encoded like any other; an empty table gives no rows;
-    other columns are not looked at. Texts of any length are taken whole.
+    other columns are not looked at. Texts of any length are taken whole. A task's table starts anew beyond ``distinct`` words.
     """
     lean(docs)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    kind = T.StructField("id", rows.schema["id"].dataType)
-    # written, so that blocks and numbers hold whatever is done again
-    coded = written(rows.mapInArrow(_numbered(model_path, most_words, most_distinct), T.StructType([*_BLOCK.fields, kind])), "words", "zstd")
-    words = coded.filter("words is not null").select("block", F.posexplode("words").alias("n", "word"))
-    table = words.select("word").distinct().mapInArrow(_segmented(model_path), "word string, ids binary")
-    known = words.join(table, "word").select("block", "n", F.lit(None).cast("binary").alias("places"), "ids", F.lit(None).cast(kind.dataType).alias("id"))
-    texts = coded.filter("words is null").select("block", F.lit(None).cast("int").alias("n"), "places", F.lit(None).cast("binary").alias("ids"), "id")
-    dealt = known.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("n").asc_nulls_last())
-    return dealt.mapInArrow(_joined, T.StructType([kind, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])).withColumnRenamed("id", id_col)
+    schema = T.StructType([rows.schema["id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    return rows.mapInArrow(_encoded(model_path, distinct), schema).withColumnRenamed("id", id_col)
 
 
 def _decoded(path: str):

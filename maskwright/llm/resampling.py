@@ -204,9 +204,9 @@ words AS (
   UNION ALL SELECT side, doc_id, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) FROM words
 ), counted AS (SELECT side, doc_id, f, count(*) AS n FROM runs GROUP BY ALL),
 bucket AS (SELECT f, {_CRC} % 10000 AS bucket FROM (SELECT DISTINCT f FROM counted), t),
-sides AS (SELECT bucket, sum(n) FILTER (WHERE side = 'd') AS s, sum(n) FILTER (WHERE side = 'b') AS t FROM counted JOIN bucket USING (f) GROUP BY 1),
-totals AS (SELECT coalesce(sum(n) FILTER (WHERE side = 'd'), 0) AS S, coalesce(sum(n) FILTER (WHERE side = 'b'), 0) AS T FROM counted),
-gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (totals.S::DOUBLE + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (totals.T::DOUBLE + 10000))))::BIGINT AS g FROM (SELECT bucket, s, t FROM sides), (SELECT S, T FROM totals) totals),
+sides AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0)::DOUBLE AS in_docs, coalesce(sum(n) FILTER (WHERE side = 'b'), 0)::DOUBLE AS in_target FROM counted JOIN bucket USING (f) GROUP BY 1),
+totals AS (SELECT coalesce(sum(n) FILTER (WHERE side = 'd'), 0)::DOUBLE AS all_docs, coalesce(sum(n) FILTER (WHERE side = 'b'), 0)::DOUBLE AS all_target FROM counted),
+gain AS (SELECT bucket, floor(1000 * ln((in_target + 1) * (all_docs + 10000) / ((in_docs + 1) * (all_target + 10000))))::BIGINT AS g FROM sides, totals),
 weighed AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS g FROM counted JOIN bucket USING (f) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY 1),
 scored AS (
   SELECT words.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, CASE WHEN n_features IS NULL THEN 0 ELSE (g - ((g % n_features) + n_features) % n_features) // n_features END AS weight,

@@ -32,8 +32,7 @@ def test_words_segmented_apart_equal_the_library(monkeypatch):
     c = piece_bpe.codec(MODEL)
     monkeypatch.setattr(piece_bpe, "PART", 7)
     for text in random_texts(3000, 1):
-        ids = b"".join(c.segment(w) for words in c.split(text) for w in words)
-        assert np.frombuffer(ids, "<u4").tolist() == c.model.encode(text), text
+        assert [k for words in c.split(text) for w in words for k in c.segment(w)] == c.model.encode(text), text
 
 
 def test_decoding_in_parts_equals_the_library(monkeypatch):
@@ -44,6 +43,15 @@ def test_decoding_in_parts_equals_the_library(monkeypatch):
         assert c.decode(np.asarray(ids, "<u4").tobytes()) == c.model.decode(ids), text
 
 
+def test_words_are_segmented_once(monkeypatch):
+    c, seen = piece_bpe.codec(MODEL), []
+    monkeypatch.setattr(type(c), "segment", lambda self, word: seen.append(word) or self.model.encode(word[1:]))
+    table = piece_bpe.Table(c, 1000)
+    for _ in range(3):
+        assert np.frombuffer(table.ids("some words and some more words"), "<u4").tolist() == c.model.encode("some words and some more words")
+    assert sorted(seen) == sorted("▁some ▁words ▁and ▁more".split())
+
+
 def test_a_vocabulary_with_markers_inside_is_refused(monkeypatch):
     import sentencepiece
 
@@ -56,13 +64,13 @@ def test_a_vocabulary_with_markers_inside_is_refused(monkeypatch):
         piece_bpe.Codec(MODEL)
 
 
-@pytest.mark.parametrize("limits", [(1 << 22, 60_000), (50, 60_000), (1 << 22, 20)])
-def test_encoding_a_table(spark, limits):
+@pytest.mark.parametrize("distinct", [piece_bpe.DISTINCT, 20])
+def test_encoding_a_table(spark, distinct):
     c = piece_bpe.codec(MODEL)
     texts = [None, "", " ", "same text", "same text", "long " * 3000, "中" * 500, *random_texts(120, 4)]
     rows = [(k if k else None, t, "x", 1) for k, t in enumerate(texts)] + [(5, "long " * 3000, "y", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int")
-    got = piece_bpe.decode_documents(piece_bpe.encode_documents(docs, MODEL, most_words=limits[0], most_distinct=limits[1]), MODEL)
+    got = piece_bpe.decode_documents(piece_bpe.encode_documents(docs, MODEL, distinct=distinct), MODEL)
     assert got.columns == ["doc_id", "n_tokens", "ids", "decoded"]
     want = sorted((-1 if k is None else k, len(i := c.model.encode(t or "")), np.asarray(i, "<u4").tobytes(), c.model.decode(i) if i else "") for k, t, *_ in rows)
     assert sorted((-1 if r[0] is None else r[0], r[1], bytes(r[2]), r[3]) for r in got.collect()) == want
