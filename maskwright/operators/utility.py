@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prng import keyed_hash, uniform
 from ..functions.scalars import ratio
+from . import fits, ranking
 
 
 def rate_scores(train: DataFrame, holdout: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -25,20 +26,13 @@ def tie_groups(scores: DataFrame, by: list[str], weight: str | None = None) -> D
 
 
 def auroc(groups: DataFrame, by: list[str]) -> DataFrame:
-    """Area under the ROC curve by average ranks of complete tie groups; whole numbers (doubled) up to the division."""
-    run = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(run), F.lit(0))
-    each = groups.withColumn("twice", F.col("pos") * (2 * below + F.col("neg")))
-    got = each.groupBy(*by).agg(F.sum("twice").alias("twice"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    return got.select(*by, ratio(F.col("twice"), 2 * F.col("p") * F.col("q")).alias("auroc"))
+    """Area under the ROC curve by average ranks of complete tie groups."""
+    return ranking.metrics(groups, by).select(*by, "auroc")
 
 
 def average_precision(groups: DataFrame, by: list[str]) -> DataFrame:
     """Sum over descending tie groups of the recall they add times the precision at their end."""
-    run = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    each = groups.withColumns({"tp": F.sum("pos").over(run), "all": F.sum(F.col("pos") + F.col("neg")).over(run)})
-    got = each.groupBy(*by).agg(F.sum(F.col("pos").cast("double") * ratio(F.col("tp"), F.col("all"))).alias("s"), F.sum("pos").alias("p"))
-    return got.select(*by, F.round(ratio(F.col("s"), F.col("p")), 9).alias("average_precision"))
+    return ranking.metrics(groups, by).select(*by, "average_precision")
 
 
 def confusion(scores: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
@@ -57,8 +51,8 @@ def confusion(scores: DataFrame, by: list[str], threshold: float = 0.5) -> DataF
 
 
 def point_metrics(scores: DataFrame, by: list[str]) -> DataFrame:
-    g = tie_groups(scores, by)
-    return auroc(g, by).join(average_precision(g, by), by).join(confusion(scores, by), by).select(*by, F.round("auroc", 9).alias("auroc"), "average_precision", "accuracy", "balanced_accuracy")
+    got = ranking.metrics(tie_groups(scores, by), by)
+    return got.select(*by, F.round("auroc", 9).alias("auroc"), "average_precision", "accuracy", "balanced_accuracy")
 
 
 #: Distinct score vectors that a bootstrap keeps in memory; beyond, they stay distributed in so many blocks.
@@ -224,84 +218,12 @@ def select_c(train: DataFrame, attrs: list[str], grid: tuple[float, ...] = (0.1,
     """``c, mean_auroc, folds``: for each value of the grid, mean AUROC over the stratified folds of ``train`` (``row_id, y,
     <attrs>``): one fit for each value and fold, on the weighted category combinations of the other folds.
     """
-    parted = train.join(folds(train, n).select("row_id", "fold"), "row_id")
-    cells = parted.groupBy("fold", "y", *attrs).agg(F.count(F.lit(1)).alias("w"))
-    task = F.explode(F.array(*[F.struct(F.lit(float(c)).alias("c"), F.lit(k).alias("k")) for c in grid for k in range(n)]))
-    each = cells.withColumn("task", task).select("task.*", *attrs, "y", "w", F.when(F.col("fold") == F.col("task.k"), "holdout").otherwise("train").alias("split"))
-    model = ["c", "k"]
-    each = each.groupBy(*model, "split", "y", *attrs).agg(F.sum("w").alias("w"))
-    scored = each.groupBy(*model).applyInPandas(logistic_cells(attrs, None, model), "c double, k int, y int, w long, p double, converged boolean")
-    one = auroc(tie_groups(scored, model), model)
-    return one.groupBy("c").agg(F.round(F.avg("auroc"), 9).alias("mean_auroc"), F.count("auroc").alias("folds"))
+    parted = train.join(folds(train, n).select("row_id", "fold"), "row_id").withColumn("w", F.lit(1).cast("long"))
+    _, held = fits.selected(parted, attrs, grid, n)
+    one = auroc(tie_groups(held, ["c", "k"]), ["c", "k"])
+    return one.groupBy("c").agg(F.round(F.avg(F.round("auroc", 12)), 9).alias("mean_auroc"), F.count("auroc").alias("folds"))
 
 
 def best_c(means: DataFrame) -> DataFrame:
     """The value of greatest mean; ties go to the smaller."""
     return means.orderBy(F.desc("mean_auroc"), "c").limit(1)
-
-
-def logistic_cells(attrs: list[str], c: float | None = 1.0, model: list[str] | None = None, steps: int = 50, chunk: int = 8192):
-    """For ``applyInPandas`` by ``model`` (columns): fits on the weighted ``train`` cells and scores the ``holdout`` ones.
-
-    Cells are distinct category combinations, so a group's length is bounded by the domains, not by the
-    table. L2 penalty 1 / c (a column, if None) on all but the intercept; Newton steps, halved while they do not lower the loss;
-    unknown categories are all-zero blocks. ``converged`` tells whether the last step was below 1e-8.
-    """
-    import numpy as np
-    import pandas as pd
-
-    model = model or ["config_id", "kind"]
-    penalty = c
-
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        c = float(cells["c"].iloc[0]) if penalty is None else penalty
-        train, holdout = (cells[cells["split"] == part].reset_index(drop=True) for part in ("train", "holdout"))
-        places: dict[tuple[str, str], int] = {}
-        for a in attrs:
-            for v in sorted(train[a].unique()):
-                places[a, v] = len(places)
-        d = len(places) + 1
-
-        def blocks(frame: pd.DataFrame):
-            codes = np.stack([frame[a].map(lambda v, a=a: places.get((a, v), -1)).to_numpy(np.int64, na_value=-1) for a in attrs], axis=1) if len(frame) else np.zeros((0, len(attrs)), np.int64)
-            for k in range(0, len(codes), chunk):
-                part = codes[k : k + chunk]
-                x = np.zeros((len(part), d))
-                x[:, -1] = 1.0
-                r, j = np.nonzero(part >= 0)
-                x[r, part[r, j]] = 1.0
-                yield slice(k, k + chunk), x
-
-        y, w = train["y"].to_numpy(float), train["w"].to_numpy(float)
-        beta, ridge = np.zeros(d), np.r_[np.full(d - 1, 1.0), 1e-9]
-
-        def loss(b):
-            total = 0.5 * float(ridge @ (b * b))
-            for at, x in blocks(train):
-                z = x @ b
-                total += c * float(w[at] @ (np.logaddexp(0, z) - y[at] * z))
-            return total
-
-        now, converged = loss(beta), False
-        for _ in range(steps):
-            slope, bend = ridge * beta, np.diag(ridge)
-            for at, x in blocks(train):
-                p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-                slope = slope + c * (x.T @ (w[at] * (p - y[at])))
-                bend = bend + c * (x.T * (w[at] * p * (1 - p))) @ x
-            step = np.linalg.solve(bend, slope)
-            if np.abs(step).max() < 1e-8:
-                converged = True
-                break
-            after = loss(beta - step)
-            while after > now + 1e-12 * abs(now) and np.abs(step).max() >= 1e-12:
-                step = step / 2
-                after = loss(beta - step)
-            beta, now = beta - step, after
-        scored = [1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))) for _, x in blocks(holdout)]
-        out = holdout[[*model, "y", "w"]].copy()
-        out["p"] = np.round(np.concatenate(scored), 12) if scored else []
-        out["converged"] = converged
-        return out
-
-    return run

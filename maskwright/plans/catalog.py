@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.prng import keyed_hash
 from ..functions.scalars import ratio
-from ..operators import bootstrap, disclosure, export, hierarchy, lattice, privacy, structure, utility, validation
+from ..operators import bootstrap, disclosure, export, hierarchy, lattice, privacy, ranking, structure, utility, validation
 from ..sources import fixture
+from ..sources.writers import shared
 from ..streaming import monitor
 from .oracle import KEYS, PRE, QI, G, big, block, div, label_case
 from .study import CLUSTER_KEYS, NUM, SPEC, Study
@@ -682,7 +683,7 @@ def cv_fold_balance(s):
 @query()
 def select_c_folds(s):
     """Mean AUROC over stratified folds of the raw training rows for each C of the grid: 15 fits."""
-    return utility.select_c(s.labelled(s.md.filter("split = 'train'")).select("row_id", "y", *[F.col(q).cast("string") for q in QI]), list(QI))
+    return s.c_means
 
 
 @query()
@@ -797,43 +798,56 @@ def lr_release(s):
     return utility.point_metrics(scored.select(F.lit("CFG02").alias("config_id"), "row_id", "y", "p"), ["config_id"])
 
 
-def _fits(s):
-    """Scored holdout cells of every configuration's release and counterfactual model; the raw configuration has one model."""
-    cells = s.labelled(s.released).select("config_id", "y", "w", "split", "is_outlier", *[F.col(f"g_{q}").alias(q) for q in QI])
-    both = F.array(F.lit("counterfactual"), F.lit("release"))
-    kinds = F.when(F.col("config_id") == "CFG00", F.array(F.lit("release"))).when((F.col("split") == "holdout") | ~F.col("is_outlier"), both).otherwise(F.array(F.lit("counterfactual")))
-    each = cells.withColumn("kind", F.explode(kinds)).groupBy("config_id", "kind", "split", "y", *QI).agg(F.sum("w").alias("w"))
-    return each.groupBy("config_id", "kind").applyInPandas(utility.logistic_cells(list(QI)), "config_id string, kind string, y int, w long, p double, converged boolean")
+def _model_points(s):
+    groups = s.model_scores.groupBy("config_id", "kind", "p").agg(F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
+    return ranking.metrics(groups, ["config_id", "kind"]).select("config_id", "kind", F.round("auroc", 9).alias("auroc"), "average_precision", "accuracy", "balanced_accuracy")
 
 
 @query()
 def lr_matrix(s):
-    """Holdout metrics of logistic regression for every configuration, releases and counterfactuals."""
-    return utility.point_metrics(_fits(s), ["config_id", "kind"])
+    """Holdout metrics of all 33 logistic models (releases, counterfactuals and the raw one), with the selected C."""
+    return _model_points(s)
+
+
+@query()
+def lr_coefficients(s):
+    """The coefficients of every model, the intercept without attribute and label."""
+    return s.models.coefficients(s.matrix_cells)
 
 
 @query()
 def lr_convergence(s):
-    """Whether every fit of the matrix converged."""
-    return _fits(s).groupBy("config_id", "kind").agg(F.min("converged").alias("converged"), F.sum("w").alias("holdout_rows"))
+    """Whether every fit of the matrix converged, after how many evaluations, and its penalised loss."""
+    found = s.models
+    rows = [(*m, found.converged[m], found.evaluations[m], round(found.loss[m], 6)) for m in sorted(found.beta)]
+    fitted = s.spark.createDataFrame(rows, "config_id string, kind string, converged boolean, evaluations long, loss double")
+    return fitted.join(s.model_scores.groupBy("config_id", "kind").agg(F.sum("n").alias("holdout_rows")), ["config_id", "kind"])
+
+
+@query()
+def lr_determinism(s):
+    """Whether fits of the same cells, dealt anew and in another order, have the same coefficients bit for bit."""
+    again = s.fitted(s.matrix_cells.repartition(7, F.xxhash64(F.lit(1), *QI)))
+    one, two = s.models.digest(), again.digest()
+    return s.spark.createDataFrame([(*m, one[m], one[m] == two[m]) for m in sorted(one)], "config_id string, kind string, digest string, same boolean")
 
 
 @query()
 def lr_deltas(s):
     """What a release's model loses against the raw one in AUROC, and what of it comes from suppression alone."""
-    points = lr_matrix(s).select("config_id", "kind", "auroc")
+    points = shared(_model_points(s)).select("config_id", "kind", "auroc")
     raw = points.filter("config_id = 'CFG00'").select(F.col("auroc").alias("raw"))
     other = points.filter("kind = 'counterfactual'").select("config_id", F.col("auroc").alias("counterfactual"))
     return points.filter("kind = 'release' and config_id <> 'CFG00'").join(F.broadcast(raw)).join(F.broadcast(other), "config_id").select("config_id", F.round(F.col("raw") - F.col("auroc"), 9).alias("delta"), F.round(F.col("counterfactual") - F.col("auroc"), 9).alias("delta_suppression"))
 
 
-_MODELS = "SELECT config_id, kind FROM cfg CROSS JOIN (SELECT unnest(['release', 'counterfactual']) AS kind) WHERE NOT (config_id = 'CFG00' AND kind = 'counterfactual')"
+_MODELS = "SELECT config_id, kind FROM (SELECT unnest([" + ", ".join(f"'{c.config_id}'" for c in fixture.MATRIX) + "]) AS config_id) CROSS JOIN (SELECT unnest(['release', 'counterfactual']) AS kind) WHERE NOT (config_id = 'CFG00' AND kind = 'counterfactual')"
 
 
 @query(f"SELECT config_id, kind, holdout_rows, positives FROM ({_MODELS}) CROSS JOIN (SELECT count(*) AS holdout_rows, {big('sum(y)')} AS positives FROM lab WHERE config_id = 'CFG00' AND split = 'holdout')")
 def model_shapes(s):
     """Which models there are, and that each scores every holdout row once."""
-    return _fits(s).groupBy("config_id", "kind").agg(F.sum("w").alias("holdout_rows"), F.sum(F.col("y") * F.col("w")).alias("positives"))
+    return s.model_scores.groupBy("config_id", "kind").agg(F.sum("n").alias("holdout_rows"), F.sum("pos").alias("positives"))
 
 
 @query("SELECT config_id, count(*) FILTER (WHERE mr.row_id IS NULL) AS lacking, CAST(0 AS BIGINT) AS unknown, (SELECT count(*) FROM (SELECT 1 FROM mr m WHERE m.config_id = c.config_id GROUP BY row_id HAVING count(*) > 1)) AS repeated, count(*) FILTER (WHERE mr.y <> c.y) AS relabelled, count(*) FILTER (WHERE mr.row_id IS NOT NULL AND (mr.p IS NULL OR mr.p NOT BETWEEN 0 AND 1)) AS out_of_range FROM (SELECT config_id, row_id, h.y FROM cfg CROSS JOIN (SELECT row_id, y FROM lab WHERE config_id = 'CFG00' AND split = 'holdout') h) c LEFT JOIN mr USING (config_id, row_id) GROUP BY 1")

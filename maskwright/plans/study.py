@@ -7,9 +7,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, disclosure, hierarchy, privacy, schema, structure, utility
+from ..operators import bootstrap, disclosure, fits, hierarchy, privacy, schema, structure, utility
 from ..operators.lattice import cell_losses
 from ..sources import fixture
+from ..sources.writers import shared
 
 SPEC, NUM = fixture.SPEC, "num"
 CLUSTER_KEYS = ["num", "segment", "status", "nation"]
@@ -42,7 +43,7 @@ class Study:
     @cached_property
     def sig(self) -> DataFrame:
         """Distinct value combinations with their numbers; every measure of classes starts here."""
-        return privacy.signature(self.md, SPEC, "split")
+        return shared(privacy.signature(self.md, SPEC, "split"))
 
     @cached_property
     def generalized(self) -> DataFrame:
@@ -50,7 +51,7 @@ class Study:
 
     @cached_property
     def all_classes(self) -> DataFrame:
-        return privacy.classes(self.generalized, SPEC)
+        return shared(privacy.classes(self.generalized, SPEC))
 
     @cached_property
     def classes(self) -> DataFrame:
@@ -165,6 +166,41 @@ class Study:
         scored = utility.rate_scores(rows.filter("split = 'train' and not is_outlier"), rows.filter("split = 'holdout'"), SCORE_KEYS, ["config_id"])
         return utility.score_cells(scored, "config_id")
 
+    @cached_property
+    def best_c(self) -> float:
+        """The C that the folds of the raw training rows select."""
+        return utility.best_c(self.c_means).first()["c"]
+
+    @cached_property
+    def c_means(self) -> DataFrame:
+        rows = self.labelled(self.md.filter("split = 'train'"))
+        return shared(utility.select_c(rows.select("row_id", "y", *[F.col(q).cast("string") for q in SPEC.names]), list(SPEC.names)))
+
+    @cached_property
+    def matrix_cells(self) -> DataFrame:
+        """Recoded value combinations of every configuration's release and counterfactual model; the raw one has one model."""
+        configs = schema.configurations(self.spark, SPEC, schema.catalogue(fixture.MATRIX, SPEC))
+        recoded = privacy.generalized(self.sig, self.hier, configs, SPEC)
+        rows = self.labelled(privacy.with_outliers(recoded, shared(privacy.classes(recoded, SPEC)), SPEC))
+        both = F.array(F.lit("counterfactual"), F.lit("release"))
+        kinds = F.when(F.col("config_id") == "CFG00", F.array(F.lit("release"))).when((F.col("split") == "holdout") | ~F.col("is_outlier"), both).otherwise(F.array(F.lit("counterfactual")))
+        positive = F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos")
+        return shared(rows.withColumn("kind", F.explode(kinds)).groupBy("config_id", "kind", "split", *[F.col(f"g_{q}").alias(q) for q in SPEC.names]).agg(F.sum("w").alias("n"), positive))
+
+    def fitted(self, cells: DataFrame | None = None) -> fits.Fits:
+        """All models of the matrix, with the selected C."""
+        train = (self.matrix_cells if cells is None else cells).filter("split = 'train'")
+        return fits.fit(train, ["config_id", "kind"], list(SPEC.names), self.best_c)
+
+    @cached_property
+    def models(self) -> fits.Fits:
+        return self.fitted()
+
+    @cached_property
+    def model_scores(self) -> DataFrame:
+        """``config_id, kind, <attributes>, n, pos, p``: the holdout's value combinations with their scores."""
+        return shared(self.models.score(self.matrix_cells.filter("split = 'holdout'")))
+
     @cached_property
     def boot_auroc(self) -> DataFrame:
         names = [c.config_id for c in sorted(fixture.CONFIGS, key=lambda c: c.config_id)]

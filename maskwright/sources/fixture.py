@@ -20,8 +20,12 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 YEARS = tuple(range(1995, 2002))
 STATUSES = ("F", "O", "P")
 
+def _vector(*levels: int) -> dict[str, int]:
+    return dict(zip(SPEC.names, levels, strict=True))
+
+
 #: config, levels of (num, nation, segment, priority, yr, status), privacy models, suppression limit, its pair without suppression.
-CONFIGS = [
+MATRIX = [
     AnonConfig("CFG00", dict(zip(SPEC.names, (0, 0, 0, 0, 0, 0), strict=True))),
     AnonConfig("CFG01", dict(zip(SPEC.names, (3, 1, 1, 2, 2, 1), strict=True)), k=2),
     AnonConfig("CFG02", dict(zip(SPEC.names, (2, 1, 1, 1, 1, 1), strict=True)), k=5, limit=0.05, pair="CFG01"),
@@ -29,7 +33,19 @@ CONFIGS = [
     AnonConfig("CFG04", dict(zip(SPEC.names, (4, 2, 1, 2, 2, 1), strict=True)), k=5, limit=0.0),
     AnonConfig("CFG05", dict(zip(SPEC.names, (2, 1, 1, 1, 1, 1), strict=True)), k=5, l=2, limit=0.5, pair="CFG01"),
     AnonConfig("CFG06", dict(zip(SPEC.names, (2, 2, 1, 1, 2, 1), strict=True)), k=5, t=0.1, limit=0.5, pair="CFG04"),
+    AnonConfig("CFG07", _vector(3, 2, 0, 2, 2, 1), k=5),
+    AnonConfig("CFG08", _vector(2, 1, 0, 2, 2, 1), k=5, limit=0.05, pair="CFG07"),
+    AnonConfig("CFG09", _vector(3, 1, 0, 2, 1, 1), k=10),
+    AnonConfig("CFG10", _vector(2, 1, 1, 2, 1, 1), k=10, limit=0.05, pair="CFG09"),
+    AnonConfig("CFG11", _vector(4, 1, 0, 1, 1, 0), k=5, limit=0.05, pair="CFG07"),
+    AnonConfig("CFG12", _vector(3, 2, 1, 0, 2, 0), k=5, l=2, limit=0.05, pair="CFG07"),
+    AnonConfig("CFG13", _vector(2, 2, 1, 2, 1, 0), k=5, l=2, limit=0.5, pair="CFG07"),
+    AnonConfig("CFG14", _vector(4, 0, 1, 2, 2, 1), k=5, t=0.2, limit=0.05, pair="CFG07"),
+    AnonConfig("CFG15", _vector(3, 2, 1, 2, 0, 1), k=5, t=0.1, limit=0.5, pair="CFG07"),
+    AnonConfig("CFG16", _vector(2, 2, 0, 2, 2, 1), k=5, l=2, t=0.2, limit=0.5, pair="CFG07"),
 ]
+#: The configurations of every query but the logistic models', which take all of the matrix.
+CONFIGS = MATRIX[:7]
 #: Configuration with suppression -> its counterpart without.
 PAIRS = {c.config_id: c.pair for c in CONFIGS if c.pair}
 

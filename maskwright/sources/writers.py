@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -11,6 +13,20 @@ from ..operators.export import public, rendered
 from ..operators.schema import require
 
 
+def shared(frame: DataFrame) -> DataFrame:
+    """``frame``, worked out once and kept in the checkpoint folder that the cluster shares, which survives lost executors.
+
+    A folder of this machine is taken only in local mode. ``spark.cleaner.referenceTracking.cleanCheckpoints`` lets Spark
+    delete what is no longer referred to.
+    """
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        require(bool(named) or re.fullmatch(r"local(\[.*\])?", context.master) is not None, "CHECKPOINT_DIR", "set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return frame.checkpoint()
+
+
 def canonical_table(rows: DataFrame, path: str, columns: list[str], order: str, sep: str = ";") -> None:
     """Header and rows in the order of ``order``, LF-terminated; never over an existing path.
 
