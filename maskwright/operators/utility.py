@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prng import keyed_hash, uniform
 from ..functions.scalars import ratio
-from . import fits, ranking
+from . import fits, ranking, resampling
 
 
 def rate_scores(train: DataFrame, holdout: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -80,21 +80,13 @@ def _weighted_auroc(p, pos, neg):
     return np.where(both > 0, twice / (2 * np.maximum(both, 1)), np.nan)
 
 
-def resampled(counts, stream: int, replicate: int, *place: int):
-    """How often each cell is drawn when all its rows are drawn anew with replacement: multinomial, a function of the keys."""
-    import numpy as np
-
-    total = int(counts.sum())
-    return np.random.Generator(np.random.Philox(np.random.SeedSequence((stream, replicate, *place)))).multinomial(total, counts / total) if total else counts
-
-
-def bootstrap_auroc(cells: DataFrame, names: list[str], by: str, replicates: int, stream: int = 11006, limit: int = CELLS) -> DataFrame:
+def bootstrap_auroc(cells: DataFrame, names: list[str], by: str, replicates: int, stream: str = "11006", limit: int = CELLS) -> DataFrame:
     """``<by>, replicate, auroc``: stratified paired bootstrap; each class is resampled to its own size, with the same draws for
     every one of ``names``, the values of ``by`` in the order of the cells' scores.
 
-    ``cells`` come from :func:`score_cells`: drawing rows and counting them by cell is drawing multinomial counts of cells, so
-    the work does not grow with the rows. Up to ``limit`` cells are handed to the tasks, which share the replicates; more
-    stay distributed in blocks, among which each replicate's draws are parted first.
+    ``cells`` come from :func:`score_cells`: drawing rows and counting them by cell is drawing multinomial counts of cells
+    (:mod:`resampling`), so the work does not grow with the rows. Up to ``limit`` cells are handed to the tasks, which share the replicates and take
+    a bounded block of them at a time; more stay distributed in blocks, among which each replicate's draws are parted first.
     """
     import numpy as np
     import pandas as pd
@@ -109,27 +101,32 @@ def bootstrap_auroc(cells: DataFrame, names: list[str], by: str, replicates: int
 
         def run(batches):
             for batch in batches:
-                mult = np.zeros((len(batch), len(n)), np.int64)
-                for k, r in enumerate(batch["id"]):
+                replicate = batch["id"].to_numpy()
+                for part in resampling.blocks(replicate, 4 * len(n)):
+                    mult = np.zeros((len(replicate[part]), len(n)), np.int64)
                     for side in (0, 1):
-                        mult[k, y == side] = resampled(n[y == side], stream, int(r), side)
-                found = [pd.DataFrame({by: name, "replicate": batch["id"].to_numpy(), "auroc": np.round(_weighted_auroc(p[:, c], mult * (y == 1), mult * (y == 0)), 9)}) for c, name in enumerate(names)]
-                yield pd.concat(found) if found else pd.DataFrame({by: [], "replicate": [], "auroc": []})
+                        mine = n[y == side]
+                        seeds = np.array([resampling.seed(stream, int(r), side) for r in replicate[part]], np.uint64)
+                        mult[:, y == side] = resampling.split(mine, np.full(len(seeds), mine.sum()), seeds)
+                    for c, name in enumerate(names):
+                        yield pd.DataFrame({by: name, "replicate": replicate[part], "auroc": np.round(_weighted_auroc(p[:, c], mult * (y == 1), mult * (y == 0)), 9)})
 
         return spark.range(1, replicates + 1).mapInPandas(run, schema)
 
     blocked = cells.withColumn("block", F.pmod(F.xxhash64("scores"), F.lit(BLOCKS)).cast("int"))
     sizes = blocked.groupBy("y", "block").agg(F.sum("n").alias("n")).toPandas()  # BLOCKS rows for each class
     totals = {side: sizes[sizes["y"] == side].set_index("block")["n"].reindex(range(BLOCKS), fill_value=0).to_numpy(np.int64) for side in (0, 1)}
+    every = np.arange(1, replicates + 1)
+    shares = {side: resampling.split(t, np.full(replicates, t.sum()), np.array([resampling.seed(stream, int(r), side, "blocks") for r in every], np.uint64)) for side, t in totals.items()}
 
     def part(key, group: pd.DataFrame) -> pd.DataFrame:
         group = group.assign(order=group["scores"].map(tuple)).sort_values("order")
         n, p = group["n"].to_numpy(np.int64), np.array(group["scores"].tolist())
         side, block = int(key[0]), int(key[1])
         out = []
-        for r in range(1, replicates + 1):
-            here = int(resampled(totals[side], stream, r, side)[block])
-            mult = np.random.Generator(np.random.Philox(np.random.SeedSequence((stream, r, side, block)))).multinomial(here, n / n.sum())
+        for r in every:
+            seeds = np.array([resampling.seed(stream, int(r), side, block)], np.uint64)
+            mult = resampling.split(n, shares[side][r - 1, block : block + 1], seeds)[0]
             for c, name in enumerate(names):
                 values, where = np.unique(p[:, c], return_inverse=True)
                 count = np.bincount(where, mult, len(values)).astype(np.int64)

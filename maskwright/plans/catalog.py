@@ -14,7 +14,7 @@ from ..operators import bootstrap, disclosure, export, hierarchy, lattice, priva
 from ..sources import fixture
 from ..sources.writers import shared
 from ..streaming import monitor
-from .oracle import KEYS, PRE, QI, G, big, block, div, label_case
+from .oracle import BOOT, KEYS, PRE, QI, G, big, block, div, label_case
 from .study import CLUSTER_KEYS, NUM, SPEC, Study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +33,7 @@ def query(sql: str | None = None):
     def register(f: Callable[[Study], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Study(spark, sf_dir))
         if sql is not None:
-            SQL[f.__name__] = PRE + sql
+            SQL[f.__name__] = (PRE.replace("WITH", "WITH RECURSIVE", 1) if sql.startswith(BOOT) else PRE) + sql
         return f
 
     return register
@@ -622,12 +622,16 @@ def bootstrap_risk(s):
     return s.boot
 
 
-@query("SELECT a.scenario, a.replicate, a.config_id, round(a.r_all - b.r_all, 9) AS difference FROM boot a JOIN boot b ON a.scenario = b.scenario AND a.replicate = b.replicate AND b.config_id = 'CFG00' WHERE a.config_id <> 'CFG00'")
+@query("SELECT scenario, replicate, config_id, round(r_all - raw, 9) AS difference FROM (SELECT *, max(r_all) FILTER (WHERE config_id = 'CFG00') OVER (PARTITION BY scenario, replicate) AS raw FROM boot) WHERE config_id <> 'CFG00' AND raw IS NOT NULL")
 def delta_vs_raw(s):
     return bootstrap.against(s.boot, "CFG00", "r_all", ["scenario", "replicate"])
 
 
-@query("SELECT a.scenario, a.replicate, a.config_id, a2.other, round(a.r_all - b.r_all, 9) AS difference FROM boot a JOIN pairs a2 ON a.config_id = a2.config_id JOIN boot b ON b.config_id = a2.other AND a.scenario = b.scenario AND a.replicate = b.replicate")
+_OF = "max(r_all) FILTER (WHERE config_id = '{}')"
+_PAIRED = ", ".join(f"{{'config_id': '{a}', 'other': '{b}', 'difference': round({_OF.format(a)} - {_OF.format(b)}, 9)}}" for a, b in sorted(fixture.PAIRS.items()))
+
+
+@query(f"SELECT scenario, replicate, d.config_id, d.other, d.difference FROM (SELECT scenario, replicate, unnest([{_PAIRED}]) AS d FROM boot GROUP BY 1, 2) WHERE d.difference IS NOT NULL")
 def suppression_pairs(s):
     return bootstrap.paired(s.boot, s.pairs, "r_all", ["scenario", "replicate"])
 
@@ -719,12 +723,12 @@ def delta_auroc(s):
     return points.filter("config_id <> 'CFG00'").join(F.broadcast(raw)).select("config_id", F.round(F.col("raw") - F.col("auroc"), 9).alias("delta"))
 
 
-@query()
+@query(BOOT + "SELECT config_id, replicate, auroc FROM bauc")
 def bootstrap_auroc(s):
     return s.boot_auroc
 
 
-@query()
+@query(BOOT + f"SELECT config_id, {_interval('difference')} FROM (SELECT config_id, replicate, round(auroc - max(auroc) FILTER (WHERE config_id = 'CFG00') OVER (PARTITION BY replicate), 9) AS difference FROM bauc) WHERE config_id <> 'CFG00' GROUP BY 1")
 def delta_auroc_interval(s):
     return bootstrap.intervals(bootstrap.against(s.boot_auroc, "CFG00", "auroc", ["replicate"]), "difference", ["config_id"])
 

@@ -131,17 +131,17 @@ PRE = f"""WITH md AS (
     SELECT scenario, config_id, target_pos, draw, tie_size, retained,
       coalesce(retained AND {' AND '.join(f"(k_{q} = '-' OR k_{q} = p_{q})" for q in QI if q != 'num')} AND list_contains(winning, p_num), false) AS hit FROM won JOIN pt USING (config_id, target_pos))
 ), means AS (SELECT scenario, config_id, target_pos, avg(success) AS mean_success, max(CAST(retained AS INT)) AS kept FROM done GROUP BY 1, 2, 3
-), risk AS (
+), risk AS MATERIALIZED (
   SELECT scenario, config_id, count(*) AS targets, {big('sum(kept)')} AS targets_retained, sum(mean_success) AS s, any_value(n_c) AS n_c FROM means JOIN sizes USING (config_id) GROUP BY 1, 2
-), cl AS (
+), cl AS MATERIALIZED (
   SELECT num, segment, status, nation, count(*) AS n, dense_rank() OVER (ORDER BY min(target_pos)) AS cluster_id FROM tg GROUP BY 1, 2, 3, 4
-), plan AS (
+), plan AS MATERIALIZED (
   SELECT replicate, unit, count(*) AS mult FROM (
     SELECT replicate, CAST(floor({uniform("'11005|' || replicate || '|' || draw")} * (SELECT count(*) FROM cl)) AS BIGINT) + 1 AS unit
     FROM (SELECT unnest(range(1, {REPLICATES + 1})) AS replicate) CROSS JOIN (SELECT unnest(range(1, (SELECT count(*) FROM cl) + 1)) AS draw)) GROUP BY 1, 2
-), pc AS (
+), pc AS MATERIALIZED (
   SELECT scenario, config_id, cluster_id, count(*) AS n, sum(mean_success) AS s FROM means JOIN tg USING (target_pos) JOIN cl USING (num, segment, status, nation) GROUP BY 1, 2, 3
-), boot AS (
+), boot AS MATERIALIZED (
   SELECT scenario, config_id, replicate, round({div('sum(mult * s)', 'sum(mult * n)')}, 9) AS r_all FROM (SELECT pc.*, replicate, mult FROM pc JOIN plan ON cluster_id = unit) GROUP BY 1, 2, 3
 ), pairs(config_id, other) AS (VALUES {PAIR_ROWS}
 ), lab AS (SELECT *, rid AS row_id, CASE WHEN sens = '>T' THEN 1 ELSE 0 END AS y FROM rel
@@ -170,3 +170,50 @@ PRE = f"""WITH md AS (
 ), vals AS ({' UNION '.join(f"SELECT '{q}' AS attr, CAST({q} AS VARCHAR) AS value FROM md" for q in QI)}
 )
 """
+
+
+def _binomial(d: str, p: str, u: str) -> str:
+    """The least k whose binomial distribution function exceeds u, summed up over eight standard deviations around the mean."""
+    reach = f"8 * sqrt({d} * {p} * (1 - {p}))"
+    low, high = f"greatest(0, floor({d} * {p} - {reach}) - 1)::BIGINT", f"least({d}, ceil({d} * {p} + {reach}) + 20)::BIGINT"
+    mass = f"exp(lgamma({d} + 1) - lgamma(k + 1) - lgamma({d} - k + 1) + k * ln({p}) + ({d} - k) * ln(1 - {p}))"
+    masses = f"list_prepend({{'c': 0.0::DOUBLE, 'n': 0::BIGINT}}, list_transform(range({low}, {high} + 1), lambda k: {{'c': {mass}, 'n': 0::BIGINT}}))"
+    return f"least({d}, {low} + list_reduce({masses}, lambda a, b: {{'c': a.c + b.c, 'n': a.n + CASE WHEN a.c + b.c <= {u} THEN 1 ELSE 0 END}}).n)"
+
+
+def _mixed() -> str:
+    """A number between 0 and 1 from 32 mixed bits of a seed and the place of the cut."""
+    x = "((seed + mid * 2654435769) & 4294967295)"
+    for shift, factor in ((16, 2146121005), (15, 2221713035)):
+        x = f"((xor({x}, {x} >> {shift})::UBIGINT * {factor}::UBIGINT) & 4294967295::UBIGINT)"
+    return f"((xor({x}, {x} >> 16)::DOUBLE + 0.5) / 4294967296.0)"
+
+
+#: Stratified multinomial counts of the holdout's distinct score vectors, and AUROC of each replicate: ``bauc``.
+BOOT = f""", vec AS (
+  SELECT y, list(p ORDER BY config_id) AS v FROM mr GROUP BY row_id, y
+), vcell AS MATERIALIZED (SELECT y, v, n, row_number() OVER (PARTITION BY y ORDER BY v) - 1 AS i FROM (SELECT y, v, count(*) AS n FROM vec GROUP BY 1, 2)
+), upto AS MATERIALIZED (
+  SELECT y, i, coalesce(sum(n) OVER (PARTITION BY y ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS w FROM vcell
+  UNION ALL SELECT y, count(*), sum(n)::BIGINT FROM vcell GROUP BY y
+), stretch AS (
+  SELECT y, 0::BIGINT AS lo, max(i) AS hi FROM upto GROUP BY y
+  UNION ALL SELECT y, CASE side WHEN 0 THEN lo ELSE (lo + hi) // 2 END, CASE side WHEN 0 THEN (lo + hi) // 2 ELSE hi END FROM stretch CROSS JOIN (VALUES (0), (1)) s(side) WHERE hi - lo > 1
+), knot AS MATERIALIZED (
+  SELECT s.y, s.lo, s.hi, (s.lo + s.hi) // 2 AS mid, (m.w - a.w) / (b.w - a.w)::DOUBLE AS p FROM stretch s JOIN upto a ON a.y = s.y AND a.i = s.lo JOIN upto m ON m.y = s.y AND m.i = (s.lo + s.hi) // 2 JOIN upto b ON b.y = s.y AND b.i = s.hi WHERE s.hi - s.lo > 1
+), seeded AS MATERIALIZED (
+  SELECT replicate, y, CAST('0x' || substr(md5('11006|' || replicate || '|' || y), 1, 8) AS BIGINT) AS seed, max(w) AS d, max(i) AS m FROM upto CROSS JOIN (SELECT unnest(range(1, {REPLICATES + 1})) AS replicate) GROUP BY 1, 2
+), fallen AS (
+  SELECT replicate, y, seed, 0::BIGINT AS lo, m AS hi, d FROM seeded
+  UNION ALL SELECT replicate, y, seed, CASE side WHEN 0 THEN lo ELSE mid END, CASE side WHEN 0 THEN mid ELSE hi END, CASE side WHEN 0 THEN k ELSE d - k END
+  FROM (SELECT *, {_binomial('d', 'p', 'u')} AS k FROM (SELECT replicate, f.y, seed, f.lo, f.hi, mid, d, p, {_mixed()} AS u FROM fallen f JOIN knot USING (y, lo, hi))) CROSS JOIN (VALUES (0), (1)) s(side)
+  WHERE CASE side WHEN 0 THEN k ELSE d - k END > 0
+), drawn AS MATERIALIZED (SELECT replicate, y, lo AS i, d FROM fallen WHERE hi - lo = 1
+), scored AS MATERIALIZED (
+  SELECT config_id, y, i, dense_rank() OVER (PARTITION BY config_id ORDER BY p) AS g FROM (SELECT unnest([{', '.join(f"'{c}'" for c in sorted(c.config_id for c in CONFIGS))}]) AS config_id, unnest(v) AS p, y, i FROM vcell)
+), btie AS (SELECT config_id, replicate, g, coalesce(sum(d) FILTER (WHERE y = 1), 0)::BIGINT AS pos, coalesce(sum(d) FILTER (WHERE y = 0), 0)::BIGINT AS neg FROM drawn JOIN scored USING (y, i) GROUP BY 1, 2, 3
+), bauc AS MATERIALIZED (
+  SELECT config_id, replicate, round({div('sum(pos * (2 * below + neg))', '2 * sum(pos) * sum(neg)')}, 9) AS auroc FROM (
+    SELECT *, coalesce(sum(neg) OVER (PARTITION BY config_id, replicate ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below FROM btie) GROUP BY 1, 2
+)
+"""

@@ -1,12 +1,14 @@
 """The utility side against plain row-by-row versions."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.prng import keyed_hash
-from maskwright.operators import fits, hierarchy, privacy, ranking, schema, utility
+from maskwright.operators import fits, hierarchy, privacy, ranking, resampling, schema, utility
 from maskwright.operators.schema import AnonConfig, ContractError, QuasiIdentifierSpec
 from maskwright.plans import catalog
 
@@ -38,13 +40,43 @@ def test_bootstrap_equals_drawing_the_rows(spark, scored):
         drawn = []
         for side in (0, 1):
             mine = [v for v in vectors if v[0] == side]
-            counts = utility.resampled(np.array([v[2] for v in mine]), 11006, replicate, side)
-            assert counts.sum() == sum(v[2] for v in mine)  # each class keeps its size
+            counts = plain_split([v[2] for v in mine], sum(v[2] for v in mine), resampling.seed("11006", replicate, side))
+            assert sum(counts) == sum(v[2] for v in mine)  # each class keeps its size
             drawn += [(v, side) for (_, v, _), n in zip(mine, counts, strict=True) for _ in range(n)]
         for c, name in enumerate("AB"):
             assert got[name, replicate] == pytest.approx(brute_auroc([v[c] for v, _ in drawn], [s for _, s in drawn]), abs=1e-9)
 
 
+def plain_split(weights, draws, seed, low=0):
+    """The tree of halves by recursion, with quantiles from sums of exact binomial coefficients."""
+    if len(weights) == 1 or not draws:
+        return [draws, *[0] * (len(weights) - 1)]
+    half = (2 * low + len(weights)) // 2 - low
+    x = (seed + (low + half) * 2654435769) % 2**32
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1)):
+        x = ((x ^ (x >> shift)) * factor) % 2**32
+    u, p, total, k = (x + 0.5) / 2**32, sum(weights[:half]) / sum(weights), 0.0, -1
+    while total <= u and k < draws:
+        k += 1
+        total += math.comb(draws, k) * p**k * (1 - p) ** (draws - k)
+    return plain_split(weights[:half], k, seed, low) + plain_split(weights[half:], draws - k, seed, low + half)
+
+
+def test_counts_are_multinomial():
+    weights = np.array([1, 5, 3, 1, 10, 0, 20])
+    seeds = np.array([resampling.seed("x", r) for r in range(4000)], np.uint64)
+    counts = resampling.split(weights, np.full(4000, 40), seeds)
+    assert (counts.sum(axis=1) == 40).all() and not counts[:, 5].any()
+    share = weights / 40
+    assert np.allclose(counts.mean(axis=0), weights, atol=0.25)
+    assert np.allclose(np.cov(counts.T), 40 * (np.diag(share) - np.outer(share, share)), atol=0.7)
+    for r in (0, 7, 99):
+        assert counts[r].tolist() == plain_split([1, 5, 3, 1, 10, 0, 20], 40, int(seeds[r]))
+    large = resampling.split(np.full(4, 10**9), np.full(1000, 4 * 10**9), seeds[:1000])
+    assert np.allclose(large.mean(axis=0) / 1e9, 1, atol=1e-5) and np.allclose(large.var(axis=0) / 7.5e8, 1, atol=0.25)
+    assert resampling.split(np.zeros(0, int), np.zeros(2, int), seeds[:2]).shape == (2, 0)
+
+
 def test_bootstrap_of_many_cells_stays_distributed(spark, scored):
     cells = utility.score_cells(scored[1], "config_id")
     got = utility.bootstrap_auroc(cells, ["A", "B"], "config_id", 60, limit=3).groupBy("config_id").agg(F.count("*").alias("n"), F.avg("auroc").alias("mean")).collect()
