@@ -11,6 +11,7 @@ import functools
 import itertools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,10 @@ from .common import cut, lean, order_numbers
 RUN, BUCKETS = 2, 10_000
 #: Code points of a chunk; it goes on to the end of its last word.
 CHUNK = 1 << 16
+#: Words of fewer bytes (with a space) are hashed behind each other by tables that are at hand.
+SHORT = 64
+#: A task remembers the hashes of so many words.
+WORDS = 200_000
 #: Words of lower-cased bytes (every byte of a character beyond ASCII belongs to one), and of a text as it is.
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _RAW = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -44,13 +49,22 @@ def _shift(length: int) -> np.ndarray:
     return tables
 
 
+@functools.cache
+def _shifts() -> np.ndarray:
+    """The tables of all lengths below SHORT, one behind the other."""
+    return np.concatenate([_shift(n).ravel() for n in range(SHORT)])
+
+
 def joined_crc(first: np.ndarray, second: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """crc32 of pairs of byte strings put together, from their own and the lengths of the second ones."""
-    out = np.zeros(len(first), np.uint32)
-    for n in np.unique(lengths):
+
+    def shifted(tables: np.ndarray, at, c: np.ndarray) -> np.ndarray:
+        return tables[at + (c & 255)] ^ tables[at + 256 + (c >> 8 & 255)] ^ tables[at + 512 + (c >> 16 & 255)] ^ tables[at + 768 + (c >> 24)]
+
+    out = shifted(_shifts(), np.where(lengths < SHORT, lengths, 0) * 1024, first)
+    for n in np.unique(lengths[lengths >= SHORT]):
         at = lengths == n
-        c, t = first[at], _shift(int(n))
-        out[at] = t[0][c & 255] ^ t[1][c >> 8 & 255] ^ t[2][c >> 16 & 255] ^ t[3][c >> 24]
+        out[at] = shifted(_shift(int(n)).ravel(), 0, first[at])
     return out ^ second
 
 
@@ -58,18 +72,37 @@ def words_of(text: str) -> list[bytes]:
     return _WORD.findall(text.encode().lower())
 
 
-def buckets_of(words: list[bytes], own: int, run: int = RUN, buckets: int = BUCKETS) -> np.ndarray:
-    """The bucket of every run of 1 to ``run`` of the words that starts at one of the first ``own``."""
-    numbers: dict[bytes, int] = {}
-    at = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-    crc = np.array([zlib.crc32(w) for w in numbers], np.uint32)[at] if words else np.zeros(0, np.uint32)
-    spaced = np.array([zlib.crc32(b" " + w) for w in numbers], np.uint32)[at] if words else crc
-    length = np.array([len(w) + 1 for w in numbers], np.int64)[at] if words else np.zeros(0, np.int64)
-    found, current = [crc[:own]], crc
-    for k in range(1, run):
-        current = joined_crc(current[: max(len(words) - k, 0)], spaced[k:], length[k:])
-        found.append(current[:own])
-    return np.concatenate(found).astype(np.int64) % buckets
+class Words(dict):
+    """Words -> their numbers; crc32 of each and of a space and it, and their lengths with the space, lie in arrays. It starts anew beyond WORDS words."""
+
+    def __init__(self):
+        super().__init__()
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.crc, self.spaced, self.length = array("I"), array("I"), array("i")
+
+    def __missing__(self, word: bytes) -> int:
+        self.crc.append(zlib.crc32(word))
+        self.spaced.append(zlib.crc32(b" " + word))
+        self.length.append(len(word) + 1)
+        n = len(self)
+        self[word] = n
+        return n
+
+    def buckets(self, words: list[bytes], own: int, run: int = RUN, buckets: int = BUCKETS) -> np.ndarray:
+        """The bucket of every run of 1 to ``run`` of the words that starts at one of the first ``own``."""
+        if len(self) > WORDS:
+            self.reset()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        current, spaced = np.frombuffer(self.crc, np.uint32)[at], np.frombuffer(self.spaced, np.uint32)[at]
+        length = np.frombuffer(self.length, np.int32)[at]
+        found = [current[:own]]
+        for k in range(1, run):
+            current = joined_crc(current[: max(len(words) - k, 0)], spaced[k:], length[k:])
+            found.append(current[:own])
+        return np.concatenate(found).astype(np.int64) % buckets
 
 
 def cut_text(text: str, chunk: int = CHUNK, run: int = RUN) -> Iterator[tuple[str, int]]:
@@ -101,11 +134,11 @@ def _sliced(chunk: int, run: int):
     return mapped
 
 
-def _features(text: str | None, own: int | None, run: int, buckets: int) -> tuple[int, np.ndarray]:
+def features(known: Words, text: str | None, own: int | None, run: int, buckets: int) -> tuple[int, np.ndarray]:
     """How many words a chunk owns, and the buckets of the runs that start at them."""
     words = words_of(text or "")
     n = len(words) if own is None else len(words_of((text or "")[:own]))
-    return n, buckets_of(words, n, run, buckets)
+    return n, known.buckets(words, n, run, buckets)
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK, run: int = RUN) -> DataFrame:
@@ -123,10 +156,10 @@ def bucket_counts(parts: DataFrame, run: int = RUN, buckets: int = BUCKETS) -> n
     """How many runs of all the pieces fall in each bucket: one vector from each task, added up by bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
+        total, known = np.zeros(buckets, np.int64), Words()
         for batch in batches:
             for text, own in zip(batch.column(0), batch.column(1), strict=True):
-                total += np.bincount(_features(text.as_py(), own.as_py(), run, buckets)[1], minlength=buckets)
+                total += np.bincount(features(known, text.as_py(), own.as_py(), run, buckets)[1], minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
@@ -144,8 +177,9 @@ def gains(target: np.ndarray, source: np.ndarray) -> np.ndarray:
 
 def _weigher(gain: np.ndarray, run: int):
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in batches:
-            made = [_features(text.as_py(), own.as_py(), run, len(gain)) for text, own in zip(batch.column(1), batch.column(2), strict=True)]
+            made = [features(known, text.as_py(), own.as_py(), run, len(gain)) for text, own in zip(batch.column(1), batch.column(2), strict=True)]
             sums = [[n for n, _ in made], [len(b) for _, b in made], [int(gain[b].sum()) for _, b in made]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), *[pa.array(x, pa.int64()) for x in sums]], names=["row", "id", "n_words", "n_features", "gain"])
 
@@ -155,7 +189,8 @@ def _weigher(gain: np.ndarray, run: int):
 def weights(parts: DataFrame, gain: np.ndarray, run: int = RUN) -> DataFrame:
     """``id, n_words, n_features, weight``, a row for each text; weight is the mean gain, rounded down (0 without runs)."""
     schema = T.StructType([T.StructField("row", T.LongType()), parts.schema["id"], *[T.StructField(c, T.LongType()) for c in ("n_words", "n_features", "gain")]])
-    each = parts.select("row", "text", "own", "id").mapInArrow(_weigher(gain, run), schema)
+    # written, as it is looked at more than once
+    each = cut(parts.select("row", "text", "own", "id").mapInArrow(_weigher(gain, run), schema))
     sums = [F.sum(c).alias(c) for c in ("n_words", "n_features", "gain")]
     whole = each.filter("row is null").drop("row").unionByName(each.filter("row is not null").groupBy("row").agg(F.first("id").alias("id"), *sums).drop("row"))
     return whole.select("id", "n_words", "n_features", F.when(F.col("n_features") == 0, F.lit(0).cast("long")).otherwise(F.expr("(gain - pmod(gain, n_features)) div n_features")).alias("weight"))

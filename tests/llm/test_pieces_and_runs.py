@@ -71,7 +71,7 @@ def test_encoding_a_table(spark, distinct):
     rows = [(k if k else None, t, "x", 1) for k, t in enumerate(texts)] + [(5, "long " * 3000, "y", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int")
     got = piece_bpe.decode_documents(piece_bpe.encode_documents(docs, MODEL, distinct=distinct), MODEL)
-    assert got.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    assert got.columns == ["doc_id", "n_tokens", "ids", "decoded", "ids_sha256"]
     want = sorted((-1 if k is None else k, len(i := c.model.encode(t or "")), np.asarray(i, "<u4").tobytes(), c.model.decode(i) if i else "") for k, t, *_ in rows)
     assert sorted((-1 if r[0] is None else r[0], r[1], bytes(r[2]), r[3]) for r in got.collect()) == want
 
@@ -102,13 +102,14 @@ def plain_buckets(words, run=2):
     return [zlib.crc32(" ".join(words[i : i + k]).encode()) % 10000 for k in range(1, run + 1) for i in range(len(words) - k + 1)]
 
 
-def test_chunks_own_every_run_once():
-    rng = random.Random(6)
+def test_chunks_own_every_run_once(monkeypatch):
+    rng, known = random.Random(6), resampling.Words()
+    monkeypatch.setattr(resampling, "WORDS", 30)
     for text in random_texts(1500, 7, list("aB9 .,'é中\x7f\n") + ["word", "THE", "  "], 50):
         run, chunk = rng.randint(1, 4), rng.randint(1, 20)
         parts = list(resampling.cut_text(text, chunk, run))
         assert "".join(t[:own] for t, own in parts) == text
-        made = [resampling._features(t, own, run, 10000) for t, own in parts]
+        made = [resampling.features(known, t, own, run, 10000) for t, own in parts]
         assert sum(n for n, _ in made) == len(plain_words(text))
         assert sorted(b for _, found in made for b in found.tolist()) == sorted(plain_buckets(plain_words(text), run))
 
