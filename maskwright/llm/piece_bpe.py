@@ -15,7 +15,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,32 +165,29 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     return rows.mapInArrow(_encoded(model_path, distinct), schema).withColumnRenamed("id", id_col)
 
 
+def decimal_sha256(ids: bytes) -> str:
+    """Lowercase hex digest of the ids as decimal numbers joined by commas."""
+    made, numbers = hashlib.sha256(), np.frombuffer(ids, "<u4")
+    for a in range(0, len(numbers), IDS):
+        made.update((("," if a else "") + ",".join(map(str, numbers[a : a + IDS].tolist()))).encode())
+    return made.hexdigest()
+
+
 def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            texts = pa.array([c.decode(x.as_py() or b"") for x in batch.column("ids")], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
+            ids = [x.as_py() or b"" for x in batch.column("ids")]
+            made = [pa.array(map(c.decode, ids), pa.string()), pa.array(map(decimal_sha256, ids), pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "decoded", "ids_sha256"])
 
     return run
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``encode_documents``: ``<id_col>, n_tokens, ids, decoded`` (the library's text of the ids; null ids have the empty one)."""
+    """One row per row of ``encode_documents``: ``<id_col>, n_tokens, ids, decoded, ids_sha256`` (the library's text of the ids, and the digest of
+    the ids as decimal numbers joined by commas; null ids have the empty text)."""
     lean(encoded)
     rows = encoded.select(F.col(f"`{id_col}`").alias("id"), "n_tokens", "ids")
-    return rows.mapInArrow(_decoded(model_path), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])).withColumnRenamed("id", id_col)
-
-
-@F.pandas_udf(T.StringType())
-def decimal_sha256(ids: pd.Series) -> pd.Series:
-    """Lowercase hex digest of the ids as decimal numbers joined by commas."""
-
-    def digest(one: bytes | None) -> str:
-        made = hashlib.sha256()
-        numbers = np.frombuffer(one or b"", "<u4")
-        for a in range(0, len(numbers), IDS):
-            made.update((("," if a else "") + ",".join(map(str, numbers[a : a + IDS].tolist()))).encode())
-        return made.hexdigest()
-
-    return pd.Series([digest(x) for x in ids], dtype=object)
+    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType()), T.StructField("ids_sha256", T.StringType())])
+    return rows.mapInArrow(_decoded(model_path), schema).withColumnRenamed("id", id_col)

@@ -70,7 +70,7 @@ def op10_substring_dedup(spark, sf_dir):
 def op11_sentencepiece(spark, sf_dir):
     model = _public("piece_bpe_32k.model")
     decoded = piece_bpe.decode_documents(piece_bpe.encode_documents(table(spark, sf_dir, "documents"), model), model)
-    return decoded.select("doc_id", "n_tokens", piece_bpe.decimal_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op12_resampling(spark, sf_dir):
