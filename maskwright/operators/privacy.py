@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
@@ -12,6 +12,8 @@ from .schema import QuasiIdentifierSpec
 
 #: A configuration's columns beside its levels.
 MODEL = ("config_id", "k", "lim", "l", "t")
+#: Declared sensitive domains of at most so many values are counted in columns.
+VALUES = 64
 
 
 def generalized(rows: DataFrame, hier: DataFrame, configs: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
@@ -43,6 +45,8 @@ def classes(rows: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
     A class fails if it breaks its configuration's k-anonymity, distinct l-diversity or equal-distance t-closeness (against
     the whole table, as it was before suppression).
     """
+    if spec.values is not None:
+        return _classes_of_values(rows, spec)
     positive = F.col(spec.sensitive) == spec.positive
     # the model and levels are the configuration's; a binary sensitive column: two values occur if both counts are positive
     by = [*MODEL, *[f"lv_{q}" for q in spec.names]]
@@ -56,6 +60,57 @@ def classes(rows: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
     return got.withColumn("fails", bad).drop("whole_n", "whole_pos")
 
 
+def frequencies(rows: DataFrame, by: list[str], spec: QuasiIdentifierSpec, values: tuple[str, ...] | None = None) -> DataFrame:
+    """``<by>, n, freq``: classes with the numbers of their sensitive values, ``freq`` an array of ``value, n`` by value without zeros.
+
+    Values of a declared domain are added up side by side in one aggregation with map-side combine; any other column is counted by class
+    and value first, so a class's list is as long as it has values.
+    """
+    if values is not None and len(values) <= VALUES:
+        sums = [F.sum(F.when(F.col(spec.sensitive) == v, F.col("w")).otherwise(0)).alias(f"__c{k}") for k, v in enumerate(sorted(values))]
+        got = rows.groupBy(*by).agg(F.sum("w").alias("n"), *sums)
+        listed = F.array(*[F.struct(F.lit(v).alias("value"), F.col(f"__c{k}").alias("n")) for k, v in enumerate(sorted(values))])
+        return got.select(*by, "n", F.filter(listed, lambda x: x["n"] > 0).alias("freq"))
+    each = rows.groupBy(*by, F.col(spec.sensitive).alias("value")).agg(F.sum("w").alias("m"))
+    return each.groupBy(*by).agg(F.sum("m").alias("n"), F.array_sort(F.collect_list(F.struct("value", F.col("m").alias("n")))).alias("freq"))
+
+
+def whole_frequencies(found: DataFrame, by: tuple[str, ...] = ("config_id",)) -> DataFrame:
+    """``<by>, whole_n, whole``: of all rows of the given classes together, ``whole`` a map from value to number."""
+    each = found.select(*by, F.explode("freq").alias("x")).groupBy(*by, "x.value").agg(F.sum("x.n").alias("n"))
+    return each.groupBy(*by).agg(F.sum("n").alias("whole_n"), F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("whole"))
+
+
+def doubled_distance(freq: Column, n: Column, whole: Column, whole_n: Column) -> Column:
+    """Twice n times whole_n times the equal-distance (variational) distance of a class to the whole, a whole number.
+
+    Values that the class lacks add their whole number each; only those that it has are looked at.
+    """
+    zero, n, whole_n = F.lit(0).cast("decimal(38,0)"), n.cast("decimal(19,0)"), whole_n.cast("decimal(19,0)")
+
+    def add(total: Column, x: Column) -> Column:
+        there = F.element_at(whole, x["value"]).cast("decimal(19,0)")
+        return (total + F.abs(x["n"].cast("decimal(19,0)") * whole_n - there * n) - there * n).cast("decimal(38,0)")
+
+    return F.aggregate(freq, zero, add) + n * whole_n
+
+
+def with_distance(found: DataFrame, whole: DataFrame, by: tuple[str, ...] = ("config_id",)) -> DataFrame:
+    """Classes with ``distance``, their equal-distance to ``whole`` (:func:`whole_frequencies`)."""
+    joined = found.join(F.broadcast(whole), [*by])  # one row for each configuration
+    twice = doubled_distance(F.col("freq"), F.col("n"), F.col("whole"), F.col("whole_n"))
+    return joined.withColumn("distance", ratio(twice, 2 * F.col("n").cast("decimal(19,0)") * F.col("whole_n").cast("decimal(19,0)"))).drop("whole", "whole_n")
+
+
+def _classes_of_values(rows: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
+    """:func:`classes` for a sensitive column of any number of values: ``freq`` and ``distance`` stand in the place of ``n_pos``."""
+    by = [*MODEL, *[f"lv_{q}" for q in spec.names], *labels(spec)]
+    got = frequencies(rows, by, spec, spec.values)
+    got = with_distance(got, whole_frequencies(got)).withColumn("n_sens", F.size("freq").cast("long"))
+    bad = (F.col("n") < F.col("k")) | F.coalesce(F.col("n_sens") < F.col("l"), F.lit(False)) | F.coalesce(F.col("distance") > F.col("t") + 1e-9, F.lit(False))
+    return got.withColumn("fails", bad)
+
+
 def with_outliers(rows: DataFrame, found: DataFrame, spec: QuasiIdentifierSpec) -> DataFrame:
     """``rows`` of :func:`generalized` with ``class_n`` and ``is_outlier`` (their class fails).
 
@@ -114,6 +169,20 @@ def nearest_rank(found: DataFrame, percent: int) -> DataFrame:
     return reached.groupBy("config_id").agg(F.min("n").alias(f"p{percent}"))
 
 
+def gate_of_values(found: DataFrame) -> DataFrame:
+    """:func:`gate` for classes of a sensitive column of any number of values, against each configuration's own k, l and t."""
+    kept = retained(found)
+    base = found.groupBy("config_id", "k", "l", "t", "lim").agg(F.sum("n").alias("rows_in"), F.sum(F.when(F.col("fails"), F.col("n")).otherwise(0)).alias("suppressed"))
+    whole = whole_frequencies(found)
+    seen = with_distance(kept.drop("distance"), whole).groupBy("config_id").agg(F.min("n").alias("k_hat"), F.min("n_sens").alias("l_hat"), F.max("distance").alias("t_hat"))
+    budget = F.floor(F.col("rows_in") * F.round(F.col("lim") * 1000000).cast("long") / 1000000).cast("long")
+    return base.join(seen, "config_id", "left").select(
+        "config_id", "rows_in", "suppressed", (F.col("suppressed") <= budget).alias("within_budget"), "k_hat", "l_hat", F.round("t_hat", 12).alias("t_hat"),
+        (F.coalesce("k_hat", F.lit(0)) >= F.col("k")).alias("k_ok"), (F.coalesce("l_hat", F.lit(0)) >= F.coalesce("l", F.lit(1))).alias("l_ok"),
+        (F.coalesce("t_hat", F.lit(1.0)) <= F.coalesce("t", F.lit(1.0)) + 1e-9).alias("t_ok"),
+    )
+
+
 def gate(found: DataFrame, l: int, t: float) -> DataFrame:  # noqa: E741
     """One row per configuration: counts, budget, k, l and t of the release, and which hold.
 

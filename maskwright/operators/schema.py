@@ -24,15 +24,20 @@ def require(condition: bool, code: str, message: str) -> None:
 
 @dataclass(frozen=True)
 class QuasiIdentifierSpec:
-    """Quasi-identifiers in their order, the heights of their hierarchies, sensitive column, row id."""
+    """Quasi-identifiers in their order, the heights of their hierarchies, sensitive column, row id.
+
+    ``values`` is the sensitive column's declared domain; without it the column is binary (``positive`` or not).
+    """
 
     names: tuple[str, ...]
     heights: dict[str, int]
     sensitive: str
     positive: str
     row_id: str
+    values: tuple[str, ...] | None = None
 
     def __post_init__(self):
+        require(self.values is None or len(set(self.values)) == len(self.values) > 1, "QI_VALUES", "a declared sensitive domain has distinct values")
         require(len(set(self.names)) == len(self.names) > 0, "QI_UNIQUE", "quasi-identifiers must be distinct")
         require(set(self.heights) == set(self.names), "QI_HEIGHTS", "every quasi-identifier needs a height")
         require(self.sensitive not in self.names and self.row_id not in self.names, "QI_ROLES", "a column has one role")

@@ -14,7 +14,7 @@ from ..operators import bootstrap, disclosure, export, hierarchy, lattice, priva
 from ..sources import fixture
 from ..sources.writers import shared
 from ..streaming import monitor
-from .oracle import BOOT, KEYS, PRE, QI, G, big, block, div, label_case
+from .oracle import BOOT, KEYS, MG, MQ, PRE, QI, VALUES, G, big, block, div, label_case
 from .study import CLUSTER_KEYS, NUM, SPEC, Study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,6 +308,37 @@ def lattice_optimum_t(s):
     return _optimum(s, limit=LIMIT, t=T)
 
 
+_VALUE_COUNTS = ", ".join(f"count(*) FILTER (WHERE priority = '{v}') AS c_{i}" for i, v in enumerate(fixture.PRIORITIES))
+_VALUE_LEVELS = " CROSS JOIN ".join(f"(SELECT unnest(range(0, {fixture.MANY.heights[q] + 1})) AS l_{q})" for q in MQ)
+_VALUE_NODE = " || '.' || ".join(f"l_{q}" for q in MQ)
+_MANY_L, _MANY_T = 4, 0.3
+
+
+@query(f""", vsig AS MATERIALIZED (SELECT {', '.join(MQ)}, region, count(*) AS n, {_VALUE_COUNTS} FROM md GROUP BY ALL
+), vlc AS (SELECT node, {MG}, {big('sum(n)')} AS n, {', '.join(f'{big(f"sum(c_{i})")} AS c_{i}' for i in range(5))} FROM (SELECT {_VALUE_NODE} AS node, n, {', '.join(f'c_{i}' for i in range(5))}, {', '.join(f'{label_case(q, f"l_{q}")} AS g_{q}' for q in MQ)} FROM vsig CROSS JOIN {_VALUE_LEVELS}) GROUP BY node, {MG}
+), vtot AS (SELECT {big('sum(n)')} AS total, {', '.join(f'{big(f"sum(c_{i})")} AS w_{i}' for i in range(5))} FROM vsig
+), vll AS (
+  SELECT vlc.*, n < {K} OR {' + '.join(f'(c_{i} > 0)::INT' for i in range(5))} < {_MANY_L} OR ({' + '.join(f'abs(c_{i}::HUGEINT * total - w_{i}::HUGEINT * n)::DOUBLE' for i in range(5))}) > 2 * ({_MANY_T} + 1e-9) * n::DOUBLE * total AS bad, {', '.join(f'CAST(c_{q}.num AS DOUBLE) / c_{q}.den AS loss_{q}' for q in MQ)}
+  FROM vlc CROSS JOIN vtot {' '.join(f"JOIN cell c_{q} ON c_{q}.attr = '{q}' AND c_{q}.level = CAST(split_part(node, '.', {i + 1}) AS INT) AND c_{q}.label = g_{q}" for i, q in enumerate(MQ))}
+), vnl AS (SELECT node, {big('coalesce(sum(n) FILTER (WHERE bad), 0)')} AS suppressed, sum(n) AS total, ({' + '.join(f"sum(CASE WHEN bad THEN n ELSE n * loss_{q} END)" for q in MQ)}) / {len(MQ)} / sum(n) AS loss FROM vll GROUP BY node)
+SELECT node, suppressed, round(loss, 9) AS loss FROM vnl WHERE suppressed <= floor(total * round({LIMIT} * 1000000) / 1000000) ORDER BY round(loss, 12), {' + '.join(f"CAST(split_part(node, '.', {i + 1}) AS INT)" for i in range(len(MQ)))}, node LIMIT 1""")
+def lattice_optimum_values(s):
+    """The search under k, l and t with a sensitive column of five values."""
+    best = lattice.optimum(lattice.signature(s.md, s.hier, fixture.MANY), s.hier, fixture.MANY, K, LIMIT, l=_MANY_L, t=_MANY_T)
+    rows = [] if best is None else [(lattice.node_name(best.node), best.suppressed, round(best.loss, 9))]
+    return s.spark.createDataFrame(rows, "node string, suppressed long, loss double")
+
+
+@query()
+def lattice_rollup(s):
+    """The search over the 6,480 nodes of eight quasi-identifiers, with what rolling classes up has spared."""
+    rows = fixture.wide_microdata(s.md, s.table("orders"))
+    hier = fixture.hierarchies(s.spark, s.table("nation"), s.table("region"), wide=True)
+    best = lattice.optimum(lattice.signature(rows, hier, fixture.WIDE), hier, fixture.WIDE, K, LIMIT)
+    found = [] if best is None else [(lattice.node_name(best.node), best.suppressed, round(best.loss, 9), best.evaluated, best.rows_read, best.rows_from_leaves, best.cuboids)]
+    return s.spark.createDataFrame(found, "node string, suppressed long, loss double, evaluated long, rows_read long, rows_from_leaves long, cuboids long")
+
+
 @query(f"SELECT config_id, round(avg(loss), 9) AS loss FROM (SELECT config_id, attr, {div('sum(CASE WHEN is_outlier THEN den ELSE cell.num END)', 'sum(den)')} AS loss FROM (SELECT config_id, is_outlier, unnest([{', '.join(repr(q) for q in QI)}]) AS attr, unnest([{', '.join(f'lv_{q}' for q in QI)}]) AS level, unnest([{', '.join(f'g_{q}' for q in QI)}]) AS label FROM rel) JOIN cell USING (attr, level, label) GROUP BY 1, 2) GROUP BY 1")
 def info_loss(s):
     return structure.info_loss(s.all_classes, s.cells, SPEC)
@@ -425,6 +456,35 @@ def release_multiset_equal(s):
     return validation.multiset_difference(a, hierarchy.generalize(s.md, s.hier, VECTOR, SPEC).select(*QI, "sens"))
 
 
+@query(VALUES + f"SELECT config_id, {MG}, priority AS value, m AS n FROM mcount")
+def sensitive_frequencies(s):
+    """The frequency vector of every class of a sensitive column of five values."""
+    return s.many_classes.select("config_id", *privacy.labels(fixture.MANY), F.explode("freq").alias("x")).select("config_id", *privacy.labels(fixture.MANY), "x.value", "x.n")
+
+
+@query(VALUES + "SELECT config_id, min(n_sens) AS l_hat FROM mclass WHERE NOT fails GROUP BY 1")
+def l_diversity_values(s):
+    return privacy.retained(s.many_classes).groupBy("config_id").agg(F.min("n_sens").alias("l_hat"))
+
+
+@query(VALUES + "SELECT config_id, round(max(distance), 12) AS t_hat FROM mclass WHERE NOT fails GROUP BY 1")
+def t_closeness_values(s):
+    return privacy.retained(s.many_classes).groupBy("config_id").agg(F.round(F.max("distance"), 12).alias("t_hat"))
+
+
+@query(VALUES + f"""SELECT config_id, {big('sum(n)')} AS rows_in, {big('coalesce(sum(n) FILTER (WHERE fails), 0)')} AS suppressed, coalesce(sum(n) FILTER (WHERE fails), 0) <= floor(sum(n) * round(any_value(lim) * 1000000) / 1000000) AS within_budget,
+  min(n) FILTER (WHERE NOT fails) AS k_hat, min(n_sens) FILTER (WHERE NOT fails) AS l_hat, round(max(distance) FILTER (WHERE NOT fails), 12) AS t_hat,
+  coalesce(min(n) FILTER (WHERE NOT fails), 0) >= any_value(k) AS k_ok, coalesce(min(n_sens) FILTER (WHERE NOT fails), 0) >= coalesce(any_value(l), 1) AS l_ok,
+  coalesce(max(distance) FILTER (WHERE NOT fails), 1) <= coalesce(any_value(t), 1) + 1e-9 AS t_ok FROM mclass GROUP BY 1""")
+def privacy_gate_values(s):
+    return privacy.gate_of_values(s.many_classes)
+
+
+@query(VALUES + f"SELECT config_id, priority, count(*) AS source, count(*) FILTER (WHERE NOT fails) AS retained, count(*) FILTER (WHERE fails) AS suppressed FROM mgen JOIN mclass USING (config_id, {MG}) GROUP BY 1, 2")
+def class_counts_values(s):
+    return structure.class_counts(privacy.with_outliers(s.many_rows, s.many_classes, fixture.MANY), fixture.MANY)
+
+
 # ---- structure --------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.fixture import CONFIGS, DRAWS, PAIRS, PRIORITIES, REPLICATES, SCENARIOS, SEGMENTS, SPEC, STATUSES, TARGETS, YEARS
+from ..sources.fixture import CONFIGS, DRAWS, MANY, MANY_CONFIGS, PAIRS, PRIORITIES, REPLICATES, SCENARIOS, SEGMENTS, SPEC, STATUSES, TARGETS, YEARS
 
 QI = SPEC.names
 G = ", ".join(f"g_{q}" for q in QI)
@@ -217,3 +217,19 @@ BOOT = f""", vec AS (
     SELECT *, coalesce(sum(neg) OVER (PARTITION BY config_id, replicate ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below FROM btie) GROUP BY 1, 2
 )
 """
+
+MQ = MANY.names
+MG = ", ".join(f"g_{q}" for q in MQ)
+MANY_ROWS = ", ".join(f"('{c.config_id}', {c.k}, CAST({c.limit!r} AS DOUBLE), CAST({'NULL' if c.l is None else c.l} AS INT), CAST({'NULL' if c.t is None else c.t} AS DOUBLE), {', '.join(str(c.vector[q]) for q in MQ)})" for c in MANY_CONFIGS)
+#: Releases with the priority as sensitive column: counts by class and value (``mcount``), classes with their distance (``mclass``).
+VALUES = f""", mcfg(config_id, k, lim, l, t, {', '.join(f'lv_{q}' for q in MQ)}) AS (VALUES {MANY_ROWS}
+), mgen AS (SELECT config_id, k, lim, l, t, priority, {', '.join(f'{label_case(q, f"lv_{q}")} AS g_{q}' for q in MQ)} FROM md CROSS JOIN mcfg
+), mval AS MATERIALIZED (SELECT priority, count(*) AS whole, (SELECT count(*) FROM md) AS total FROM md GROUP BY 1
+), mcount AS MATERIALIZED (SELECT config_id, {MG}, priority, count(*) AS m FROM mgen GROUP BY ALL
+), msize AS (SELECT config_id, k, lim, l, t, {MG}, count(*) AS n, count(DISTINCT priority) AS n_sens FROM mgen GROUP BY ALL
+), mclass AS MATERIALIZED (
+  SELECT *, n < k OR coalesce(n_sens < l, false) OR coalesce(distance > t + 1e-9, false) AS fails FROM (
+    SELECT config_id, k, lim, l, t, {MG}, n, n_sens, sum(abs(coalesce(m, 0)::HUGEINT * total - whole::HUGEINT * n))::DOUBLE / (2 * n::HUGEINT * any_value(total))::DOUBLE AS distance
+    FROM msize CROSS JOIN mval LEFT JOIN mcount USING (config_id, {MG}, priority) GROUP BY config_id, k, lim, l, t, {MG}, n, n_sens)
+)
+"""

@@ -58,6 +58,16 @@ class Study:
         """Equivalence classes of what is published."""
         return privacy.retained(self.all_classes)
 
+    @cached_property
+    def many_rows(self) -> DataFrame:
+        """Value combinations with the priority as sensitive column, recoded for each of its configurations."""
+        configs = schema.configurations(self.spark, fixture.MANY, schema.catalogue(fixture.MANY_CONFIGS, fixture.MANY))
+        return privacy.generalized(shared(privacy.signature(self.md, fixture.MANY)), self.hier, configs, fixture.MANY)
+
+    @cached_property
+    def many_classes(self) -> DataFrame:
+        return shared(privacy.classes(self.many_rows, fixture.MANY))
+
     @cached_property
     def released(self) -> DataFrame:
         """Value combinations, recoded, with their number ``w`` and whether they are suppressed."""

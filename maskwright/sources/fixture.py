@@ -14,12 +14,27 @@ SPEC = QuasiIdentifierSpec(
     sensitive="sens", positive=">T", row_id="rid",
 )
 
+#: Eight quasi-identifiers: 5 * 4 * 3 * 3 * 3 * 3 * 2 * 2 = 6,480 nodes.
+WIDE = QuasiIdentifierSpec(
+    names=("num", "month", "nation", "priority", "yr", "band", "segment", "status"),
+    heights={"num": 4, "month": 3, "nation": 2, "priority": 2, "yr": 2, "band": 2, "segment": 1, "status": 1},
+    sensitive="sens", positive=">T", row_id="rid",
+)
+
 #: Declared domains; leaves come from here, not from the data.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 YEARS = tuple(range(1995, 2002))
 STATUSES = ("F", "O", "P")
 
+#: The order's priority as a sensitive column of five values, which is no quasi-identifier then.
+MANY = QuasiIdentifierSpec(
+    names=("num", "nation", "segment", "yr", "status"),
+    heights={"num": 4, "nation": 2, "segment": 1, "yr": 2, "status": 1},
+    sensitive="priority", positive=PRIORITIES[0], row_id="rid", values=PRIORITIES,
+)
+
+
 def _vector(*levels: int) -> dict[str, int]:
     return dict(zip(SPEC.names, levels, strict=True))
 
@@ -61,6 +76,17 @@ SCENARIOS = [
 TARGETS, DRAWS, REPLICATES = 200, 5, 2000
 
 
+#: config, levels of (num, nation, segment, yr, status), privacy models against the five values, suppression limit.
+MANY_CONFIGS = [
+    AnonConfig("CFG00", dict(zip(MANY.names, (0, 0, 0, 0, 0), strict=True))),
+    AnonConfig("CFG01", dict(zip(MANY.names, (3, 1, 1, 2, 1), strict=True)), k=5, l=5),
+    AnonConfig("CFG02", dict(zip(MANY.names, (2, 1, 1, 1, 1), strict=True)), k=5, l=4, limit=0.2),
+    AnonConfig("CFG03", dict(zip(MANY.names, (3, 2, 1, 1, 1), strict=True)), k=5, t=0.15, limit=0.5),
+    AnonConfig("CFG04", dict(zip(MANY.names, (1, 2, 1, 2, 0), strict=True)), k=10, l=3, t=0.25, limit=0.5),
+    AnonConfig("CFG05", dict(zip(MANY.names, (4, 2, 1, 2, 1), strict=True)), k=5, l=5, t=0.1),
+]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,7 +104,13 @@ def microdata(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> Data
     )
 
 
-def hierarchies(spark: SparkSession, nation: DataFrame, region: DataFrame) -> DataFrame:
+def wide_microdata(md: DataFrame, orders: DataFrame) -> DataFrame:
+    """The microdata with the order's month (1 to 12) and price band (0 to 19) as two more quasi-identifiers."""
+    more = orders.select(F.col("o_orderkey").alias("rid"), F.month("o_orderdate").alias("month"), F.least(F.floor(F.col("o_totalprice") / 25000.0), F.lit(19)).cast("int").alias("band"))
+    return md.join(more, "rid")
+
+
+def hierarchies(spark: SparkSession, nation: DataFrame, region: DataFrame, wide: bool = False) -> DataFrame:
     """``attr, leaf, level, label`` for all quasi-identifiers, a local relation; leaves are strings."""
     # 25 nations at every scale; all other leaves are declared
     names = {r["r_regionkey"]: r["r_name"] for r in region.select("r_regionkey", "r_name").collect()}
@@ -96,6 +128,9 @@ def hierarchies(spark: SparkSession, nation: DataFrame, region: DataFrame) -> Da
         "yr": [(str(v), "early" if v <= 1998 else "late") for v in YEARS],
         "status": [(v,) for v in STATUSES],
     }
+    if wide:
+        paths["month"] = [(str(v), f"q{(v + 2) // 3}", f"h{(v + 5) // 6}") for v in range(1, 13)]
+        paths["band"] = [(str(v), f"b{v // 5}") for v in range(20)]
     long = [(attr, path[0], level, label) for attr, each in paths.items() for path in each for level, label in enumerate((*path, "*"))]
     kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
     return spark.createDataFrame(pa.table({name: pa.array(c, kind) for name, c, kind in zip(("attr", "leaf", "level", "label"), zip(*long, strict=True), kinds, strict=True)}))

@@ -47,6 +47,73 @@ def test_lattice_suppresses_the_rare_row_or_generalises_all(spark):
     assert close["suppressed"] == 1  # the rare class has one sensitive value
 
 
+DENSE = QuasiIdentifierSpec(tuple("abcdefgh"), dict(zip("abcdefgh", (4, 3, 2, 2, 2, 2, 1, 1), strict=True)), "s", "v0", "rid", values=("v0", "v1", "v2"))
+
+
+def dense(spark, rows=4000):
+    """Eight attributes of few leaves, 6,480 nodes; a leaf's label at level v is its number divided by 2 ** v."""
+    leaves = {q: 2 ** (h + (h > 1)) if h < 4 else 12 for q, h in DENSE.heights.items()}
+    paths = [(q, str(x), v, "*" if v == DENSE.heights[q] else f"{v}:{x >> v}") for q, n in leaves.items() for x in range(n) for v in range(DENSE.heights[q] + 1)]
+    place = F.xxhash64("id")
+    cells = [F.pmod(F.shiftright(place, 7 * k), F.lit(min(n, 3 if k < 4 else 2))).cast("string").alias(q) for k, (q, n) in enumerate(leaves.items())]
+    table = spark.range(rows).select(F.col("id").alias("rid"), *cells, F.concat(F.lit("v"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)).cast("string")).alias("s"))
+    return table, spark.createDataFrame(paths, "attr string, leaf string, level int, label string")
+
+
+def test_rolling_up_spares_rows_and_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "JOB_ROWS", 5000)
+    rows, hier = dense(spark)
+    assert len(DENSE.lattice()) == 6480
+    sig = lattice.signature(rows, hier, DENSE)
+    up = lattice.optimum(sig, hier, DENSE, 300, 0.0, l=3, t=0.1)
+    down = lattice.optimum(sig, hier, DENSE, 300, 0.0, l=3, t=0.1, roll_up=False)
+    assert (up.node, up.loss, up.suppressed) == (down.node, down.loss, down.suppressed)
+    assert down.cuboids == 0 and down.rows_read == down.rows_from_leaves
+    assert up.cuboids >= 1 and up.rows_read < up.rows_from_leaves / 2
+
+
+def test_rolled_up_classes_are_those_of_the_leaves(spark):
+    rows, hier = dense(spark, 500)
+    numbered, codes = lattice.coded(lattice.signature(rows, hier, DENSE), hier, DENSE)
+    low, high = (1, 1, 0, 1, 0, 1, 0, 1), (3, 1, 2, 1, 1, 2, 0, 1)
+    direct = lattice.coded_classes(numbered, [high], codes, DENSE)
+    again = lattice.coded_classes(lattice.rolled(numbered, low, codes, DENSE), [high], codes, DENSE)
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, again.collect()))
+    assert lattice.node_number(high, DENSE) == DENSE.lattice().index(high)
+    labelled = lattice.classes(lattice.signature(rows, hier, DENSE), [high], DENSE)
+    assert sorted(r["n"] for r in direct.collect()) == sorted(r["n"] for r in labelled.collect()) and {r["node"] for r in labelled.collect()} == {"3.1.2.1.1.2.0.1"}
+
+
+def test_class_keys_of_many_leaves_take_more_columns(spark):
+    wide = QuasiIdentifierSpec(tuple(f"q{k}" for k in range(8)), {f"q{k}": 1 for k in range(8)}, "s", "1", "rid")
+    hier = spark.range(300).select(F.explode(F.array(*map(F.lit, wide.names))).alias("attr"), F.col("id").cast("string").alias("leaf"), F.explode(F.array(F.lit(0), F.lit(1))).alias("level")).withColumn("label", F.when(F.col("level") == 0, F.col("leaf")).otherwise("*"))
+    rows = spark.range(600).select(F.col("id").alias("rid"), *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(300)).cast("string").alias(q) for k, q in enumerate(wide.names)], F.lit("1").alias("s"))
+    numbered, codes = lattice.coded(lattice.signature(rows, hier, wide), hier, wide)
+    assert codes.keys == 2
+    assert lattice.coded_classes(numbered, [tuple([0] * 8)], codes, wide).count() == 600
+
+
+def brute_distance(values, whole):
+    return sum(abs(values.count(v) / len(values) - whole.count(v) / len(whole)) for v in set(whole)) / 2
+
+
+@pytest.mark.parametrize("declared", [True, False])
+def test_sensitive_columns_of_many_values(spark, declared):
+    rng = __import__("random").Random(3)
+    rows = [(k, rng.choice("xyz"), rng.choice("aabbbcde")) for k in range(300)]
+    values = tuple(sorted({r[2] for r in rows}))
+    spec = QuasiIdentifierSpec(("q",), {"q": 1}, "s", "a", "rid", values=values if declared else tuple(f"v{k}" for k in range(100)))
+    hier = spark.createDataFrame([("q", leaf, v, label) for leaf in "xyz" for v, label in enumerate((leaf, "*"))], "attr string, leaf string, level int, label string")
+    configs = schema.configurations(spark, spec, [AnonConfig("T", {"q": 0}, t=0.05), AnonConfig("L", {"q": 0}, l=5), AnonConfig("ALL", {"q": 1}, k=2, l=5, t=0.01)])
+    found = privacy.classes(privacy.generalized(privacy.signature(spark.createDataFrame(rows, "rid long, q string, s string"), spec), hier, configs, spec), spec)
+    for r in found.collect():
+        mine = [s for _, q, s in rows if r["g_q"] in (q, "*")]
+        distance = brute_distance(mine, [s for *_, s in rows])
+        assert {x["value"]: x["n"] for x in r["freq"]} == {v: mine.count(v) for v in set(mine)} and r["n_sens"] == len(set(mine))
+        assert r["distance"] == pytest.approx(distance, abs=1e-12)
+        assert r["fails"] == ((r["config_id"] == "T" and distance > 0.05) or (r["config_id"] == "L" and len(set(mine)) < 5))
+
+
 def test_anchors_of_the_fixture(study):
     assert study.md.count() == 1500 and study.md.filter("sens = '>T'").count() == 380
     found = {r["config_id"]: r for r in catalog.QUERIES["privacy_summary"](study.spark, SF).collect()}
