@@ -11,6 +11,7 @@ beside the votes, and accepts or rejects each candidate. Base spans stay whateve
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import string
@@ -45,7 +46,7 @@ _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? (?:[A-ZÄÖÜÉÈÑ][\w'’-]{1,30})(?: [A-ZÄÖÜÉÈÑ][\w'’-]{1,30})?")
 
 #: A long unbroken run of letters and digits.
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_.@-])[A-Za-z0-9+/_-]{16,512}+={0,2}(?![A-Za-z0-9+/=_@-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_.@-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/=_@-])")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Words before a span that speak for each kind.
 CUES = {
@@ -202,14 +203,25 @@ def _look(text: str, kind: str, start: int, end: int) -> tuple[str, str]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str, bool]]:
     """``(kind, start, end, votes, features, is_base)``; added candidates overlap no base span and no earlier one."""
     found = [(k, a, b, *_look(text, KINDS[k], a, b), True) for k, a, b in base]
-    taken = [(a, b) for _, a, b in base]
+    # what is taken, as stretches that do not touch each other's inside, in order
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
 
     def offer(kind: str, pattern: re.Pattern, fits=None) -> None:
-        for m in pattern.finditer(text):
+        added = []
+        for m in pattern.finditer(text):  # matches of one pattern do not overlap
             a, b = m.span()
-            if (fits is None or fits(m[0])) and not any(a < y and x < b for x, y in taken):
+            at = bisect.bisect_right(ends, a)  # the first stretch that ends behind the span's start
+            if (at == len(starts) or starts[at] >= b) and (fits is None or fits(m[0])):
                 found.append((KINDS.index(kind), a, b, *_look(text, kind, a, b), False))
-                taken.append((a, b))
+                added.append((a, b))
+        if added:
+            starts[:], ends[:] = map(list, zip(*sorted([*zip(starts, ends, strict=True), *added]), strict=True))
 
     if " at" in text or "(at" in text or "[at" in text:
         offer("email", _SPELT)

@@ -200,6 +200,38 @@ def test_supervision_accepts_secrets_and_rejects_numbers_without_a_checksum(spar
     assert secrets > 5 and numbers > 5
 
 
+def test_candidates_overlap_nothing_that_is_taken():
+    rng = random.Random(12)
+    parts = ["555-123-4567", "123-45-6789", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "1.2.3.4", "+49 30 1234567", "a@b.co", "joe at mail dot com", "Dr. Anna Smith", "k" * 9 + "1" * 600, "x", " ", "-", "1"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 12)))
+        base = pii.base_spans(text)
+        added = [c[1:3] for c in pii.candidates(text, base)[len(base) :]]
+        taken = [(a, b) for _, a, b in base]
+        for a, b in added:
+            assert not any(a < y and x < b for x, y in taken), text
+            taken.append((a, b))
+
+
+def test_long_texts_dense_in_spans_and_long_secrets():
+    import time
+
+    begun = time.perf_counter()
+    text = "555-123-4567 and 123-45-6789 or 192.168.1.300 " * 20_000
+    assert len(pii.candidates(text, pii.base_spans(text))) >= 40_000 and time.perf_counter() - begun < 20
+    secret = "a1" * 5000
+    assert [(pii.KINDS[c[0]], c[2] - c[1]) for c in pii.candidates(f"token {secret} end", [])] == [("secret", 10_000)]
+
+
+def test_op9_counts_by_kind(spark, tmp_path):
+    from maskwright.llm import queries
+
+    text = "a@b.co c@d.org x 1.2.3.4 1.2.3.5 +49 30 1234567 and e@f.de"
+    spark.createDataFrame([(1, text), (2, None), (3, "4111 1111 1111 1111")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in queries.op9_pii(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 2, 0, 1), 2: (0, 0, 0, 0), 3: (0, 0, 1, 0)}
+
+
 def test_pii_rows(spark):
     said = "Call (212) 555-0199 or write to a.b@mail.example.com. Dr. Maria Gomez, 10.0.0.1"
     rows = [(1, said, 5), (1, said, 5), (2, None, 0), (3, "", 0), (None, "nothing here", 12)]
