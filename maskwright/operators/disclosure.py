@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.prng import keyed_hash, uniform
+from ..functions.exact import exact_sums
 from ..functions.scalars import ratio
+from ..sources.writers import shared
 from .schema import QuasiIdentifierSpec, Scenario
 
 #: Scores this close to the best win with it.
@@ -147,8 +149,10 @@ def tie_histogram(done: DataFrame) -> DataFrame:
 
 
 def target_means(done: DataFrame) -> DataFrame:
-    """Mean success over a target's draws."""
-    return done.groupBy("scenario", "config_id", "target_pos").agg(F.avg("success").alias("mean_success"), F.max(F.col("retained").cast("int")).alias("kept"))
+    """Mean success over a target's draws: an exact sum, divided once."""
+    by = ["scenario", "config_id", "target_pos"]
+    counted = done.groupBy(*by).agg(F.count("success").alias("draws"), F.max(F.col("retained").cast("int")).alias("kept"))
+    return exact_sums(done, by, {"s": F.col("success")}).join(counted, by).select(*by, ratio(F.col("s"), F.col("draws")).alias("mean_success"), "kept")
 
 
 def risk_point(done: DataFrame, released_sizes: DataFrame) -> DataFrame:
@@ -156,10 +160,12 @@ def risk_point(done: DataFrame, released_sizes: DataFrame) -> DataFrame:
 
     ``released_sizes`` has ``config_id, n_c`` (retained rows).
     """
-    c = target_means(done).groupBy("scenario", "config_id").agg(F.count(F.lit(1)).alias("targets"), F.sum("kept").alias("targets_retained"), F.sum("mean_success").alias("s"))
+    means, by = shared(target_means(done)), ["scenario", "config_id"]
+    counted = means.groupBy(*by).agg(F.count(F.lit(1)).alias("targets"), F.sum("kept").alias("targets_retained"))
+    c = exact_sums(means, by, {"s": F.col("mean_success")}).join(counted, by)
     joined = c.join(F.broadcast(released_sizes), "config_id", "left")
     return joined.select(
-        "scenario", "config_id", "targets", "targets_retained", F.round(ratio(F.col("s"), F.col("targets")), 9).alias("r_all"), F.round(ratio(F.col("s"), F.col("targets_retained")), 9).alias("r_released"),
+        "scenario", "config_id", "targets", "targets_retained", ratio(F.col("s"), F.col("targets")).alias("r_all"), ratio(F.col("s"), F.col("targets_retained")).alias("r_released"),
         F.round(ratio(F.col("targets_retained"), F.col("targets") * F.col("n_c")), 12).alias("uniform_r_all"), F.round(ratio(F.lit(1), F.col("n_c")), 12).alias("uniform_r_released"),
     )
 

@@ -618,7 +618,7 @@ def success_coverage(s):
     return disclosure.coverage(s.done)
 
 
-_RISK = f"scenario, config_id, targets, targets_retained, round({div('s', 'targets')}, 9) AS r_all, round({div('s', 'targets_retained')}, 9) AS r_released, round({div('targets_retained', 'targets * n_c')}, 12) AS uniform_r_all, round({div('1', 'n_c')}, 12) AS uniform_r_released"
+_RISK = f"scenario, config_id, targets, targets_retained, {div('s', 'targets')} AS r_all, {div('s', 'targets_retained')} AS r_released, round({div('targets_retained', 'targets * n_c')}, 12) AS uniform_r_all, round({div('1', 'n_c')}, 12) AS uniform_r_released"
 
 
 @query(f"SELECT {_RISK} FROM risk WHERE scenario = 'BASE'")
@@ -636,7 +636,7 @@ def permuted_control(s):
     return s.control.groupBy("scenario", "config_id").agg(F.count(F.lit(1)).alias("attempts"), F.sum(F.col("hit").cast("long")).alias("true_in_best"), F.round(F.sum("success") / F.count(F.lit(1)), 9).alias("permuted_r_all"))
 
 
-@query(f"SELECT scenario, config_id, round({div('s', 'targets')}, 9) AS r_all, permuted_r_all, round({div('targets_retained', 'targets * n_c')}, 12) AS uniform_r_all FROM risk JOIN (SELECT scenario, config_id, round(sum(success) / count(*), 9) AS permuted_r_all FROM ctl GROUP BY 1, 2) USING (scenario, config_id)")
+@query(f"SELECT scenario, config_id, {div('s', 'targets')} AS r_all, permuted_r_all, round({div('targets_retained', 'targets * n_c')}, 12) AS uniform_r_all FROM risk JOIN (SELECT scenario, config_id, round(sum(success) / count(*), 9) AS permuted_r_all FROM ctl GROUP BY 1, 2) USING (scenario, config_id)")
 def risk_points_and_controls(s):
     control = s.control.groupBy("scenario", "config_id").agg(F.round(F.sum("success") / F.count(F.lit(1)), 9).alias("permuted_r_all"))
     return disclosure.risk_point(s.done, s.sizes).join(control, ["scenario", "config_id"]).select("scenario", "config_id", "r_all", "permuted_r_all", "uniform_r_all")
@@ -937,8 +937,8 @@ def export_na_render(s):
     return export.rendered(p.select("config_id", "n", "n_ret", F.nullif(F.col("n") - F.col("n_ret"), F.lit(0)).alias("suppressed"), F.col("suppressed_prevalence_status").alias("status")))
 
 
-@query(f"""SELECT config_id, r_all, delta FROM (SELECT r.config_id, round({div('s', 'targets')}, 9) AS r_all, round(b.auroc - a.auroc, 9) AS delta FROM risk r JOIN auc a USING (config_id) JOIN auc b ON b.config_id = 'CFG00' WHERE scenario = 'BASE' AND r.config_id <> 'CFG00') x
-WHERE NOT EXISTS (SELECT 1 FROM (SELECT r.config_id, round({div('s', 'targets')}, 9) AS r_all, round(b.auroc - a.auroc, 9) AS delta FROM risk r JOIN auc a USING (config_id) JOIN auc b ON b.config_id = 'CFG00' WHERE scenario = 'BASE' AND r.config_id <> 'CFG00') o WHERE o.r_all <= x.r_all AND o.delta <= x.delta AND (o.r_all < x.r_all OR o.delta < x.delta))""")
+@query(f"""SELECT config_id, r_all, delta FROM (SELECT r.config_id, {div('s', 'targets')} AS r_all, round(b.auroc - a.auroc, 9) AS delta FROM risk r JOIN auc a USING (config_id) JOIN auc b ON b.config_id = 'CFG00' WHERE scenario = 'BASE' AND r.config_id <> 'CFG00') x
+WHERE NOT EXISTS (SELECT 1 FROM (SELECT r.config_id, {div('s', 'targets')} AS r_all, round(b.auroc - a.auroc, 9) AS delta FROM risk r JOIN auc a USING (config_id) JOIN auc b ON b.config_id = 'CFG00' WHERE scenario = 'BASE' AND r.config_id <> 'CFG00') o WHERE o.r_all <= x.r_all AND o.delta <= x.delta AND (o.r_all < x.r_all OR o.delta < x.delta))""")
 def pareto_front(s):
     points = risk_point(s).select("config_id", "r_all").join(delta_auroc(s), "config_id")
     return structure.pareto_front(points, "config_id", "r_all", "delta")

@@ -26,6 +26,14 @@ def block(v: str, w: int) -> str:
     return f"(CAST({low} AS VARCHAR) || '-' || CAST({low} + {w - 1} AS VARCHAR))"
 
 
+def exact(x: str) -> str:
+    """A sum of doubles between 2 ** -22 and 1 (or 0), rounded once: whole numbers of 2 ** -75, of which the first 53 bits stay, half to even."""
+    n = f"sum(CAST({x} * 37778931862957161709568.0 AS HUGEINT))"
+    unit = f"CAST(pow(2, greatest(0, length(bin({n}::UHUGEINT)) - 53)) AS HUGEINT)"
+    up = f"CASE WHEN 2 * ({n} % {unit}) > {unit} OR (2 * ({n} % {unit}) = {unit} AND ({n} // {unit}) % 2 = 1) THEN 1 ELSE 0 END"
+    return f"(({n} // {unit} + {up})::DOUBLE * {unit}::DOUBLE / 37778931862957161709568.0::DOUBLE)"
+
+
 def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -130,9 +138,9 @@ PRE = f"""WITH md AS (
   SELECT *, CASE WHEN hit THEN 1.0 / CAST(tie_size AS DOUBLE) ELSE 0.0 END AS success FROM (
     SELECT scenario, config_id, target_pos, draw, tie_size, retained,
       coalesce(retained AND {' AND '.join(f"(k_{q} = '-' OR k_{q} = p_{q})" for q in QI if q != 'num')} AND list_contains(winning, p_num), false) AS hit FROM won JOIN pt USING (config_id, target_pos))
-), means AS (SELECT scenario, config_id, target_pos, avg(success) AS mean_success, max(CAST(retained AS INT)) AS kept FROM done GROUP BY 1, 2, 3
+), means AS (SELECT scenario, config_id, target_pos, {div(exact('success'), 'count(*)')} AS mean_success, max(CAST(retained AS INT)) AS kept FROM done GROUP BY 1, 2, 3
 ), risk AS MATERIALIZED (
-  SELECT scenario, config_id, count(*) AS targets, {big('sum(kept)')} AS targets_retained, sum(mean_success) AS s, any_value(n_c) AS n_c FROM means JOIN sizes USING (config_id) GROUP BY 1, 2
+  SELECT scenario, config_id, count(*) AS targets, {big('sum(kept)')} AS targets_retained, {exact('mean_success')} AS s, any_value(n_c) AS n_c FROM means JOIN sizes USING (config_id) GROUP BY 1, 2
 ), cl AS MATERIALIZED (
   SELECT num, segment, status, nation, count(*) AS n, dense_rank() OVER (ORDER BY min(target_pos)) AS cluster_id FROM tg GROUP BY 1, 2, 3, 4
 ), plan AS MATERIALIZED (
