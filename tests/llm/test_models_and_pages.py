@@ -328,7 +328,7 @@ def test_very_long_lists_of_siblings_take_little_memory():
     assert len(html_extract.Matcher().align(a, b)) > 20_000
     assert tracemalloc.get_traced_memory()[1] < 200 << 20
     deep = html_extract.parse("<div>" * 20_000 + "text")
-    assert html_extract.main_text(deep, html_extract.as_wrapper(html_extract.parse("<div>" * 15_000 + "text")), (0, frozenset())) == "text"
+    assert html_extract.main_text(deep, html_extract.as_wrapper(html_extract.parse("<div>" * 15_000 + "text")), (0, frozenset(), frozenset())) == "text"
 
 
 def test_wrappers_remove_what_a_host_repeats(spark):
@@ -364,6 +364,56 @@ def test_menus_notices_forms_and_comments_are_no_content():
     assert html_extract.main_text(sidebar) == ("long " * 200).strip()
 
 
+@pytest.mark.parametrize("label", ["share prices", "related-work", "tags", "notice"])
+def test_labels_only_weigh_where_the_wrapper_knows_better(spark, label):
+    def page(n):
+        return f"""<body><ul><li><a href=x>Home</a></ul><article><h1>Head {n}</h1><p>{"story " * (9 + n)}end</p><section class="{label}"><p>{"figures " * (8 + n)}{n}</p></section>
+        <div><p>Buy our paper now</p></div><section class="tags">All about trade</section><section class="related"><p><a href={n}>more of {n}</a></p></section><div class="ad">Advert {n}</div><div class="comments"><p>I agree {n}</p></div></article></body>"""
+
+    def want(n):
+        return f"Head {n}\n\n{'story ' * (9 + n)}end\n\n{'figures ' * (8 + n)}{n}"
+
+    rows = [(n, f"https://a.example/{n}", page(n)) for n in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: want(n) for n in range(8)}
+    # an article around that is mostly template and links is not taken whole
+    rows = [(n, f"https://b.example/{n}", f"<body><article><ul>{'<li><a href=x>One of our many pages</a></li>' * 40}</ul><div><h1>Head {n}</h1><p>{'story ' * (9 + n)}end</p></div><p><a href=y>about item {n}</a></p></article></body>") for n in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"Head {n}\n\n{'story ' * (9 + n)}end" for n in range(8)}
+
+
+def test_pools_of_two_and_three_pages_have_wrappers_and_no_length_decides(spark):
+    def page(n):
+        return f"<body><div><p>Read our paper every day</p></div><div><h1>Head {n}</h1><p>{'story ' * (20 + n)}end</p><p>Printed with care</p></div></body>"
+
+    for pages in (2, 3, 4, 5):
+        rows = [(n, f"https://a{n % 2}.example/{n}", page(n)) for n in range(pages)]
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {n: f"Head {n}\n\n{'story ' * (20 + n)}end" for n in range(pages)}, pages
+    for n in (1, 499, 500, 504, 5000):
+        assert len(html_extract.main_text(f"<body><div class='sidebar'><p>{'x' * n}</p></div></body>")) == n
+        assert html_extract.main_text(f"<body><article></article><aside><p>{'x' * n}</p></aside></body>") == ""
+
+
+def test_long_lists_of_many_kinds_take_bounded_time_and_memory():
+    import time
+    import tracemalloc
+
+    def kinds(seed):  # 5,000 structures, of 13 nodes at most
+        rng = random.Random(seed)
+        bits = list(range(5000))
+        rng.shuffle(bits)
+        return "".join("<div>" + "".join("<ul></ul>" if b >> k & 1 else "<h2></h2>" for k in range(13)) + "</div>" for b in bits)
+
+    a, b = (html_extract.parse(f"<body>{kinds(n)}<p>{n}</p></body>") for n in range(2))
+    start = time.time()
+    tracemalloc.start()
+    assert len(html_extract.Matcher().align(a, b)) > 5000
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    assert time.time() - start < 60
+
+
 def brute_top_k(rows, queries, k=10):
     from fractions import Fraction
 
