@@ -54,14 +54,17 @@ def entry(spark: SparkSession) -> DataFrame:
 # ---- scans and cleaning -------------------------------------------------------------------------
 
 
-@query("SELECT line_no, orderkey, linenumber, flag, status, quantity, label FROM raw")
+_FILED = "(SELECT * EXCLUDE (line_no), row_number() OVER (ORDER BY line_no, concat_ws(', ', orderkey, linenumber, flag, status, quantity, label)) AS line_no FROM raw)"
+
+
+@query(f"SELECT line_no, orderkey, linenumber, flag, status, quantity, label FROM {_FILED}")
 def src_scan(s):
-    return s.parsed.drop("rid")
+    return s.scanned.drop("rid")
 
 
-@query("SELECT 'lineitem:' || line_no AS rid, line_no FROM raw")
+@query(f"SELECT 'lineitem:' || line_no AS rid, line_no FROM {_FILED}")
 def src_rid_assign(s):
-    return s.parsed.select("rid", "line_no")
+    return s.scanned.select("rid", "line_no")
 
 
 @query("SELECT line_no, length(flag) > 0 AND flag = trim(flag) AND flag <> '?' AS flag_clean, length(label) > 0 AND label = trim(label) AND label <> '?' AS label_clean FROM raw")

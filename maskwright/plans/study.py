@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import bootstrap, disclosure, fits, hierarchy, privacy, schema, structure, utility
 from ..operators.lattice import cell_losses
-from ..sources import fixture
-from ..sources.writers import shared
+from ..sources import fixture, readers
+from ..sources.writers import shared, shared_folder
 
 SPEC, NUM = fixture.SPEC, "num"
 CLUSTER_KEYS = ["num", "segment", "status", "nation"]
@@ -228,11 +229,26 @@ class Study:
         cells = [F.col("l_orderkey"), F.col("l_linenumber"), flag, F.col("l_linestatus"), F.col("l_quantity").cast("int"), F.concat("l_linestatus", F.lit("."))]
         return t.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_no"), F.concat_ws(", ", *[c.cast("string") for c in cells]).alias("line"))
 
+    @cached_property
+    def file_lines(self) -> DataFrame:
+        """The lines written to text files in their order, and read back by the reader, which numbers them."""
+        path = f"{shared_folder(self.spark)}/lines-{uuid.uuid4()}"
+        self.raw_lines.orderBy("line_no", "line").select("line").write.text(path)
+        return readers.lines(self.spark, path)
+
+    @cached_property
+    def scanned(self) -> DataFrame:
+        return self._cells(self.file_lines)
+
     @cached_property
     def parsed(self) -> DataFrame:
+        return self._cells(self.raw_lines)
+
+    @staticmethod
+    def _cells(lines: DataFrame) -> DataFrame:
         cells = F.transform(F.split("line", ","), lambda c: F.trim(c))
         names = ("orderkey", "linenumber", "flag", "status", "quantity", "label")
-        rows = self.raw_lines.select("line_no", cells.alias("c"))
+        rows = lines.select("line_no", cells.alias("c"))
         return rows.select(F.concat_ws(":", F.lit("lineitem"), F.col("line_no").cast("string")).alias("rid"), "line_no", *[F.col("c")[k].alias(n) for k, n in enumerate(names)])
 
     def values(self) -> DataFrame:

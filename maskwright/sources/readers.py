@@ -7,12 +7,14 @@ import json
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import cell_is_clean
+from ..operators.hierarchy import sized
 from ..operators.schema import require
+from .writers import shared
 
 #: The raw census fields and the nine of the microdata, in their physical order.
 CENSUS_FIELDS = ("age", "workclass", "fnlwgt", "education", "education_num", "marital_status", "occupation", "relationship", "race", "sex", "capital_gain", "capital_loss", "hours_per_week", "native_country", "salary_class")
@@ -20,11 +22,17 @@ MICRODATA_FIELDS = ("sex", "age", "race", "marital_status", "education", "native
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no`` (from 1), ``line``. Lines are numbered partition by partition, without a global sort."""
-    text = spark.read.text(path)
-    schema = T.StructType([T.StructField("line", T.StringType()), T.StructField("line_no", T.LongType())])
-    numbered = text.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1] + 1))
-    return spark.createDataFrame(numbered, schema).select("line_no", "line")
+    """``line_no`` (from 1), ``line``: the files of ``path`` in the order of their names, one after the other.
+
+    Files are split by byte range. A first pass counts the lines of each range; the second numbers them from the lines that stand before their range.
+    A range is read by one task, whose row numbers follow the file. Only the table of ranges is ordered as a whole (one row for each
+    ``spark.sql.files.maxPartitionBytes`` of text), and no line is shuffled while it is small.
+    """
+    text = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    counted = text.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    ahead = F.sum("n").over(Window.orderBy("file", "start")) - F.col("n")
+    ranges = sized(shared(counted.select("file", "start", (ahead - F.col("first") + 1).alias("shift"))))
+    return text.join(ranges, ["file", "start"]).select((F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
 def census(spark: SparkSession, path: str, member: str, test: bool = False) -> DataFrame:

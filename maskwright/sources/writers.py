@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import tempfile
 from collections.abc import Callable
@@ -13,17 +15,22 @@ from ..operators.export import public, rendered
 from ..operators.schema import require
 
 
-def shared(frame: DataFrame) -> DataFrame:
-    """``frame``, worked out once and kept in the checkpoint folder that the cluster shares, which survives lost executors.
-
-    A folder of this machine is taken only in local mode. ``spark.cleaner.referenceTracking.cleanCheckpoints`` lets Spark
-    delete what is no longer referred to.
-    """
-    context = frame.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """The checkpoint folder that the cluster shares. A folder of this machine is taken only in local mode."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         require(bool(named) or re.fullmatch(r"local(\[.*\])?", context.master) is not None, "CHECKPOINT_DIR", "set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def shared(frame: DataFrame) -> DataFrame:
+    """``frame``, worked out once and kept in the shared checkpoint folder, which survives lost executors.
+
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` lets Spark delete what is no longer referred to.
+    """
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
@@ -75,13 +82,29 @@ def checkpointed(make: Callable[[], DataFrame], path: str, spark, verify: bool =
     return spark.read.parquet(path)
 
 
-def stages(steps: list[tuple[str, Callable[[DataFrame | None], DataFrame]]], root: str, spark, verify: bool = False) -> DataFrame:
-    """Steps in their order, each checkpointed and fed with the one before it; a run that was interrupted goes on where it stopped."""
-    names = [name for name, _ in steps]
+def stage_keys(steps: list[tuple], version: str = "", inputs: DataFrame | None = None) -> list[str]:
+    """A key for each of ``steps`` (``name, step`` or ``name, step, parameters``): of the code's version, the digest of ``inputs``, and the names
+    and parameters of the steps up to it. What is declared decides: a step whose code changes needs a new version."""
+    key = json.dumps([version, list(digest(inputs)) if inputs is not None else None])
+    keys = []
+    for name, _, *parameters in steps:
+        key = hashlib.sha256(json.dumps([key, name, *parameters], sort_keys=True).encode()).hexdigest()
+        keys.append(key)
+    return keys
+
+
+def stages(steps: list[tuple], root: str, spark, verify: bool = False, version: str = "", inputs: DataFrame | None = None) -> DataFrame:
+    """Steps in their order, each checkpointed under its key and fed with the one before it (the first with ``inputs``), and with its parameters by name.
+
+    A run that was interrupted goes on where it stopped. A changed version, input or parameter makes the steps concerned and those below
+    them again, and no other; what was made under other keys stays where it is.
+    """
+    names = [name for name, *_ in steps]
     require(len(set(names)) == len(names) > 0, "STAGE_NAMES", "stages have distinct names")
-    now: DataFrame | None = None
-    for place, (name, step) in enumerate(steps):
-        now = checkpointed(lambda step=step, before=now: step(before), f"{root}/{place:02d}-{name}", spark, verify)
+    now = inputs
+    for place, ((name, step, *parameters), key) in enumerate(zip(steps, stage_keys(steps, version, inputs), strict=True)):
+        chosen = parameters[0] if parameters else {}
+        now = checkpointed(lambda step=step, before=now, chosen=chosen: step(before, **chosen), f"{root}/{place:02d}-{name}-{key[:32]}", spark, verify)
     return now
 
 

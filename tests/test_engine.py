@@ -258,6 +258,37 @@ def test_stages_go_on_where_they_stopped_and_are_verified(spark, tmp_path):
     assert e.value.code == "CHECKPOINT_DIFFERS"
 
 
+def test_stages_are_made_again_below_what_changed(spark, tmp_path):
+    calls = []
+
+    def step(name):
+        return lambda before, add=0: calls.append(name) or before.selectExpr(f"id + {add} as id")
+
+    def run(inputs, adds=(1, 2, 3), version="1"):
+        calls.clear()
+        steps = [(name, step(name), {"add": add}) for name, add in zip("abc", adds, strict=True)]
+        return writers.stages(steps, f"{tmp_path}/s", spark, version=version, inputs=inputs).agg(F.sum("id")).first()[0], "".join(calls)
+
+    four = spark.range(4)
+    assert run(four) == (30, "abc") and run(four.repartition(3)) == (30, "")
+    assert run(four, (1, 5, 3)) == (42, "bc") and run(four, (1, 2, 4)) == (34, "c")
+    assert run(spark.range(5)) == (40, "abc") and run(four, version="2") == (30, "abc") and run(four) == (30, "")
+
+
+@pytest.mark.parametrize("block", ["64b", "1000b", "128m"])
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path, block):
+    for k, n in enumerate((500, 0, 1, 137)):
+        (tmp_path / f"part-{k}").write_text("".join(f"{k}:{i}{'x' * (i * 7 % 90)}\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        got = sorted((r["line_no"], r["line"].rstrip("x")) for r in readers.lines(spark, str(tmp_path)).collect())
+        assert readers.lines(spark, f"{tmp_path}/part-1").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == list(enumerate([f"{k}:{i}" for k, n in enumerate((500, 0, 1, 137)) for i in range(n)], 1))
+
+
 def test_validation_report_is_enforced(spark):
     found = validation.report([("GOOD", spark.range(0).agg(F.count("*"))), ("BAD", spark.range(2).agg(F.count("*")))])
     with pytest.raises(ContractError) as e:
